@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing, ngram_join, packing
 
-QUERIES = {"op4_block_naming_dedup": exact_dedup.op4_block_naming_dedup}
-ORACLES = {"op4_block_naming_dedup": exact_dedup.ORACLE_SQL}
+QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
+    "op2_nnls_packing": packing.op2_nnls_packing,
+    "op3_cube_mixing": mixing.op3_cube_mixing,
+    "op4_block_naming_dedup": exact_dedup.op4_block_naming_dedup,
+}
+ORACLES = {
+    "op4_block_naming_dedup": exact_dedup.ORACLE_SQL,
+}
