@@ -50,8 +50,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
 
 def _flight(pi: np.ndarray, size: np.ndarray, land: bool, rng: np.random.Generator) -> np.ndarray:
     """Probabilities after the flight phase on counts and sizes; with land, all of them are 0 or 1."""
-    pi = pi.tolist()
-    size = size.tolist()
+    pi, size = pi.tolist(), size.tolist()
+    start = list(pi)
     draws = iter(rng.random(2 * len(pi) + 8).tolist())
     held: list[int] = []
 
@@ -76,6 +76,15 @@ def _flight(pi: np.ndarray, size: np.ndarray, land: bool, rng: np.random.Generat
         missed = [abs(sum((o - pi[k]) * size[k] for o, k in zip(outcome, held, strict=True))) for outcome in outcomes]
         for k, value in zip(held, outcomes[int(np.argmin(missed))], strict=True):
             pi[k] = value
+        # What rounding left is made good by exchanging a few more documents of this last group.
+        missed, widths = sum((pi[k] - p) * size[k] for k, p in enumerate(start)), np.array(size)
+        for _ in range(8):
+            gain = np.where(np.array(pi) == (missed > 0), np.abs(abs(missed) - widths), np.inf)
+            k = int(np.argmin(gain))
+            if not gain[k] < abs(missed):
+                break
+            missed += (1 - 2 * pi[k]) * size[k]
+            pi[k] = 1 - pi[k]
     return np.array(pi)
 
 
