@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -17,12 +19,13 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_judgelake_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as folder:
-        target = Path(folder) / "judgelake_package.zip"
-        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
-            for path in sorted(root.rglob("*.py")):
-                out.write(path, path.relative_to(root.parent))
-        context.addPyFile(str(target))
+    folder = tempfile.mkdtemp()  # the driver serves the file for as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "judgelake_package.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(target))
     context._judgelake_shipped = True
 
 
