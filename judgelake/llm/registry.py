@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, ngram_join, packing
+import corpus_pipeline
+
+from . import chat, exact_dedup, html_extraction, matroska, mixing, ngram_join, packing, toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_nnls_packing": packing.op2_nnls_packing,
     "op3_cube_mixing": mixing.op3_cube_mixing,
     "op4_block_naming_dedup": exact_dedup.op4_block_naming_dedup,
+    "op5_string_kernel_toxicity": toxicity.op5_string_kernel_toxicity,
+    "op6_chat_formatting": chat.op6_chat_formatting,
+    "op9_matroska_media": matroska.op9_matroska_media,
+    "op10_template_extraction": html_extraction.op10_template_extraction,
 }
 ORACLES = {
     "op4_block_naming_dedup": exact_dedup.ORACLE_SQL,
+    "op6_chat_formatting": chat.ORACLE_SQL,
 }
