@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, exact_dedup, html_extraction, matroska, mixing, ngram_join, packing, toxicity
+from . import chat, exact_dedup, html_extraction, line_dedup, matroska, mixing, ngram_join, packing, quality, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -14,6 +14,8 @@ QUERIES = {
     "op4_block_naming_dedup": exact_dedup.op4_block_naming_dedup,
     "op5_string_kernel_toxicity": toxicity.op5_string_kernel_toxicity,
     "op6_chat_formatting": chat.op6_chat_formatting,
+    "op7_pairwise_quality": quality.op7_pairwise_quality,
+    "op8_winnowing_line_dedup": line_dedup.op8_winnowing_line_dedup,
     "op9_matroska_media": matroska.op9_matroska_media,
     "op10_template_extraction": html_extraction.op10_template_extraction,
 }
