@@ -1,4 +1,6 @@
 """Registered queries of the evaluation engine and their SQL equivalents."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from judgelake.plans.oracles import ORACLES
+from judgelake.plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -36,3 +36,16 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
         return query(spark, sf_dir)
 
     return run
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Only a local master may leave the setting unset; then one folder under /tmp serves, as in tests.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "file:///tmp/checkpoints"
