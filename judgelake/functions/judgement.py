@@ -115,4 +115,4 @@ def at_path(text: Column, path: str) -> Column:
 def answer_of(text: Column) -> Column:
     """A runner's answer: its answer, text or output field, or the text itself if that is no object."""
     fields = F.coalesce(*(F.get_json_object(text, f"$.{k}") for k in ("answer", "text", "output")))
-    return F.trim(F.when(F.trim(text).startswith("{"), F.coalesce(fields, F.lit(""))).otherwise(text))
+    return T.strip(F.when(T.strip(text).startswith("{"), F.coalesce(fields, F.lit(""))).otherwise(text))

@@ -93,7 +93,7 @@ def json_body(text: Column) -> Column:
 
 
 def analysis_tag(text: Column) -> Column:
-    return F.trim(F.regexp_extract(filled(text), r"<analysis>([\s\S]*?)</analysis>", 1))
+    return strip(F.regexp_extract(filled(text), r"<analysis>([\s\S]*?)</analysis>", 1))
 
 
 def without_trailing_commas(text: Column) -> Column:
