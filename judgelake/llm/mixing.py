@@ -76,15 +76,27 @@ def _flight(pi: np.ndarray, size: np.ndarray, land: bool, rng: np.random.Generat
         missed = [abs(sum((o - pi[k]) * size[k] for o, k in zip(outcome, held, strict=True))) for outcome in outcomes]
         for k, value in zip(held, outcomes[int(np.argmin(missed))], strict=True):
             pi[k] = value
-        # What rounding left is made good by exchanging a few more documents of this last group.
-        missed, widths = sum((pi[k] - p) * size[k] for k, p in enumerate(start)), np.array(size)
+        # What rounding left is made good by flipping one or two more documents of this last group at a time.
+        missed, chosen, widths = sum((pi[k] - p) * size[k] for k, p in enumerate(start)), np.array(pi), np.array(size, dtype=float)
         for _ in range(8):
-            gain = np.where(np.array(pi) == (missed > 0), np.abs(abs(missed) - widths), np.inf)
-            k = int(np.argmin(gain))
-            if not gain[k] < abs(missed):
+            change = (1 - 2 * chosen) * widths
+            order = np.argsort(change, kind="stable")
+            wanted = -missed - change
+            right = np.searchsorted(change[order], wanted)
+            single = int(np.argmin(np.abs(missed + change)))
+            best = (float(abs(missed + change[single])), single, -1)
+            for at in (right - 1, right):
+                other = order[np.clip(at, 0, len(order) - 1)]
+                gap = np.where(other == np.arange(len(change)), np.inf, np.abs(missed + change + change[other]))
+                k = int(np.argmin(gap))
+                best = min(best, (float(gap[k]), k, int(other[k])))
+            if not best[0] < abs(missed) - 1e-9:
                 break
-            missed += (1 - 2 * pi[k]) * size[k]
-            pi[k] = 1 - pi[k]
+            for k in best[1:]:
+                if k >= 0:
+                    missed += change[k]
+                    chosen[k] = 1 - chosen[k]
+        pi = chosen.tolist()
     return np.array(pi)
 
 
