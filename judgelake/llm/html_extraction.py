@@ -2,9 +2,12 @@
 
 Tokens (tags with their class and id, and comments by their first word) that have the same occurrence vector over
 the pages of a host form an equivalence class. Classes of tokens that occur once in each of many pages
-are the host's template: ordered by where they begin and nested by how many pages they cover. The template cuts a
-page into slots; slots inside navigation, advertising, forms, scripts and the like are left out, and the
-text of the remaining slots of the article is what the page says.
+are candidates for the host's template. A token is valid if it is ordered, that is always at one place among its own
+class, and nested, that is always in one gap of each class that covers more pages. The valid tokens cut a page into
+slots. Slots with the same text on all pages that have them are part of the template and left out, unless the page has an
+article (or main) element: that stays whole and bounds the slots that count. Then slots inside navigation, advertising,
+forms, scripts and the like are left out; the text of the rest is what the page says. Text is compared by slot and
+is no token of its own: a fixed line inside a slot that varies stays.
 
 Vectors are compared by a hash that each page adds to on its own, so no vector is ever gathered.
 """
@@ -13,8 +16,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -96,14 +100,43 @@ def _left_out(kind: str, name: str, signature: str) -> bool:
     return any(NAMES_OUT.search(n.lower()) for n in names) or bool(role and role[1].lower() in ROLES_OUT)
 
 
-def extract(page: str, template: set[str]) -> str:
-    """The article's blocks, joined by newlines. The template names the tokens that bound slots; its article (or
-    main) element bounds the slots that count, or all of them where it has none."""
+def slots(page: str, found: list[tuple[str, str, str, int, int]], template: set[str]) -> tuple[list[str], dict[str, str]]:
+    """For each token, and for the page's end, the slot before it, and each slot's text. A slot is named by the template
+    tokens around it; the page begins with the token <page>."""
+    texts: list[str] = []
+    before: list[int] = []
+    bounds = ["<page>"]
+    held: list[str] = []
+    at, raw = 0, False
+    for kind, name, signature, start, end in found:
+        if start > at and not raw:
+            held.append(page[at:start])
+        before.append(len(texts))
+        raw = kind in ("open", "hidden") and name in RAW
+        at = end
+        if signature in template:
+            texts.append(_plain(held))
+            held = []
+            bounds.append(signature)
+    before.append(len(texts))
+    texts.append(_plain([*held, page[at:]]))
+    names = [f"{a}\n{b}" for a, b in zip(bounds, [*bounds[1:], "</page>"], strict=True)]
+    return [names[k] for k in before], dict(zip(names, texts, strict=True))
+
+
+def _plain(parts: list[str]) -> str:
+    return _SPACE.sub(" ", html.unescape(" ".join(parts))).strip()
+
+
+def extract(page: str, template: set[str], fixed: set[str] = frozenset()) -> str:
+    """The article's blocks, joined by newlines. The template's article (or main) element bounds the slots that
+    count, and what the page itself calls its article stays whole; where there is none, all slots but those in fixed count."""
     bound = next((m for m in MAIN if any(t == f"<{m}>" or t.startswith(f"<{m} ") for t in template)), None)
     found = list(tokens(page))
     if bound and not any(kind == "open" and name == bound for kind, name, *_ in found):
         bound = None
     bound = bound or next((m for m in MAIN if any(kind == "open" and name == m for kind, name, *_ in found)), None)
+    own = [slot in fixed for slot in slots(page, found, template)[0]] if fixed and not bound else [False] * (len(found) + 1)
     blocks: list[str] = []
     held: list[str] = []
     inside, out, depth, at = int(bound is None), "", 0, 0
@@ -114,8 +147,8 @@ def extract(page: str, template: set[str]) -> str:
         if text:
             blocks.append(text)
 
-    for kind, name, signature, start, end in found:
-        if inside and not out and start > at:
+    for (kind, name, signature, start, end), left in zip(found, own[:-1], strict=True):
+        if inside and not out and not left and start > at:
             held.append(page[at:start])
         at = end
         if kind in ("comment", "other"):
@@ -142,16 +175,87 @@ def extract(page: str, template: set[str]) -> str:
             close_block()
         elif name == "br":
             held.append(" ")
-    if inside and not out and at < len(page):
+    if inside and not out and not own[-1] and at < len(page):
         held.append(re.sub(r"<[a-zA-Z/!][^>]*\Z", "", page[at:]))  # a tag cut off at the end is no text
     close_block()
     return "\n".join(blocks)
 
 
+def _rows(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+
+
+def _beside(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """Pages with the other columns of found (host, ...) of their host, or else nulls; template is the host, or else '*'."""
+    hosts = found.where("host <> '*'").withColumnRenamed("host", "own")
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    side = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
+    return _rows(pages).join(side, host == F.col("own"), "left").withColumn("template", F.coalesce("own", F.lit("*")))
+
+
+def _ranges(pages: DataFrame, found: DataFrame, column: str, common: list, of_page: Callable[[str, list], Iterator[tuple[str, str, int]]], names: tuple[str, str]) -> DataFrame:
+    """(template, *names, pages, low, high, one, other): of_page gives two keys and a value for each page and the page's
+    column of found; low and high are the bounds of the values, one and other of the pages' hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[tuple, list[int]] = {}
+            for template, page, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                page = page or ""
+                sign = xxhash.xxh64_intdigest(page.encode("utf-8", "surrogatepass")) >> 1
+                for a, b, value in of_page(page, own or common):
+                    held = seen.setdefault((template, a, b), [0, value, value, sign, sign])
+                    held[:] = held[0] + 1, min(held[1], value), max(held[2], value), min(held[3], sign), max(held[4], sign)
+            keys = list(zip(*seen, strict=True)) or [()] * 3
+            values = list(zip(*seen.values(), strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.string()) for v in keys), *(pa.array(v, pa.int64()) for v in values)], ["template", *names, "pages", "low", "high", "one", "other"])
+
+    schema = f"template string, {names[0]} string, {names[1]} string, pages long, low long, high long, one long, other long"
+    partial = _beside(pages, found).select("template", "html", column).mapInArrow(run, schema)
+    return partial.groupBy("template", *names).agg(F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("one").alias("one"), F.max("other").alias("other"))
+
+
+def _gaps(page: str, classes: list[list[str]]) -> Iterator[tuple[str, str, int]]:
+    """(token, class, gap): between which tokens of its own class and of each one that covers more pages a token lies."""
+    place = {signature: k for k, (_, _, signature, _, _) in enumerate(tokens(page))} | {"<page>": -1}
+    own: list[tuple[int, list[int]]] = []
+    for k, names in enumerate(classes):
+        at = sorted(place[t] for t in names if t in place)
+        if at:
+            own.append((k, at))
+            for token in names:
+                if token in place:
+                    for over, places in own:
+                        yield token, f"{over} {k}", bisect_left(places, place[token])
+
+
+def _slot_texts(page: str, template: list[str]) -> Iterator[tuple[str, str, int]]:
+    for slot, text in slots(page, list(tokens(page)), set(template))[1].items():
+        if text:
+            yield slot, "", xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
 def templates(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, tokens): the tokens of the valid classes of each host that has enough pages, and of all pages as
-    host '*'. A class is valid if its tokens occur once in each page that has them and it covers `support` of the
-    pages; its tokens then share one occurrence vector, and larger classes nest smaller ones."""
+    """(host, tokens, fixed): the valid tokens, by class and order, of each host that has enough pages and, as host '*',
+    of all pages, and the slots whose text never varies on `least_pages` pages or more that are not all equal. A class
+    is a candidate if its tokens occur once in each page that has them and it covers `support` of the pages; its
+    tokens then share one occurrence vector."""
+    found = written(_classes(pages, support, least_pages), "classes")
+    rest = found.where("host = '*'").first()
+    gaps = _ranges(pages, found, "classes", list(rest["classes"]) if rest else [], _gaps, ("token", "class"))
+    number = F.split("class", " ")
+    gaps = gaps.withColumn("over", number[0].cast("int")).withColumn("k", number[1].cast("int"))
+    valid = gaps.groupBy("template", "token").agg(F.bool_and(F.col("low") == F.col("high")).alias("valid"), F.max("k").alias("k"), F.max(F.when(F.col("over") == F.col("k"), F.col("low"))).alias("gap")).where("valid")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("k", "gap", "token"))), lambda x: x["token"])
+    found = written(valid.groupBy(F.col("template").alias("host")).agg(in_order.alias("tokens")), "valid")
+    rest = found.where("host = '*'").first()
+    same = _ranges(pages, found, "tokens", list(rest["tokens"]) if rest else [], _slot_texts, ("slot", "none")).where((F.col("low") == F.col("high")) & (F.col("pages") >= least_pages) & (F.col("one") < F.col("other")))
+    fixed = same.groupBy(F.col("template").alias("host")).agg(F.collect_list("slot").alias("fixed"))
+    return found.join(fixed, "host", "left").select("host", "tokens", F.coalesce("fixed", F.array().cast("array<string>")).alias("fixed"))
+
+
+def _classes(pages: DataFrame, support: float, least_pages: int) -> DataFrame:
+    """(host, classes): the tokens of the candidate classes, those that cover most pages first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,12 +275,13 @@ def templates(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEA
             values = list(zip(*seen.values(), strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.string()), *(pa.array(v, pa.int64()) for v in values)], ["host", "token", "pages", "single", "vector"])
 
-    partial = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, "host string, token string, pages long, single long, vector long")
+    partial = _rows(pages).mapInArrow(run, "host string, token string, pages long, single long, vector long")
     counts = written(partial.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("single").alias("single"), F.bit_xor("vector").alias("vector")), "tokens")
     size = counts.where("token = '<page>'").select("host", F.col("pages").alias("all_pages"))
     valid = counts.join(size, "host").where((F.col("single") == F.col("pages")) & (F.col("pages") >= F.col("all_pages") * support) & ((F.col("all_pages") >= least_pages) | (F.col("host") == "*")))
     classes = valid.groupBy("host", "vector").agg(F.max("pages").alias("pages"), F.collect_list("token").alias("tokens")).where(F.size("tokens") > 1)
-    return classes.groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+    largest = F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("n"), F.array_sort("tokens").alias("tokens"))))
+    return classes.groupBy("host").agg(F.transform(largest, lambda x: x["tokens"]).alias("classes"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -187,18 +292,14 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """
     found = written(templates(pages), "templates")
     rest = found.where("host = '*'").first()
-    common = list(rest["tokens"]) if rest else []
-    hosts = found.where("host <> '*'")
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    side = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host).join(side, "host", "left")
+    common = (set(rest["tokens"]), set(rest["fixed"])) if rest else (set(), set())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(page or "", set(own or common)) for page, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [extract(page or "", *((set(own), set(fixed)) if own else common)) for page, own, fixed in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.select("page_id", "url", "html", "tokens").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return _beside(pages, found).select("page_id", "url", "html", "tokens", "fixed").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op10_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

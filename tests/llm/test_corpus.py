@@ -221,6 +221,23 @@ def test_op10_articles(spark):
     assert found[3] == "T 3\nOne & two 3\nThree four" and found[9] == found[10] == ""
 
 
+def test_op10_template_without_article(spark):
+    shell = '<html><body><div id="top"><p>The daily site</p><p>All rights reserved</p></div><div id="text"><h1>T {k}</h1><p>Words of {k}</p><p>Same on all</p></div><div id="end"><p>Printed on paper</p></div></body></html>'
+    rows = [(k, f"http://h.example/{k}", shell.replace("{k}", str(k))) for k in range(5)]
+    rows += [(10 + k, "http://copies.example/", shell.replace("{k}", "1")) for k in range(4)]  # nothing shows what varies
+    ship(spark)
+    found = {r["page_id"]: r["text"] for r in html_extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[k] == f"T {k}\nWords of {k}\nSame on all" for k in range(5))
+    assert found[10] == "The daily site\nAll rights reserved\nT 1\nWords of 1\nSame on all\nPrinted on paper"
+
+
+def test_op10_template_tokens_are_ordered_and_nested(spark):
+    rows = [(k, "http://h.example/", f"<main><b>{k}</b>" + ("<i></i><u></u>" if k % 2 else "<u></u><i></i>") + "</main>") for k in range(6)]
+    ship(spark)
+    found = {r["host"]: r["tokens"] for r in html_extraction.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found["h.example"] == ["<page>", "<main>", "<b>", "</b>", "</main>"]
+
+
 def test_empty_tables(spark):
     none = docs_of(spark, [])
     labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
