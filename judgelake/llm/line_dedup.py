@@ -3,8 +3,9 @@
 Every non-blank line is hashed. From each line, the fewest following lines that hold SHINGLE_WORDS words are a
 shingle; of the shingles that start in the fewest lines that hold WINDOW_WORDS words, the smallest hash is
 kept as a fingerprint. Any run of at least SHINGLE_WORDS + WINDOW_WORDS - 1 words that two places share then has a
-fingerprint in common. Places with one fingerprint are joined to its first place and to the nearest earlier
-one, matches grow both ways line by line, and later runs of MIN_WORDS words or more are deleted.
+fingerprint in common. Around places with a shared fingerprint, the fewest lines that hold MIN_WORDS words are
+hashed, from each line on and back from each line. Such windows cover each run of MIN_WORDS words or more, and a
+window that equals an earlier one is deleted: its first place stands for all, so no places are paired.
 """
 
 from __future__ import annotations
@@ -17,8 +18,6 @@ from .common import written
 
 SHINGLE_WORDS = WINDOW_WORDS = 25
 MIN_WORDS = 50
-#: A fingerprint in more places than this looks for its nearest earlier place among a part of them.
-HOT = 1000
 _LAST = 2**63 - 1
 
 
@@ -61,31 +60,44 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     base = written(base.select("uid", "ord", F.col("rows.k").alias("ks"), F.col("rows.h").alias("hs"), F.col("rows.w").alias("ws")).dropDuplicates(["uid"]), "line-hashes")
     exploded = base.select("uid", "ord", F.posexplode(F.arrays_zip("hs", "ws")).alias("pos", "line")).select("uid", "ord", "pos", F.col("line.hs").alias("h"), F.col("line.ws").alias("w"))
     prints = written(fingerprints(exploded), "fingerprints")
+    firsts = prints.groupBy("shingle").agg(F.count("*").alias("places")).where("places > 1").select("shingle")
+    anchors = prints.join(firsts, "shingle").groupBy("uid").agg(F.collect_set("pos").alias("anchors"))
+    held = base.join(anchors, "uid").select("uid", "ord", "anchors", F.posexplode(F.arrays_zip("ks", "hs", "ws")).alias("pos", "line"))
+    held = held.select("uid", "ord", "pos", F.col("line.ks").alias("k"), F.struct(F.col("line.hs").alias("h"), F.col("line.ws").alias("w"), F.col("line.ks").alias("k"), F.array_contains("anchors", F.col("pos")).alias("anchored")).alias("line"))
+    found = written(windows(held, min_words), "windows")
     place = F.struct("ord", "uid", "pos")
-    firsts = prints.groupBy("shingle").agg(F.min(place).alias("first"), F.count("*").alias("places")).where("places > 1")
-    shared = prints.join(firsts, "shingle").withColumn("at", place).withColumn("part", F.when(F.col("places") > HOT, F.pmod(F.xxhash64("uid"), F.ceil(F.col("places") / HOT))).otherwise(0))
-    before = F.lag("at").over(Window.partitionBy("shingle", "part").orderBy("at"))
-    pairs = shared.withColumn("before", before).select("at", F.explode(F.array_distinct(F.array("first", F.coalesce("before", "first")))).alias("source")).where("source < at")
-    matches = pairs.groupBy(F.col("at.uid").alias("uid"), F.col("source.uid").alias("source"), (F.col("at.pos") - F.col("source.pos")).alias("shift")).agg(F.collect_set("at.pos").alias("anchors"))
-    own = base.select("uid", "ks", "hs", "ws")
-    theirs = base.select(F.col("uid").alias("source"), F.col("hs").alias("source_hs"))
-    grown = matches.join(own, "uid").join(theirs, "source")
-    low = F.greatest(F.lit(0), F.col("shift"))
-    high = F.least(F.size("hs"), F.size("source_hs") + F.col("shift")) - 1
-    nothing = "cast(array() as array<struct<first:int,last:int>>)"
-    start = F.struct(F.expr(nothing).alias("runs"), low.cast("int").alias("from"), F.lit(0).cast("long").alias("words"), F.lit(False).alias("anchored"))
-    good = lambda s: s["anchored"] & (s["words"] >= min_words)
-    closed = lambda s, end: F.when(good(s), F.concat(s["runs"], F.array(F.struct(s["from"].alias("first"), end.cast("int").alias("last"))))).otherwise(s["runs"])
-
-    def step(s: Column, k: Column) -> Column:
-        same = F.element_at("hs", k + 1) == F.element_at("source_hs", (k - F.col("shift") + 1).cast("int"))
-        longer = F.struct(s["runs"].alias("runs"), s["from"].alias("from"), (s["words"] + F.element_at("ws", k + 1)).alias("words"), (s["anchored"] | F.array_contains("anchors", k)).alias("anchored"))
-        ended = F.struct(closed(s, k - 1).alias("runs"), (k + 1).cast("int").alias("from"), F.lit(0).cast("long").alias("words"), F.lit(False).alias("anchored"))
-        return F.when(same, longer).otherwise(ended)
-
-    runs = F.aggregate(F.sequence(low.cast("int"), high.cast("int")), start, step, lambda s: closed(s, high))
-    found = grown.select("uid", "ks", F.explode(runs).alias("run"))
-    return found.groupBy("uid").agg(F.collect_set(F.struct(F.element_at("ks", F.col("run.first") + 1).alias("first"), F.element_at("ks", F.col("run.last") + 1).alias("last"))).alias("runs"))
+    first = found.groupBy("back", "hash").agg(F.min(place).alias("source"), F.count("*").alias("places")).where("places > 1").drop("places")
+    later = found.join(first, ["back", "hash"]).where(F.col("source") < place)
+    runs = later.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs"))
+    return runs.select("uid", _merged("runs").alias("runs"))
+
+
+def windows(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """From (uid, ord, pos, k, line), one row per non-blank line, the windows that hold a shared fingerprint: uid, ord, pos,
+    back, hash and the first and last position. A line that alone holds min_words words makes another window with the next
+    line, so that each two neighbours of a run share a window and blank lines between them are inside."""
+    by_pos = Window.partitionBy("uid").orderBy("pos")
+    near = lambda a, b: F.collect_list("line").over(by_pos.rowsBetween(a, b))
+    rows = lines.select("uid", "ord", "pos", near(0, min_words).alias("ahead"), F.reverse(near(1 - min_words, 0)).alias("behind"))
+
+    def fewest(column: str, least: int) -> Column:
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("w"), F.lit(42).cast("long").alias("h"), F.lit(-1).alias("k"), F.lit(False).alias("anchored"))
+        longer = lambda s, x: F.struct((s["n"] + 1).alias("n"), (s["w"] + x["w"]).alias("w"), F.xxhash64(s["h"], x["h"]).alias("h"), x["k"].alias("k"), (s["anchored"] | x["anchored"]).alias("anchored"))
+        return F.aggregate(column, start, lambda s, x: F.when((s["w"] >= min_words) & (s["n"] >= least), s).otherwise(longer(s, x)))
+
+    own = F.col("ahead")[0]
+    pair = F.when((own["w"] >= min_words) & (F.size("ahead") > 1), fewest("ahead", 2))
+    kinds = F.array(*(F.struct(F.lit(back).alias("back"), s.alias("s")) for back, s in ((False, fewest("ahead", 1)), (False, pair), (True, fewest("behind", 1)))))
+    found = rows.select("uid", "ord", "pos", own["k"].alias("k"), F.explode(kinds).alias("x")).where(F.col("x.s.anchored") & (F.col("x.s.w") >= min_words))
+    return found.select("uid", "ord", "pos", "x.back", F.col("x.s.h").alias("hash"), F.least("k", "x.s.k").alias("first"), F.greatest("k", "x.s.k").alias("last"))
+
+
+def _merged(runs: str) -> Column:
+    """Sorted runs, those that overlap made one."""
+    start = F.struct(F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("done"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    ended = lambda s: F.when(s["last"] >= 0, F.concat(s["done"], F.array(F.struct(s["first"].alias("first"), s["last"].alias("last"))))).otherwise(s["done"])
+    step = lambda s, x: F.when(x["first"] <= s["last"], F.struct(s["done"].alias("done"), s["first"].alias("first"), F.greatest(s["last"], x["last"]).alias("last"))).otherwise(F.struct(ended(s).alias("done"), x["first"].alias("first"), x["last"].alias("last")))
+    return F.aggregate(runs, start, step, ended)
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

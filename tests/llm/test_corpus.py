@@ -198,6 +198,31 @@ def test_op8_deletes_later_runs_only(spark):
     assert found[1]["text"] == rows[0][1] and found[3]["text"] == rows[2][1] and found[4]["text"] == ""
 
 
+def test_op8_finds_runs_of_any_earlier_place(spark):
+    words = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    head = words("head", 30)
+    rows = [(1, f"{head}\n{words('a', 22)}", "a"), (2, f"{head}\n{words('b', 22)}", "a"), (3, f"{head}\n{words('c', 22)}", "a"), (4, f"{head}\n{words('b', 22)}", "a")]
+    found = {r["doc_id"]: r["removed_lines"] for r in line_dedup.line_dedup(docs_of(spark, rows)).collect()}
+    assert found == {1: 0, 2: 0, 3: 0, 4: 2}
+
+
+def test_op8_equals_brute_force(spark):
+    draw = random.Random(8)
+    pool = [" ".join(f"w{k}x{j}" for j in range(draw.choice([1, 3, 10, 24, 26, 49, 50, 60]))) for k in range(7)] + [""]
+    rows = [(k, "\n".join(draw.choice(pool) for _ in range(draw.randrange(1, 12))), "a") for k in range(80)]
+    lines = [(i, k, x) for i, text, _ in rows for k, x in enumerate(text.split("\n")) if x]
+    expected = {i: set() for i, *_ in rows}
+    for b in range(len(lines)):
+        for a in range(b):
+            n = 0
+            while b + n < len(lines) and lines[b + n][2] == lines[a + n][2] and lines[a + n][0] == lines[a][0] and lines[b + n][0] == lines[b][0]:
+                n += 1
+            if sum(len(x.split(" ")) for *_, x in lines[b : b + n]) >= 50:
+                expected[lines[b][0]] |= set(range(lines[b][1], lines[b + n - 1][1] + 1))
+    found = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs_of(spark, rows)).collect()}
+    assert found == {i: "\n".join(x for k, x in enumerate(text.split("\n")) if k not in expected[i]) for i, text, _ in rows}
+
+
 def test_op9_round_trip_and_lacing(spark):
     found = {r["doc_id"]: r for r in matroska.media_digests(matroska.to_media(small(spark))).collect()}
     for r in small(spark).select("doc_id", "text").collect():
