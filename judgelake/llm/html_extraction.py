@@ -139,7 +139,7 @@ def extract(page: str, template: set[str], fixed: set[str] = frozenset()) -> str
     own = [slot in fixed for slot in slots(page, found, template)[0]] if fixed and not bound else [False] * (len(found) + 1)
     blocks: list[str] = []
     held: list[str] = []
-    inside, out, depth, at = int(bound is None), "", 0, 0
+    inside, out, depth, nested, ended, at = int(bound is None), "", 0, 0, False, 0
 
     def close_block() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
@@ -157,20 +157,27 @@ def extract(page: str, template: set[str], fixed: set[str] = frozenset()) -> str
         if out:  # inside an element that is left out: wait for its end, or for the article to begin or end
             if name == out:
                 depth += 1 if opening else -1
-                out = out if depth > 0 else ""
-            elif name == bound and not (opening and inside):
-                out = ""
-            if out or name != bound:
-                if not out:
+                if depth <= 0:
+                    out = ""
                     close_block()
                 continue
-        if name == bound:
+            if name != bound:
+                continue
+            if opening and (inside or ended):  # such as a comment: its end is not the article's
+                nested += 1
+                continue
+            if nested and not opening:
+                nested -= 1
+                continue
+            out = ""
+        if name == bound and not (opening and (inside or ended) and _left_out(kind, name, signature)):
             close_block()
+            ended = ended or (inside == 1 and not opening)
             inside = max(0, inside + (1 if opening else -1))
         elif opening and name not in VOID and _left_out(kind, name, signature):
             if name in BLOCKS or name in LEFT_OUT:
                 close_block()
-            out, depth = name, 1
+            out, depth, nested = name, 1, 0
         elif name in BLOCKS:
             close_block()
         elif name == "br":

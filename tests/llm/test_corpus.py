@@ -246,6 +246,16 @@ def test_op10_articles(spark):
     assert found[3] == "T 3\nOne & two 3\nThree four" and found[9] == found[10] == ""
 
 
+@pytest.mark.parametrize("page", [
+    "<article>p1<section class=comments><article>c1</article><article>c2</article></section><p>p2</p></article>",
+    "<article>p1<article class=comment>c1<article>c2</article></article><p>p2</p></article>",
+    "<article>p1<p>p2</p></article><div class=comments><article>c1</article><article>c2</article></div><article class=comment>c3</article>",
+    "<form><article>p1<aside><article>c1</aside><p>p2</p></article></form>",
+])
+def test_op10_comments_that_are_articles(page):
+    assert html_extraction.extract(page, {"<article>"}) == "p1\np2"
+
+
 def test_op10_template_without_article(spark):
     shell = '<html><body><div id="top"><p>The daily site</p><p>All rights reserved</p></div><div id="text"><h1>T {k}</h1><p>Words of {k}</p><p>Same on all</p></div><div id="end"><p>Printed on paper</p></div></body></html>'
     rows = [(k, f"http://h.example/{k}", shell.replace("{k}", str(k))) for k in range(5)]
