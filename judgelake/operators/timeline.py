@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,15 +48,23 @@ def sessions(rows: DataFrame, key: str, at: str, gap: float, priority: str) -> D
     return grouped.groupBy(key, "session").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"), F.min(F.struct(priority, at)).alias("p")).select(key, "session", "first", "last", "n", F.col(f"p.{at}").alias("kept"))
 
 
-def spaced(times: Column, gap: float) -> Column:
-    """Of sorted times those at least `gap` behind the last one kept."""
-    start = F.array().cast("array<double>")
-    return F.aggregate(times, start, lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= gap), F.concat(kept, F.array(t))).otherwise(kept))
+def min_gap(rows: DataFrame, key: str, at: str, gap: float) -> DataFrame:
+    """key, kept: of a key's times in order those at least `gap` behind the last one kept. The sorted rows pass a task as a
+    stream that holds nothing but the last kept time; a key's times are in one task."""
+    kind = dict(rows.dtypes)[key]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last = object(), 0.0
+        for batch in batches:
+            places = []
+            for k, (name, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if name != own or not t - last < gap:
+                    own, last = name, t
+                    places.append(k)
+            yield batch.take(pa.array(places, pa.int64()))
 
-def min_gap(rows: DataFrame, key: str, at: str, gap: float) -> DataFrame:
-    """key, kept: a time line is one object, such as a video, whose times fit a row."""
-    return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.col(at).cast("double"))).alias("t")).select(key, F.explode(spaced(F.col("t"), gap)).alias("kept"))
+    times = rows.select(F.col(key), F.col(at).cast("double").alias("kept")).where("kept is not null")
+    return times.repartition(F.col(key)).sortWithinPartitions(key, "kept").mapInArrow(run, f"`{key}` {kind}, kept double")
 
 
 def even_positions(n: Column, k: Column) -> Column:
@@ -102,24 +113,38 @@ def strict_duplicates(frames: DataFrame, rms: float = 0.008, changed: float = 0.
     return grouped.withColumn("rn", best).where("rn = 1 or protected").select("video_id", "t", "protected", "priority", "novelty")
 
 
+def filled(t: np.ndarray, protected: np.ndarray, limit: int) -> np.ndarray:
+    """Places in sorted times of the protected frames and of the farthest ones up to `limit`; memory grows with the frames only."""
+    chosen = protected.copy()
+    if not chosen.any():
+        chosen[:1] = True
+    n = int(chosen.sum())
+    if n < min(limit, len(t)):
+        kept = t[chosen]
+        right = np.searchsorted(kept, t)
+        near = np.minimum(np.abs(t - kept[np.maximum(right - 1, 0)]), np.abs(t - kept[np.minimum(right, n - 1)]))
+        for _ in range(min(limit, len(t)) - n):
+            near[chosen] = -1
+            k = int(np.argmax(near))
+            chosen[k] = True
+            near = np.minimum(near, np.abs(t - t[k]))
+    return np.flatnonzero(chosen)
+
+
 def farthest_fill(frames: DataFrame, limit: int) -> DataFrame:
-    """Protected frames and then, up to `limit` a video (the feature's limit), the frame farthest in time from all chosen. One
-    video's times are one group by nature."""
+    """Protected frames and then, up to `limit` a video (the feature's limit), the frame farthest in time from all chosen. A
+    video with `limit` protected frames is not gathered; the times of another are one group."""
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t"], kind="stable").reset_index(drop=True)
-        t = pdf["t"].to_numpy(float)
-        kept = list(np.flatnonzero(pdf["protected"].to_numpy(bool))) or [0]
-        near = np.min(np.abs(t[:, None] - t[kept][None]), axis=1)
-        while len(kept) < min(limit, len(t)):
-            near[kept] = -1
-            k = int(np.argmax(near))
-            kept.append(k)
-            near = np.minimum(near, np.abs(t - t[k]))
-        return pdf.iloc[sorted(kept)][["video_id", "t", "protected"]]
+        return pdf.iloc[filled(pdf["t"].to_numpy(float), pdf["protected"].to_numpy(bool), limit)][["video_id", "t", "protected"]]
 
     kinds = dict(frames.dtypes)
-    return frames.select("video_id", "t", "protected").groupBy("video_id").applyInPandas(choose, f"video_id {kinds['video_id']}, t {kinds['t']}, protected boolean")
+    rows = frames.select("video_id", "t", F.coalesce("protected", F.lit(False)).alias("protected"))
+    full = rows.groupBy("video_id").agg((F.count_if("protected") >= max(limit, 1)).alias("full")).where("full").select(F.col("video_id").alias("v"))
+    same = F.col("video_id").eqNullSafe(F.col("v"))
+    gathered = rows.join(full, same, "left_anti").groupBy("video_id").applyInPandas(choose, f"video_id {kinds['video_id']}, t {kinds['t']}, protected boolean")
+    return rows.where("protected").join(full, same, "left_semi").unionByName(gathered)
 
 
 def fold_stream(chunks: DataFrame) -> DataFrame:

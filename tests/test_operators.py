@@ -101,6 +101,32 @@ def test_min_gap_compares_with_the_last_kept(spark):
     assert [r["kept"] for r in timeline.min_gap(rows, "k", "t", 3.0).orderBy("kept").collect()] == [0.0, 4.0, 9.0]
 
 
+def test_long_time_lines_need_little_memory(spark):
+    import tracemalloc
+
+    t = np.arange(20_000) / 4
+    tracemalloc.start()
+    assert len(timeline.filled(t, np.arange(20_000) % 4 == 0, 5_003)) == 5_003
+    assert tracemalloc.get_traced_memory()[1] < 50_000_000
+    tracemalloc.stop()
+    rows = spark.range(60_000).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("t"))
+    assert timeline.min_gap(rows, "k", "t", 2.0).count() == 30_000 and "collect_list" not in timeline.min_gap(rows, "k", "t", 2.0)._jdf.queryExecution().toString()
+
+
+def test_farthest_fill_equals_all_distances(spark):
+    draw = random.Random(4)
+    data = [(v, float(draw.randrange(40)), draw.random() < v / 12) for v in range(6) for _ in range(30)]
+    expected = []
+    for v in range(6):
+        own = sorted([r for r in data if r[0] == v], key=lambda r: r[1])
+        kept = [k for k, r in enumerate(own) if r[2]] or [0]
+        while len(kept) < 8:
+            kept.append(max((k for k in range(30) if k not in kept), key=lambda k: (min(abs(own[k][1] - own[j][1]) for j in kept), -k)))
+        expected += [own[k] for k in kept]
+    found = timeline.farthest_fill(spark.createDataFrame(data, "video_id int, t double, protected boolean"), 8).collect()
+    assert sorted(map(tuple, found)) == sorted(expected)
+
+
 def test_scorers(spark):
     rows = spark.createDataFrame([(1, "q", "a b"), (2, "q", None)], "item_id long, question string, answer string")
     assert {r["item_id"]: r["correctness"] for r in scoring.score(rows).collect()} == {1: "right", 2: "wrong"}
