@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from judgelake.functions import text as T
 
+#: The list of models goes into the plan; a longer one is an error.
+MOST_MODELS = 10_000
+
 
 def usable(answers: DataFrame) -> DataFrame:
     return answers.where("error is null and answer <> ''")
@@ -26,8 +29,12 @@ def latest_answers(answers: DataFrame, order: list[str]) -> DataFrame:
 
 
 def todo(items: DataFrame, models: DataFrame, done: DataFrame) -> DataFrame:
-    """(item_id, model) pairs that are not done. models is the list of models under test, one row each."""
-    jobs = items.select("item_id").withColumn("model", F.explode(F.array(*(F.lit(r[0]) for r in models.select("model").distinct().orderBy("model").limit(10_000).collect()))))
+    """(item_id, model) pairs that are not done. models is the list of models under test, one row each; more than MOST_MODELS
+    are an error."""
+    names = [r[0] for r in models.select("model").distinct().limit(MOST_MODELS + 1).collect()]
+    if len(names) > MOST_MODELS:
+        raise ValueError(f"more than {MOST_MODELS} models")
+    jobs = items.select("item_id").withColumn("model", F.explode(F.array(*map(F.lit, sorted(names, key=lambda n: (n is not None, n or ""))))))
     return jobs.join(done.select("item_id", "model").distinct(), ["item_id", "model"], "left_anti")
 
 

@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from judgelake.functions import text as T
 
+#: Names and displays are broadcast; more of them are an error.
+MOST_NAMES = 10_000
+
 
 def route(items: DataFrame, skills: DataFrame) -> DataFrame:
     """item_id, skill, display: the first skill, by load_ord, that lists one of the item's categories or carries its name;
@@ -96,9 +99,12 @@ def source_mix(items: DataFrame, routed: DataFrame) -> DataFrame:
 
 def match_label(said: DataFrame, labels: DataFrame, fallback: str = "无法归类") -> DataFrame:
     """id, label: a classifier's free text to a skill. Text with the fallback word has none; an exact name or display wins,
-    else the longest label contained. labels (skill, display) is a handful of rows by nature: one row a skill."""
+    else the longest label contained. labels (skill, display) is a handful of rows by nature: one row a skill;
+    more than MOST_NAMES names and displays are an error."""
     named = labels.select("skill", F.explode(F.array("skill", "display")).alias("word")).where("word <> ''").distinct()
+    if named.limit(MOST_NAMES + 1).count() > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} skill names and displays")
     plain = said.select("id", F.trim("said").alias("said")).where(~F.contains(F.col("said"), F.lit(fallback)))
-    hits = plain.join(F.broadcast(named.limit(10_000)), F.contains(F.col("said"), F.col("word")))
+    hits = plain.join(F.broadcast(named), F.contains(F.col("said"), F.col("word")))
     best = hits.groupBy("id").agg(F.max_by("skill", F.struct((F.col("said") == F.col("word")).alias("exact"), F.length("word").alias("n"), "skill")).alias("label"))
     return said.select("id").join(best, "id", "left")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from judgelake import scoring
 from judgelake.functions import judgement
 from judgelake.functions import text as T
-from judgelake.operators import calibration, jobs, pairs, timeline, votes
+from judgelake.operators import calibration, jobs, pairs, skills, timeline, votes
 from judgelake.sources import files
 
 
@@ -96,6 +96,14 @@ def test_stores_and_items(spark, tmp_path):
     assert jobs.todo(items, models, spark.read.parquet(store)).count() == 0
 
 
+def test_too_many_models_or_names_are_an_error(spark):
+    many = spark.range(10_001).select(F.col("id").cast("string").alias("model"), F.col("id").cast("string").alias("skill"), F.lit("d").alias("display"))
+    with pytest.raises(ValueError):
+        jobs.todo(spark.createDataFrame([(1,)], "item_id long"), many, spark.createDataFrame([], "item_id long, model string"))
+    with pytest.raises(ValueError):
+        skills.match_label(spark.createDataFrame([(1, "x")], "id long, said string"), many)
+
+
 def test_min_gap_compares_with_the_last_kept(spark):
     rows = spark.createDataFrame([(1, t) for t in (0.0, 2.0, 4.0, 5.0, 9.0)], "k int, t double")
     assert [r["kept"] for r in timeline.min_gap(rows, "k", "t", 3.0).orderBy("kept").collect()] == [0.0, 4.0, 9.0]
