@@ -1,26 +1,26 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystrom landmarks.
 
-The kernel compares strings by their subsequences of three characters, each weighed down by the length it
-spans, so that an insult with gaps or inserted characters stays close to the plain one. Strings are the words
-of a sentence with everything but letters and digits taken out, and runs of single letters put together. A
-sentence counts by its most toxic words, and a document by its three most toxic ones: a logistic curve over their
-values tells whether a word that is also found in clean texts comes alone or in company.
-
-Labels are those of documents, so the words that make a document toxic are found first: character 5-grams that
-many unrelated toxic documents share and clean ones lack, chosen by greedy cover. Words with such a 5-gram
-are positive strings, words of clean documents negative ones; clean words that a first machine takes for
-insults join the negatives for the second. In the space of the landmarks the machine is linear, and so it
-collapses to one weight per subsequence, which is all that scoring needs.
+The kernel compares strings by their subsequences of three characters inside a word, each weighed down by the length
+it spans, so that an insult with gaps or inserted characters stays close to the plain one. Words are taken without
+anything but letters and digits, and runs of single letters are put together.
+
+The machine is trained on sentences that carry the labels of their documents; a sentence that a clean document has too
+is clean. As most sentences of a toxic document are harmless, training is multiple-instance: the first machine learns
+from whole sentences; then each document is stood for by its highest-valued words, each with the sentence it comes
+from, and the machine is fitted again, toxic witnesses against those of clean documents and ordinary clean words. A witness
+counts by its different sentences, so copies of one document do not add up. A document is judged by its three
+highest values through a logistic curve, which tells whether a word that clean texts have too comes alone or in company.
+In the space of the landmarks the machine is linear, and so it collapses to one weight per subsequence.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,17 +29,22 @@ from .common import written
 
 #: Most labelled documents that the machine is fitted on, taken by hash of their id.
 SAMPLE_DOCS = 20_000
-#: Most 5-grams, positive strings and negative strings that the driver holds.
-GRAMS, POSITIVES, NEGATIVES = 4000, 2000, 6000
-POSITIVE_MARKS, NEGATIVE_MARKS = 160, 96
+#: Most sentences of either label, positive strings and negative strings that the driver holds.
+SENTENCES, POSITIVES, NEGATIVES = 2500, 2000, 6000
+POSITIVE_MARKS, NEGATIVE_MARKS = 256, 96
+#: Rounds of multiple-instance fitting, witnesses a document has, and words of a sentence.
+ROUNDS, WITNESSES, SENTENCE_WORDS = 3, 3, 16
+#: A witness is toxic if it is so many times as frequent in toxic documents as in clean ones.
 PRICE = 3.0
 DECAY, SPAN, LONGEST = 0.7, 6, 24
 #: Words whose value a Python worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 40_000
 
 _ALPHABET = 64
 _GAPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 _KEEP = re.compile(r"[^\W_]+")
+_ENDS = re.compile(r"[.!?\n]+")
+_WITNESS = pa.list_(pa.struct([("word", pa.string()), ("sentence", pa.int64())]))
 
 
 def _code_table() -> np.ndarray:
@@ -49,7 +54,7 @@ def _code_table() -> np.ndarray:
         table[97 + k] = 1 + k
     for k in range(10):
         table[48 + k] = 27 + k
-    table[10] = 0
+    table[10] = table[32] = 0  # between strings, and between the words of one
     return table
 
 
@@ -78,10 +83,12 @@ def strings(token: str) -> list[str]:
 
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all words: subsequence codes, weights, the word of each, and each word's length in feature space."""
+    """Of all strings (words, or sentences of words with a space between): subsequence codes, weights, the string of each, and
+    each string's length in feature space."""
     points = np.frombuffer("\n".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     code = _CODES[np.where(points < len(_CODES), points, points % 0x1000 + 0x1000)]
     word = np.cumsum(code == 0)
+    owner = np.cumsum(points == 10)
     keys, weights, owners = [], [], []
     norm = np.full(len(words), 1e-9)
     for i, j in _GAPS:
@@ -91,9 +98,9 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         inside = (word[: len(code) - j] == word[j:]) & (a > 0)
         at = np.flatnonzero(inside)
         keys.append((a[at] * _ALPHABET + b[at]) * _ALPHABET + c[at])
-        owners.append(word[at])
+        owners.append(owner[at])
         weights.append(np.full(len(at), DECAY ** (j + 1)))
-        norm += np.bincount(word[at], minlength=len(words)) * DECAY ** (2 * (j + 1))
+        norm += np.bincount(owner[at], minlength=len(words)) * DECAY ** (2 * (j + 1))
     if not keys:
         none = np.zeros(0, dtype=np.int64)
         return none, none.astype(float), none, np.sqrt(norm)
@@ -135,21 +142,22 @@ def top_three(values: Iterable[float]) -> list[float]:
     return [*sorted((v for v in values if v > -1.5), reverse=True)[:3], -1.5, -1.5, -1.5][:3]
 
 
-def _kernel_rows(words: list[str], columns: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Normalised kernel values of words with landmarks; columns finds a subsequence's row in marks."""
+def _kernel_rows(words: list[str], columns: np.ndarray, marks: np.ndarray, step: int = 200) -> np.ndarray:
+    """Normalised kernel values of strings with landmarks; columns finds a subsequence's row in marks."""
     out = np.zeros((len(words), marks.shape[1]))
-    for first in range(0, len(words), 500):
-        part = words[first : first + 500]
+    for first in range(0, len(words), step):
+        part = words[first : first + step]
         key, weight, owner, norm = subsequences(part)
-        dense = np.zeros((len(part), len(marks)))
         known = columns[key] >= 0
-        np.add.at(dense, (owner[known], columns[key[known]]), weight[known])
-        out[first : first + 500] = (dense / norm[:, None]) @ marks
+        flat = owner[known] * len(marks) + columns[key[known]]
+        dense = np.bincount(flat, weights=weight[known], minlength=len(part) * len(marks)).reshape(len(part), len(marks))
+        out[first : first + step] = (dense / norm[:, None]) @ marks
     return out
 
 
-def fit_machine(positive: list[str], negative: list[str], seed: int = 7) -> StringMachine:
-    """An L2 support vector machine on Nystrom features of the landmarks, collapsed to subsequence weights."""
+def fit_machine(positive: list[str], negative: list[str], times: np.ndarray | None = None, seed: int = 7) -> StringMachine:
+    """An L2 support vector machine on Nystrom features of the landmarks, collapsed to subsequence weights. times: how
+    often each positive string counts."""
     rng = np.random.default_rng(seed)
     pick = lambda words, n: [words[k] for k in sorted(rng.permutation(len(words))[:n])]
     landmarks = pick(positive, POSITIVE_MARKS) + pick(negative, NEGATIVE_MARKS)
@@ -166,6 +174,8 @@ def fit_machine(positive: list[str], negative: list[str], seed: int = 7) -> Stri
     x = np.hstack([_kernel_rows(positive + negative, columns, marks) @ whiten, np.ones((len(positive) + len(negative), 1))])
     y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
     cost = np.where(y > 0, 20.0 * max(1.0, len(negative) / max(1, len(positive))) ** 0.5, 20.0)
+    if times is not None:
+        cost[: len(positive)] *= np.sqrt(times / times.mean())
     w = np.zeros(x.shape[1])
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
@@ -190,85 +200,92 @@ def _documents(batches: Iterator[pa.RecordBatch], step: int = 400) -> Iterator[t
 
 
 def _sample(documents: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(doc_id, label, text) of at most `most` labelled documents outside the held-out fold."""
-    train = labels.where("label is not null and crc32(cast(doc_id as string)) % 5 <> 0").dropDuplicates(["doc_id"])
+    """(doc_id, label, text) of at most `most` labelled documents outside the held-out fold; of an id's repeated rows and
+    labels one stays."""
+    train = labels.where("label is not null and doc_id is not null and crc32(cast(doc_id as string)) % 5 <> 0").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return written(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text")), "sample")
-
-
-def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, sign) for each 5-gram of a document's words; sign tells unrelated documents apart: near copies
-    mostly share the smallest hash of their words."""
-    for columns, found in _documents(batches):
-        grams, signs, labels, ids = [], [], [], []
-        for doc_id, label, tokens in zip(columns[0].to_pylist(), columns[1].to_pylist(), found, strict=True):
-            own = {f"^{w}$"[k : k + 5] for t in tokens for w in strings(t) for k in range(max(1, len(w) - 2)) if len(w) > 2}
-            grams.extend(own)
-            sign = min((zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in tokens), default=0)
-            signs.extend([sign] * len(own))
-            labels.extend([label] * len(own))
-            ids.extend([doc_id] * len(own))
-        yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(signs, pa.int64()), pa.array(labels, pa.int32()), pa.array(ids, pa.int64())], ["gram", "sign", "label", "doc_id"])
-
-
-def _cover(pairs: pd.DataFrame, clean: dict[str, int], toxic_docs: int, clean_docs: int) -> list[str]:
-    """Grams by greedy cover of the toxic documents. Each must bring unrelated ones, and more than PRICE times as
-    many as clean documents hold at the same rate."""
-    least, chosen = max(2.0, toxic_docs / 500), []
-    price = pd.Series(clean, dtype=float) * PRICE * toxic_docs / clean_docs
-    while len(pairs):
-        gain = pairs.groupby("gram")["sign"].nunique()
-        gain = gain - price.reindex(gain.index)
-        best = gain[gain == gain.max()].index.min()
-        if gain[best] < least:
-            break
-        chosen.append(best)
-        covered = set(pairs.loc[pairs["gram"] == best, "doc_id"])
-        pairs = pairs[~pairs["doc_id"].isin(covered)]
-    return chosen
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return written(rows.groupBy("doc_id", "label").agg(F.max(F.coalesce("text", F.lit(""))).alias("text")), "sample")
+
+
+def sentences(text: str) -> Iterator[str]:
+    """The sentences of a text in lower case as words of letters and digits, at most SENTENCE_WORDS at a time."""
+    for part in _ENDS.split(text.lower()):
+        words = [w for t in units_in_order(part.split()) for w in strings(t) if w]
+        for k in range(0, len(words), SENTENCE_WORDS):
+            yield " ".join(words[k : k + SENTENCE_WORDS])
+
+
+def units_in_order(tokens: list[str]) -> list[str]:
+    return [*tokens, *sorted(units(tokens).difference(tokens))]
+
+
+def _labelled_sentences(sample: DataFrame, most: int = SENTENCES) -> tuple[list[str], list[str]]:
+    """Distinct sentences of toxic documents that no clean one has, and of clean documents: at most `most` each, by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 200):
+                part = batch.slice(first, 200)
+                found = [list(dict.fromkeys(sentences(t.as_py()))) for t in part.column(1)]
+                labels = [y for y, own in zip(part.column(0).to_pylist(), found, strict=True) for _ in own]
+                yield pa.RecordBatch.from_arrays([pa.array([x for own in found for x in own], pa.string()), pa.array(labels, pa.int32())], ["sentence", "label"])
+
+    rows = sample.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(run, "sentence string, label int")
+    distinct = written(rows.groupBy("sentence").agg(F.min("label").alias("label")), "sentences")
+    pick = lambda y: [r[0] for r in distinct.where(F.col("label") == y).orderBy(F.xxhash64("sentence"), "sentence").limit(most).collect()]
+    return pick(1), pick(0)
 
 
-def _words_of(sample: DataFrame, grams: list[str]) -> tuple[list[str], list[str]]:
-    """Positive strings (with a chosen gram, in toxic documents) and negative ones (of clean documents), by hash."""
-    wanted = re.compile("|".join(map(re.escape, grams)))
+def _clean_words(sample: DataFrame) -> list[str]:
+    """Words of clean documents: the most frequent ones, and as many by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, found in _documents(batches):
-            words, labels = [], []
-            for label, tokens in zip(columns[1].to_pylist(), found, strict=True):
-                own = {w for t in tokens for w in strings(t) if w}
-                own = {w for w in own if wanted.search(f"^{w}$")} if label else {w for w in own if zlib.crc32(w.encode("utf-8", "surrogatepass")) % 16 == 0}
-                words.extend(own)
-                labels.extend([label] * len(own))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.int32())], ["word", "label"])
+        for _, found in _documents(batches):
+            own = [list({w for t in tokens for w in strings(t) if w}) for tokens in found]
+            counts = Counter(w for words in own for w in words)
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
-    counts = sample.mapInArrow(run, "word string, label int").groupBy("word", "label").count()
-    top = lambda label, order, n: [r[0] for r in counts.where(F.col("label") == label).orderBy(*order).limit(n).collect()]
-    positive = top(1, [F.desc("count"), F.col("word")], POSITIVES)
-    negative = top(0, [F.xxhash64("word"), F.col("word")], NEGATIVES // 2) + top(0, [F.desc("count"), F.col("word")], NEGATIVES // 2)
-    return positive, sorted(set(negative) - set(positive))
+    counts = written(sample.where("label = 0").select("doc_id", "text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    top = lambda *order: [r[0] for r in counts.orderBy(*order).limit(NEGATIVES // 2).collect()]
+    return sorted({*top(F.desc("n"), "word"), *top(F.xxhash64("word"), "word")})
 
 
-def _best_words(sample: DataFrame, machine: StringMachine) -> pd.DataFrame:
-    """The three most toxic words of each sample document: label, words, top (at most SAMPLE_DOCS rows)."""
+def _best_words(sample: DataFrame, machine: StringMachine) -> DataFrame:
+    """A written table with the highest-valued words of each sample document: label, top (three values), and witnesses, each
+    with a hash of its sentence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, found in _documents(batches):
-            words, tops = [], []
-            for tokens in found:
-                own = sorted(tokens)
-                values = machine.of_tokens(own)
-                best = np.argsort(-values, kind="stable")[:3]
-                words.append([w for k in best for w in strings(own[k]) if w])
-                tops.append(top_three(values))
-            yield pa.RecordBatch.from_arrays([columns[1], pa.array(words, pa.list_(pa.string())), pa.array(tops, pa.list_(pa.float64()))], ["label", "words", "top"])
-
-    return sample.select("doc_id", F.col("label").cast("int").alias("label"), "text").mapInArrow(run, "label int, words array<string>, top array<double>").toPandas()
-
-
-def _calibrated(machine: StringMachine, best: pd.DataFrame) -> StringMachine:
-    """Fits the logistic curve by Newton's method with a small ridge."""
-    x, y = _features(np.array(best["top"].tolist())), best["label"].to_numpy(dtype=float)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 200):
+                part = batch.slice(first, 200)
+                witnesses, tops = [], []
+                for text in (t.as_py().lower() for t in part.column(1)):
+                    own = sorted(units(text.split()))
+                    values = machine.of_tokens(own)
+                    best = np.argsort(-values, kind="stable")[:WITNESSES]
+                    witnesses.append([{"word": max(strings(own[k]), key=lambda w: machine.values([w])[0]), "sentence": _sentence_around(text, own[k])} for k in best if strings(own[k])[0]])
+                    tops.append(top_three(values))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(witnesses, _WITNESS), pa.array(tops, pa.list_(pa.float64()))], ["label", "witnesses", "top"])
+
+    rows = sample.select(F.col("label").cast("int").alias("label"), "text")
+    return written(rows.mapInArrow(run, "label int, witnesses array<struct<word:string,sentence:long>>, top array<double>"), "best-words")
+
+
+def _sentence_around(text: str, token: str) -> int:
+    at = text.find(token)
+    if at < 0:
+        return zlib.crc32(token.encode("utf-8", "surrogatepass"))
+    before = max(text.rfind(c, 0, at) for c in ".!?\n")
+    after = _ENDS.search(text, at + len(token))
+    return zlib.crc32(text[before + 1 : after.start() if after else len(text)].encode("utf-8", "surrogatepass"))
+
+
+def _calibrated(machine: StringMachine, best: DataFrame) -> StringMachine:
+    """Fits the logistic curve by Newton's method with a small ridge; best has at most a sample's rows."""
+    rows = best.select("label", "top").toPandas()
+    order = np.lexsort([*np.array(rows["top"].tolist()).T, rows["label"].to_numpy()])  # whatever order the rows came in
+    x, y = _features(np.array(rows["top"].tolist()))[order], rows["label"].to_numpy(dtype=float)[order]
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -280,31 +297,39 @@ def _calibrated(machine: StringMachine, best: pd.DataFrame) -> StringMachine:
     return machine
 
 
+def _witnesses(best: DataFrame, sizes: dict[int, int]) -> tuple[list[str], np.ndarray, list[str]]:
+    """Toxic witnesses with the number of their different sentences, and witnesses of clean documents; bounded by counts."""
+    rows = best.select("label", F.explode("witnesses").alias("w"))
+    counts = rows.groupBy(F.col("w.word").alias("word")).agg(
+        F.count_distinct(F.when(F.col("label") == 1, F.col("w.sentence"))).alias("toxic"), F.count_distinct(F.when(F.col("label") == 0, F.col("w.sentence"))).alias("clean"),
+    )
+    counts = written(counts.withColumn("telling", F.col("toxic") > F.col("clean") * F.lit(PRICE * sizes[1] / sizes[0])), "witnesses")
+    positive = counts.where("telling").orderBy(F.desc("toxic"), "word").limit(POSITIVES).select("word", "toxic").collect()
+    least = 2 if any(r["toxic"] >= 2 for r in positive) else 1  # what a single sentence has may be chance
+    positive = [r for r in positive if r["toxic"] >= least]
+    negative = [r[0] for r in counts.where("not telling and clean > 0").orderBy(F.desc("clean"), "word").limit(NEGATIVES // 2).select("word").collect()]
+    return [r["word"] for r in positive], np.array([r["toxic"] for r in positive], dtype=float), negative
+
+
 def fit(documents: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> StringMachine | None:
-    """A machine from documents (doc_id, text) and labels (doc_id, label 0 or 1); None without toxic examples."""
+    """A machine from documents (doc_id, text) and labels (doc_id, label 0 or 1); None without examples of both labels.
+
+    At most `most` labelled documents are used; of rows that share an id, the one with the last text."""
     sample = _sample(documents, labels, most)
     sizes = dict(sample.groupBy("label").count().collect())
     if not sizes.get(1) or not sizes.get(0):
         return None
-    grams = written(sample.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"), "text").mapInArrow(_evidence, "gram string, sign long, label int, doc_id long"), "grams")
-    counts = grams.groupBy("gram").agg(
-        F.approx_count_distinct(F.when(F.col("label") == 1, F.col("sign"))).alias("toxic"),
-        F.count_if(F.col("label") == 0).alias("clean"),
-    )
-    worth = F.col("toxic") - F.col("clean") * F.lit(PRICE * sizes[1] / sizes[0])
-    telling = written(counts.where((F.col("toxic") >= 2) & (worth > 0)).orderBy(worth.desc(), "gram").limit(GRAMS), "telling")
-    pairs = grams.where("label = 1").join(F.broadcast(telling.select("gram")), "gram").select("gram", "sign", "doc_id").toPandas()
-    chosen = _cover(pairs, {row["gram"]: row["clean"] for row in telling.collect()}, sizes[1], sizes[0])
-    if not chosen:
+    toxic, clean = _labelled_sentences(sample)
+    if not toxic or not clean:
         return None
-    positive, negative = _words_of(sample, chosen)
-    machine = fit_machine(positive, negative)
-    for _ in range(2):
-        best = _best_words(sample, machine)
-        hard = best[(best["label"] == 0) & (best["top"].str[0] > -0.7)].sort_values("top", key=lambda c: c.str[0], ascending=False, kind="stable")
-        more = hard["words"].explode().dropna().drop_duplicates().head(NEGATIVES // 2)
-        negative = sorted((set(negative) | set(more)) - set(positive))
-        machine = fit_machine(positive, negative)
+    machine = fit_machine(toxic, clean)
+    negative = set(_clean_words(sample))
+    for _ in range(ROUNDS):
+        positive, times, hard = _witnesses(_best_words(sample, machine), sizes)
+        if not positive:
+            break
+        negative |= set(hard)
+        machine = fit_machine(positive, sorted(negative.difference(positive)), times)
     return _calibrated(machine, _best_words(sample, machine))
 
 
@@ -314,7 +339,7 @@ def score_documents(docs: DataFrame, machine: StringMachine | None) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
-        for columns, found in _documents(batches):
+        for columns, found in _documents(batches, 200):
             new = set().union(*found).difference(known)
             if len(known) > REMEMBERED:
                 known.clear()
