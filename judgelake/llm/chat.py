@@ -38,26 +38,34 @@ _ESCAPED = re.compile(r"<(\\*)\\\|")
 _TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.DOTALL)
 
 
-def field_paths(value: object, path: str = "") -> set[str]:
-    """Nested field paths; the items of a list share one, and an empty object or list ends its own."""
+#: Records nested deeper than this are of no layout.
+DEEPEST = 200
+
+
+def field_paths(value: object, path: tuple[str, ...] = ()) -> set[tuple[str, ...]]:
+    """Nested field paths, keys behind a dot and [] for the items of a list, which share one; an empty object or list ends its
+    own. RecursionError beyond DEEPEST."""
+    if len(path) > DEEPEST:
+        raise RecursionError("nested too deep")
     if isinstance(value, dict) and value:
-        return set().union(*(field_paths(v, f"{path}.{k}") for k, v in value.items()))
+        return set().union(*(field_paths(v, (*path, f".{k}")) for k, v in value.items()))
     if isinstance(value, list) and value:
-        return set().union(*(field_paths(v, f"{path}[]") for v in value))
-    return {f"{path}[]" if isinstance(value, list) else path}
+        return set().union(*(field_paths(v, (*path, "[]")) for v in value))
+    return {(*path, "[]") if isinstance(value, list) else path}
 
 
-def fingerprint(paths: set[str]) -> int:
-    return xxhash.xxh64_intdigest("\n".join(sorted(paths)))
+def fingerprint(paths: set[tuple[str, ...]]) -> int:
+    return xxhash.xxh64_intdigest(json.dumps(sorted(paths)).encode())
 
 
-def mapping_for(paths: set[str]) -> dict | None:
+def mapping_for(paths: set[tuple[str, ...]]) -> dict | None:
     """The first mapping that finds its fields among the paths."""
     for mapping in MAPPINGS:
         if "list" in mapping:
-            if f".{mapping['list']}[].{mapping['role']}" in paths or f".{mapping['list']}[]" in paths:
+            listed = (f".{mapping['list']}", "[]")
+            if (*listed, f".{mapping['role']}") in paths or listed in paths:
                 return mapping
-        elif all(f".{field}" in paths for _, field in mapping["fields"] if field not in mapping["optional"]):
+        elif all(any(p[:1] == (f".{field}",) for p in paths) for _, field in mapping["fields"] if field not in mapping["optional"]):
             return mapping
     return None
 
@@ -103,7 +111,7 @@ def parse(formatted: str) -> list[tuple[str, str, int, int]]:
 
 def format_chats(records: DataFrame, id_col: str = "id", json_col: str = "record") -> DataFrame:
     """For each row: id, fingerprint, mapping, formatted, loss_spans (start and end code points of assistant texts in
-    formatted). A record that is no JSON, null, or of an unknown layout has null in mapping, formatted and
+    formatted). A record that is no JSON, null, nested too deep, or of an unknown layout has null in mapping, formatted and
     loss_spans. Other columns are ignored; repeated rows give repeated results."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,9 +121,9 @@ def format_chats(records: DataFrame, id_col: str = "id", json_col: str = "record
             for value in batch.column(1).to_pylist():
                 try:
                     record = json.loads(value) if value is not None else None
-                except ValueError:
-                    record = None
-                paths = field_paths(record)
+                    paths = field_paths(record)
+                except (ValueError, RecursionError):
+                    record, paths = None, {()}
                 key = fingerprint(paths)
                 if key not in chosen:
                     if len(chosen) > 10_000:

@@ -7,6 +7,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from judgelake.shipping import shared_dir
+
+#: Keys with more than a HOT_KEYS-th of all rows are hot: there are fewer than HOT_KEYS of them, however large the table.
+HOT_KEYS = 256
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: One word of a text: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,20 +21,6 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only a local master may leave the setting unset; then one folder under /tmp serves, as in tests.
-    """
-    conf = spark.sparkContext.getConf()
-    found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return "file:///tmp/checkpoints"
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/judgelake/{name}-{uuid.uuid4().hex}"
 
@@ -53,6 +43,37 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_unique(big: DataFrame, small: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """big joined with small, which has one row per key and in `size` the number of big's `total` rows with it. Rows of hot keys
+    meet their row of small by broadcast (fewer than HOT_KEYS rows) and never gather in one task; the others are shuffled.
+    Both tables are read twice. Keys are never null."""
+    hot = F.col(size) * HOT_KEYS > F.lit(total)
+    there = big.join(F.broadcast(small.where(hot)), keys)
+    rest = big.join(F.broadcast(small.where(hot).select(*keys)), keys, "left_anti")
+    return there.unionByName(rest.join(small.where(~hot).hint("merge"), keys))
+
+
+def row_keys(docs: DataFrame) -> list[Column]:
+    """Two columns, __r1 and __r2, of 96 bits that tell rows apart by all their values; equal rows share them."""
+    columns = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    return [F.xxhash64(*columns).alias("__r1"), F.hash(*columns).alias("__r2")]
+
+
+def trim_memory() -> None:
+    """Gives a Python worker's freed memory back to the system, so that reused workers do not keep a stage's peak."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node of the edges; component is the smallest node reachable.
 
@@ -64,25 +85,25 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).alias("a"), F.col(b).alias("b"))
         .where("a <> b").select("u", "v").distinct(), "edges",
     )
-    before = None
-    while True:
-        state = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
-        if state == before or not state[0]:
-            break
-        before = state
+    count = current.count()
+    while count:
         both = current.unionAll(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("size"))
         large = (
-            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            join_unique(both.where("v > u"), least, ["u"], "size", 2 * count).select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v").distinct()
         )
         large = written(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size"))
+        joined = join_unique(large, least, ["u"], "size", large.count())
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(joined.select("u", F.col("m").alias("v")))
         following = written(small.where("u <> v").distinct(), "small-star")
         discard(large)
+        now = following.count()
+        same = now == count and following.join(current, ["u", "v"], "left_anti").isEmpty()
         discard(current)
-        current = following
+        current, count = following, now
+        if same:
+            break
     members = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.unionAll(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

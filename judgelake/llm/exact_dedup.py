@@ -12,8 +12,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import lower_ascii, written
+from .common import join_unique, lower_ascii, row_keys, written
 
 BLOCK_CHARS = 1024
 
@@ -69,21 +70,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one stays. Null texts count as empty. An empty table gives no rows.
     """
     rows = block_names(docs, id_col, text_col, block_chars)
-    groups = rows.groupBy("n_blocks", "name").agg(
+    groups = written(rows.groupBy("n_blocks", "name").agg(
         F.max(F.struct("doc_id", (-F.col("rid")).alias("rid"))).alias("best"), F.count("*").alias("group_size")
-    )
-    return rows.join(groups, ["n_blocks", "name"]).select(
+    ), "groups")
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    return join_unique(rows, groups, ["n_blocks", "name"], "group_size", total).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
         (F.col("best.rid") == -F.col("rid")).alias("kept"), "text_sha256", "n_blocks",
     )
 
 
 def keep_one_of_each(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of documents that stay, with all their columns. Repeated rows with one id leave one."""
-    found = written(exact_dedup(docs, block_chars=block_chars).where("kept").select("doc_id"), "kept")
-    kept = docs.join(found.distinct(), docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
-    copies = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(docs.columns) if copies else kept
+    """The rows of documents that stay, with all their columns: of equal texts one row with the largest doc_id. Rows that
+    share an id but not the text are different documents; of rows equal in all columns one stays."""
+    keyed = docs.select(F.struct("doc_id", *row_keys(docs)).alias("__key"), "text")
+    found = exact_dedup(keyed, "__key", block_chars=block_chars).where("kept").select("doc_id.__r1", "doc_id.__r2")
+    rows = docs.select("*", *row_keys(docs)).join(written(found, "kept").hint("merge"), ["__r1", "__r2"], "left_semi")
+    nth = F.row_number().over(Window.partitionBy("__r1", "__r2").orderBy(F.lit(0)))  # as the join has sorted them
+    return rows.withColumn("__n", nth).where("__n = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op4_block_naming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966,
 TRACK_ENTRY, AUDIO, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, CUE_POINT, CUE_POSITIONS = 0xAE, 0xE1, 0xA3, 0xA0, 0xA1, 0xBB, 0xB7
 TIMESTAMP_SCALE, DURATION, MUXER, WRITER = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 NUMBER, UID, KIND, LACES, CODEC, RATE, CHANNELS, DEPTH = 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0xB5, 0x9F, 0x6264
+DEFAULT_DURATION = 0x23E383
 CLUSTER_TIME, CUE_TIME, CUE_TRACK, CUE_CLUSTER = 0xE7, 0xB3, 0xF7, 0xF1
 VERSIONS = ((0x4286, 1), (0x42F7, 1), (0x42F2, 4), (0x42F3, 8))
 DOC_TYPE, DOC_VERSION, DOC_READ = 0x4282, 0x4287, 0x4285
@@ -83,7 +84,7 @@ def block_bytes(track: int, relative: int, frames: list[bytes], lacing: int) ->
 
 
 _HEADER = element(EBML, b"".join(unsigned(c, v) for c, v in VERSIONS) + element(DOC_TYPE, b"matroska") + unsigned(DOC_VERSION, 4) + unsigned(DOC_READ, 2))
-_AUDIO_TRACK = element(TRACKS, element(TRACK_ENTRY, unsigned(NUMBER, 1) + unsigned(UID, 1) + unsigned(KIND, 2) + unsigned(LACES, 1) + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, real(RATE, float(SAMPLE_RATE)) + unsigned(CHANNELS, 1) + unsigned(DEPTH, 8))))
+_AUDIO_TRACK = element(TRACKS, element(TRACK_ENTRY, unsigned(NUMBER, 1) + unsigned(UID, 1) + unsigned(KIND, 2) + unsigned(LACES, 1) + unsigned(DEFAULT_DURATION, _FRAME_MS * 1_000_000) + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, real(RATE, float(SAMPLE_RATE)) + unsigned(CHANNELS, 1) + unsigned(DEPTH, 8))))
 
 
 def write_audio(payload: bytes) -> bytes:
@@ -181,9 +182,10 @@ def frames_of(data: bytes, start: int, end: int) -> tuple[int, int, bool, int, l
 
 def read_file(data: bytes) -> dict:
     """Tracks, packets (track, timestamp in ms, key, lacing, offset, size), cues (ms, track, cluster offset), the
-    duration in ms and the number of clusters. Frames of one block share its timestamp, as in the file."""
+    duration in ms and the number of clusters. A block's time is its first frame's; the other frames of a lace follow by
+    the track's default duration, or share that time where the track has none."""
     found = {"tracks": [], "packets": [], "cues": [], "duration": 0.0, "clusters": 0}
-    scale, segment = 1_000_000, 0
+    scale, segment, lasts = 1_000_000, 0, {}
     number = lambda s, e: int.from_bytes(data[s:e], "big")
     float_ = lambda s, e: struct.unpack(">d" if e - s == 8 else ">f", data[s:e])[0]
     for code, s, e in elements(data, 0, len(data)):
@@ -199,6 +201,7 @@ def read_file(data: bytes) -> dict:
                 for k, a, b in elements(data, s1, e1):
                     if k == TRACK_ENTRY:
                         own = {i: (x, y) for i, x, y in elements(data, a, b)}
+                        lasts[number(*own[NUMBER])] = number(*own[DEFAULT_DURATION]) if DEFAULT_DURATION in own else 0
                         found["tracks"].append({"number": number(*own[NUMBER]), "kind": number(*own[KIND]), "codec": data[slice(*own[CODEC])].decode("ascii", "replace")})
             elif top == CLUSTER:
                 found["clusters"] += 1
@@ -211,8 +214,8 @@ def read_file(data: bytes) -> dict:
                         k, a, b = next(((i, x, y) for i, x, y in elements(data, a, b) if i == BLOCK), (0, 0, 0))
                     if k in (SIMPLE_BLOCK, BLOCK):
                         track, relative, key, lacing, frames = frames_of(data, a, b)
-                        at = (base + relative) * scale // 1_000_000
-                        found["packets"].extend((track, at, key or k == BLOCK, lacing, offset, n) for offset, n in frames)
+                        at, step = (base + relative) * scale, lasts.get(track, 0)
+                        found["packets"].extend((track, (at + j * step) // 1_000_000, key or k == BLOCK, lacing, offset, n) for j, (offset, n) in enumerate(frames))
             elif top == CUES:
                 for k, a, b in elements(data, s1, e1):
                     own = {i: (x, y) for i, x, y in elements(data, a, b)} if k == CUE_POINT else {}
@@ -224,6 +227,9 @@ def read_file(data: bytes) -> dict:
 
 # Tables
 
+#: What damaged bytes raise when they are read.
+_DAMAGED = (ValueError, IndexError, KeyError, struct.error)
+
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): each whole text (null: empty) as UTF-8, padded with spaces to a positive multiple of
@@ -251,7 +257,7 @@ def packets(media: DataFrame, id_col: str = "doc_id", media_col: str = "media")
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
                     found = read_file(data.as_py() or b"")["packets"]
-                except (ValueError, IndexError, KeyError, struct.error):
+                except _DAMAGED:
                     found = []
                 ids.extend([key] * len(found))
                 rows.extend((n, *p) for n, p in enumerate(found))
@@ -262,16 +268,24 @@ def packets(media: DataFrame, id_col: str = "doc_id", media_col: str = "media")
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """Of each stored file: what its packets hold when read back, and features of the samples and the container."""
+    """Of each stored file: what its packets hold when read back, and features of the samples and the container. The payload's
+    packets must follow each other in time, one frame apart. Null media and bytes that are no such file give nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for data in (m.as_py() for m in batch.column(2)):
-                found = read_file(data)
+                try:
+                    found = read_file(data or b"")
+                    codec = found["tracks"][0]["codec"]
+                except _DAMAGED:
+                    rows.append((None,) * 6)
+                    continue
                 payload = b"".join(data[offset : offset + n] for _, _, _, _, offset, n in found["packets"])
                 samples = np.frombuffer(payload, dtype=np.uint8)
-                feature = f"{found['tracks'][0]['codec']};ms={found['duration']:.0f};clusters={found['clusters']};cues={len(found['cues'])};packets={len(found['packets'])};mean={samples.mean():.4f};peak={samples.max()};steps={int(np.abs(np.diff(samples.astype(np.int16))).sum())}"
+                in_time = all(p[1] == k * _FRAME_MS for k, p in enumerate(found["packets"]))
+                at_cues = sum(data[where : where + 4] == CLUSTER.to_bytes(4, "big") for _, _, where in found["cues"])
+                feature = f"{codec};ms={found['duration']:.0f};clusters={found['clusters']};cues={at_cues};packets={len(found['packets'])};in_time={int(in_time)};mean={samples.mean() if len(samples) else 0:.4f};peak={samples.max(initial=0)};steps={int(np.abs(np.diff(samples.astype(np.int16))).sum())}"
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())

@@ -13,12 +13,12 @@ import itertools
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, written
+from .common import WORD, join_unique, row_keys, written
 
 MOST_REPEATS = 3
 #: Documents of one source that a task balances at once.
@@ -100,64 +100,77 @@ def _flight(pi: np.ndarray, size: np.ndarray, land: bool, rng: np.random.Generat
     return np.array(pi)
 
 
-def balanced_sample(units: DataFrame, group: int = GROUP, seed: int = _SEED) -> DataFrame:
-    """units (uid, doc_id, ix, size, pi in (0, 1), size > 0) -> (uid, taken 0 or 1). Depends on nothing but the
-    rows and the seed."""
-    schema = "uid long, doc_id long, ix int, size long, pi double"
+def balanced_sample(units: DataFrame, docs: str = "docs", group: int = GROUP, seed: int = _SEED) -> DataFrame:
+    """units (__r1, __r2, ix, size > 0, pi in (0, 1), number of documents of ix in `docs`, and any other columns) with pi 0 or 1.
 
-    def fly(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id", "uid"], ascending=[False, True, True], kind="stable")  # small ones land
-        rng = np.random.default_rng([seed, *map(int, key)])
-        rows["pi"] = _flight(rows["pi"].to_numpy(), rows["size"].to_numpy(), bool(rows["last"].iloc[0]), rng)
-        return rows[["uid", "doc_id", "ix", "size", "pi"]]
+    Depends on nothing but the rows and the seed: a row's group and its place there follow from its key, and rows with
+    equal keys are equal. Each level leaves at most two units a group, so the number of groups follows without a count.
+    """
+
+    def fly(key: tuple, rows: pa.Table) -> pa.Table:
+        size, r1, r2, pi = (rows[c].to_numpy() for c in ("size", "__r1", "__r2", "pi"))
+        order = np.lexsort((r2, r1, -size))  # small ones land
+        moved = np.empty(len(order))
+        moved[order] = _flight(pi[order], size[order], rows["groups"][0].as_py() == 1, np.random.default_rng([seed, *(k.as_py() for k in key)]))
+        return rows.set_column(rows.schema.get_field_index("pi"), "pi", pa.array(moved))
 
+    units = units.withColumn("groups", F.ceil(F.col(docs) / group).cast("long"))
     done, level = [], 0
     while True:
-        counts = units.groupBy("ix").agg(F.ceil(F.count("*") / group).cast("long").alias("groups"))
-        dealt = units.join(counts, "ix").select(
-            "uid", "doc_id", "ix", "size", "pi", (F.col("groups") == 1).alias("last"), F.lit(level).alias("level"),
-            F.pmod(F.xxhash64("doc_id", "uid", F.lit(level)), F.col("groups")).cast("int").alias("bucket"),
-        )
-        flown = written(dealt.groupBy("level", "ix", "bucket").applyInPandas(fly, schema), "flight")
+        bucket = F.pmod(F.xxhash64("__r1", "__r2", F.lit(level)), F.col("groups")).cast("int")
+        dealt = units.withColumn("level", F.lit(level)).withColumn("bucket", bucket)
+        flown = written(dealt.groupBy("level", "ix", "bucket").applyInArrow(fly, dealt.schema), "flight").drop("level", "bucket")
         done.append(flown.where("pi = 0 or pi = 1"))
-        units = flown.where("pi > 0 and pi < 1")
+        units = flown.where("pi > 0 and pi < 1").withColumn("groups", F.ceil(F.col("groups") * 2 / group).cast("long"))
         level += 1
         if units.isEmpty():
             break
-    return reduce(DataFrame.unionAll, done).select("uid", F.col("pi").cast("long").alias("extra"))
-
+    return reduce(DataFrame.unionAll, done).drop("groups")
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = MOST_REPEATS, seed: int = _SEED) -> DataFrame:
-    """For each row of docs (doc_id, text, source; other columns are ignored): doc_id, size, source_size, target,
-    taken, repeats, source.
 
-    A null text has size 0, like any text without words; such rows are never taken. A null source is a source
-    of its own. Repeated rows count each. An empty table gives no rows.
-    """
+def _mixed(docs: DataFrame, weights: tuple[float, ...], most: int, seed: int, group: int) -> DataFrame:
+    """doc_id, source, size, source_size, target, repeats and the row key of each row of docs."""
+    source = F.col("source").cast("string")
     sized = written(
         docs.select(
-            F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            *row_keys(docs), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(source, F.lit("")).alias("s"), source.isNull().alias("none"),
+            F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         ), "sizes",
     )
-    targets = source_targets(sized.select("source", "size"), weights, most)
+    targets = source_targets(sized.select(F.when(~F.col("none"), F.col("s")).alias("source"), "size"), weights, most)
+    targets = written(targets.select(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none"), "ix", "docs", "source_size", "target"), "targets")
     rate = F.least(F.lit(float(most)), F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)))
-    rows = sized.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rate", rate)
-    rows = rows.withColumn("whole", F.floor(F.col("rate") + 1e-12)).withColumn("pi", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
-    units = rows.where("size > 0 and pi > 1e-9").select("uid", "doc_id", F.col("ix").cast("int").alias("ix"), "size", "pi")
-    extra = balanced_sample(units, seed=seed)
-    repeats = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("extra", F.lit(0))).otherwise(0).cast("long")
-    return rows.join(extra, "uid", "left").select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats"), "source",
-    )
+    rows = join_unique(sized, targets, ["s", "none"], "docs", sized.count()).withColumn("rate", rate)
+    rows = rows.withColumn("whole", F.floor(F.col("rate") + 1e-12)).withColumn("pi", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole"))).drop("rate")
+    moving = (F.col("size") > 0) & (F.col("pi") > 1e-9)
+    still = rows.where(~moving).withColumn("pi", F.lit(0.0))
+    rows = balanced_sample(rows.where(moving), group=group, seed=seed).unionByName(still)
+    repeats = F.when(F.col("size") > 0, F.col("whole") + F.col("pi")).otherwise(0).cast("long")
+    return rows.select("doc_id", F.when(~F.col("none"), F.col("s")).alias("source"), "size", "source_size", "target", repeats.alias("repeats"), "__r1", "__r2")
+
 
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = MOST_REPEATS, seed: int = _SEED, group: int = GROUP) -> DataFrame:
+    """For each row of docs (doc_id, text, source; other columns only tell rows apart): doc_id, size, source_size, target,
+    taken, repeats, source.
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, each as often as it takes it, with all columns of docs."""
-    repeats = mix_sources(docs).where("repeats > 0").groupBy("doc_id").agg(F.max("repeats").alias("__repeats"))
-    repeats = written(repeats.withColumnRenamed("doc_id", "__id"), "repeats")
-    taken = docs.join(repeats, docs["doc_id"].eqNullSafe(repeats["__id"]))
-    return taken.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__repeats").cast("int")))).select(*docs.columns)
+    A null text has size 0, like any text without words; such rows are never taken. A null source is a source
+    of its own. Repeated rows count each. An empty table gives no rows. The result does not depend on how rows are
+    partitioned or ordered.
+    """
+    rows = _mixed(docs, weights, most, seed, group)
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats", "source")
+
+
+def mixed_documents(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """The rows that the mix takes, each as often as it takes it, with all columns of docs. Equal rows share the number of
+    times that they are taken together as evenly as can be."""
+    taken = _mixed(docs, (1.0, 2.0, 3.0), MOST_REPEATS, _SEED, group).groupBy("__r1", "__r2").agg(F.sum("repeats").alias("__repeats"), F.count("*").alias("__rows"))
+    taken = written(taken.where("__repeats > 0"), "repeats")
+    rows = docs.select("*", *row_keys(docs)).join(taken.hint("merge"), ["__r1", "__r2"])
+    nth = F.row_number().over(Window.partitionBy("__r1", "__r2").orderBy(F.lit(0)))  # as the join has sorted them
+    times = F.floor(F.col("__repeats") / F.col("__rows")) + (nth <= F.col("__repeats") % F.col("__rows")).cast("int")
+    rows = rows.withColumn("__times", times).where("__times > 0")
+    return rows.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op3_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,14 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import trim_memory, written
 
 SEQUENCE = 2048
 END_ID = 0
-#: Ranks inside a length are dealt over so many groups; lengths times groups bounds what the driver holds.
-SALTS = 32
+#: Pieces of one length are ranked in groups of about a HOT_GROUPS-th of all pieces, or of SALT_ROWS; so the driver holds the
+#: sizes of at most HOT_GROUPS groups and one a length.
+SALT_ROWS, HOT_GROUPS = 4096, 50_000
 #: Strings between spaces whose ids a Python worker remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 50_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -35,7 +36,7 @@ class ChunkTokenizer:
 
     The pre-tokenizer never joins a single space to what stands before it, so a text without two white-space
     characters around a space splits at spaces into parts that encode independently and repeat often. Other
-    texts are encoded whole. Parts of characters below U+0250 go through the same vocabulary as merge ranks.
+    texts, and those that quote one of the vocabulary's added tokens, are encoded whole. Parts of characters below U+0250 go through the same vocabulary as merge ranks.
     """
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str) -> None:
@@ -45,7 +46,7 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(json_path)
-        self.exact.encode_special_tokens = True
+        self.added = [t.content for t in self.exact.get_added_tokens_decoder().values()]
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -53,11 +54,16 @@ class ChunkTokenizer:
         self.rare = re.compile("[^\u0000-ɏ]").search
         self.known: dict[str, bytes] = {}
 
+    def _exact(self, text: str) -> list[int]:
+        return self.exact.encode(text, add_special_tokens=False).ids
+
     def _encode(self, text: str) -> bytes:
-        ids = self.exact.encode(text, add_special_tokens=False).ids if self.rare(text) else self.fast.encode_ordinary(text)
+        ids = self._exact(text) if self.rare(text) else self.fast.encode_ordinary(text)
         return np.array(ids, dtype="<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if any(a in text for a in self.added):
+            return np.array(self._exact(text), dtype="<u4").tobytes()
         if self.unsplittable(text):
             return self._encode(text)
         first, *rest = text.split(" ")
@@ -72,16 +78,11 @@ class ChunkTokenizer:
         return b"".join(out)
 
 
-_tokenizers: dict[tuple[str, str], ChunkTokenizer] = {}
-
-
 def _tokenizer(vocabulary: str, ranks: str) -> ChunkTokenizer:
-    """One per Python worker; paths are names of files that every executor has."""
+    """Paths are names of files that every executor has."""
     import public_tokenizers
 
-    if (vocabulary, ranks) not in _tokenizers:
-        _tokenizers[vocabulary, ranks] = ChunkTokenizer(public_tokenizers.path(vocabulary), public_tokenizers.path(ranks), public_tokenizers.PATTERN)
-    return _tokenizers[vocabulary, ranks]
+    return ChunkTokenizer(public_tokenizers.path(vocabulary), public_tokenizers.path(ranks), public_tokenizers.PATTERN)
 
 
 def token_pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken", length: int = SEQUENCE) -> DataFrame:
@@ -107,6 +108,8 @@ def token_pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", ranks:
                     start += step
                     piece += 1
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        del encode  # a reused worker keeps no vocabulary
+        trim_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 
@@ -202,17 +205,23 @@ def packing_plan(histogram: np.ndarray, size: int = SEQUENCE) -> list[tuple[tupl
 def pack(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
     """The pieces with sequence_id and offset; gapless from 0 in each sequence. pieces is read three times, so
     pass a written table."""
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("length", "salt").count().collect()  # at most size * SALTS rows
-    table = np.zeros((size + 1, SALTS), dtype=np.int64)
-    for length, salt, count in counts:
-        table[length, salt] = count
-    base = (np.cumsum(table, axis=1) - table).ravel()
+    histogram = np.zeros(size + 1, dtype=np.int64)
+    for length, count in pieces.groupBy("length").count().collect():  # one row a length
+        histogram[length] = count
+    salts = np.maximum(1, -(-histogram // max(SALT_ROWS, int(histogram.sum()) // HOT_GROUPS)))
+    first = np.append(0, np.cumsum(salts))  # number of the first group of each length
+    by_length = pieces.sparkSession.createDataFrame([(int(k), int(first[k]), int(salts[k])) for k in np.flatnonzero(histogram)], "length long, first long, salts long")
+    salted = pieces.join(F.broadcast(by_length), "length").withColumn("salt", F.col("first") + F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")))
+    sizes = np.zeros(int(first[-1]), dtype=np.int64)
+    for salt, count in salted.groupBy("salt").count().collect():
+        sizes[salt] = count
+    base = np.cumsum(sizes) - sizes
+    base -= np.repeat(base[first[:-1]], salts)
     # Slots of each length in plan order: first rank, first sequence, offset.
     slots: dict[int, list[tuple[int, int, int]]] = {}
     used = np.zeros(size + 1, dtype=np.int64)
     sequence = 0
-    for lengths, count in packing_plan(table.sum(axis=1), size):
+    for lengths, count in packing_plan(histogram, size):
         offset = 0
         for length in lengths:
             slots.setdefault(length, []).append((int(used[length]), sequence, offset))
@@ -226,11 +235,11 @@ def pack(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, salt = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 5))
-            rank = batch.column(6).to_numpy(zero_copy_only=False).astype(np.int64) - 1 + base[length * SALTS + salt]
+            rank = batch.column(6).to_numpy(zero_copy_only=False).astype(np.int64) - 1 + base[salt]
             at = np.searchsorted(order, length * (1 << 48) + rank, side="right") - 1
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(wide[at, 2] + rank - wide[at, 1]), pa.array(wide[at, 3])], [*batch.schema.names[:5], "sequence_id", "offset"])
 
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")).cast("long"))
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("salt").orderBy("doc_id", "piece", "ids_crc32", "start")).cast("long"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "salt", "rank").mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
 
 

@@ -109,10 +109,11 @@ def fit_ranking(raw: np.ndarray, label: np.ndarray, seed: int = 11, rounds: int
 
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> Ranking | None:
-    """From documents (doc_id, text) and labels (doc_id, label); held-out rows are never read."""
-    train = labels.where("label is not null and crc32(cast(doc_id as string)) % 5 <> 0").dropDuplicates(["doc_id"])
+    """From documents (doc_id, text) and labels (doc_id, label); held-out rows are never read. Of an id's repeated labels the
+    largest counts, of its repeated rows the one with the last text, so that at most `most` rows are used."""
+    train = labels.where("label is not null and doc_id is not null and crc32(cast(doc_id as string)) % 5 <> 0").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", F.col("text").cast("string").alias("text"))
+    sample = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.max(F.col("text").cast("string")).alias("text")).select("label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import row_keys, trim_memory, written
 
 #: Most labelled documents that the machine is fitted on, taken by hash of their id.
 SAMPLE_DOCS = 20_000
@@ -334,7 +334,7 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> Str
 
 
 def score_documents(docs: DataFrame, machine: StringMachine | None) -> DataFrame:
-    """(doc_id, score) for each row; whole texts. Null and empty texts score like texts without toxic words.
+    """(doc_id, __r1, __r2, score) for each row, with its row key; whole texts. Null and empty texts score like texts without toxic words.
     Without a machine every score is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,12 +349,14 @@ def score_documents(docs: DataFrame, machine: StringMachine | None) -> DataFrame
                 part = fresh[first : first + 20_000]
                 known.update(zip(part, machine.of_tokens(part).tolist(), strict=True))
             top = np.array([top_three(map(known.__getitem__, tokens)) for tokens in found]).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([columns[0], pa.array(machine.probability(top))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(machine.probability(top))], ["doc_id", "__r1", "__r2", "score"])
+        known.clear()
+        trim_memory()
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_keys(docs), F.col("text").cast("string").alias("text"))
     if machine is None:
-        return plain.select("doc_id", F.lit(0.0).alias("score"))
-    return plain.mapInArrow(run, "doc_id long, score double")
+        return plain.select("doc_id", "__r1", "__r2", F.lit(0.0).alias("score"))
+    return plain.mapInArrow(run, "doc_id long, __r1 long, __r2 int, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
@@ -370,9 +372,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> Dat
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not rejected, with all columns of docs."""
-    rejected = written(toxicity(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("__id")).distinct(), "toxic")
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["__id"]), "left_anti")
+    """The rows that are not rejected, with all columns of docs. Rows of one id are judged each by its own text."""
+    machine = fit(docs, labels.select("doc_id", F.col("toxic").cast("int").alias("label")))
+    rejected = written(score_documents(docs, machine).where("score >= 0.5").select("__r1", "__r2").distinct(), "toxic")
+    keyed = docs.select("*", *row_keys(docs))
+    return keyed.join(rejected, ["__r1", "__r2"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

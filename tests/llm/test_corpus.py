@@ -93,8 +93,7 @@ def test_op2_round_trip(spark):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    exact.encode_special_tokens = True
-    docs = small(spark)
+    docs = small(spark).union(spark.createDataFrame([(900_001, 'a <|endoftext|> b', 'en', 's', 17)], small(spark).schema))
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     pieces = packing.pack_documents(docs).collect()
     by_doc, by_sequence = {}, {}
