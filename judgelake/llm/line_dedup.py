@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import join_unique, written
 
 SHINGLE_WORDS = WINDOW_WORDS = 25
 MIN_WORDS = 50
@@ -27,9 +27,10 @@ def _words(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, lines): uid is equal for rows with equal id and text."""
+    """(uid, doc_id, lines): uid is 128 bits, equal for rows with equal id and text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.xxhash64("doc_id", text).alias("uid"), "doc_id", F.split(text, "\n", -1).alias("lines"))
+    uid = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("\n"), text)))
+    return docs.select(uid.alias("uid"), "doc_id", F.split(text, "\n", -1).alias("lines"))
 
 
 def fingerprints(lines: DataFrame, shingle_words: int = SHINGLE_WORDS, window_words: int = WINDOW_WORDS) -> DataFrame:
@@ -60,14 +61,14 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     base = written(base.select("uid", "ord", F.col("rows.k").alias("ks"), F.col("rows.h").alias("hs"), F.col("rows.w").alias("ws")).dropDuplicates(["uid"]), "line-hashes")
     exploded = base.select("uid", "ord", F.posexplode(F.arrays_zip("hs", "ws")).alias("pos", "line")).select("uid", "ord", "pos", F.col("line.hs").alias("h"), F.col("line.ws").alias("w"))
     prints = written(fingerprints(exploded), "fingerprints")
-    firsts = prints.groupBy("shingle").agg(F.count("*").alias("places")).where("places > 1").select("shingle")
-    anchors = prints.join(firsts, "shingle").groupBy("uid").agg(F.collect_set("pos").alias("anchors"))
-    held = base.join(anchors, "uid").select("uid", "ord", "anchors", F.posexplode(F.arrays_zip("ks", "hs", "ws")).alias("pos", "line"))
+    shared = prints.groupBy("shingle").agg(F.count("*").alias("places")).where("places > 1")
+    anchors = join_unique(prints, shared, ["shingle"], "places", prints.count()).groupBy("uid").agg(F.collect_set("pos").alias("anchors"))
+    held = base.join(anchors.hint("merge"), "uid").select("uid", "ord", "anchors", F.posexplode(F.arrays_zip("ks", "hs", "ws")).alias("pos", "line"))
     held = held.select("uid", "ord", "pos", F.col("line.ks").alias("k"), F.struct(F.col("line.hs").alias("h"), F.col("line.ws").alias("w"), F.col("line.ks").alias("k"), F.array_contains("anchors", F.col("pos")).alias("anchored")).alias("line"))
     found = written(windows(held, min_words), "windows")
     place = F.struct("ord", "uid", "pos")
-    first = found.groupBy("back", "hash").agg(F.min(place).alias("source"), F.count("*").alias("places")).where("places > 1").drop("places")
-    later = found.join(first, ["back", "hash"]).where(F.col("source") < place)
+    first = found.groupBy("back", "hash").agg(F.min(place).alias("source"), F.count("*").alias("places")).where("places > 1")
+    later = join_unique(found, first, ["back", "hash"], "places", found.count()).where(F.col("source") < place)
     runs = later.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs"))
     return runs.select("uid", _merged("runs").alias("runs"))
 
@@ -108,7 +109,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     id and text are one document and share its result; rows of one id with different texts are ordered by a hash. An empty table gives no rows.
     """
     runs = written(repeated_runs(docs, min_words), "runs")
-    rows = _lines(docs).join(runs, "uid", "left")
+    rows = _lines(docs).join(runs.hint("merge"), "uid", "left")  # the same plan at every size: texts are shuffled once
     inside = lambda k: F.exists("runs", lambda r: (r["first"] <= k) & (k <= r["last"]))
     kept = F.when(F.col("runs").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, k: ~inside(k)))
     return rows.withColumn("kept", kept).select(
