@@ -3,18 +3,21 @@
 Two documents link when their sets of five-word shingles have a Jaccard similarity of at least 0.75, that is
 `100 * intersection >= 75 * union`. The search is exact; no link between different sets is lost.
 
-1. Texts are hashed in chunks of documents. Shingles are dealt by hash to buckets that count in how many
-   documents each occurs, and tell the chunks which occur more than once. A set of n shingles needs
-   ceil(0.75 n) shared ones, so documents with fewer repeated shingles than that leave at once; the others
+1. Texts are hashed in chunks of documents. Shingles are dealt by the first bits of their hash to buckets, whose number
+   grows with the input, that count in how many documents each occurs, and tell the chunks which occur more than
+   once. The next 48 bits go along, so at least 54 bits tell shingles apart, and all 64 from 1 TB on. A set of n shingles
+   needs ceil(0.75 n) shared ones, so documents with fewer repeated shingles than that leave at once; the others
    keep only their repeated shingles. A shingle that fills a chunk is sent once for it, with a count.
 2. Equal sets become one class. Every class posts its n - T + 1 rarest shingles; classes that link share one
    of them, so each list's members meet in one candidate group (connected components of stars, not pairs).
-3. Inside a group, blocks of bounded size are joined by T-occurrence search: the short inverted lists of a
-   query are merged, the L longest are only probed by binary search for candidates that reached T - L.
+3. Inside a group, blocks of bounded size are joined by T-occurrence search: the short inverted lists of a query are
+   merged from a heap, the two shortest first; the L longest are only probed by binary search for candidates that
+   reached T - L.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
+from .common import connected_components, join_unique, trim_memory, written
 from .shingles import mix, shingle_sets
 
 #: Link when DEN * intersection >= NUM * union.
@@ -31,6 +34,8 @@ NUM, DEN = 75, 100
 #: Documents hashed together; chunks and buckets bound what one task holds.
 CHUNK_DOCS = 2000
 CHUNK_CHARS = 16_000_000
+#: Bytes of text whose shingles meet in one bucket, and the fewest bits that number buckets.
+BUCKET_BYTES, LEAST_BITS = 16 << 20, 6
 #: A shingle in so many documents of a chunk goes to its bucket once, with this count.
 LOCAL_HOT = 8
 #: Classes of a candidate group that one task joins with as many others.
@@ -45,8 +50,24 @@ def least_overlap(n):
     return -(-NUM * n // DEN)
 
 
-def _send(docs: DataFrame, buckets: int, chunk_docs: int) -> DataFrame:
-    """Rows for buckets (shingles of a chunk) and for chunks (ids, set sizes, classes, hot shingles)."""
+def bucket_bits(text_bytes: int) -> int:
+    return max(LEAST_BITS, int(text_bytes // BUCKET_BYTES).bit_length())
+
+
+def _packed(keys: np.ndarray, bits: int) -> bytes:
+    """The 48 bits behind the bucket's of each key, six bytes each."""
+    return ((keys << np.uint64(bits)) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(data: bytes, bucket: int, bits: int) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    wide[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    return (wide.view("<u8").ravel() << np.uint64(16) >> np.uint64(bits)) | np.uint64(bucket << (64 - bits))
+
+
+def _send(docs: DataFrame, bits: int, chunk_docs: int) -> DataFrame:
+    """Rows for buckets (shingles of a chunk) and for chunks (ids, set sizes, classes, hot shingles; a bucket below 0)."""
+    lost = np.uint64(max(0, 16 - bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -65,34 +86,26 @@ def _send(docs: DataFrame, buckets: int, chunk_docs: int) -> DataFrame:
             sums = np.zeros(len(values) + 1, dtype=np.uint64)
             np.cumsum(mix(values), out=sums[1:])
             classes = mix((sums[ends] - sums[ends - sizes]) ^ mix(sizes.astype(np.uint64) + np.uint64(1)))
-            bucket = ((values >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
-            low = (values & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            order = np.lexsort((owner, low, bucket))
-            bucket, low, owner = bucket[order], low[order], owner[order]
-            new = np.ones(len(low), dtype=bool)
-            new[1:] = (low[1:] != low[:-1]) | (bucket[1:] != bucket[:-1])
+            values = values >> lost << lost
+            order = np.lexsort((owner, values))
+            key, owner = values[order], owner[order]
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = key[1:] != key[:-1]
             first = np.flatnonzero(new)
-            times = np.diff(np.append(first, len(low)))
+            times = np.diff(np.append(first, len(key)))
             hot = np.repeat(times >= LOCAL_HOT, times)
             chunk = (part << 32) | number
-            number += 1
-            rows: list[tuple] = []
-            key = (bucket.astype(np.uint64) << np.uint64(32)) | low
             known = np.array([i is not None for i in ids], dtype=np.uint8)
             doc_ids = np.array([0 if i is None else i for i in ids], dtype=np.int64)
-            rows.append((chunk, _INFO, -1, doc_ids.tobytes() + known.tobytes(), np.concatenate((sizes.view(np.uint64), classes)).tobytes(), np.concatenate((key[hot], owner[hot].astype(np.uint64))).tobytes()))
-            light = np.flatnonzero(~hot)
-            cuts = np.searchsorted(bucket[light], np.arange(buckets + 1))
-            hot_first = first[times >= LOCAL_HOT]
-            hot_times = times[times >= LOCAL_HOT].astype(np.uint32)
-            hot_cuts = np.searchsorted(bucket[hot_first], np.arange(buckets + 1))
-            for k in range(buckets):
-                at = light[cuts[k] : cuts[k + 1]]
-                if len(at):
-                    rows.append((chunk, _LIGHT, k, low[at].tobytes(), owner[at].astype(np.uint16 if len(sets) < 65536 else np.uint32).tobytes(), None))
-                if hot_cuts[k] < hot_cuts[k + 1]:
-                    at = slice(hot_cuts[k], hot_cuts[k + 1])
-                    rows.append((chunk, _HOT, k, low[hot_first[at]].tobytes(), hot_times[at].tobytes(), None))
+            own = -1 - (part * 7919 + number) % (1 << 30)
+            number += 1
+            rows: list[tuple] = [(chunk, _INFO, own, doc_ids.tobytes() + known.tobytes(), np.concatenate((sizes.view(np.uint64), classes)).tobytes(), np.concatenate((key[hot], owner[hot].astype(np.uint64))).tobytes())]
+            small = np.uint16 if len(sets) < 65536 else np.uint32
+            often = times >= LOCAL_HOT
+            for kind, keys, side in ((_LIGHT, key[~hot], owner[~hot].astype(small)), (_HOT, key[first[often]], times[often].astype(np.uint32))):
+                buckets, starts = np.unique(keys >> np.uint64(64 - bits), return_index=True)
+                for k, a, b in zip(buckets.tolist(), starts, [*starts[1:], len(keys)][: len(starts)], strict=True):
+                    rows.append((chunk, kind, k, _packed(keys[a:b], bits), side[a:b].tobytes(), None))
             ids, texts = [], []
             columns = list(zip(*rows, strict=True))
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
@@ -108,30 +121,38 @@ def _send(docs: DataFrame, buckets: int, chunk_docs: int) -> DataFrame:
                     size = 0
         if ids:
             yield flush()
+        trim_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _SENT)
 
 
-def _count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """For each chunk of a bucket: its shingles that occur in two documents or more, with their frequencies."""
-    bucket = int(key[0])
-    light = rows["kind"].to_numpy() == _LIGHT
-    low = [np.frombuffer(a, dtype=np.uint32) for a in rows["a"]]
-    times = [np.ones(len(a), dtype=np.int64) if one else np.frombuffer(b, dtype=np.uint32).astype(np.int64) for a, b, one in zip(low, rows["b"], light, strict=True)]
-    values, inverse = np.unique(np.concatenate(low), return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate(times), minlength=len(values))[inverse].astype(np.uint32)
-    out, at = [], 0
-    for chunk, b, one, mine in zip(rows["chunk"], rows["b"], light, low, strict=True):
-        df = total[at : at + len(mine)]
-        at += len(mine)
-        kept = df >= 2
-        if kept.any():
-            owner = np.frombuffer(b, dtype=np.uint16 if len(b) == 2 * len(mine) else np.uint32)[kept].astype(np.uint32).tobytes() if one else b""
-            out.append((chunk, _LIGHT if one else _HOT, bucket, mine[kept].tobytes(), owner, df[kept].tobytes()))
-    return pd.DataFrame(out, columns=["chunk", "kind", "bucket", "a", "b", "c"])
-
-
-def _gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _counter(bits: int):
+    def count(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """For each chunk of a bucket: its shingles that occur in two documents or more, with their frequencies."""
+        bucket = int(key[0])
+        if bucket < 0:
+            return rows
+        light = rows["kind"].to_numpy() == _LIGHT
+        mine = [_unpacked(a, bucket, bits) for a in rows["a"]]
+        times = [np.ones(len(a), dtype=np.int64) if one else np.frombuffer(b, dtype=np.uint32).astype(np.int64) for a, b, one in zip(mine, rows["b"], light, strict=True)]
+        values, inverse = np.unique(np.concatenate(mine), return_inverse=True)
+        total = np.bincount(inverse, weights=np.concatenate(times), minlength=len(values))[inverse].astype(np.uint32)
+        del values, inverse, times
+        out, at = [], 0
+        for chunk, a, b, one in zip(rows["chunk"], rows["a"], rows["b"], light, strict=True):
+            n = len(a) // 6
+            df = total[at : at + n]
+            at += n
+            kept = df >= 2
+            if kept.any():
+                owner = np.frombuffer(b, dtype=np.uint16 if len(b) == 2 * n else np.uint32)[kept].astype(np.uint32).tobytes() if one else b""
+                out.append((chunk, _LIGHT if one else _HOT, bucket, np.frombuffer(a, dtype=np.uint8).reshape(-1, 6)[kept].tobytes(), owner, df[kept].tobytes()))
+        return pd.DataFrame(out, columns=["chunk", "kind", "bucket", "a", "b", "c"])
+
+    return count
+
+
+def _gather(rows: pd.DataFrame, bits: int) -> pd.DataFrame:
     """For each document of a chunk: id, set size, class and, if it may link at all, its repeated shingles,
     rarest first. Of equal sets in a chunk one carries them."""
     info = rows[rows["kind"] == _INFO].iloc[0]
@@ -142,7 +163,7 @@ def _gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     keys, owners, dfs, hot_keys, hot_dfs = [], [], [], [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.uint32)]
     for kind, bucket, a, b, c in zip(rows["kind"], rows["bucket"], rows["a"], rows["b"], rows["c"], strict=True):
         if kind != _INFO:
-            full = (np.uint64(bucket) << np.uint64(32)) | np.frombuffer(a, dtype=np.uint32).astype(np.uint64)
+            full = _unpacked(a, bucket, bits)
             (keys if kind == _LIGHT else hot_keys).append(full)
             (dfs if kind == _LIGHT else hot_dfs).append(np.frombuffer(c, dtype=np.uint32))
             if kind == _LIGHT:
@@ -168,13 +189,13 @@ def _gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": doc_ids, "n": sizes, "cls": classes, "keys": out_keys})
 
 
-def shingle_classes(docs: DataFrame, chunk_docs: int = CHUNK_DOCS) -> DataFrame:
+def shingle_classes(docs: DataFrame, chunk_docs: int = CHUNK_DOCS, bits: int | None = None) -> DataFrame:
     """A written table, one row per row of docs: doc_id, n (set size), cls (equal for equal sets), keys."""
-    buckets = max(64, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sent = written(_send(docs, buckets, chunk_docs), "shingles")
-    told = sent.where(F.col("kind") != _INFO).groupBy("bucket").applyInPandas(_count, _SENT)
-    both = sent.where(F.col("kind") == _INFO).unionAll(told)
-    return written(both.groupBy("chunk").applyInPandas(_gather, "doc_id long, n long, cls long, keys array<long>"), "classes")
+    if bits is None:
+        bits = bucket_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    told = _send(docs, bits, chunk_docs).groupBy("bucket").applyInPandas(_counter(bits), _SENT)
+    gather = lambda rows: _gather(rows, bits)
+    return written(told.groupBy("chunk").applyInPandas(gather, "doc_id long, n long, cls long, keys array<long>"), "classes")
 
 
 class _Sets:
@@ -197,6 +218,23 @@ class _Sets:
         return self.start[at], self.end[at]
 
 
+def heap_merged(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Members of sorted lists and in how many lists each is; a heap yields the two shortest lists that are left."""
+    heap = [(len(x), k, x, np.ones(len(x), dtype=np.int64)) for k, x in enumerate(lists)]
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        _, k, a, times = heapq.heappop(heap)
+        _, _, b, more = heap[0]
+        at = np.searchsorted(b, a)
+        found = b[np.minimum(at, len(b) - 1)] == a
+        more = more.copy()
+        more[at[found]] += times[found]
+        if not found.all():
+            b, more = np.insert(b, at[~found], a[~found]), np.insert(more, at[~found], times[~found])
+        heapq.heapreplace(heap, (len(b), k, b, more))
+    return heap[0][2], heap[0][3]
+
+
 def t_occurrence(keys: np.ndarray, n: int, index: _Sets) -> np.ndarray:
     """Members of the index that link with a query set of n shingles, by DivideSkip."""
     start, end = index.lists(keys)
@@ -208,10 +246,9 @@ def t_occurrence(keys: np.ndarray, n: int, index: _Sets) -> np.ndarray:
     longest = int(end[-1] - start[-1])
     skip = min(need - 1, int(need / (0.05 * np.log2(max(2, longest)) + 1))) if longest > 8 else 0
     short = len(start) - skip
-    merged = np.concatenate([index.owner[a:b] for a, b in zip(start[:short], end[:short], strict=True)])
-    count = np.bincount(merged, minlength=len(index.n))
-    found = np.flatnonzero((count >= max(1, need - skip)) & (DEN * index.n >= NUM * n) & (DEN * n >= NUM * index.n))
-    count = count[found]
+    found, count = heap_merged([index.owner[a:b] for a, b in zip(start[:short], end[:short], strict=True)])
+    alive = (count >= max(1, need - skip)) & (DEN * index.n[found] >= NUM * n) & (DEN * n >= NUM * index.n[found])
+    found, count = found[alive], count[alive]
     for k in range(short, len(start)):  # long lists are probed only
         if not len(found):
             break
@@ -267,12 +304,12 @@ def class_links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     # Singletons of a set come first in the order; they are in no list, so they use the prefix up.
     prefix = prefix - (F.col("n") - F.size("keys")).cast("int")
     posts = written(sets.where(prefix > 0).select("cls", F.explode(F.slice("keys", F.lit(1), prefix)).alias("key")), "postings")
-    heads = posts.groupBy("key").agg(F.min("cls").alias("head"), F.count("*").alias("members")).where("members > 1").drop("members")
-    stars = posts.join(heads, "key").select("cls", "head").where("cls <> head").distinct()
-    groups = connected_components(stars, "cls", "head")
-    # Blocks by order of size in large groups: group, number of blocks, own block.
-    many = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = groups.join(many, "component").select(F.col("node").alias("cls"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    heads = posts.groupBy("key").agg(F.min("cls").alias("head"), F.count("*").alias("members")).where("members > 1")
+    stars = join_unique(posts, heads, ["key"], "members", posts.count()).select("cls", "head").where("cls <> head").distinct()
+    groups = written(connected_components(stars, "cls", "head"), "groups")
+    # Blocks of large groups: group, number of blocks, own block.
+    many = groups.groupBy("component").agg(F.count("*").alias("members")).withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
+    members = join_unique(groups, many, ["component"], "members", groups.count()).select(F.col("node").alias("cls"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = members.select("cls", "component", "own", others).select(
         "cls", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
@@ -287,8 +324,8 @@ def ngram_join(docs: DataFrame, chunk_docs: int = CHUNK_DOCS, block: int = BLOCK
 
     component_id is the smallest doc_id reachable by links (null if all ids are), n_links the number of other rows
     linked directly, rows with an equal set included. Rows without words have n_shingles 0 and link with nothing,
-    so component_id is their own id. Repeated rows are rows of one class. An empty table gives no rows. Sets are
-    compared by 64-bit hashes, of which at least 38 bits tell two shingles apart.
+    so component_id is their own id. Repeated rows are rows of one class. An empty table gives no rows. Shingles are
+    compared by the first 54 bits or more of a 64-bit hash, whole sets by another of 64 bits.
     """
     classes = shingle_classes(docs, chunk_docs)
     links = class_links(classes, block)
@@ -297,20 +334,19 @@ def ngram_join(docs: DataFrame, chunk_docs: int = CHUNK_DOCS, block: int = BLOCK
     rows = classes.select("doc_id", "n", "cls")
     own = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("docs"))
     own = own.join(component, "cls", "left").join(counts, "cls", "left")
-    label = F.coalesce("component", "cls")
-    least = own.groupBy(label.alias("label")).agg(F.min("least").alias("component_id"))
-    own = written(own.withColumn("label", label).join(least, "label").select("cls", "component_id", (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links")), "components")
-    return rows.join(own, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"),
-    )
+    own = written(own.withColumn("label", F.coalesce("component", "cls")).withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("docs") - 1), "own")
+    least = own.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    own = written(join_unique(own, least, ["label"], "members", own.count()).select("cls", "docs", "component_id", "n_links"), "components")
+    linked = join_unique(rows.where("n > 0"), own, ["cls"], "docs", rows.count())
+    alone = rows.where("n = 0").select("cls", "doc_id", "n", F.lit(0).cast("long").alias("docs"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
 
 
 def one_of_each_component(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is their component's smallest, with all columns of docs."""
+    """The documents whose doc_id is their component's smallest, with all columns of docs. Rows that share an id stay or go
+    together."""
     found = ngram_join(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = written(found, "representatives")
+    kept = written(found, "representatives").hint("merge")
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
 
 

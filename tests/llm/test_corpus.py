@@ -82,6 +82,24 @@ def test_op1_equals_brute_force(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows)
 
 
+def test_op1_heap_merge_counts_lists():
+    draw = np.random.default_rng(3)
+    for _ in range(50):
+        lists = [np.sort(draw.choice(40, draw.integers(1, 20), replace=False)) for _ in range(draw.integers(1, 12))]
+        members, times = ngram_join.heap_merged(lists)
+        values, counts = np.unique(np.concatenate(lists), return_counts=True)
+        assert members.tolist() == values.tolist() and times.tolist() == counts.tolist()
+
+
+@pytest.mark.parametrize("bits", [6, 13, 16, 23])
+def test_op1_keys_keep_their_bits(bits):
+    keys = np.random.default_rng(bits).integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    lost = np.uint64(max(0, 16 - bits))
+    for key in keys >> lost << lost:
+        one = np.array([key], dtype=np.uint64)
+        assert ngram_join._unpacked(ngram_join._packed(one, bits), int(key) >> (64 - bits), bits)[0] == key
+
+
 def test_op1_awkward(spark):
     found = ngram_join.ngram_join(awkward(spark)).collect()
     assert len(found) == 11 and {r["doc_id"]: r["component_id"] for r in found if r["doc_id"]}[7] == 6
