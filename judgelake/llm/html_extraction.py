@@ -1,15 +1,18 @@
 """HTML extraction by equivalence classes of template tokens.
 
-Tokens (tags with their class and id, and comments by their first word) that have the same occurrence vector over
-the pages of a host form an equivalence class. Classes of tokens that occur once in each of many pages
-are candidates for the host's template. A token is valid if it is ordered, that is always at one place among its own
-class, and nested, that is always in one gap of each class that covers more pages. The valid tokens cut a page into
-slots. Slots with the same text on all pages that have them are part of the template and left out, unless the page has an
-article (or main) element: that stays whole and bounds the slots that count. Then slots inside navigation, advertising,
-forms, scripts and the like are left out; the text of the rest is what the page says. Text is compared by slot and
-is no token of its own: a fixed line inside a slot that varies stays.
-
-Vectors are compared by a hash that each page adds to on its own, so no vector is ever gathered.
+Tokens are tags (with class and id) and comments (by their first word), each told apart by the container elements it is in,
+so that an article inside the comments is another token than the article itself. Tokens with the same occurrence vector
+over the pages of a host form an equivalence class; classes of tokens that occur once in each of many pages are
+candidates for the host's template. A token is valid if it is ordered, that is always at one place among its own class, and
+nested, that is always in one gap of each class that covers more pages. The template is the tree of valid elements, and
+the slots between tokens hold what pages say. Menus, adverts and footers may vary as much as articles do, so what counts is
+where the text is: the innermost element of the template that holds REGION of the host's text outside links is the article's
+region. Slots outside it are left out, and slots inside it whose text never varies are part of the template, unless the region
+is an article (or main) element, which says itself that it is no template. What pages of
+the region mark themselves as navigation, forms, scripts and the like (by tags and roles; by class names only for
+containers) is left out of it too.
+
+Vectors are compared by sums of hashes that each page adds to on its own, so no vector is ever gathered.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ import html
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -31,18 +35,27 @@ from .common import written
 SUPPORT = 0.5
 #: Hosts with fewer pages use the template of all pages.
 LEAST_PAGES = 3
-#: Templates of so many hosts are sent to every executor; beyond that they are joined by shuffle.
-BROADCAST_HOSTS = 20_000
+#: The article's region holds so much of the text outside links.
+REGION = 0.6
+#: A slot whose text never varies on so many pages is part of the template.
+LEAST_FIXED = 5
+#: Templates of so many characters are sent to every executor; beyond that they are joined by shuffle.
+BROADCAST_CHARS = 32_000_000
 
 # Elements and names of classes and ids.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "xmp")
-LEFT_OUT = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "figcaption", "head", *RAW}
+LEFT_OUT = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", *RAW}
 ROLES_OUT = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu"}
+#: Containers whose class or id may tell that they are no part of an article, and the names that do.
+NAMED = {"div", "section", "ul", "ol", "dl", "table", "article", "figure", "details"}
 NAMES_OUT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|nav|navbar|navigation|menu|breadcrumbs?|"
-    r"sidebar|footer|header|masthead|cookies?|consent|notices?|popup|modal|newsletter|subscribe|signup|login|share|"
-    r"sharing|social|related|recommended|comments?|respond|replies|disqus|widget|toolbar|pagination|pager)(?:$|[\s_-])"
+    r"(?:(?:site|page|main|global|top|bottom|left|right|user|reader|post|entry|article)[-_])?"
+    r"(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|header|"
+    r"masthead|cookies?|consent|notices?|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|"
+    r"comments?|respond|replies|disqus|widget|toolbar|pagination|pager)"
+    r"(?:[-_](?:list|section|area|box|wrapper|container|block|bar|banner|slot|unit|links|posts|form|thread|notice|widget|menu|buttons?))?"
 )
+CONTAINERS = {"html", "body", "main", "article", "section", "div", "nav", "header", "footer", "aside", "form", "ul", "ol", "dl", "table"}
 BLOCKS = {
     "address", "article", "blockquote", "body", "dd", "details", "div", "dl", "dt", "fieldset", "figure", "h1", "h2", "h3", "h4", "h5",
     "h6", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
@@ -55,6 +68,7 @@ _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?", re.IGNORECASE)
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 _SPACE = re.compile(r"\s+")
+_MODULUS = (1 << 61) - 1
 
 
 def host_of(url: str | None) -> str:
@@ -95,136 +109,177 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, int, int]]:
 def _left_out(kind: str, name: str, signature: str) -> bool:
     if kind == "hidden" or name in LEFT_OUT:
         return True
-    names = re.findall(r"(?:class|id)=([^=>]*?)(?= (?:id|role)=|>)", signature)
     role = re.search(r"role=([^=>]*)>", signature)
-    return any(NAMES_OUT.search(n.lower()) for n in names) or bool(role and role[1].lower() in ROLES_OUT)
-
-
-def slots(page: str, found: list[tuple[str, str, str, int, int]], template: set[str]) -> tuple[list[str], dict[str, str]]:
-    """For each token, and for the page's end, the slot before it, and each slot's text. A slot is named by the template
-    tokens around it; the page begins with the token <page>."""
-    texts: list[str] = []
-    before: list[int] = []
-    bounds = ["<page>"]
-    held: list[str] = []
-    at, raw = 0, False
-    for kind, name, signature, start, end in found:
-        if start > at and not raw:
-            held.append(page[at:start])
+    if role and role[1].lower() in ROLES_OUT:
+        return True
+    names = re.findall(r"(?:class|id)=([^=>]*?)(?= (?:id|role)=|>)", signature) if name in NAMED else ()
+    return any(NAMES_OUT.fullmatch(n) for given in names for n in given.lower().split())
+
+
+class Page:
+    """A page's tokens with their roles (signature and the containers around it), the place behind each element, and how many
+    characters of text outside links are before each token."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.found = page, list(tokens(page))
+        self.roles: list[str] = []
+        self.ends = [len(self.found)] * len(self.found)
+        self.chars = [0]
+        stack: list[tuple[str, int, int]] = []
+        path, links, raw, at = [""], 0, False, 0
+        for k, (kind, name, signature, start, end) in enumerate(self.found):
+            said = 0 if raw or links or start <= at else len(page[at:start].strip())
+            self.chars.append(self.chars[-1] + said)
+            at, raw = end, kind in ("open", "hidden") and name in RAW
+            if kind == "close":
+                for back in range(len(stack) - 1, -1, -1):
+                    if stack[back][0] == name:
+                        for _, place, _ in stack[back:]:
+                            self.ends[place] = k
+                        del path[stack[back][2] :], stack[back:]
+                        break
+                links = max(0, links - (name == "a"))
+                self.roles.append(f"{path[-1]} {signature}")
+                continue
+            self.roles.append(f"{path[-1]} {signature}")
+            if kind in ("open", "hidden") and name not in VOID:
+                links += name == "a"
+                if name in CONTAINERS or name in RAW:
+                    stack.append((name, k, len(path)))
+                    path.append(f"{path[-1]}/{name}")
+        self.chars.append(self.chars[-1] + (0 if raw or links else len(page[at:].strip())))
+
+    def slots(self, template: set[str]) -> tuple[list[str], dict[str, str]]:
+        """For each token, and for the page's end, the slot before it, and each slot's text. A slot is named by the template
+        tokens around it; the page begins with the token <page>."""
+        texts: list[str] = []
+        before: list[int] = []
+        bounds = ["<page>"]
+        held: list[str] = []
+        at, raw = 0, False
+        for (kind, name, _, start, end), role in zip(self.found, self.roles, strict=True):
+            if start > at and not raw:
+                held.append(self.page[at:start])
+            before.append(len(texts))
+            raw = kind in ("open", "hidden") and name in RAW
+            at = end
+            if role in template:
+                texts.append(_plain(held))
+                held = []
+                bounds.append(role)
         before.append(len(texts))
-        raw = kind in ("open", "hidden") and name in RAW
-        at = end
-        if signature in template:
-            texts.append(_plain(held))
-            held = []
-            bounds.append(signature)
-    before.append(len(texts))
-    texts.append(_plain([*held, page[at:]]))
-    names = [f"{a}\n{b}" for a, b in zip(bounds, [*bounds[1:], "</page>"], strict=True)]
-    return [names[k] for k in before], dict(zip(names, texts, strict=True))
+        texts.append(_plain([*held, self.page[at:]]))
+        names = [f"{a}\n{b}" for a, b in zip(bounds, [*bounds[1:], "</page>"], strict=True)]
+        return [names[k] for k in before], dict(zip(names, texts, strict=True))
 
 
 def _plain(parts: list[str]) -> str:
     return _SPACE.sub(" ", html.unescape(" ".join(parts))).strip()
 
 
-def extract(page: str, template: set[str], fixed: set[str] = frozenset()) -> str:
-    """The article's blocks, joined by newlines. The template's article (or main) element bounds the slots that
-    count, and what the page itself calls its article stays whole; where there is none, all slots but those in fixed count."""
-    bound = next((m for m in MAIN if any(t == f"<{m}>" or t.startswith(f"<{m} ") for t in template)), None)
-    found = list(tokens(page))
-    if bound and not any(kind == "open" and name == bound for kind, name, *_ in found):
-        bound = None
-    bound = bound or next((m for m in MAIN if any(kind == "open" and name == m for kind, name, *_ in found)), None)
-    own = [slot in fixed for slot in slots(page, found, template)[0]] if fixed and not bound else [False] * (len(found) + 1)
+class Template(NamedTuple):
+    """A host's valid tokens, its slots that never vary, and the element that bounds the article ('' for the whole page)."""
+
+    tokens: frozenset[str] = frozenset()
+    fixed: frozenset[str] = frozenset()
+    region: str = ""
+
+
+def _bounds(page: Page, template: Template | None) -> tuple[int, int]:
+    """Between which tokens the article is: in the template's region, or without a template in what the page calls its article."""
+    if template is not None and not template.region:
+        return -1, len(page.found)
+    if template is not None:
+        at = page.roles.index(template.region) if template.region in page.roles else -1
+    else:
+        at = next((k for m in MAIN for k, (kind, name, *_) in enumerate(page.found) if kind == "open" and name == m), -1)
+    return at, page.ends[at] if at >= 0 else len(page.found)
+
+
+def extract(text: str, template: Template | None) -> str:
+    """The article's blocks, joined by newlines: the template's region without the slots that never vary, and what it marks as
+    no article. An empty template has no region, so it leaves the whole page but for scripts and the like. None stands for no
+    template: then the page's own article or main element counts."""
+    page = Page(text)
+    marked = template is None or bool(template.region)
+    first, last = _bounds(page, template)
+    dropped = [False] * (len(page.found) + 1)
+    if template is not None and template.fixed and (first < 0 or page.found[first][1] not in MAIN):
+        names, texts = page.slots(set(template.tokens))
+        inside = {n for n in names[first + 1 : last + 1] if texts[n]}
+        if not inside <= template.fixed:  # a page of nothing but fixed slots shows no article, so it stays whole
+            dropped = [n in template.fixed for n in names]
     blocks: list[str] = []
     held: list[str] = []
-    inside, out, depth, nested, ended, at = int(bound is None), "", 0, 0, False, 0
+    skip = -1
 
     def close_block() -> None:
-        text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
+        said = _SPACE.sub(" ", html.unescape("".join(held))).strip()
         held.clear()
-        if text:
-            blocks.append(text)
-
-    for (kind, name, signature, start, end), left in zip(found, own[:-1], strict=True):
-        if inside and not out and not left and start > at:
-            held.append(page[at:start])
-        at = end
-        if kind in ("comment", "other"):
+        if said:
+            blocks.append(said)
+
+    for k in range(first + 1, last + 1):
+        at = page.found[k - 1][4] if k else 0
+        ended = k == len(page.found)
+        start = len(text) if ended else page.found[k][3]
+        if k > skip and not dropped[k] and start > at and not (k and page.found[k - 1][0] in ("open", "hidden") and page.found[k - 1][1] in RAW):
+            said = text[at:start]
+            held.append(re.sub(r"<[a-zA-Z/!][^>]*\Z", "", said) if ended else said)  # a tag cut off at the end is no text
+        if ended or k == last:
+            break
+        kind, name, signature, _, _ = page.found[k]
+        if k <= skip or kind in ("comment", "other"):
             continue
-        opening = kind != "close"
-        if out:  # inside an element that is left out: wait for its end, or for the article to begin or end
-            if name == out:
-                depth += 1 if opening else -1
-                if depth <= 0:
-                    out = ""
-                    close_block()
-                continue
-            if name != bound:
-                continue
-            if opening and (inside or ended):  # such as a comment: its end is not the article's
-                nested += 1
-                continue
-            if nested and not opening:
-                nested -= 1
-                continue
-            out = ""
-        if name == bound and not (opening and (inside or ended) and _left_out(kind, name, signature)):
+        if kind != "close" and name not in VOID and (_left_out(kind, name, signature) if marked else name in RAW or name == "head"):
             close_block()
-            ended = ended or (inside == 1 and not opening)
-            inside = max(0, inside + (1 if opening else -1))
-        elif opening and name not in VOID and _left_out(kind, name, signature):
-            if name in BLOCKS or name in LEFT_OUT:
-                close_block()
-            out, depth, nested = name, 1, 0
+            skip = page.ends[k] if name in CONTAINERS or name in RAW else _matching(page.found, k, last)
         elif name in BLOCKS:
             close_block()
         elif name == "br":
             held.append(" ")
-    if inside and not out and not own[-1] and at < len(page):
-        held.append(re.sub(r"<[a-zA-Z/!][^>]*\Z", "", page[at:]))  # a tag cut off at the end is no text
     close_block()
     return "\n".join(blocks)
 
 
+def _matching(found: list[tuple[str, str, str, int, int]], at: int, last: int) -> int:
+    """The close of an element, or else the last place."""
+    depth = 0
+    for k in range(at, last):
+        kind, name = found[k][:2]
+        if name == found[at][1]:
+            depth += -1 if kind == "close" else kind in ("open", "hidden")
+            if depth == 0:
+                return k
+    return last
+
+
 def _rows(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
 
 
+def _host() -> F.Column:
+    return F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+
+
 def _beside(pages: DataFrame, found: DataFrame) -> DataFrame:
     """Pages with the other columns of found (host, ...) of their host, or else nulls; template is the host, or else '*'."""
     hosts = found.where("host <> '*'").withColumnRenamed("host", "own")
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    side = F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
-    return _rows(pages).join(side, host == F.col("own"), "left").withColumn("template", F.coalesce("own", F.lit("*")))
+    chars = hosts.agg(F.sum(F.length(F.to_json(F.struct(*hosts.columns))))).first()[0] or 0
+    side = F.broadcast(hosts) if chars <= BROADCAST_CHARS else hosts.hint("merge")
+    return _rows(pages).join(side, _host() == F.col("own"), "left").withColumn("template", F.coalesce("own", F.lit("*")))
 
 
-def _ranges(pages: DataFrame, found: DataFrame, column: str, common: list, of_page: Callable[[str, list], Iterator[tuple[str, str, int]]], names: tuple[str, str]) -> DataFrame:
-    """(template, *names, pages, low, high, one, other): of_page gives two keys and a value for each page and the page's
-    column of found; low and high are the bounds of the values, one and other of the pages' hashes."""
+def _sign(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: dict[tuple, list[int]] = {}
-            for template, page, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                page = page or ""
-                sign = xxhash.xxh64_intdigest(page.encode("utf-8", "surrogatepass")) >> 1
-                for a, b, value in of_page(page, own or common):
-                    held = seen.setdefault((template, a, b), [0, value, value, sign, sign])
-                    held[:] = held[0] + 1, min(held[1], value), max(held[2], value), min(held[3], sign), max(held[4], sign)
-            keys = list(zip(*seen, strict=True)) or [()] * 3
-            values = list(zip(*seen.values(), strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.string()) for v in keys), *(pa.array(v, pa.int64()) for v in values)], ["template", *names, "pages", "low", "high", "one", "other"])
-
-    schema = f"template string, {names[0]} string, {names[1]} string, pages long, low long, high long, one long, other long"
-    partial = _beside(pages, found).select("template", "html", column).mapInArrow(run, schema)
-    return partial.groupBy("template", *names).agg(F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("one").alias("one"), F.max("other").alias("other"))
-
-
-def _gaps(page: str, classes: list[list[str]]) -> Iterator[tuple[str, str, int]]:
-    """(token, class, gap): between which tokens of its own class and of each one that covers more pages a token lies."""
-    place = {signature: k for k, (_, _, signature, _, _) in enumerate(tokens(page))} | {"<page>": -1}
+
+def _measures(page: Page, classes: list[list[str]]) -> Iterator[tuple[str, str, str, int]]:
+    """(kind, a, b, value): between which tokens of its own class and of each one that covers more pages a token lies; the
+    characters outside links in the page and in each element of the classes; and each slot's text as a hash."""
+    place: dict[str, int] = {"<page>": -1}
+    for k, role in enumerate(page.roles):
+        place.setdefault(role, k)
     own: list[tuple[int, list[int]]] = []
     for k, names in enumerate(classes):
         at = sorted(place[t] for t in names if t in place)
@@ -233,32 +288,58 @@ def _gaps(page: str, classes: list[list[str]]) -> Iterator[tuple[str, str, int]]
             for token in names:
                 if token in place:
                     for over, places in own:
-                        yield token, f"{over} {k}", bisect_left(places, place[token])
-
-
-def _slot_texts(page: str, template: list[str]) -> Iterator[tuple[str, str, int]]:
-    for slot, text in slots(page, list(tokens(page)), set(template))[1].items():
+                        yield "gap", token, f"{over} {k}", bisect_left(places, place[token])
+    yield "region", "<page>", "", page.chars[-1]
+    for names in classes:
+        for token in names:
+            k = place.get(token, -1)
+            if k >= 0 and page.found[k][0] == "open" and page.found[k][1] in CONTAINERS:
+                yield "region", token, "", page.chars[min(page.ends[k] + 1, len(page.chars) - 1)] - page.chars[k + 1]
+    for slot, text in page.slots({t for names in classes for t in names})[1].items():
         if text:
-            yield slot, "", xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+            yield "slot", slot, "", _sign(text)
 
 
-def templates(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, tokens, fixed): the valid tokens, by class and order, of each host that has enough pages and, as host '*',
-    of all pages, and the slots whose text never varies on `least_pages` pages or more that are not all equal. A class
-    is a candidate if its tokens occur once in each page that has them and it covers `support` of the pages; its
-    tokens then share one occurrence vector."""
+def templates(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEAST_PAGES, least_fixed: int = LEAST_FIXED) -> DataFrame:
+    """(host, tokens, fixed, region): the valid tokens, by class and order, of each host that has enough pages and, as host '*',
+    of all pages; the slots whose text never varies on `least_fixed` pages or more that are not all equal; and the innermost
+    valid element with REGION of the text outside links ('' if there is none). A class is a candidate if its tokens occur
+    once in each page that has them and it covers `support` of the pages; its tokens then share one occurrence vector."""
     found = written(_classes(pages, support, least_pages), "classes")
     rest = found.where("host = '*'").first()
-    gaps = _ranges(pages, found, "classes", list(rest["classes"]) if rest else [], _gaps, ("token", "class"))
-    number = F.split("class", " ")
-    gaps = gaps.withColumn("over", number[0].cast("int")).withColumn("k", number[1].cast("int"))
-    valid = gaps.groupBy("template", "token").agg(F.bool_and(F.col("low") == F.col("high")).alias("valid"), F.max("k").alias("k"), F.max(F.when(F.col("over") == F.col("k"), F.col("low"))).alias("gap")).where("valid")
+    common = list(rest["classes"]) if rest else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[tuple, list[int]] = {}
+            for template, text, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text = text or ""
+                sign = _sign(text)
+                for kind, a, b, value in _measures(Page(text), own or common):
+                    held = seen.setdefault((template, kind, a, b), [0, value, value, 0, sign, sign])
+                    held[:] = held[0] + 1, min(held[1], value), max(held[2], value), held[3] + (value if kind == "region" else 0), min(held[4], sign), max(held[5], sign)
+            keys = list(zip(*seen, strict=True)) or [()] * 4
+            values = list(zip(*seen.values(), strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.string()) for v in keys), *(pa.array(v, pa.int64()) for v in values)], ["template", "kind", "a", "b", "pages", "low", "high", "total", "one", "other"])
+
+    schema = "template string, kind string, a string, b string, pages long, low long, high long, total long, one long, other long"
+    partial = _beside(pages, found).select("template", "html", "classes").mapInArrow(run, schema)
+    sums = written(partial.groupBy("template", "kind", "a", "b").agg(F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("total").alias("total"), F.min("one").alias("one"), F.max("other").alias("other")), "measures")
+    number = F.split("b", " ")
+    gaps = sums.where("kind = 'gap'").withColumn("over", number[0].cast("int")).withColumn("k", number[1].cast("int"))
+    valid = gaps.groupBy("template", F.col("a").alias("token")).agg(F.bool_and(F.col("low") == F.col("high")).alias("valid"), F.max("k").alias("k"), F.max(F.when(F.col("over") == F.col("k"), F.col("low"))).alias("gap")).where("valid")
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("k", "gap", "token"))), lambda x: x["token"])
-    found = written(valid.groupBy(F.col("template").alias("host")).agg(in_order.alias("tokens")), "valid")
-    rest = found.where("host = '*'").first()
-    same = _ranges(pages, found, "tokens", list(rest["tokens"]) if rest else [], _slot_texts, ("slot", "none")).where((F.col("low") == F.col("high")) & (F.col("pages") >= least_pages) & (F.col("one") < F.col("other")))
-    fixed = same.groupBy(F.col("template").alias("host")).agg(F.collect_list("slot").alias("fixed"))
-    return found.join(fixed, "host", "left").select("host", "tokens", F.coalesce("fixed", F.array().cast("array<string>")).alias("fixed"))
+    out = valid.groupBy("template").agg(in_order.alias("tokens"))
+    regions = sums.where("kind = 'region'").select("template", F.col("a").alias("token"), "total")
+    whole = regions.where("token = '<page>'").select("template", F.col("total").alias("all_chars"))
+    holding = regions.join(valid.select("template", "token", "k", "gap"), ["template", "token"]).join(whole, "template").where((F.col("total") > 0) & (F.col("total") >= F.col("all_chars") * REGION))
+    region = holding.groupBy("template").agg(F.min_by("token", F.struct("total", -F.length("token"), "token")).alias("region"))
+    same = sums.where((F.col("kind") == "slot") & (F.col("low") == F.col("high")) & (F.col("pages") >= least_fixed) & (F.col("one") < F.col("other")))
+    fixed = same.groupBy("template").agg(F.collect_list("a").alias("fixed"))
+    candidates = found.select(F.col("host").alias("template"), F.flatten("classes").alias("cut"))
+    return out.join(fixed, "template", "left").join(region, "template", "left").join(candidates, "template").select(
+        F.col("template").alias("host"), "tokens", "cut", F.coalesce("fixed", F.array().cast("array<string>")).alias("fixed"), F.coalesce("region", F.lit("")).alias("region"),
+    )
 
 
 def _classes(pages: DataFrame, support: float, least_pages: int) -> DataFrame:
@@ -266,24 +347,25 @@ def _classes(pages: DataFrame, support: float, least_pages: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # Vector hashes of a page add up by exclusive or, here and later in Spark.
+            # A page adds its hash to the vector of each of its tokens, here and later in Spark.
             seen: dict[tuple[str, str], list[int]] = {}
             for page_id, url, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sign = xxhash.xxh64_intdigest(f"{page_id}\n{url}") >> 1
-                counts = Counter(signature for _, _, signature, _, _ in tokens(page or ""))
+                sign = _sign(f"{page_id}\n{url}")
+                counts = Counter(Page(page or "").roles)
                 counts["<page>"] = 1
                 for host in (host_of(url), "*"):
-                    for signature, n in counts.items():
-                        own = seen.setdefault((host, signature), [0, 0, 0])
+                    for role, n in counts.items():
+                        own = seen.setdefault((host, role), [0, 0, 0])
                         own[0] += 1
                         own[1] += n == 1
-                        own[2] ^= xxhash.xxh64_intdigest(f"{sign} {n}") >> 1
+                        own[2] = (own[2] + (sign if n == 1 else sign * n * 31)) % _MODULUS
             keys = list(zip(*seen, strict=True)) or [(), ()]
             values = list(zip(*seen.values(), strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.string()), *(pa.array(v, pa.int64()) for v in values)], ["host", "token", "pages", "single", "vector"])
 
     partial = _rows(pages).mapInArrow(run, "host string, token string, pages long, single long, vector long")
-    counts = written(partial.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("single").alias("single"), F.bit_xor("vector").alias("vector")), "tokens")
+    vector = (F.sum(F.col("vector").cast("decimal(38,0)")) % F.lit(_MODULUS).cast("decimal(38,0)")).cast("long")
+    counts = written(partial.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("single").alias("single"), vector.alias("vector")), "tokens")
     size = counts.where("token = '<page>'").select("host", F.col("pages").alias("all_pages"))
     valid = counts.join(size, "host").where((F.col("single") == F.col("pages")) & (F.col("pages") >= F.col("all_pages") * support) & ((F.col("all_pages") >= least_pages) | (F.col("host") == "*")))
     classes = valid.groupBy("host", "vector").agg(F.max("pages").alias("pages"), F.collect_list("token").alias("tokens")).where(F.size("tokens") > 1)
@@ -294,19 +376,26 @@ def _classes(pages: DataFrame, support: float, least_pages: int) -> DataFrame:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """For each row of pages (page_id, url, html; other columns are ignored): page_id, url, text, n_chars.
 
-    Null html counts as empty and gives an empty text; pages without a host belong to host ''; repeated rows are
+    Null html counts as empty and gives an empty text; pages without a host belong to host ''; hosts with too few pages use
+    the template of all pages, and where that has none either, what a page calls its article counts. Repeated rows are
     extracted each. An empty table gives no rows.
     """
     found = written(templates(pages), "templates")
     rest = found.where("host = '*'").first()
-    common = (set(rest["tokens"]), set(rest["fixed"])) if rest else (set(), set())
+    common = Template(frozenset(rest["cut"]), frozenset(rest["fixed"]), rest["region"]) if rest and rest["region"] else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(page or "", *((set(own), set(fixed)) if own else common)) for page, own, fixed in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            known: dict[str, Template | None] = {}
+            texts = []
+            for text, host, cut, fixed, region in zip(*(batch.column(k).to_pylist() for k in range(2, 7)), strict=True):
+                if host is not None and host not in known:
+                    known[host] = Template(frozenset(cut), frozenset(fixed), region) if region else None
+                texts.append(extract(text or "", common if host is None else known[host]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return _beside(pages, found).select("page_id", "url", "html", "tokens", "fixed").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    rows = _beside(pages, found).select("page_id", "url", "html", "own", "cut", "fixed", "region")
+    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op10_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

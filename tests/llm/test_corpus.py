@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from judgelake.llm import chat, exact_dedup, html_extraction, line_dedup, matroska, mixing, ngram_join, packing, quality, toxicity
@@ -270,7 +271,34 @@ def test_op10_articles(spark):
     "<form><article>p1<aside><article>c1</aside><p>p2</p></article></form>",
 ])
 def test_op10_comments_that_are_articles(page):
-    assert html_extraction.extract(page, {"<article>"}) == "p1\np2"
+    region = next(role for role in html_extraction.Page(page).roles if role.endswith("<article>"))
+    for template in (None, html_extraction.Template(region=region)):
+        assert html_extraction.extract(page, template) == "p1\np2"
+
+
+def test_op10_keeps_what_an_article_says():
+    page = '<article><p class="share price">a</p><p class="related-work">b</p><figure><img src=x><figcaption>c</figcaption></figure><div class="share">d</div><section class="post related-posts">e</section></article>'
+    assert html_extraction.extract(page, None) == "a\nb\nc"
+
+
+def test_op10_hosts_without_telling_names(spark):
+    """Menus and adverts that vary as articles do, and no name or tag that tells them apart: the text is where most of it is."""
+    draw = random.Random(10)
+    words = lambda n: " ".join(draw.choice("abcdefgh") * 4 for _ in range(n))
+    rows, expected = [], {}
+    for host, (menu, text, end) in enumerate([("u1", "u2", "u3"), ("x", "y", "z"), ("k9", "k8", "k7")]):
+        for k in range(8):
+            article, other = [words(30), words(20)], [words(4), words(5)]
+            body = "".join(f"<p>{x}</p>" for x in article) + "<div class=m>Always the same line</div>"
+            parts = [f'<div class="{menu}">{other[0]}</div>', f'<div class="{text}">{body}</div>', f'<div class="{end}">{other[1]}</div>']
+            i = 100 * host + k
+            rows.append((i, f"https://h{host}.example/{k}", "<html><body>" + "".join(parts if host < 2 else parts[::-1]) + "</body></html>"))
+            expected[i] = "\n".join(article)
+    ship(spark)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("host", "own", "template", "cut", "kind", "a", "total")})
+    found = {r["page_id"]: r["text"] for r in html_extraction.extract_pages(pages.unionAll(pages.where("page_id % 2 = 0"))).collect()}
+    assert found == expected
+    assert all(html_extraction.extract(page, html_extraction.Template()) != expected[i] for i, _, page in rows)
 
 
 def test_op10_template_without_article(spark):
@@ -287,7 +315,7 @@ def test_op10_template_tokens_are_ordered_and_nested(spark):
     rows = [(k, "http://h.example/", f"<main><b>{k}</b>" + ("<i></i><u></u>" if k % 2 else "<u></u><i></i>") + "</main>") for k in range(6)]
     ship(spark)
     found = {r["host"]: r["tokens"] for r in html_extraction.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert found["h.example"] == ["<page>", "<main>", "<b>", "</b>", "</main>"]
+    assert found["h.example"] == [" <main>", "/main <b>", "/main </b>", "/main </main>", "<page>"]
 
 
 def test_empty_tables(spark):
