@@ -315,7 +315,7 @@ def test_op10_template_tokens_are_ordered_and_nested(spark):
     rows = [(k, "http://h.example/", f"<main><b>{k}</b>" + ("<i></i><u></u>" if k % 2 else "<u></u><i></i>") + "</main>") for k in range(6)]
     ship(spark)
     found = {r["host"]: r["tokens"] for r in html_extraction.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert found["h.example"] == [" <main>", "/main <b>", "/main </b>", "/main </main>", "<page>"]
+    assert found["h.example"] == ["<page>", " <main>", "/main <b>", "/main </b>", " </main>"]
 
 
 def test_empty_tables(spark):
