@@ -91,7 +91,31 @@ SELECT page_id % 7 AS query_id, page_id % 3 AS provider_ord,
 FROM {pages}
 """
 
-VIEWS = {"hits": HITS, "items": ITEMS, "votes": VOTES, "vote_dims": VOTE_DIMS, "pair_items": PAIR_ITEMS, "pair_votes": PAIR_VOTES, "qa": QA, "fx_events": EVENTS, "skills": SKILLS}
+RESULTS = """
+SELECT o_orderkey AS item_id, o_custkey AS task_id,
+       CASE o_orderkey % 5 WHEN 0 THEN 'search' WHEN 1 THEN 'music' WHEN 2 THEN 'news' WHEN 3 THEN 'default' END AS category,
+       CASE o_orderkey % 5 WHEN 0 THEN '搜索' WHEN 1 THEN '音乐' WHEN 2 THEN '新闻' WHEN 3 THEN '通用' END AS category_display,
+       CASE WHEN o_orderkey % 7 = 0 THEN 'fallback_default' ELSE 'dataset' END AS category_source,
+       CASE WHEN o_orderkey % 17 = 0 THEN 'timeout' END AS error,
+       CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 4 = 0 THEN 'right' WHEN o_orderkey % 4 = 1 THEN 'wrong'
+            WHEN o_orderkey % 4 = 2 THEN 'partial' ELSE 'unclear' END AS correctness,
+       CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE CAST(o_orderkey % 50 AS DOUBLE) / 8 END AS total,
+       CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(o_orderkey % 5 + 1 AS DOUBLE) END AS accuracy,
+       CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(o_orderkey % 4 + 1 AS DOUBLE) END AS safety,
+       CASE o_orderkey % 6 WHEN 0 THEN '事实有误' WHEN 1 THEN '计算不对' WHEN 2 THEN 'format' END AS error_type,
+       o_orderkey % 9 = 0 AS low_agreement, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 4 = 0 END AS agree,
+       o_orderkey % 3 AS a_wins, o_orderkey % 2 AS b_wins, o_orderkey % 4 AS ties, o_orderpriority AS query, o_orderstatus AS answer
+FROM {orders}
+"""
+
+SNAPSHOTS = """
+SELECT c_custkey AS task_id, CASE c_custkey % 3 WHEN 0 THEN 'single' WHEN 1 THEN 'compare' ELSE 'on line' END AS mode,
+       CASE c_custkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'done' ELSE 'error' END AS status,
+       CASE WHEN c_custkey % 4 = 3 THEN 'boom' END AS error, CAST(1700000000 + c_custkey * 3601 AS BIGINT) AS created_at
+FROM {customer}
+"""
+
+VIEWS = {"results": RESULTS, "snapshots": SNAPSHOTS, "hits": HITS, "items": ITEMS, "votes": VOTES, "vote_dims": VOTE_DIMS, "pair_items": PAIR_ITEMS, "pair_votes": PAIR_VOTES, "qa": QA, "fx_events": EVENTS, "skills": SKILLS}
 TABLES = ("part", "lineitem", "orders", "customer", "conversations", "benchmark", "events", "documents", "pages", "labels")
 
 

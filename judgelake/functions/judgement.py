@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from judgelake.functions import text as T
 
 _COMMA = re.compile(r",(\s*[}\]])")
+_NEXT = re.compile(r"\S")
 #: Keys of a dimension's object that are no sub-scores.
 NOT_SCORES = ("total", "reason")
 
@@ -33,8 +35,8 @@ def repaired(text: str) -> str:
             k += 2
             continue
         if c == '"':
-            rest = text[k + 1 : k + 200].lstrip()
-            if inside and rest and rest[0] not in ":,}]":
+            after = _NEXT.search(text, k + 1)
+            if inside and after and after[0] not in ":,}]":
                 out.append('\\"')
             else:
                 inside = not inside
@@ -46,13 +48,21 @@ def repaired(text: str) -> str:
 
 
 def _number(value: object) -> float | None:
-    return float(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else None
+    """A finite number; anything else is none."""
+    if isinstance(value, bool) or not isinstance(value, (int, float)):
+        return None
+    try:
+        number = float(value)
+    except OverflowError:
+        return None
+    return number if math.isfinite(number) else None
 
 
 def flattened(rubric: object, declared: list[str] | None = None) -> list[tuple[str, float | None, bool, str | None]]:
     """(dim, score, not applicable, reason) of each dimension. Null is not applicable; an object gives its total cut to a
     whole number or the mean of its sub-scores to the nearest even; numbers are cut; other types are left out. If as
-    many dimensions came as were declared but under other names, they are renamed by position."""
+    many dimensions have scores as were declared but under other names, the scored ones are renamed by position and the rest
+    are left out."""
     if not isinstance(rubric, dict):
         return []
     found = []
@@ -66,8 +76,9 @@ def flattened(rubric: object, declared: list[str] | None = None) -> list[tuple[s
             found.append((dim, score, score is None, reason if isinstance(reason, str) else None))
         elif (number := _number(value)) is not None:
             found.append((dim, float(int(number)), False, None))
-    if declared and {d for d, *_ in found} != set(declared) and len(found) == len(declared):
-        found = [(name, *rest) for name, (_, *rest) in zip(declared, found, strict=True)]
+    scored = [row for row in found if row[1] is not None]
+    if declared and {d for d, *_ in scored} != set(declared) and len(scored) == len(declared):
+        return [(name, *rest) for name, (_, *rest) in zip(declared, scored, strict=True)]
     return found
 
 
@@ -102,6 +113,12 @@ def parse_judgements(raw: DataFrame, id_col: str, text_col: str, declared: list[
     return raw.select(F.col(id_col).cast("long").alias("id"), T.json_body(F.col(text_col)).alias("body")).mapInPandas(run, PARSED)
 
 
+def safe_arguments(text: Column) -> Column:
+    """A tool call's arguments as JSON text; the raw text as a JSON string where it is no JSON; {} for null and empty."""
+    raw = F.coalesce(F.nullif(F.trim(text), F.lit("")), F.lit("{}"))
+    return F.when(F.try_parse_json(raw).isNotNull(), raw).otherwise(F.regexp_extract(F.to_json(F.struct(raw.alias("x"))), r'^\{"x":([\s\S]*)\}$', 1))
+
+
 def parse_variant(text: Column) -> Column:
     """JSON text as VARIANT, null where it is none: for paths whose order does not matter, inside code generation."""
     return F.try_parse_json(text)

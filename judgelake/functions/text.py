@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 # Punctuation that normalisation drops, rules for error types, characters no keyword holds.
 PUNCTUATION = r"""[，。！？；：、“”‘’（）【】《》,.!?;:"'()\[\]{}<>·…—\-+/\\|*`~@#$%^&=]"""
@@ -39,25 +44,16 @@ def exact_match(a: Column, b: Column) -> Column:
     return (normalize(a) == normalize(b)).cast("double")
 
 
-def once(make, **values: Column) -> Column:
-    """make applied to values that are computed once a row, however often its lambdas use them."""
-    held = F.array(F.struct(*(v.alias(k) for k, v in values.items())))
-    return F.get(F.transform(held, lambda x: make(**{k: x[k] for k in values})), F.lit(0))
+@F.pandas_udf(DoubleType())
+def _shared_characters(p: pd.Series, r: pd.Series) -> pd.Series:
+    """How many characters two texts share as multisets."""
+    return pd.Series([float((Counter(a) & Counter(b)).total()) for a, b in zip(p, r, strict=True)])
 
 
 def character_f1(a: Column, b: Column) -> Column:
-    """F1 of the two multisets of normalised characters; 0 if either is empty or nothing is shared.
-
-    Each distinct character costs one pass over both texts, so work is linear in length for a bounded alphabet.
-    """
-    times = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
-
-    def f1(p: Column, r: Column) -> Column:
-        distinct = F.array_distinct(F.split(p, ""))
-        shared = F.aggregate(distinct, F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(times(p, c), times(r, c))))
-        return F.when((p == "") | (r == ""), 0.0).otherwise(2.0 * shared / (F.length(p) + F.length(r)))
-
-    return once(f1, p=normalize(a), r=normalize(b))
+    """F1 of the two multisets of normalised characters; 0 if either is empty or nothing is shared."""
+    p, r = normalize(a), normalize(b)
+    return F.when((p == "") | (r == ""), 0.0).otherwise(2.0 * _shared_characters(p, r) / (F.length(p) + F.length(r)))
 
 
 def objective_label(exact: Column, f1: Column) -> Column:
@@ -72,12 +68,20 @@ def error_label(error_type: Column) -> Column:
     return out.otherwise(error_type)
 
 
-def bigrams(text: Column) -> Column:
-    """Pairs of neighbouring characters after dropping white space, punctuation and underscores; none with a stop
-    character."""
-    plain = F.regexp_replace(filled(text), r"(?U)[\s\W_]+", "")
-    pairs = once(lambda c: F.zip_with(c, F.slice(c, 2, F.greatest(F.size(c), F.lit(1))), lambda a, b: F.concat(a, b)), c=F.split(plain, ""))
-    return F.filter(pairs, lambda g: g.isNotNull() & (F.length(g) == 2) & ~g.rlike(f"[{STOP_CHARACTERS}]"))
+def top_bigrams(text: Column, most: int) -> Column:
+    """A text's most frequent pairs of neighbouring characters, after dropping white space, punctuation and underscores, that hold no
+    stop character; ties alphabetically."""
+    stop = str.maketrans(dict.fromkeys(STOP_CHARACTERS, "\n"))
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def top(plain: pd.Series) -> pd.Series:
+        def of(whole: str) -> list[str]:
+            counts = Counter(a + b for part in whole.translate(stop).split("\n") for a, b in zip(part, part[1:], strict=False))
+            return [g for _, g in heapq.nsmallest(most, ((-n, g) for g, n in counts.items()))]
+
+        return plain.map(of)
+
+    return top(F.regexp_replace(filled(text), r"(?U)[\s\W_]+", ""))
 
 
 def html_text(page: Column, most: int = 2000) -> Column:

@@ -48,15 +48,12 @@ def cards(items: DataFrame, verdicts: DataFrame, pairs: DataFrame, metas: DataFr
     return rows.select("item_id", F.substring("question", 1, 200).alias("question"), "category", "difficulty", "correctness", "total", "totals", "win_rates", "worst_rate", "objective", "agree", flags.alias("flags"))
 
 
-def advice(win_rates: DataFrame, dim_means: DataFrame, low_rate: float | None, scale: int = 5) -> list[str]:
-    """Short rules over small aggregates: lag below 0.45, lead above 0.55, dimensions under 0.6 of the scale, more than a
-    fifth of verdicts with low agreement."""
-    out = []
-    for row in win_rates.orderBy("model_b").limit(100).collect():
-        if row["win_rate"] is not None:
-            side = "behind" if row["win_rate"] < 0.45 else "ahead of" if row["win_rate"] > 0.55 else "level with"
-            out.append(f"{side} {row['model_b']} ({row['win_rate']:.1%})")
-    out += [f"weak dimension {row['dim']} ({row['mean']:.2f})" for row in dim_means.where(F.col("mean") < 0.6 * scale).orderBy("mean", "dim").limit(5).collect()]
-    if low_rate is not None and low_rate > 0.2:
-        out.append(f"judges often disagree ({low_rate:.1%})")
-    return out
+def advice_rows(win_rates: DataFrame, dim_means: DataFrame, overview: DataFrame, scale: int = 5) -> DataFrame:
+    """Rules over small aggregates as (section, key, detail, metric, value): competitors behind below 0.45, ahead above 0.55, level
+    between; the five weakest dimensions under 0.6 of the scale; more than a fifth of verdicts with low agreement."""
+    side = F.when(F.col("win_rate") < 0.45, "behind").when(F.col("win_rate") > 0.55, "ahead").otherwise("level")
+    row = lambda key, detail, metric, value: [F.lit("advice").alias("section"), key.alias("key"), detail.alias("detail"), F.lit(metric).alias("metric"), value.cast("double").alias("value")]
+    against = win_rates.where("win_rate is not null").select(*row(side, F.col("model_b"), "win_rate", F.col("win_rate")))
+    weak = dim_means.where(F.col("mean") < 0.6 * scale).orderBy("mean", "dim").limit(5).select(*row(F.lit("weak dimension"), F.col("dim"), "mean", F.col("mean")))
+    low = overview.where("low_rate > 0.2").select(*row(F.lit("judges often disagree"), F.lit(""), "low_rate", F.col("low_rate")))
+    return against.unionByName(weak).unionByName(low)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from judgelake.functions import text as T
 
@@ -50,16 +51,15 @@ def pair_jobs(items: DataFrame, answers: DataFrame, focal: str, done: DataFrame,
 
 def rubric_pivot(dims: DataFrame, names: list[str]) -> DataFrame:
     """item_id, model and one column a dimension: its score as text, N/A, or empty."""
-    cell = F.when(F.col("is_na"), "N/A").otherwise(F.coalesce(F.round("mean_score", 2).cast("string"), F.lit("")))
+    cell = F.when(F.col("is_na"), "N/A").otherwise(F.coalesce(F.bround("mean_score", 2).cast("string"), F.lit("")))
     rows = dims.withColumn("cell", cell).groupBy("item_id", "model").pivot("dim", names).agg(F.first("cell"))
     return rows.select("item_id", "model", *(F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names))
 
 
 def chart_rows(left: DataFrame, right: DataFrame, order: str) -> DataFrame:
     """Two short lists beside each other, padded to the longer: position, l and r as structs."""
-    number = lambda df, name: df.agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in df.columns if c != order]))).alias(name))
-    both = number(left, "l").crossJoin(number(right, "r"))  # one row by one row
-    return both.select(F.posexplode(F.arrays_zip("l", "r")).alias("position", "x")).select("position", "x.l", "x.r")
+    number = lambda df, name: df.select((F.row_number().over(Window.orderBy(order, *[c for c in df.columns if c != order])) - 1).alias("position"), F.struct(*df.columns).alias(name))
+    return number(left, "l").join(number(right, "r"), "position", "full")
 
 
 def run_summary(verdicts: DataFrame, items: DataFrame, metas: DataFrame, model: str, scale: int = 5) -> DataFrame:
@@ -81,8 +81,6 @@ def run_summary(verdicts: DataFrame, items: DataFrame, metas: DataFrame, model:
 def interleave(hits: DataFrame, query: str = "query_id", most: int = 10) -> DataFrame:
     """Search hits (query, provider_ord, rank, url, title, snippet) merged round robin over providers: of equal hits the
     first stays, and twice `most` remain, the feature's limit."""
-    from pyspark.sql.window import Window
-
     keyed = hits.withColumn("key", T.dedupe_key(F.col("url"), F.col("title"), F.col("snippet")))
     first = keyed.groupBy(query, "key").agg(F.min(F.struct("rank", "provider_ord", "url", "title")).alias("h"))
     rows = first.select(query, "h.rank", "h.provider_ord", "h.url", "h.title", "key")

@@ -24,11 +24,9 @@ def route(items: DataFrame, skills: DataFrame) -> DataFrame:
 
 
 def keyword_counts(texts: DataFrame, group: list[str], id_col: str, text_col: str, per_text: int = 4, per_group: int = 5) -> DataFrame:
-    """group, keyword, texts, rank: how many texts have a bigram among their most frequent ones; ties alphabetically."""
-    grams = texts.select(*group, id_col, F.explode(T.bigrams(F.col(text_col))).alias("keyword"))
-    counts = grams.groupBy(*group, id_col, "keyword").agg(F.count("*").alias("n"))
-    own = F.row_number().over(Window.partitionBy(*group, id_col).orderBy(F.desc("n"), "keyword"))
-    top = counts.withColumn("rn", own).where(F.col("rn") <= per_text).groupBy(*group, "keyword").agg(F.count("*").alias("texts"))
+    """group, keyword, texts, rank: how many texts have a bigram among their most frequent ones; ties alphabetically. A text is one
+    row (one per id), so it sends per_text rows to the shuffle."""
+    top = texts.select(*group, F.explode(T.top_bigrams(F.col(text_col), per_text)).alias("keyword")).groupBy(*group, "keyword").agg(F.count("*").alias("texts"))
     return top.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("texts"), "keyword"))).where(F.col("rank") <= per_group)
 
 

@@ -95,11 +95,72 @@ def stable_runs(frames: DataFrame, threshold: float = 0.065) -> DataFrame:
     return runs.select("video_id", "run", "start", "end", "frames", ((F.col("end") - F.col("start") <= 4.0) & F.coalesce(around, F.lit(False))).alias("transient"))
 
 
-def task_end(runs: DataFrame) -> DataFrame:
-    """video_id, end, confidence: the longest run that is not transient, ties by later end."""
-    span = F.col("end") - F.col("start")
-    best = runs.where(~F.col("transient")).groupBy("video_id").agg(F.max(F.struct(span.alias("span"), "end")).alias("b"), F.max("end").alias("last"), F.sum(span).alias("all"))
-    return best.select("video_id", "b.end", F.bround(F.coalesce(F.try_divide(F.col("b.span"), F.col("all")), F.lit(0.0)), 6).alias("confidence"))
+def _numbered(frames: DataFrame, threshold: float) -> DataFrame:
+    in_order = Window.partitionBy("video_id").orderBy("t")
+    new = F.when(rms_difference(F.lag("sig").over(in_order), F.col("sig")) >= threshold, 1).otherwise(0)
+    return frames.withColumn("new", new).withColumn("run", F.sum("new").over(in_order))
+
+
+def task_end(frames: DataFrame, threshold: float = 0.05, stable: float = 1.5, returned: float = 0.02, least: float = 0.60) -> DataFrame:
+    """video_id, end, confidence: where a recorded task ends, for videos that come back to the frame (shell) they began with and stay
+    there. Of the stable runs before the last one whose shell differs from the final one, the longest with enough confidence
+    counts, then the more confident, then the later one. frames: video_id, t, sig, shell."""
+    numbered = _numbered(frames, threshold)
+    runs = numbered.groupBy("video_id", "run").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.max_by("sig", "t").alias("sig"), F.max_by("shell", "t").alias("shell"), F.min_by("shell", "t").alias("first_shell"))
+    finals = runs.groupBy("video_id").agg(F.max_by(F.struct("run", "start", "end", "sig", "shell"), "run").alias("f"), F.min_by("first_shell", "run").alias("start_shell"))
+    lasts = F.col("f.end") - F.col("f.start")
+    finals = finals.where((rms_difference(F.col("start_shell"), F.col("f.shell")) <= returned) & (lasts >= stable)).select("video_id", "f", lasts.alias("lasts"))
+    part = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    rows = runs.join(finals, "video_id").where(F.col("run") < F.col("f.run")).withColumn("d", F.col("end") - F.col("start"))
+    rows = rows.withColumn("shell_gap", rms_difference(F.col("shell"), F.col("f.shell"))).withColumn("layout_gap", rms_difference(F.col("sig"), F.col("f.sig")))
+    confidence = 0.40 * part(F.col("d") / 8.0) + 0.20 * part((F.col("layout_gap") - 0.04) / 0.08) + 0.15 * part((F.col("shell_gap") - 0.02) / 0.08) + 0.15 * part(F.col("lasts") / 3.0) + 0.10
+    rows = rows.withColumn("confidence", confidence).where((F.col("d") >= stable) & (F.col("shell_gap") > 0.02) & (F.col("confidence") >= least))
+    best = rows.groupBy("video_id").agg(F.max(F.struct("d", "confidence", "end")).alias("b"))
+    return best.select("video_id", "b.end", "b.confidence")
+
+
+def transient_peaks(frames: DataFrame, threshold: float = 0.05, stable: float = 1.5, most: float = 4.0, back: float = 0.065, share: tuple[float, float] = (0.02, 0.55)) -> DataFrame:
+    """video_id, run, t: of each short run between two alike ones, the frame that differs most from both, if it differs from both in a
+    local part only. Earlier frames win ties."""
+    numbered = _numbered(frames, threshold)
+    runs = numbered.groupBy("video_id", "run").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.min_by("sig", "t").alias("first_sig"), F.max_by("sig", "t").alias("last_sig"))
+    by_run = Window.partitionBy("video_id").orderBy("run")
+    runs = runs.withColumn("before", F.lag("last_sig").over(by_run)).withColumn("after", F.lead("first_sig").over(by_run))
+    d = F.col("end") - F.col("start")
+    short = runs.where((d < stable) & (d <= most) & (rms_difference(F.col("before"), F.col("after")) < back)).select("video_id", "run", "before", "after")
+    near = F.least(rms_difference(F.col("sig"), F.col("before")), rms_difference(F.col("sig"), F.col("after")))
+    peaks = numbered.join(short, ["video_id", "run"]).groupBy("video_id", "run").agg(F.max(F.struct(near.alias("near"), (-F.col("t")).alias("t"), "sig", "before", "after")).alias("p"))
+    apart = lambda a: F.transform(F.zip_with(F.col("p.sig"), F.col(a), lambda x, y: F.abs(x - y)), lambda x: x >= 12 / 255)
+    both = F.size(F.filter(F.zip_with(apart("p.before"), apart("p.after"), lambda x, y: x & y), lambda x: x)) / F.size("p.sig")
+    return peaks.where((both >= share[0]) & (both <= share[1])).select("video_id", "run", (-F.col("p.t")).alias("t"))
+
+
+def uniform_plan(videos: DataFrame, most: int = 16) -> DataFrame:
+    """video_id, place, t: evenly spaced times from start to end, one a second but at most `most`. videos: video_id, start, end."""
+    n = F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.col("end") - F.col("start")).cast("int") + 1))
+    rows = videos.select("video_id", "start", "end", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("place"))
+    step = F.when(F.col("n") > 1, (F.col("end") - F.col("start")) / (F.col("n") - 1)).otherwise(0.0)
+    return rows.select("video_id", "place", (F.col("start") + F.col("place") * step).alias("t"))
+
+
+def key_frames(frames: DataFrame, gap: float = 0.25, most: int = 16) -> DataFrame:
+    """video_id, t, protected: times close together made one (by priority), frames that hardly differ made one, and then the protected
+    and the farthest ones up to `most`. Tasks' ends and peaks of transient runs are protected."""
+    ends, peaks = task_end(frames).select("video_id", F.col("end").alias("t")), transient_peaks(frames).select("video_id", "t")
+    forced = ends.unionByName(peaks).distinct().withColumn("forced", F.lit(True))
+    rows = frames.join(forced, ["video_id", "t"], "left").withColumn("protected", F.coalesce("protected", F.lit(False)) | F.coalesce("forced", F.lit(False))).drop("forced")
+    near = F.when(F.col("t") - F.lag("t").over(Window.partitionBy("video_id").orderBy("t")) <= gap, 0).otherwise(1)
+    grouped = rows.withColumn("new", near).withColumn("g", F.sum("new").over(Window.partitionBy("video_id").orderBy("t")))
+    best = F.row_number().over(Window.partitionBy("video_id", "g").orderBy(F.desc("protected"), "priority", "t"))
+    one = grouped.withColumn("rn", best).where("rn = 1").drop("rn", "g", "new")
+    return farthest_fill(strict_duplicates(one), most)
+
+
+def cache_use(requests: DataFrame, key: str, at: str, ttl: float) -> DataFrame:
+    """key, requests, fetches, hits: requests in order of time, served from a result that was fetched less than `ttl` ago."""
+    fetched = min_gap(requests, key, at, ttl).groupBy(key).agg(F.count("*").alias("fetches"))
+    asked = requests.groupBy(key).agg(F.count("*").alias("requests"))
+    return asked.join(fetched, key).select(key, "requests", "fetches", (F.col("requests") - F.col("fetches")).alias("hits"))
 
 
 def strict_duplicates(frames: DataFrame, rms: float = 0.008, changed: float = 0.01) -> DataFrame:
@@ -156,3 +217,23 @@ def fold_stream(chunks: DataFrame) -> DataFrame:
     ).where(~F.col("failed") & F.col("finish_reason").isNotNull())
     text = F.array_join(F.transform("c", lambda x: x["content"]), "")
     return by_attempt.groupBy("call_id").agg(F.max_by(F.struct(text.alias("content"), "finish_reason", "tokens"), "attempt").alias("r"), F.max("attempt").alias("attempt")).select("call_id", "attempt", "r.content", "r.finish_reason", "r.tokens")
+
+
+def fold_tool_calls(chunks: DataFrame) -> DataFrame:
+    """Pieces of tool calls (call_id, seq, index, id, name, arguments) to one row a call and index: the last id, and names and
+    arguments in order. A call's pieces are one answer."""
+    text = lambda c: F.array_join(F.transform("p", lambda x: x[c]), "")
+    piece = F.struct("seq", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("arguments", F.lit("")).alias("arguments"))
+    rows = chunks.groupBy("call_id", "index").agg(F.array_sort(F.collect_list(piece)).alias("p"), F.max_by("id", F.when(F.coalesce("id", F.lit("")) != "", F.col("seq"))).alias("id"))
+    return rows.select("call_id", "index", "id", text("name").alias("name"), text("arguments").alias("arguments"))
+
+
+# Reasons to finish that are failures of the service, and those that withhold the answer.
+ABORTED = ("aborted", "abort", "cancelled", "canceled", "error", "failed", "server_error")
+BLOCKED = ("blocked", "content_filter", "content_filtered", "safety", "prohibited_content")
+
+
+def stream_outcome(choices: Column, finish_reason: Column) -> Column:
+    """ok, or why a stream's answer cannot be used: no_choice, retry, blocked, unfinished."""
+    reason = F.lower(F.trim(F.coalesce(finish_reason, F.lit(""))))
+    return F.when(choices == 0, "no_choice").when(reason.isin(*ABORTED), "retry").when(reason.isin(*BLOCKED), "blocked").when(reason == "", "unfinished").otherwise("ok")

@@ -129,7 +129,7 @@ SELECTS = {
     "jobs_todo": "SELECT i.item_id, m.model FROM items i CROSS JOIN (VALUES ('m0'), ('m1'), ('m2'), ('m3')) m(model) WHERE NOT EXISTS (SELECT 1 FROM votes v WHERE v.item_id = i.item_id AND v.model = m.model AND correctness <> 'unclear')",
     "pair_jobs": "SELECT i.item_id, 'm0' AS model_a, b.model AS model_b FROM items i JOIN (SELECT DISTINCT item_id, model FROM votes WHERE NOT used_search) a ON i.item_id = a.item_id JOIN (SELECT DISTINCT item_id, model FROM votes WHERE NOT used_search) b ON i.item_id = b.item_id WHERE NOT i.has_ref AND a.model = 'm0' AND b.model <> 'm0' AND NOT EXISTS (SELECT 1 FROM pair_results p WHERE p.item_id = i.item_id AND p.model_b = b.model)",
     "latest_answers": "SELECT item_id, model, answer, error, seq, ok FROM (SELECT *, row_number() OVER (PARTITION BY item_id, model ORDER BY ok DESC, seq DESC) AS rn FROM (SELECT *, error IS NULL AND answer <> '' AS ok FROM (SELECT user_id AS item_id, event_type AS model, CASE WHEN value > 5 THEN CAST(event_id AS VARCHAR) ELSE '' END AS answer, CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 'timeout' END AS error, event_id AS seq FROM events) a) b) c WHERE rn = 1",
-    "rubric_pivot": "SELECT item_id, model, " + ", ".join(f"coalesce(max(CASE WHEN dim = '{d}' THEN CASE WHEN is_na THEN 'N/A' ELSE coalesce(CAST(round(mean_score, 2) AS VARCHAR), '') END END), '') AS {d}" for d in ("accuracy", "completeness", "safety")) + " FROM dims GROUP BY item_id, model",
+    "rubric_pivot": "SELECT item_id, model, " + ", ".join(f"coalesce(max(CASE WHEN dim = '{d}' THEN CASE WHEN is_na THEN 'N/A' ELSE coalesce(CAST(round_even(mean_score, 2) AS VARCHAR), '') END END), '') AS {d}" for d in ("accuracy", "completeness", "safety")) + " FROM dims GROUP BY item_id, model",
     "search_merge": "SELECT query_id, place, rank, provider_ord, key FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, provider_ord, key) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, key ORDER BY rank, provider_ord) AS rn FROM (SELECT *, CASE WHEN trim(coalesce(url, '')) <> '' THEN trim(url) ELSE lower(substring(title || snippet, 1, 60)) END AS key FROM hits) a) b WHERE rn = 1) c WHERE place <= 20",
     "prompts": f"SELECT item_id, CAST(length({_PROMPT}) AS BIGINT) AS n_chars, sha256({_PROMPT}) AS prompt_sha256 FROM qa",
     "text_ingest": f"SELECT item_id AS line, CASE WHEN k > 0 THEN sha256({_strip('question')}) END AS query_sha, CASE WHEN k > 0 THEN sha256({_strip('answer')}) END AS answer_sha, CASE WHEN k > 1 AND {_strip('reference')} <> '' THEN sha256({_strip('reference')}) END AS reference_sha, CAST(NULL AS VARCHAR) AS competitor, CASE WHEN k = 1 THEN 'seen' END AS context, k = 0 AS failed FROM (SELECT *, item_id % 4 AS k FROM qa) a",
@@ -140,6 +140,5 @@ SELECTS = {
     "stream_fold": "SELECT doc_id AS call_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS INT) AS attempt, 'stop' AS finish_reason, CAST(length(coalesce(text, '')) AS BIGINT) AS tokens, sha256(coalesce(text, '')) AS content_sha256 FROM documents",
     "frame_sessions": "SELECT user_id, CAST(session AS BIGINT) AS session, min(us) AS first, max(us) AS last, count(*) AS n, arg_min(us, event_id) AS kept FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us, event_id) AS session FROM (SELECT user_id, event_id, us, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) > 43200000000 THEN 1 ELSE 0 END AS new FROM (SELECT user_id, event_id, epoch_us(ts) AS us FROM events) a) b) c GROUP BY user_id, session",
     "stable_runs": "SELECT video_id, run, \"start\", \"end\", frames, transient FROM stable",
-    "task_end": "SELECT video_id, arg_max(\"end\", (\"end\" - \"start\") * 1e9 + \"end\") AS \"end\", round(coalesce(max(\"end\" - \"start\") / nullif(sum(\"end\" - \"start\"), 0), 0.0), 6) AS confidence FROM stable WHERE NOT transient GROUP BY video_id",
 }
 ORACLES = {name: oracle(select) for name, select in SELECTS.items()}

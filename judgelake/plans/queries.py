@@ -2,59 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from judgelake import scoring
-from judgelake.fixtures import frame, table
 from judgelake.functions import judgement
 from judgelake.functions import text as T
 from judgelake.operators import calibration, cases, jobs, pairs, skills, slices, timeline, votes
+from judgelake.plans.views import DIMS, FOCAL, KEPT_EVENTS, Views, frames, micros, query
 from judgelake.sources import files
 from judgelake.streaming import progress
 
-FOCAL = "m0"
-DIMS = ["accuracy", "completeness", "safety"]
-#: Fewer than any item's events at the sizes at hand, so that the bound acts.
-KEPT_EVENTS = 50
-
-
-class Views:
-    """Intermediate results of one data folder; each is a lazy plan."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __getattr__(self, view: str) -> DataFrame:
-        return frame(self.spark, self.sf_dir, view)
-
-    def table(self, name: str) -> DataFrame:
-        return table(self.spark, self.sf_dir, name)
-
-    def dims(self) -> DataFrame:
-        return votes.verdict_dims(self.vote_dims)
-
-    def weights(self) -> DataFrame:
-        return self.vote_dims.select("dim", "weight").distinct()
-
-    def verdicts(self) -> DataFrame:
-        return votes.verdicts(self.votes, self.dims(), self.weights())
-
-    def pairs(self) -> DataFrame:
-        return pairs.pair_results(self.pair_votes)
-
-    def metas(self) -> DataFrame:
-        return calibration.metas(self.qa, self.verdicts())
-
-    def routed(self) -> DataFrame:
-        return skills.route(self.items, self.skills)
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that engines that add in another order agree."""
-    return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
-
-
 def _arbitrated(v: Views) -> DataFrame:
     given = v.items.select(F.col("item_id"), F.explode(F.array(F.lit("m0"), F.lit("m1"))).alias("model"), F.lit("right").alias("correctness"), (F.col("item_id") % 5 + 1).cast("double").alias("total"), F.lit(0.8).alias("confidence"))
     return votes.arbitrated(v.verdicts(), given.where(F.col("item_id") % 3 == 0))
@@ -126,20 +84,11 @@ def _stream_fold(v: Views) -> DataFrame:
     return timeline.fold_stream(chunks).select("call_id", "attempt", "finish_reason", "tokens", F.sha2("content", 256).alias("content_sha256"))
 
 
-def _micros() -> F.Column:
-    return F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
-
-
 def _sessions(v: Views) -> DataFrame:
-    rows = v.table("events").select("user_id", (_micros()).alias("at"), "event_id")
+    rows = v.table("events").select("user_id", (micros()).alias("at"), "event_id")
     return timeline.sessions(rows, "user_id", "at", 12 * 3_600_000_000, "event_id")
 
 
-def _frames(v: Views) -> DataFrame:
-    sig = F.array((F.col("event_id") % 4) / 40.0, F.floor(F.col("event_id") / 50) % 2 / 2.0)
-    return v.table("events").select(F.col("user_id").alias("video_id"), F.col("event_id").cast("double").alias("t"), sig.alias("sig"), (F.col("event_type") == "signup").alias("protected"), (F.col("event_id") % 3).alias("priority"), F.col("value").alias("novelty"))
-
-
 def _label_match(v: Views) -> DataFrame:
     k = F.col("item_id") % 5
     said = F.when(k == 0, " search ").when(k == 1, "perhaps music or news?").when(k == 2, "无法归类").when(k == 3, "属于新闻类").otherwise("?")
@@ -167,15 +116,8 @@ def _progress_stream(v: Views) -> DataFrame:
     return rows.join(newest, ["item_id", "batch"]).drop("batch")
 
 
-def _query(build, digits: int = 6):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(build(Views(spark, sf_dir)), digits)
-
-    return run
-
-
 QUERIES = {
-    name: _query(build)
+    name: query(build)
     for name, build in {
         "verdict_dims": lambda v: v.dims(),
         "verdicts": lambda v: v.verdicts(),
@@ -224,10 +166,10 @@ QUERIES = {
         "progress_status": lambda v: timeline.progress_status(v.fx_events),
         "stream_fold": _stream_fold,
         "frame_sessions": _sessions,
-        "min_gap_dedupe": lambda v: timeline.min_gap(v.table("events").select("user_id", (_micros() / 1e6).alias("at")), "user_id", "at", 6 * 3600.0),
-        "stable_runs": lambda v: timeline.stable_runs(_frames(v)),
-        "task_end": lambda v: timeline.task_end(timeline.stable_runs(_frames(v))),
-        "strict_duplicates": lambda v: timeline.strict_duplicates(_frames(v)),
-        "farthest_fill": lambda v: timeline.farthest_fill(_frames(v), 16),
+        "min_gap_dedupe": lambda v: timeline.min_gap(v.table("events").select("user_id", (micros() / 1e6).alias("at")), "user_id", "at", 6 * 3600.0),
+        "stable_runs": lambda v: timeline.stable_runs(frames(v)),
+        "task_end": lambda v: timeline.task_end(frames(v), 0.065),
+        "strict_duplicates": lambda v: timeline.strict_duplicates(frames(v)),
+        "farthest_fill": lambda v: timeline.farthest_fill(frames(v), 16),
     }.items()
 }

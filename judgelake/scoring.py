@@ -6,19 +6,19 @@ the job. Results should be written before they are aggregated, so that a lost ex
 
 from __future__ import annotations
 
-import ast
-import operator
+import math
+import re
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 SCORED = "item_id long, correctness string, total double, error string"
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
-_BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod, ast.Pow: operator.pow}
-
 
 def offline_scorer(frame: pd.DataFrame) -> pd.DataFrame:
     """Scores an answer by its share of distinct words and its length against the question's; depends on nothing else."""
@@ -46,22 +46,79 @@ def score(prompts: DataFrame, scorer: Scorer = offline_scorer, per_minute: float
     return prompts.mapInPandas(run, SCORED)
 
 
-def calculate(expression: str, most_digits: int = 300) -> float | int:
-    """Arithmetic of numbers and + - * / // % ** with bounded powers; ValueError otherwise."""
-
-    def value(node: ast.AST) -> float | int:
-        if isinstance(node, ast.Constant) and isinstance(node.value, (int, float)) and not isinstance(node.value, bool):
-            return node.value
-        if isinstance(node, ast.UnaryOp) and isinstance(node.op, (ast.UAdd, ast.USub)):
-            return value(node.operand) if isinstance(node.op, ast.UAdd) else -value(node.operand)
-        if isinstance(node, ast.BinOp) and type(node.op) in _BINARY:
-            left, right = value(node.left), value(node.right)
-            if isinstance(node.op, ast.Pow) and (abs(right) > 1000 or abs(right) * len(str(abs(left))) > most_digits):
-                raise ValueError("power too large")
-            return _BINARY[type(node.op)](left, right)
-        raise ValueError("not arithmetic")
-
-    try:
-        return value(ast.parse(expression, mode="eval").body)
-    except (SyntaxError, ZeroDivisionError, OverflowError, RecursionError) as error:
-        raise ValueError(str(error)) from error
+_PIECE = re.compile(r"\s*(\d+\.\d*|\.\d+|\d+|\*\*|//|[-+*/%()])")
+
+
+def arithmetic(text: str, most_digits: int = 300) -> float:
+    """The value of numbers with + - * / // % ** and brackets, powers binding from the right; ValueError for anything else, for a
+    division by zero and for powers of more than `most_digits` digits."""
+    pieces, at = [], 0
+    while at < len(text.rstrip()):
+        found = _PIECE.match(text, at)
+        if not found:
+            raise ValueError(f"not arithmetic at {at}")
+        pieces.append(found[1])
+        at = found.end()
+    pieces.append("")
+    values: list[float] = []
+    pending: list[str] = []
+    rank = {"(": 0, "+": 1, "-": 1, "*": 2, "/": 2, "//": 2, "%": 2, "neg": 3, "**": 4}
+
+    def apply() -> None:
+        name = pending.pop()
+        if name == "(":
+            raise ValueError("bracket left open")
+        if name == "neg":
+            values[-1] = -values[-1]
+            return
+        b, a = values.pop(), values.pop()
+        if name == "**" and abs(a) > 1 and abs(b) * math.log10(abs(a)) > most_digits:
+            raise ValueError("power too large")
+        try:
+            values.append({"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: a / b, "//": lambda: a // b, "%": lambda: a % b, "**": lambda: a**b}[name]())
+        except ArithmeticError as error:
+            raise ValueError(str(error)) from error
+
+    operand = True  # whether a number or a bracket is due
+    for piece in pieces:
+        if operand:
+            if piece == "-":
+                pending.append("neg")
+            elif piece == "(":
+                pending.append("(")
+            elif piece[:1].isdigit() or piece[:1] == ".":
+                values.append(float(piece) if "." in piece else int(piece))
+                operand = False
+            elif piece != "+":
+                raise ValueError("number missing")
+        elif piece == ")" or not piece:
+            while pending and pending[-1] != "(":
+                apply()
+            if bool(pending) != (piece == ")"):
+                raise ValueError("brackets do not match")
+            if piece:
+                pending.pop()
+        elif piece in rank and piece != "(":
+            while pending and (rank[pending[-1]] > rank[piece] or (rank[pending[-1]] == rank[piece] and piece != "**")):
+                apply()
+            pending.append(piece)
+            operand = True
+        else:
+            raise ValueError("operator missing")
+    if isinstance(values[0], complex):
+        raise ValueError("not a real number")
+    return float(values[0])
+
+
+@F.pandas_udf(DoubleType())
+def evaluated(text: pd.Series) -> pd.Series:
+    """The value of each text's arithmetic; null where it has none."""
+
+    def one(expression: str | None) -> float | None:
+        try:
+            value = arithmetic(expression or "")
+            return value if math.isfinite(value) else None
+        except (ValueError, OverflowError):
+            return None
+
+    return pd.Series([one(x) for x in text], dtype="float64")

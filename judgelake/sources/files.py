@@ -44,6 +44,38 @@ def overwrite(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
+def save_run(folder: str, **tables: DataFrame) -> None:
+    """A run's tables, each its own store under the folder; repeated saves replace them."""
+    for name, rows in tables.items():
+        overwrite(rows, f"{folder}/{name}")
+
+
+def load_run(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
+    """A saved run's tables: what reports need, without judging again."""
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in names}
+
+
+def run_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """run, files, bytes: the runs under a folder (`<run>/...`) with their files, newest name first; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    relative = F.regexp_extract("path", r".*?" + folder.split(":")[-1].rstrip("/").replace(".", r"\.") + r"/([^/]+)/", 1)
+    return files.select(relative.alias("run"), "length").where("run <> ''").groupBy("run").agg(F.count("*").alias("files"), F.sum("length").alias("bytes")).orderBy(F.desc("run"))
+
+
+def final_output(rounds: Column) -> Column:
+    """The last content of a call's rounds (array of content) that is not empty; empty if there is none."""
+    said = F.filter(rounds, lambda r: F.coalesce(r["content"], F.lit("")) != "")
+    return F.coalesce(F.get(said, F.size(said) - 1)["content"], F.lit(""))
+
+
+def allowed_path(path: Column, roots: list[str], suffixes: tuple[str, ...] = ("mp4", "mov", "webm", "mkv", "avi")) -> Column:
+    """Whether a path is an absolute one under one of the roots, without steps back, and ends like a video."""
+    under = F.lit(False)
+    for root in roots:
+        under = under | path.startswith(root.rstrip("/") + "/")
+    return F.coalesce(under & ~path.rlike(r"(^|/)\.\.?(/|$)") & F.lower(path).rlike(r"\.(" + "|".join(suffixes) + ")$"), F.lit(False))
+
+
 def pasted(lines: DataFrame, mode: str, line_col: str = "value", number_col: str = "line") -> DataFrame:
     """Lines `query ||| field ...` with their numbers: line, the mode's fields, context, error.
 
@@ -91,8 +123,46 @@ def manifest(lines: DataFrame, default_start: float = 7.0) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value) of one text file, numbered from 1 across its partitions."""
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0]))
-    return spark.createDataFrame(rows, "line long, value string")
+    rows = spark.read.text(path).select("value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"))
+    sizes = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row a partition
+    before, starts = 0, []
+    for part in sorted(sizes):
+        starts.append((part, before))
+        before += sizes[part]
+    first = spark.createDataFrame(starts, "part int, before long")
+    return rows.join(F.broadcast(first), "part").select((F.col("before") + F.col("id") % (1 << 33) + 1).alias("line"), "value")
+
+
+def manifest_of(lines: DataFrame, mode: str) -> DataFrame:
+    """Lines of JSON (value, line) for the modes single, compare, online and process: line, query, context, the mode's fields,
+    reference, category, error. Blank lines are left out."""
+    v = F.try_parse_json("value")
+    needed = {"single": ("answer",), "compare": ("answer_a", "answer_b"), "online": (), "process": ("answer", "trace")}[mode]
+    names = {"answer_a": ("answer_a", "answerA"), "answer_b": ("answer_b", "answerB")}
+    text = lambda *keys: F.coalesce(*(F.nullif(F.trim(F.try_variant_get("v", f"$.{k}", "string")), F.lit("")) for k in keys))
+    rows = lines.where(F.trim("value") != "").select("line", v.alias("v"))
+    kind = F.schema_of_variant(F.col("v"))
+    context = F.try_variant_get("v", "$.context", "variant")
+    odd = context.isNotNull() & ~F.schema_of_variant(context).isin("STRING", "VOID")
+    rows = rows.select(
+        "line", (F.col("v").isNull() | ~kind.startswith("OBJECT")).alias("bad"), text("question", "query").alias("query"), F.when(~odd, text("context")).alias("context"), F.coalesce(odd, F.lit(False)).alias("odd"),
+        *(text(*names.get(n, (n,))).alias(n) for n in needed), *([text("competitor").alias("competitor")] if mode == "single" else []), text("reference").alias("reference"), text("category").alias("category"),
+    )
+    error = F.when(F.col("bad"), "not a JSON object").when(F.col("query").isNull(), "no question").when(F.col("odd"), "context must be text")
+    for name in needed:
+        error = error.when(F.col(name).isNull(), f"no {name}")
+    return rows.withColumn("error", error).drop("bad", "odd")
+
+
+def settings_from_yaml(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Models, judges or rubrics of a small configuration file as a table: name, ord, weight, and the rest as JSON."""
+    import json
+
+    import yaml
+
+    found = (yaml.safe_load(Path(path).read_text("utf-8")) or {}).get(kind) or []
+    rows = [(str(e["name"]), k, float(e.get("weight", 1.0)), json.dumps({a: b for a, b in e.items() if a not in ("name", "weight")}, ensure_ascii=False, sort_keys=True)) for k, e in enumerate(found)]
+    return spark.createDataFrame(rows, "name string, ord int, weight double, settings string")
 
 
 def skills_from_yaml(spark: SparkSession, folder: str) -> DataFrame:
