@@ -13,7 +13,7 @@ FAILED_SHEET, INTERRUPTED = "评估失败", "服务中断，已保留中断前
 
 
 def result_rows(verdicts: DataFrame, votes: DataFrame, reasons: DataFrame) -> DataFrame:
-    """One row per verdict: total to two digits (halves to even), any use of search, and the rationale of the first judge with the
+    """One row per verdict: total to two digits (halves of its first six to even), any use of search, and the rationale of the first judge with the
     dimensions' reasons behind it. votes: item_id, model, judge, run_idx, rationale, used_search, truncated; reasons: item_id,
     model, dim, dim_ord, reason (null or empty: none)."""
     keys = ["item_id", "model"]
@@ -24,7 +24,7 @@ def result_rows(verdicts: DataFrame, votes: DataFrame, reasons: DataFrame) -> Da
     rows = verdicts.join(said, keys, "left").join(why, keys, "left")
     rationale = F.concat_ws("  ||  ", F.nullif("rationale", F.lit("")), "why")
     return rows.select(
-        *keys, "correctness", F.bround("total", 2).alias("total"), F.coalesce("error_type", F.lit("")).alias("error_type"), rationale.alias("rationale"),
+        *keys, "correctness", F.bround(F.round("total", 6), 2).alias("total"), F.coalesce("error_type", F.lit("")).alias("error_type"), rationale.alias("rationale"),
         F.coalesce("used_search", F.lit(False)).alias("used_search"), F.coalesce("truncated", F.lit(False)).alias("truncated"), "low_agreement",
     )
 

@@ -21,18 +21,16 @@ def overview(verdicts: DataFrame, by: list[str], scale: int = 5) -> DataFrame:
 
 
 def overview_by_slices(verdicts: DataFrame, items: DataFrame, scale: int = 5) -> DataFrame:
-    """model, slice (all, category, difficulty, has_ref), value and the overview's measures, in one pass with grouping
-    sets. An array of categories counts an item in each of them; the other slices count it once."""
+    """model, slice (all, category, difficulty, has_ref), value and the overview's measures, in one pass over (slice, value) pairs. An
+    array of categories counts an item in each of them; the other slices count it once."""
     category = F.col("category") if dict(items.dtypes)["category"].startswith("array") else F.array("category")
-    rows = verdicts.join(items.select("item_id", category.alias("categories"), "difficulty", "has_ref"), "item_id")
-    rows = rows.withColumn("ref", F.when(F.col("has_ref"), "with reference").otherwise("without reference"))
-    once = rows.groupingSets([["model"], ["model", "difficulty"], ["model", "ref"]], "model", "difficulty", "ref").agg(F.grouping_id().alias("g"), *_measures(scale))
-    kind = F.when(F.col("g") == 3, "all").when(F.col("g") == 1, "difficulty").otherwise("has_ref")
-    value = F.when(F.col("g") == 3, "all").when(F.col("g") == 1, F.col("difficulty")).otherwise(F.col("ref"))
-    names = ["n", "mean_total", "norm_mean", *(f"{c}_n" for c in LABELS), "low_rate"]
-    once = once.select("model", kind.alias("slice"), value.alias("value"), *names)
-    several = rows.withColumn("value", F.explode("categories")).groupBy("model", "value").agg(*_measures(scale))
-    return once.unionByName(several.select("model", F.lit("category").alias("slice"), "value", *names))
+    pair = lambda name, value: F.struct(F.lit(name).alias("slice"), value.alias("value"))
+    ref = F.when(F.col("has_ref"), "with reference").otherwise("without reference")
+    once = F.array(pair("all", F.lit("all")), pair("difficulty", F.col("difficulty")), pair("has_ref", ref))
+    several = F.transform(F.coalesce(category, F.array().cast("array<string>")), lambda c: pair("category", c))
+    rows = verdicts.join(items.select("item_id", F.concat(once, several).alias("slices")), "item_id")
+    rows = rows.select("model", "total", "correctness", "low_agreement", F.explode("slices").alias("s")).select("model", "total", "correctness", "low_agreement", "s.slice", "s.value")
+    return rows.groupBy("model", "slice", "value").agg(*_measures(scale))
 
 
 def dim_means(verdicts: DataFrame, dims: DataFrame, by: list[str]) -> DataFrame:

@@ -58,22 +58,45 @@ def weighted_totals(dims: DataFrame, weights: DataFrame | None = None) -> DataFr
 
 
 def low_agreement(agreement: Column, repeat_std: Column, threshold: float, scale: int) -> Column:
-    return (agreement < threshold) | (repeat_std > 0.15 * scale + 0.3)
+    """A deviation that is above the bound by rounding only is not above it."""
+    return (agreement < threshold) | (F.round(repeat_std, 9) > round(0.15 * scale + 0.3, 9))
+
+
+def _top(histogram: Column, field: str) -> Column:
+    """From an array of structs with counts n: (winner, null on a tie; top count; votes) over the values of a field that are there."""
+    there = F.filter(histogram, lambda x: x[field].isNotNull() & (x[field] != ""))
+    total = lambda rows: F.aggregate(rows, F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    values = F.array_distinct(F.transform(there, lambda x: x[field]))
+    counts = F.transform(values, lambda v: F.struct(total(F.filter(there, lambda x: x[field] == v)).alias("n"), v.alias("v")))
+    top = F.array_max(F.transform(counts, lambda c: c["n"]))
+    best = F.filter(counts, lambda c: c["n"] == top)
+    return F.struct(F.when(F.size(best) == 1, F.get(best, F.lit(0))["v"]).alias("winner"), top.alias("top"), total(there).alias("votes"))
 
 
 def verdicts(votes: DataFrame, dims: DataFrame, weights: DataFrame | None = None, threshold: float = 0.6, scale: int = 5) -> DataFrame:
     """One row per (item_id, model): total, correctness, error_type, agreement, repeat_std, n_judges, low_agreement.
 
     Ties make correctness 'unclear' and error_type null. repeat_std is the mean over judges with more than one run of
-    the population deviation of their totals, 0 without such judges.
+    the population deviation of their totals, 0 without such judges. Votes are counted by judge, label and error (combined
+    before the shuffle); a cell then gathers these few counts, so its votes never meet in one row.
     """
-    label = majority(votes, CELL, "correctness").select(*CELL, F.coalesce("winner", F.lit("unclear")).alias("correctness"), (F.col("top") / F.col("votes")).alias("agreement"))
-    error = majority(votes.where("error_type <> ''"), CELL, "error_type").select(*CELL, F.col("winner").alias("error_type"))
-    judges = votes.groupBy(*CELL, "judge").agg(F.count("*").alias("runs"), F.stddev_pop("total").alias("std"))
-    judges = judges.groupBy(*CELL).agg(F.count("*").alias("n_judges"), F.coalesce(F.avg(F.when(F.col("runs") > 1, F.col("std"))), F.lit(0.0)).alias("repeat_std"))
-    rows = label.join(judges, CELL).join(error, CELL, "left").join(weighted_totals(dims, weights), CELL, "left")
+    square = F.col("total") * F.col("total")
+    cells = votes.groupBy(*CELL, "judge", "correctness", "error_type").agg(F.count("*").alias("n"), F.count("total").alias("k"), F.sum("total").alias("s"), F.sum(square).alias("q"))
+    rows = cells.groupBy(*CELL).agg(F.collect_list(F.struct("judge", "correctness", "error_type", "n", "k", "s", "q")).alias("h"))
+    judges = F.array_distinct(F.transform("h", lambda x: x["judge"]))
+    add = lambda rows, field: F.aggregate(rows, F.lit(0.0), lambda a, x: a + F.coalesce(x[field], F.lit(0)).cast("double"))
+
+    def spread(judge: Column) -> Column:
+        mine = F.filter("h", lambda x: x["judge"].eqNullSafe(judge))
+        k = add(mine, "k")
+        return F.when((add(mine, "n") > 1) & (k > 0), F.sqrt(F.greatest(F.lit(0.0), add(mine, "q") / k - (add(mine, "s") / k) * (add(mine, "s") / k))))
+
+    spreads = F.filter(F.transform(judges, spread), lambda x: x.isNotNull())
+    repeat_std = F.coalesce(F.try_divide(F.aggregate(spreads, F.lit(0.0), lambda a, x: a + x), F.size(spreads)), F.lit(0.0))
+    rows = rows.select(*CELL, _top(F.col("h"), "correctness").alias("c"), _top(F.col("h"), "error_type")["winner"].alias("error_type"), F.size(judges).cast("long").alias("n_judges"), repeat_std.alias("repeat_std"))
+    rows = rows.join(weighted_totals(dims, weights), CELL, "left").withColumn("agreement", F.col("c.top") / F.col("c.votes"))
     return rows.select(
-        *CELL, F.coalesce("rubric_total", F.lit(0.0)).alias("total"), "correctness", "error_type", "agreement", "repeat_std", "n_judges",
+        *CELL, F.coalesce("rubric_total", F.lit(0.0)).alias("total"), F.coalesce("c.winner", F.lit("unclear")).alias("correctness"), "error_type", "agreement", "repeat_std", "n_judges",
         low_agreement(F.col("agreement"), F.col("repeat_std"), threshold, scale).alias("low_agreement"),
     )
 

@@ -35,7 +35,7 @@ STEPS: dict[str, str] = {
     "labels_": "SELECT item_id, model, CASE WHEN count(*) FILTER (WHERE c = top) = 1 THEN max(correctness) FILTER (WHERE c = top) ELSE 'unclear' END AS correctness, max(c) / CAST(sum(c) AS DOUBLE) AS agreement FROM (SELECT *, max(c) OVER (PARTITION BY item_id, model) AS top FROM (SELECT item_id, model, correctness, count(*) AS c FROM votes GROUP BY item_id, model, correctness) a) b GROUP BY item_id, model",
     "errors_": "SELECT item_id, model, CASE WHEN count(*) FILTER (WHERE c = top) = 1 THEN max(error_type) FILTER (WHERE c = top) END AS error_type FROM (SELECT *, max(c) OVER (PARTITION BY item_id, model) AS top FROM (SELECT item_id, model, error_type, count(*) AS c FROM votes WHERE error_type IS NOT NULL GROUP BY item_id, model, error_type) a) b GROUP BY item_id, model",
     "judges_": "SELECT item_id, model, count(*) AS n_judges, coalesce(avg(CASE WHEN runs > 1 THEN std END), 0.0) AS repeat_std FROM (SELECT item_id, model, judge, count(*) AS runs, stddev_pop(total) AS std FROM votes GROUP BY item_id, model, judge) a GROUP BY item_id, model",
-    "verdicts": "SELECT l.item_id, l.model, coalesce(t.total, 0.0) AS total, l.correctness, e.error_type, l.agreement, j.repeat_std, j.n_judges, l.agreement < CAST(0.6 AS DOUBLE) OR j.repeat_std > CAST(1.05 AS DOUBLE) AS low_agreement FROM labels_ l JOIN judges_ j ON l.item_id = j.item_id AND l.model = j.model LEFT JOIN errors_ e ON l.item_id = e.item_id AND l.model = e.model LEFT JOIN totals t ON l.item_id = t.item_id AND l.model = t.model",
+    "verdicts": "SELECT l.item_id, l.model, coalesce(t.total, 0.0) AS total, l.correctness, e.error_type, l.agreement, j.repeat_std, j.n_judges, l.agreement < CAST(0.6 AS DOUBLE) OR round(j.repeat_std, 9) > CAST(1.05 AS DOUBLE) AS low_agreement FROM labels_ l JOIN judges_ j ON l.item_id = j.item_id AND l.model = j.model LEFT JOIN errors_ e ON l.item_id = e.item_id AND l.model = e.model LEFT JOIN totals t ON l.item_id = t.item_id AND l.model = t.model",
     "pv": "SELECT *, CASE WHEN pres_order = 'ba' AND raw_winner = 'a' THEN 'b' WHEN pres_order = 'ba' AND raw_winner = 'b' THEN 'a' ELSE raw_winner END AS w FROM pair_votes",
     "sides": "SELECT item_id, model_a, model_b, pres_order, CASE WHEN count(*) FILTER (WHERE c = top) = 1 THEN max(w) FILTER (WHERE c = top) END AS best FROM (SELECT *, max(c) OVER (PARTITION BY item_id, model_a, model_b, pres_order) AS top FROM (SELECT item_id, model_a, model_b, pres_order, w, count(*) AS c FROM pv GROUP BY ALL) a) b GROUP BY item_id, model_a, model_b, pres_order",
     "sums": "SELECT item_id, model_a, model_b, count(*) FILTER (WHERE w = 'a') AS a_wins, count(*) FILTER (WHERE w = 'b') AS b_wins, count(*) FILTER (WHERE w = 'tie') AS ties FROM pv GROUP BY item_id, model_a, model_b",

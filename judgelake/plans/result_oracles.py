@@ -9,6 +9,8 @@ from judgelake.plans.oracles import SELECTS as CORE
 
 _DIM_ORD = "CASE dim WHEN 'accuracy' THEN 1 WHEN 'completeness' THEN 2 ELSE 3 END"
 _CELL = lambda x: f"CAST(round_even({x}, 2) AS VARCHAR)"
+_MILLIONTHS = "CAST(round(v.total * 1000000) AS BIGINT)"
+_HALF_EVEN = f"({_MILLIONTHS} // 10000 + CASE WHEN {_MILLIONTHS} % 10000 > 5000 OR ({_MILLIONTHS} % 10000 = 5000 AND {_MILLIONTHS} // 10000 % 2 = 1) THEN 1 ELSE 0 END) / 100.0"
 _JUDGED = "FROM results WHERE error IS NULL AND correctness IS NOT NULL"
 _WEB = f"""SELECT s.*, coalesce(f.label, '—') AS first_cluster, CAST(round_even(n * fallback_share, 0) AS BIGINT) AS fallback_count FROM (
   SELECT coalesce(category, 'default') AS skill, count(*) AS n, count(*) FILTER (WHERE correctness = 'right') AS right_n, count(*) FILTER (WHERE correctness <> 'right') AS problem_n,
@@ -98,7 +100,7 @@ UNION ALL SELECT task_id, 3, NULL, 0 FROM (SELECT e.task_id, count(DISTINCT e.it
 })
 
 SELECTS = {
-    "result_rows": f"""SELECT v.item_id, v.model, correctness, round_even(v.total, 2) AS total, coalesce(error_type, '') AS error_type, concat_ws('  ||  ', rationale, why) AS rationale, used_search, truncated, low_agreement FROM verdicts v
+    "result_rows": f"""SELECT v.item_id, v.model, correctness, {_HALF_EVEN} AS total, coalesce(error_type, '') AS error_type, concat_ws('  ||  ', rationale, why) AS rationale, used_search, truncated, low_agreement FROM verdicts v
 JOIN (SELECT item_id, model, 'judged ' || arg_min(correctness, judge || lpad(CAST(run_idx AS VARCHAR), 9, '0')) AS rationale, bool_or(used_search) AS used_search, bool_or(total > 4) AS truncated FROM votes GROUP BY item_id, model) a ON v.item_id = a.item_id AND v.model = a.model
 LEFT JOIN (SELECT item_id, model, string_agg(dim || '：' || CASE WHEN mean_score <= 2 THEN 'low' ELSE 'fine' END, ' ｜ ' ORDER BY {_DIM_ORD}) AS why FROM dims WHERE NOT is_na GROUP BY item_id, model) b ON v.item_id = b.item_id AND v.model = b.model""",
     "wide_rubric": f"SELECT item_id, coalesce({_CELL('accuracy')}, '') AS score_accuracy, CASE WHEN item_id % 2 = 0 THEN 'accuracy even' ELSE '' END AS reason_accuracy, CASE WHEN item_id % 13 = 0 THEN 'N/A' ELSE coalesce({_CELL('safety')}, '') END AS score_safety, CASE WHEN item_id % 13 <> 0 AND item_id % 2 = 0 THEN 'safety even' ELSE '' END AS reason_safety FROM results",

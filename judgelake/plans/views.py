@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from judgelake.fixtures import frame, table
 from judgelake.operators import calibration, pairs, skills, votes
+from judgelake.shipping import shared_dir
+from judgelake.sources import files
 
 FOCAL = "m0"
 DIMS = ["accuracy", "completeness", "safety"]
@@ -35,6 +39,12 @@ class Views:
     def verdicts(self) -> DataFrame:
         return votes.verdicts(self.votes, self.dims(), self.weights())
 
+    def stored_verdicts(self) -> DataFrame:
+        """Verdicts that several parts of a query read: judged once, written to the shared folder and read again."""
+        folder = f"{shared_dir(self.spark)}/judgelake/verdicts-{uuid.uuid4().hex}"
+        files.save_run(folder, verdicts=self.verdicts())
+        return files.load_run(self.spark, folder, ["verdicts"])["verdicts"]
+
     def pairs(self) -> DataFrame:
         return pairs.pair_results(self.pair_votes)
 
