@@ -268,8 +268,9 @@ def packets(media: DataFrame, id_col: str = "doc_id", media_col: str = "media")
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """Of each stored file: what its packets hold when read back, and features of the samples and the container. The payload's
-    packets must follow each other in time, one frame apart. Null media and bytes that are no such file give nulls."""
+    """Of each stored file: what its packets hold when read back, and features of the samples and the container: how many
+    cues lead to a cluster, and whether the packets follow each other in time, one frame apart. Null media and bytes that are no
+    such file give nulls; of a file that is cut short, what can be read counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

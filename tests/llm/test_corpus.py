@@ -339,3 +339,136 @@ def test_pipeline(spark):
         if k < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == small(spark).columns
     assert docs.count() > 0 and docs.select("sequence_id").distinct().count() > 0
+
+
+def test_op2_plan_uses_lengths_up():
+    draw = np.random.default_rng(1)
+    for _ in range(20):
+        histogram = np.zeros(13, dtype=np.int64)
+        for length in draw.integers(1, 13, draw.integers(1, 9)):
+            histogram[length] += 1
+        used, sequences = np.zeros(13, dtype=np.int64), 0
+        for lengths, count in packing.packing_plan(histogram, 12):
+            assert sum(lengths) <= 12
+            sequences += count
+            for length in lengths:
+                used[length] += count
+        assert used.tolist() == histogram.tolist() and sequences <= least_sequences(tuple(k for k in range(12, 0, -1) for _ in range(histogram[k])), 12) + 1
+
+
+def least_sequences(lengths, size):
+    """The fewest sequences, by trying each place for each length."""
+    best = len(lengths)
+
+    def put(k, left):
+        nonlocal best
+        if len(left) >= best:
+            return
+        if k == len(lengths):
+            best = len(left)
+            return
+        for j in sorted({x: j for j, x in enumerate(left) if x >= lengths[k]}.values()):
+            put(k + 1, [x - lengths[k] * (i == j) for i, x in enumerate(left)])
+        put(k + 1, [*left, size - lengths[k]])
+
+    put(0, [])
+    return best
+
+
+def test_op2_salts_do_not_change_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SALT_ROWS", 3)
+    pieces = spark.createDataFrame([(k, 0, 0, 1 + k % 5, k) for k in range(200)], packing.PIECES)
+    by = {}
+    for r in packing.pack(pieces, 12).collect():
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sum(map(len, by.values())) == 200 and len(by) <= 51
+    for found in by.values():
+        found.sort()
+        assert [o for o, _ in found] == [sum(n for _, n in found[:k]) for k in range(len(found))] and sum(n for _, n in found) <= 12
+
+
+def test_op3_reruns_agree_however_rows_are_dealt(spark):
+    docs = small(spark)
+    docs = docs.unionAll(docs.where("doc_id % 7 = 0"))  # repeated rows
+    runs = []
+    for frame in (docs, docs.repartition(7), docs.orderBy("text").coalesce(2)):
+        runs.append(sorted((r["doc_id"], r["size"], r["taken"]) for r in mixing.mix_sources(frame, group=8).collect()))
+    assert runs[0] == runs[1] == runs[2]
+
+
+def test_op3_mixed_rows_keep_their_columns(spark):
+    docs = awkward(spark).withColumn("__r", F.lit(1)).withColumn("__k2", F.lit(2)).withColumn("s", F.lit("x")).withColumn("docs", F.lit(5))
+    taken = mixing.mixed_documents(docs)
+    assert taken.columns == docs.columns
+    planned = sum(r["repeats"] for r in mixing.mix_sources(docs).collect())
+    assert taken.count() == planned > 0
+
+
+def test_op4_keeps_rows_not_ids(spark):
+    rows = [(8, "a", "x"), (8, "b", "x"), (9, "A", "x"), (9, "A", "x"), (None, None, None), (None, "", None)]
+    kept = exact_dedup.keep_one_of_each(docs_of(spark, rows))
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect()) == [("8", "b"), ("9", "A"), ("None", "")]
+
+
+@pytest.mark.parametrize(("operator", "label"), [(toxicity.toxicity, "toxic"), (quality.quality, "quality")])
+def test_scores_fitted_on_awkward_rows(spark, operator, label):
+    good = [(k, f"Plain words about gardens and rivers number {k}. They flow.", "a") for k in range(100, 160)]
+    bad = [(k, f"you zorgle {k} ### $$$ zorgles everywhere zorgle", "a") for k in range(200, 230)]
+    docs = awkward(spark).unionAll(docs_of(spark, [*good, *bad, *good[:9]]))
+    marks = [(i, int(label == "quality"), 0) for i, *_ in good] + [(i, int(label == "toxic"), 0) for i, *_ in bad] + [(1, 0, 0), (2, None, 0), (None, 1, 0), (6, 0, 0), (101, 0, 0), (7, 1, 0)]
+    labels = spark.createDataFrame(marks, f"doc_id long, {label} int, source int")
+    found = operator(docs, labels).collect()
+    assert len(found) == docs.count() and all(0 <= r["score"] <= 1 for r in found)
+    side = {r["doc_id"]: r["score"] for r in found}
+    higher, lower = (bad, good) if label == "toxic" else (good, bad)
+    assert min(side[i] for i, *_ in higher) > max(side[i] for i, *_ in lower)
+    again = {r["doc_id"]: r["score"] for r in operator(docs.repartition(5), labels.repartition(3)).collect()}
+    assert all(again[i] == pytest.approx(side[i], abs=1e-6) for i in side)
+
+
+def test_op6_awkward_records(spark):
+    deep = '{"messages": ' + "[" * 3000 + "]" * 3000 + "}"
+    records = [(1, '{"messages[].role": 1}'), (2, deep), (3, '{"messages": [{"role": null, "content": null}, "loose"]}'), (3, "[]"), (4, '{"prompt": {"a": 1}, "completion": ["b"]}'), (None, "7")]
+    ship(spark)
+    frame = spark.createDataFrame(records, "id long, record string").withColumn("mapping", F.lit("clash")).withColumn("formatted", F.lit("clash"))
+    found = chat.format_chats(frame).collect()
+    assert [r["mapping"] for r in sorted(found, key=lambda r: (r["id"] or 99, r["mapping"] or ""))] == [None, None, None, "messages", "prompt-completion", None]
+    turns = spark.createDataFrame([(1, 0, "user", "b"), (1, 0, "user", "a"), (1, None, None, None), (1, 0, "user", "a"), (2, 1, "assistant", "x" * 200_000)], "conv_id long, turn long, role string, text string").withColumn("id", F.lit(9))
+    read = {r["conv_id"]: r for r in chat.read_back(chat.format_chats(chat.conversation_records(turns))).collect()}
+    assert read[1]["n_turns"] == 4 and read[1]["turns_sha256"] == hashlib.sha256(b"\n\nuser\na\nuser\na\nuser\nb\n").hexdigest() and read[2]["loss_chars"] == 200_000
+    assert chat.read_back(chat.format_chats(chat.conversation_records(turns.where("false")))).count() == 0
+
+
+def test_op9_awkward_files_and_times(spark):
+    ship(spark)
+    docs = awkward(spark).withColumn("media", F.lit("clash")).withColumn("n_bytes", F.lit(-1))
+    media = matroska.to_media(docs)
+    assert media.count() == 11 and {r["n_bytes"] for r in media.where("doc_id in (1, 2)").collect()} == {0}
+    times = [r["timestamp_ms"] for r in matroska.packets(media.where("doc_id = 6")).orderBy("packet").collect()]
+    assert times == [24 * k for k in range(len(times))] and len(times) > 600
+    whole = media.where("doc_id = 6").first()["media"]
+    damaged = spark.createDataFrame([(1, 1, None), (2, 1, b"junk"), (3, 1, bytes(whole[:40])), (4, 1, bytes(whole[:5000]))], "doc_id long, n_bytes long, media binary")
+    found = {r["doc_id"]: r["payload_bytes"] for r in matroska.media_digests(damaged).collect()}
+    assert found[1] is found[2] is None and len(found) == 4
+    digests = matroska.media_digests(media).where("doc_id = 8").collect()
+    assert len({tuple(r)[1:] for r in digests}) == 1 and digests[0]["media_sha256"] == hashlib.sha256(media.where("doc_id = 8").first()["media"]).hexdigest() and "in_time=1" in digests[0]["feature"]
+
+
+def test_op8_awkward(spark):
+    run = "\n".join(" ".join(f"w{k}x{j}" for j in range(20)) for k in range(4))
+    rows = [(1, run, "a"), (1, run, "a"), (2, None, "a"), (3, "", "b"), (4, " \n\n ", "b"), (None, f"x\n{run}", "c"), (5, f"{run}\n{run}\nend", "c")]
+    docs = docs_of(spark, rows).withColumn("uid", F.lit(1)).withColumn("runs", F.lit(2)).withColumn("lines", F.lit(3))
+    found = sorted(((str(r["doc_id"]), r["n_lines"], r["removed_lines"]) for r in line_dedup.line_dedup(docs).collect()))
+    assert found == [("1", 4, 0), ("1", 4, 0), ("2", 1, 0), ("3", 1, 0), ("4", 3, 0), ("5", 9, 8), ("None", 5, 4)]
+
+
+def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
+    ship(spark)
+    labels = spark.createDataFrame([(1, 0, 1), (4, 1, 0), (None, None, None)], "doc_id long, toxic int, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = awkward(spark).withColumn("__k", F.lit(1)).withColumn("__id", F.lit(2)).withColumn("__n", F.lit(3))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:2]):
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns and kept.count() > 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
