@@ -57,7 +57,7 @@ def test_pearson_on_constant_and_few_rows(spark):
 def test_text_functions(spark):
     row = spark.range(1).select(
         T.normalize(F.lit("A b，C!_　d")).alias("n"), T.character_f1(F.lit("abca"), F.lit("aab")).alias("f"), T.character_f1(F.lit(None).cast("string"), F.lit("x")).alias("z"),
-        T.error_label(F.lit("严重偏题")).alias("e"), T.bigrams(F.lit("ab c，的d")).alias("g"), T.bigrams(F.lit("x")).alias("one"), T.analysis_tag(F.lit("x<analysis> y\n</analysis>")).alias("a"),
+        T.error_label(F.lit("严重偏题")).alias("e"), T.top_bigrams(F.lit("ab c，的dab"), 2).alias("g"), T.top_bigrams(F.lit("x"), 4).alias("one"), T.analysis_tag(F.lit("x<analysis> y\n</analysis>")).alias("a"),
         T.prompt(F.lit(" q "), F.lit(None).cast("string")).alias("p"), T.retriable(F.lit(429), F.lit("")).alias("r"),
     ).first()
     assert row["n"] == "abc_d" and row["f"] == pytest.approx(6 / 7) and row["z"] == 0.0
