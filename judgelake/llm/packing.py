@@ -24,9 +24,9 @@ SEQUENCE = 2048
 END_ID = 0
 #: Pieces of one length are ranked in groups of about a HOT_GROUPS-th of all pieces, or of SALT_ROWS; so the driver holds the
 #: sizes of at most HOT_GROUPS groups and one a length.
-SALT_ROWS, HOT_GROUPS = 4096, 50_000
-#: Strings between spaces whose ids a Python worker remembers before it starts anew.
-REMEMBERED = 50_000
+SALT_ROWS, HOT_GROUPS = 512, 50_000
+#: Strings between spaces whose ids a Python worker remembers: twice so many, those not used lately being forgotten at once.
+REMEMBERED = 150_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -53,6 +53,7 @@ class ChunkTokenizer:
         self.unsplittable = re.compile(r"\s \s|  ").search
         self.rare = re.compile("[^\u0000-ɏ]").search
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _exact(self, text: str) -> list[int]:
         return self.exact.encode(text, add_special_tokens=False).ids
@@ -67,14 +68,15 @@ class ChunkTokenizer:
         if self.unsplittable(text):
             return self._encode(text)
         first, *rest = text.split(" ")
-        known, out = self.known, [self._encode(first)]
+        known, older, out = self.known, self.older, [self._encode(first)]
         for part in rest:
             ids = known.get(part)
             if ids is None:
                 if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = known[part] = self._encode(" " + part)
+                    older, known = known, {}
+                ids = known[part] = older.get(part) or self._encode(" " + part)
             out.append(ids)
+        self.known, self.older = known, older
         return b"".join(out)
 
 
