@@ -26,7 +26,7 @@ END_ID = 0
 #: sizes of at most HOT_GROUPS groups and one a length.
 SALT_ROWS, HOT_GROUPS = 512, 50_000
 #: Strings between spaces whose ids a Python worker remembers: twice so many, those not used lately being forgotten at once.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
