@@ -10,9 +10,10 @@ Two documents link when their sets of five-word shingles have a Jaccard similari
    keep only their repeated shingles. A shingle that fills a chunk is sent once for it, with a count.
 2. Equal sets become one class. Every class posts its n - T + 1 rarest shingles; classes that link share one
    of them, so each list's members meet in one candidate group (connected components of stars, not pairs).
-3. Inside a group, blocks of bounded size are joined by T-occurrence search: the short inverted lists of a query are
-   merged from a heap, the two shortest first; the L longest are only probed by binary search for candidates that
-   reached T - L.
+3. A group of many classes is cut into blocks of bounded size, and a class goes only to those blocks that post one of
+   its rare shingles, so a large group of few candidates costs in proportion to its candidates. Pairs of blocks are joined
+   by T-occurrence search: the short inverted lists of a query are merged from a heap, the two shortest first; the L
+   longest are only probed by binary search for candidates that reached T - L.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, join_unique, trim_memory, written
+from .common import connected_components, discard, join_unique, trim_memory, written
 from .shingles import mix, shingle_sets
 
 #: Link when DEN * intersection >= NUM * union.
@@ -40,6 +41,8 @@ BUCKET_BYTES, LEAST_BITS = 16 << 20, 6
 LOCAL_HOT = 8
 #: Classes of a candidate group that one task joins with as many others.
 BLOCK = 256
+#: Posts of one shingle that meet the blocks posting it in one place.
+SALT_POSTS = 4096
 
 _INFO, _LIGHT, _HOT = 0, 1, 2
 _SENT = "chunk long, kind int, bucket int, a binary, b binary, c binary"
@@ -294,6 +297,21 @@ def _join_block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b", "links"]).astype("int64")
 
 
+def dealt_classes(headed: DataFrame, groups: DataFrame, block: int = BLOCK) -> DataFrame:
+    """cls, component, own, other: each class with its group, its own block there and each block it is joined with. headed: the
+    posts (cls, key) of keys that several classes post, with their number (members); groups: node, component."""
+    many = groups.groupBy("component").agg(F.count("*").alias("classes")).withColumn("blocks", F.ceil(F.col("classes") / block).cast("int"))
+    members = join_unique(groups, many, ["component"], "classes", groups.count()).select(F.col("node").alias("cls"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
+    whole = members.where("blocks = 1").select("cls", "component", "own", F.col("own").alias("other"))
+    salts = F.ceil(F.col("members") / SALT_POSTS).cast("int").alias("salts")
+    posted = written(headed.join(members.where("blocks > 1"), "cls").select("cls", "component", "own", "key", salts), "posted")
+    there = posted.groupBy("key", F.col("own").alias("other"), "salts").agg(F.count("*").alias("n"))
+    there = there.select("key", "other", "n", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    mine = posted.withColumn("salt", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("salts")).cast("int"))
+    shared = mine.join(there, ["key", "salt"]).where("own <> other or n > 1")
+    return whole.unionByName(shared.select("cls", "component", "own", "other").distinct())
+
+
 def class_links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     """A written table (a, b, links): a = b gives a class's number of linked documents in other classes, in parts;
     a <> b an edge. The edges span the components that all links span."""
@@ -305,15 +323,11 @@ def class_links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     prefix = prefix - (F.col("n") - F.size("keys")).cast("int")
     posts = written(sets.where(prefix > 0).select("cls", F.explode(F.slice("keys", F.lit(1), prefix)).alias("key")), "postings")
     heads = posts.groupBy("key").agg(F.min("cls").alias("head"), F.count("*").alias("members")).where("members > 1")
-    stars = join_unique(posts, heads, ["key"], "members", posts.count()).select("cls", "head").where("cls <> head").distinct()
-    groups = written(connected_components(stars, "cls", "head"), "groups")
-    # Blocks of large groups: group, number of blocks, own block.
-    many = groups.groupBy("component").agg(F.count("*").alias("members")).withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
-    members = join_unique(groups, many, ["component"], "members", groups.count()).select(F.col("node").alias("cls"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = members.select("cls", "component", "own", others).select(
-        "cls", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
+    headed = written(join_unique(posts, heads, ["key"], "members", posts.count()), "headed")
+    discard(posts)
+    groups = written(connected_components(headed.select("cls", "head").where("cls <> head").distinct(), "cls", "head"), "groups")
+    dealt = dealt_classes(headed, groups, block).select(
+        "cls", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
     )
     tasks = dealt.join(sets.select("cls", "n", "docs", "keys"), "cls")
     return written(tasks.groupBy("component", "i", "j").applyInPandas(_join_block, "a long, b long, links long"), "links")

@@ -83,6 +83,24 @@ def test_op1_equals_brute_force(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows)
 
 
+@pytest.mark.parametrize("salt_posts", [3, 4096])
+def test_op1_large_groups_meet_candidates_only(spark, monkeypatch, salt_posts):
+    monkeypatch.setattr(ngram_join, "SALT_POSTS", salt_posts)
+    chain = [(k, " ".join(f"w{n}" for n in range(10 * k, 10 * k + 40))) for k in range(300)]
+    copies = [(1000 + k, " ".join(f"c{n}" if n != k else "x" for n in range(90))) for k in range(0, 90, 3)]
+    rows = chain + copies
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in ngram_join.ngram_join(docs, block=8).collect()}
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in found.items()} == brute_components(rows)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    linked = lambda a, b: a != b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    assert {i: r["n_links"] for i, r in found.items()} == {i: sum(linked(i, j) for j in sets) for i in sets}
+    heads = spark.createDataFrame([(k, key, 2) for key in range(299) for k in (key, key + 1)], "cls long, key long, members long")
+    groups = spark.createDataFrame([(k, 0) for k in range(300)], "node long, component long")
+    dealt = ngram_join.dealt_classes(heads, groups, 8)
+    assert dealt.count() <= 600 and dealt.where("own <> other").count() > 0  # not 300 classes x 38 blocks
+
+
 def test_op1_heap_merge_counts_lists():
     draw = np.random.default_rng(3)
     for _ in range(50):
