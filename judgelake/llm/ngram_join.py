@@ -12,7 +12,7 @@ Two documents link when their sets of five-word shingles have a Jaccard similari
    of them, so each list's members meet in one candidate group (connected components of stars, not pairs).
 3. A group of many classes is cut into blocks of bounded size, and a class goes only to those blocks that post one of
    its rare shingles, so a large group of few candidates costs in proportion to its candidates. Pairs of blocks are joined
-   by T-occurrence search: the short inverted lists of a query are merged from a heap, the two shortest first; the L
+   by T-occurrence search: the short inverted lists of a query are merged from a heap, the shortest first; the L
    longest are only probed by binary search for candidates that reached T - L.
 """
 
@@ -43,6 +43,8 @@ LOCAL_HOT = 8
 BLOCK = 256
 #: Posts of one shingle that meet the blocks posting it in one place.
 SALT_POSTS = 4096
+#: Lists that one step merges, and long lists that one step probes.
+FAN_IN, PROBES = 16, 16
 
 _INFO, _LIGHT, _HOT = 0, 1, 2
 _SENT = "chunk long, kind int, bucket int, a binary, b binary, c binary"
@@ -213,52 +215,58 @@ class _Sets:
         flat, self.owner = flat[order], owner[order]
         self.values, self.start = np.unique(flat, return_index=True)
         self.end = np.append(self.start[1:], len(flat))
+        # All lists behind each other as one sorted array: the number of the list, then the member.
+        self.places = np.repeat(np.arange(len(self.values)), self.end - self.start) * len(self.keys) + self.owner
 
-    def lists(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bounds in owner of the inverted lists of those keys that occur here."""
+    def lists(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of the inverted lists of those keys that occur here."""
         at = np.searchsorted(self.values, keys)
-        at = at[(at < len(self.values)) & (self.values[np.minimum(at, len(self.values) - 1)] == keys)]
-        return self.start[at], self.end[at]
+        return at[(at < len(self.values)) & (self.values[np.minimum(at, len(self.values) - 1)] == keys)]
+
+    def probed(self, lists: np.ndarray, members: np.ndarray) -> np.ndarray:
+        """In how many of the lists each member is, by binary search."""
+        wanted = (lists[:, None] * len(self.keys) + members[None, :]).ravel()
+        at = np.minimum(np.searchsorted(self.places, wanted), len(self.places) - 1)
+        return (self.places[at] == wanted).reshape(len(lists), -1).sum(axis=0)
 
 
 def heap_merged(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Members of sorted lists and in how many lists each is; a heap yields the two shortest lists that are left."""
+    """Members of sorted lists and in how many lists each is; a heap yields the FAN_IN shortest lists that are left, which are
+    merged to one."""
     heap = [(len(x), k, x, np.ones(len(x), dtype=np.int64)) for k, x in enumerate(lists)]
     heapq.heapify(heap)
     while len(heap) > 1:
-        _, k, a, times = heapq.heappop(heap)
-        _, _, b, more = heap[0]
-        at = np.searchsorted(b, a)
-        found = b[np.minimum(at, len(b) - 1)] == a
-        more = more.copy()
-        more[at[found]] += times[found]
-        if not found.all():
-            b, more = np.insert(b, at[~found], a[~found]), np.insert(more, at[~found], times[~found])
-        heapq.heapreplace(heap, (len(b), k, b, more))
+        _, numbers, members, times = zip(*(heapq.heappop(heap) for _ in range(min(FAN_IN, len(heap)))), strict=True)
+        run = np.concatenate(members)
+        order = np.argsort(run, kind="stable")
+        run = run[order]
+        new = np.ones(len(run), dtype=bool)
+        new[1:] = run[1:] != run[:-1]
+        first = np.flatnonzero(new)
+        heapq.heappush(heap, (len(first), numbers[0], run[first], np.add.reduceat(np.concatenate(times)[order], first)))
     return heap[0][2], heap[0][3]
 
 
 def t_occurrence(keys: np.ndarray, n: int, index: _Sets) -> np.ndarray:
     """Members of the index that link with a query set of n shingles, by DivideSkip."""
-    start, end = index.lists(keys)
+    lists = index.lists(keys)
     need = least_overlap(n)
-    if len(start) < need:
+    if len(lists) < need:
         return np.zeros(0, dtype=np.int64)
-    by_length = np.argsort(end - start, kind="stable")
-    start, end = start[by_length], end[by_length]
-    longest = int(end[-1] - start[-1])
+    lengths = index.end[lists] - index.start[lists]
+    lists = lists[np.argsort(lengths, kind="stable")]
+    longest = int(lengths.max())
     skip = min(need - 1, int(need / (0.05 * np.log2(max(2, longest)) + 1))) if longest > 8 else 0
-    short = len(start) - skip
-    found, count = heap_merged([index.owner[a:b] for a, b in zip(start[:short], end[:short], strict=True)])
+    short = len(lists) - skip
+    found, count = heap_merged([index.owner[index.start[k] : index.end[k]] for k in lists[:short]])
     alive = (count >= max(1, need - skip)) & (DEN * index.n[found] >= NUM * n) & (DEN * n >= NUM * index.n[found])
     found, count = found[alive], count[alive]
-    for k in range(short, len(start)):  # long lists are probed only
+    for k in range(short, len(lists), PROBES):  # long lists are probed only
         if not len(found):
             break
-        members = index.owner[start[k] : end[k]]
-        at = np.searchsorted(members, found)
-        count += (at < len(members)) & (members[np.minimum(at, len(members) - 1)] == found)
-        alive = DEN * (count + len(start) - k - 1) >= NUM * (n + index.n[found] - count - (len(start) - k - 1))
+        count = count + index.probed(lists[k : k + PROBES], found)
+        left = max(0, len(lists) - k - PROBES)
+        alive = DEN * (count + left) >= NUM * (n + index.n[found] - count - left)
         found, count = found[alive], count[alive]
     return found[DEN * count >= NUM * (n + index.n[found] - count)]
 
