@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, exact_dedup, html_extraction, line_dedup, matroska, mixing, ngram_join, packing, quality, toxicity
+from . import annulus, chat, exact_dedup, html_extraction, line_dedup, matroska, mixing, ngram_join, packing, quality, sanitising, toxicity, whitening
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,8 +18,12 @@ QUERIES = {
     "op8_winnowing_line_dedup": line_dedup.op8_winnowing_line_dedup,
     "op9_matroska_media": matroska.op9_matroska_media,
     "op10_template_extraction": html_extraction.op10_template_extraction,
+    "op11_information_sanitising": sanitising.op11_information_sanitising,
+    "op12_jacobi_whitening": whitening.op12_jacobi_whitening,
+    "op13_annulus_clustering": annulus.op13_annulus_clustering,
 }
 ORACLES = {
     "op4_block_naming_dedup": exact_dedup.ORACLE_SQL,
     "op6_chat_formatting": chat.ORACLE_SQL,
+    "op13_annulus_clustering": annulus.ORACLE_SQL,
 }
