@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from judgelake.functions import text as T
+from judgelake.operators.positions import numbered
 
 #: The list of models goes into the plan; a longer one is an error.
 MOST_MODELS = 10_000
@@ -57,8 +58,12 @@ def rubric_pivot(dims: DataFrame, names: list[str]) -> DataFrame:
 
 
 def chart_rows(left: DataFrame, right: DataFrame, order: str) -> DataFrame:
-    """Two short lists beside each other, padded to the longer: position, l and r as structs."""
-    number = lambda df, name: df.select((F.row_number().over(Window.orderBy(order, *[c for c in df.columns if c != order])) - 1).alias("position"), F.struct(*df.columns).alias(name))
+    """Two lists beside each other, padded to the longer: position, l and r as structs. Positions are counted part by part."""
+
+    def number(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(F.struct(*df.columns).alias(name), F.struct(order, *[c for c in df.columns if c != order]).alias("__order"))
+        return numbered(rows, [], ["__order"]).select((F.col("position") - 1).alias("position"), name)
+
     return number(left, "l").join(number(right, "r"), "position", "full")
 
 

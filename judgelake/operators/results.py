@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from judgelake.functions import text as T
+from judgelake.operators.positions import numbered
 from judgelake.operators.skills import first_ids
 
 FAILED_SHEET, INTERRUPTED = "评估失败", "服务中断，已保留中断前完成的评估结果"
@@ -66,6 +67,31 @@ def page(rows: DataFrame, order: str, number: int, size: int = 10) -> DataFrame:
     return rows.orderBy(order).offset((min(max(number, 1), pages) - 1) * size).limit(size)
 
 
+def store_pages(rows: DataFrame, order: list[str], folder: str, parts: int | None = None) -> None:
+    """The rows sorted and range-partitioned under a folder, with an index of one row a part: how many rows stand before it. Pages
+    are then read without sorting or counting. `order` decides ties as well, so that pages never overlap."""
+    ranged = rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)
+    ranged.sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()).write.mode("overwrite").parquet(f"{folder}/rows")
+    found = rows.sparkSession.read.parquet(f"{folder}/rows").select(F.col("_metadata.file_path").alias("file"), "__at")
+    counts = found.groupBy("file").agg(F.count("*").alias("n"), F.min("__at").alias("first"))
+    before = F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1))  # one row a file
+    counts.withColumn("before", F.coalesce(before, F.lit(0))).coalesce(1).write.mode("overwrite").parquet(f"{folder}/index")
+
+
+def stored_page(spark: SparkSession, folder: str, number: int, size: int = 10) -> DataFrame:
+    """A page of what store_pages() has stored, the last one if there are fewer. Only the files that hold it are read, at most two if
+    none is smaller than a page, and of these the rows asked for: a page costs the same however deep it is."""
+    index = spark.read.parquet(f"{folder}/index")
+    total = index.agg(F.sum("n")).first()[0] or 0
+    begin = (min(max(number, 1), max(1, -(-total // size))) - 1) * size
+    held = index.where((F.col("before") < begin + size) & (F.col("before") + F.col("n") > begin)).collect()  # at most `size` files
+    rows, places = spark.read.parquet(*([r["file"] for r in held] or [f"{folder}/rows"])), F.lit(False)
+    for r in held:
+        low, high = r["first"] + max(0, begin - r["before"]), r["first"] + min(r["n"], begin + size - r["before"])
+        places |= (F.col("__at") >= low) & (F.col("__at") < high)
+    return rows.where(places).orderBy("__at").drop("__at")
+
+
 def skill_tabs(results: DataFrame) -> DataFrame:
     """key, label, n, position: categories by number of results, failures together at the end."""
     key = F.when(F.col("error").isNotNull(), "__error__").otherwise(F.col("category"))
@@ -238,8 +264,7 @@ def union_by_identity(first: DataFrame, second: DataFrame, keys: list[str]) -> D
 def split_outcomes(rows: DataFrame, order: str) -> DataFrame:
     """outcome (ok or failed), place, and the row: successes and failures apart, each in the given order."""
     outcome = F.when(F.col("error").isNull(), "ok").otherwise("failed")
-    rows = rows.withColumn("outcome", outcome)
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("task_id", "outcome").orderBy(order)))
+    return numbered(rows.withColumn("outcome", outcome), ["task_id", "outcome"], [order], "place")
 
 
 def replay(events: DataFrame, progress: DataFrame, results: DataFrame, keep: int = 100) -> DataFrame:
@@ -252,9 +277,8 @@ def replay(events: DataFrame, progress: DataFrame, results: DataFrame, keep: int
     wanted = progress.select("task_id", "item_id").distinct().join(results.select("task_id", "item_id", F.lit(1).alias("there")), ["task_id", "item_id"], "left")
     ended = wanted.groupBy("task_id").agg(F.count("*").alias("n"), F.count("there").alias("m")).where("n = m").select("task_id", F.lit(3).alias("k"), F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("sequence"))
     frames = kept.unionByName(latest).unionByName(done).unionByName(ended)
-    place = F.row_number().over(Window.partitionBy("task_id").orderBy("k", "item_id", "sequence"))
     kind = F.element_at(F.array(*map(F.lit, ("progress_event", "item_progress", "result", "done"))), F.col("k") + 1)
-    return frames.select("task_id", place.alias("position"), kind.alias("kind"), "item_id", "sequence")
+    return numbered(frames, ["task_id"], ["k", "item_id", "sequence"]).select("task_id", "position", kind.alias("kind"), "item_id", "sequence")
 
 
 def reconciled(items: DataFrame, progress: DataFrame, results: DataFrame, message: str) -> DataFrame:

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from judgelake.operators.positions import min_gap, stored
+
 STAGES = ("view", "click", "signup", "purchase", "error")
 
 
@@ -48,25 +45,6 @@ def sessions(rows: DataFrame, key: str, at: str, gap: float, priority: str) -> D
     return grouped.groupBy(key, "session").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"), F.min(F.struct(priority, at)).alias("p")).select(key, "session", "first", "last", "n", F.col(f"p.{at}").alias("kept"))
 
 
-def min_gap(rows: DataFrame, key: str, at: str, gap: float) -> DataFrame:
-    """key, kept: of a key's times in order those at least `gap` behind the last one kept. The sorted rows pass a task as a
-    stream that holds nothing but the last kept time; a key's times are in one task."""
-    kind = dict(rows.dtypes)[key]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last = object(), 0.0
-        for batch in batches:
-            places = []
-            for k, (name, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                if name != own or not t - last < gap:
-                    own, last = name, t
-                    places.append(k)
-            yield batch.take(pa.array(places, pa.int64()))
-
-    times = rows.select(F.col(key), F.col(at).cast("double").alias("kept")).where("kept is not null")
-    return times.repartition(F.col(key)).sortWithinPartitions(key, "kept").mapInArrow(run, f"`{key}` {kind}, kept double")
-
-
 def even_positions(n: Column, k: Column) -> Column:
     """k whole positions from 0 to n - 1, evenly spaced, halves to even."""
     return F.when(k <= 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.bround(i * (n - 1) / (k - 1)).cast("int")))
@@ -174,38 +152,43 @@ def strict_duplicates(frames: DataFrame, rms: float = 0.008, changed: float = 0.
     return grouped.withColumn("rn", best).where("rn = 1 or protected").select("video_id", "t", "protected", "priority", "novelty")
 
 
-def filled(t: np.ndarray, protected: np.ndarray, limit: int) -> np.ndarray:
-    """Places in sorted times of the protected frames and of the farthest ones up to `limit`; memory grows with the frames only."""
-    chosen = protected.copy()
-    if not chosen.any():
-        chosen[:1] = True
-    n = int(chosen.sum())
-    if n < min(limit, len(t)):
-        kept = t[chosen]
-        right = np.searchsorted(kept, t)
-        near = np.minimum(np.abs(t - kept[np.maximum(right - 1, 0)]), np.abs(t - kept[np.minimum(right, n - 1)]))
-        for _ in range(min(limit, len(t)) - n):
-            near[chosen] = -1
-            k = int(np.argmax(near))
-            chosen[k] = True
-            near = np.minimum(near, np.abs(t - t[k]))
-    return np.flatnonzero(chosen)
-
-
 def farthest_fill(frames: DataFrame, limit: int) -> DataFrame:
-    """Protected frames and then, up to `limit` a video (the feature's limit), the frame farthest in time from all chosen. A
-    video with `limit` protected frames is not gathered; the times of another are one group."""
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t"], kind="stable").reset_index(drop=True)
-        return pdf.iloc[filled(pdf["t"].to_numpy(float), pdf["protected"].to_numpy(bool), limit)][["video_id", "t", "protected"]]
-
-    kinds = dict(frames.dtypes)
-    rows = frames.select("video_id", "t", F.coalesce("protected", F.lit(False)).alias("protected"))
-    full = rows.groupBy("video_id").agg((F.count_if("protected") >= max(limit, 1)).alias("full")).where("full").select(F.col("video_id").alias("v"))
-    same = F.col("video_id").eqNullSafe(F.col("v"))
-    gathered = rows.join(full, same, "left_anti").groupBy("video_id").applyInPandas(choose, f"video_id {kinds['video_id']}, t {kinds['t']}, protected boolean")
-    return rows.where("protected").join(full, same, "left_semi").unionByName(gathered)
+    """Protected frames (video_id, t, protected) and then, up to `limit` a video (the feature's limit), the frame farthest in time
+    from all chosen, the earlier of two; a video without protected ones begins with its first. Null times do not count and null
+    videos are one video; further frames of a chosen time have distance 0 and come last.
+
+    Chosen times cut a video into intervals, and an interval's farthest frame is a maximum that is combined before the shuffle. An
+    interval's halves hold no farther frame than it did, so the choice is the farthest of all intervals' frames once those among
+    them are cut as well. Every round cuts all of these at once, in all videos; what is held of a video is at most `limit` times.
+    """
+    kind = dict(frames.dtypes)["t"]
+    times = frames.where("t is not null").groupBy(F.struct("video_id").alias("video"), "t").agg(F.count_if("protected").alias("p"), F.count("*").alias("n"))
+    times = stored(times, "frames")  # a struct is never null, so that null videos join
+    counts = times.groupBy("video").agg(F.sum("p").alias("p"), F.min("t").alias("first"))
+    opened = stored(counts.where(F.col("p") < limit), "open").select("video", (limit - F.greatest("p", F.lit(1))).alias("wanted"), "p", "first")
+    begun = opened.where("p = 0").select("video", F.col("first").alias("t"))
+    seeds = times.where("p > 0").join(opened.select("video"), "video", "left_semi").select("video", "t").unionByName(begun)
+    cut = None
+    while True:
+        bounds = (seeds if cut is None else seeds.unionByName(cut.select("video", "t"))).groupBy("video").agg(F.array_sort(F.collect_list("t")).alias("bounds"))
+        rows = times.join(bounds, "video").where(~F.array_contains("bounds", F.col("t")))
+        rows = rows.withColumn("left", F.array_max(F.filter("bounds", lambda x: x < F.col("t")))).withColumn("right", F.array_min(F.filter("bounds", lambda x: x > F.col("t"))))
+        away = F.least(F.col("t") - F.col("left"), F.col("right") - F.col("t"))  # the least of those that are there
+        leaves = rows.groupBy("video", "left", "right").agg(F.max(F.struct(away.alias("d"), (-F.col("t")).alias("u"))).alias("b"))
+        leaves = leaves.select("video", (-F.col("b.u")).cast(kind).alias("t"), F.col("b.d").alias("d"), F.lit(False).alias("cut"))
+        known = leaves if cut is None else leaves.unionByName(cut.withColumn("cut", F.lit(True)))
+        rank = F.row_number().over(Window.partitionBy("video").orderBy(F.desc("d"), "t"))
+        top = stored(known.withColumn("rank", rank).join(opened.select("video", "wanted"), "video").where("rank <= wanted"), "farthest")
+        if top.where("not cut and rank < wanted").isEmpty():  # what the last one would be cut into comes after it
+            break
+        cut = stored(top.where("cut or rank < wanted").select("video", "t", "d"), "cut")
+    chosen = begun.unionByName(top.select("video", "t"))
+    left = opened.join(top.groupBy("video").agg(F.count("*").alias("k")), "video", "left").select("video", (F.col("wanted") - F.coalesce("k", F.lit(0))).alias("left")).where("left > 0")
+    spare = times.withColumn("more", F.col("n") - F.greatest("p", F.lit(1))).where("more > 0").join(left, "video")
+    spare = spare.select("video", "t", "left", F.explode(F.sequence(F.lit(1).cast("long"), F.least("more", "left"))))
+    spare = spare.withColumn("rank", F.row_number().over(Window.partitionBy("video").orderBy("t"))).where("rank <= left")
+    protected = times.where("p > 0").select("video", "t", F.explode(F.array_repeat(F.lit(True), F.col("p").cast("int"))).alias("protected"))
+    return protected.unionByName(chosen.unionByName(spare.select("video", "t")).withColumn("protected", F.lit(False))).select("video.video_id", "t", "protected")
 
 
 def fold_stream(chunks: DataFrame) -> DataFrame:

@@ -21,6 +21,17 @@ LEFT JOIN (SELECT skill, label FROM (SELECT skill, label, row_number() OVER (PAR
 _TABS = "SELECT CASE WHEN error IS NOT NULL THEN '__error__' ELSE {category} END AS key, min({shown}) AS shown, count(*) AS n FROM results GROUP BY 1"
 _OR_DEFAULT = "coalesce(category, 'default')"
 _PLACE = "row_number() OVER (ORDER BY CASE WHEN key = '__error__' THEN 1 ELSE 0 END, n DESC, key)"
+_FILL = """WITH RECURSIVE base AS (
+    SELECT user_id AS video_id, list(t ORDER BY t) AS ts, coalesce(list(t ORDER BY t) FILTER (WHERE event_type = 'signup'), []) AS p
+    FROM (SELECT user_id, CAST(event_id AS DOUBLE) AS t, event_type FROM events) a GROUP BY user_id
+), g AS (
+    SELECT video_id, ts, p, CASE WHEN len(p) = 0 THEN ts[1:1] ELSE p END AS chosen FROM base
+    UNION ALL
+    SELECT video_id, ts, p, list_append(chosen, (list_sort(list_transform(list_filter(ts, lambda x: NOT list_contains(chosen, x)),
+           lambda x: {'d': -list_min(list_transform(chosen, lambda c: abs(x - c))), 't': x})))[1].t)
+    FROM g WHERE len(chosen) < least(16, len(ts))
+)
+SELECT video_id, t, list_contains(p, t) AS protected FROM (SELECT video_id, p, unnest(chosen) AS t FROM (SELECT video_id, p, arg_max(chosen, len(chosen)) AS chosen FROM g GROUP BY video_id, p) a) b"""
 _FETCHES = """SELECT user_id, count(*) AS fetches FROM (
   WITH RECURSIVE e AS (SELECT DISTINCT user_id, epoch_us(ts) / 1e6 AS t FROM events), f AS (
     SELECT user_id, min(t) AS t FROM e GROUP BY user_id
@@ -141,6 +152,7 @@ CASE WHEN o_orderkey % 3 > 0 THEN 'prompt_tokens=' || CAST(o_orderkey % 100 AS V
     "strict_duplicates": _STRICT,
     "min_gap_dedupe": _FETCHES.format(gap="21600.0").replace("SELECT user_id, count(*) AS fetches FROM (", "SELECT user_id, round(t, 6) AS kept FROM (").replace(") a GROUP BY user_id", ") a"),
     "progress_stream": CORE["progress_tail"],
+    "farthest_fill": _FILL,
     "arithmetic": "SELECT o_orderkey, CASE WHEN o_orderkey % 9 > 2 THEN round((o_orderkey + 3) * -2.0 + 3 - (o_orderkey % 25) / 4.0, 6) END AS value FROM orders",
     "safe_arguments": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN '\"say \\\"no\\\"\"' WHEN 1 THEN '{\"a\": 1}' ELSE '{}' END AS arguments FROM events",
     "trace_outputs": "SELECT conv_id, sha256(coalesce(arg_max(text, turn) FILTER (WHERE turn < 2 AND text <> ''), '')) AS output_sha FROM conversations GROUP BY conv_id",

@@ -32,7 +32,9 @@ def _rubric_cells(v: Views) -> DataFrame:
 
 def _result_page(v: Views) -> DataFrame:
     found = results.browse(v.results, "search", "wrong", "accuracy", 2.0, " LOW ", ("item_id", "query", "answer"))
-    return results.page(found, "item_id", 2).select("item_id", "category", "correctness", "accuracy", "query")
+    folder = f"{shared_dir(v.spark)}/judgelake/pages-{uuid.uuid4().hex}"
+    results.store_pages(found, ["item_id"], folder)
+    return results.stored_page(v.spark, folder, 2).select("item_id", "category", "correctness", "accuracy", "query")
 
 
 def _judges(v: Views) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from judgelake import scoring
 from judgelake.functions import judgement
 from judgelake.functions import text as T
-from judgelake.operators import calibration, jobs, pairs, skills, timeline, votes
+from judgelake.operators import calibration, jobs, pairs, positions, skills, timeline, votes
 from judgelake.sources import files
 
 
@@ -109,16 +109,46 @@ def test_min_gap_compares_with_the_last_kept(spark):
     assert [r["kept"] for r in timeline.min_gap(rows, "k", "t", 3.0).orderBy("kept").collect()] == [0.0, 4.0, 9.0]
 
 
-def test_long_time_lines_need_little_memory(spark):
-    import tracemalloc
+def greedy(rows, gap):
+    kept = []
+    for key in {str(k): k for k, _ in rows}.values():
+        last = None
+        for t in sorted({t for k, t in rows if str(k) == str(key) and t is not None and t == t}):
+            if last is None or t - last >= gap:
+                kept.append((str(key), t))
+                last = t
+    return sorted(kept)
 
-    t = np.arange(20_000) / 4
-    tracemalloc.start()
-    assert len(timeline.filled(t, np.arange(20_000) % 4 == 0, 5_003)) == 5_003
-    assert tracemalloc.get_traced_memory()[1] < 50_000_000
-    tracemalloc.stop()
+
+@pytest.mark.parametrize("gap", [0.3, 50.0, 3000.0, 1e6])
+def test_min_gap_of_a_hot_key_over_many_parts(spark, gap):
+    draw = random.Random(1)
+    rows = [("hot", draw.uniform(0, 10_000)) for _ in range(2500)] + [("hot", float(k)) for k in range(0, 10_000, 7)] + [(f"k{draw.randrange(200)}", draw.uniform(0, 10_000)) for _ in range(2000)]
+    rows += [(None, draw.uniform(0, 99)) for _ in range(150)] + [("hot", None), ("x", float("nan")), ("hot", 7.0)]
+    found = timeline.min_gap(spark.createDataFrame(rows, "k string, t double"), "k", "t", gap, parts=13)
+    assert sorted((str(r["k"]), r["kept"]) for r in found.collect()) == greedy(rows, gap)
+
+
+def test_min_gap_spreads_a_hot_key_over_tasks(spark):
     rows = spark.range(60_000).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("t"))
-    assert timeline.min_gap(rows, "k", "t", 2.0).count() == 30_000 and "collect_list" not in timeline.min_gap(rows, "k", "t", 2.0)._jdf.queryExecution().toString()
+    found = timeline.min_gap(rows, "k", "t", 2.0, parts=6)
+    assert found.count() == 30_000 and found.where("kept % 2 <> 0").isEmpty()
+    store = positions.sorted_store(rows, ["k", "t"], 6)
+    sizes = [r["count"] for r in store.groupBy("__part").count().collect()]
+    assert len(sizes) == 6 and max(sizes) < 15_000
+    nan = spark.createDataFrame([(float("nan"), float(t)) for t in range(10)], "k double, t double")
+    assert timeline.min_gap(nan, "k", "t", 4.0, parts=3).count() == 3 and timeline.min_gap(nan.limit(0), "k", "t", 4.0).count() == 0
+
+
+def test_positions_of_hot_and_null_keys(spark):
+    rows = [("hot", k % 977, k) for k in range(4000)] + [(f"k{k % 50}", k, k) for k in range(500)] + [(None, k, k) for k in range(30)]
+    df = spark.createDataFrame(rows, "k string, o int, id int")
+    found = {(r["k"], r["id"]): r["position"] for r in positions.numbered(df, ["k"], ["o", "id"], parts=11).collect()}
+    expected, seen = {}, {}
+    for key, o, i in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        seen[key] = seen.get(key, 0) + 1
+        expected[key, i] = seen[key]
+    assert found == expected
 
 
 def test_farthest_fill_equals_all_distances(spark):

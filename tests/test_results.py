@@ -132,3 +132,16 @@ def test_empty_tables_pass(spark):
         assert frame.count() == 0
     assert results.compare_summary(none).first()["a_winrate"] is None and results.fallback_share(results.web_overview(none)).first()["rate"] == 0.0
     assert v.results.select(results.percent(F.lit(None).cast("double")).alias("p")).first()["p"] == "—"
+
+
+def test_deep_pages_read_two_parts(spark, tmp_path):
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("n"))
+    results.store_pages(rows, ["n"], str(tmp_path / "pages"), parts=9)
+    for number in (1, 2, 17, 50, 99, 100, 250):
+        found = results.stored_page(spark, str(tmp_path / "pages"), number)
+        begin = 10 * (min(number, 100) - 1)
+        assert [r["n"] for r in found.collect()] == list(range(begin, begin + 10))
+        assert 1 <= len(found.inputFiles()) <= 2
+    assert len(spark.read.parquet(str(tmp_path / "pages/rows")).inputFiles()) == 9
+    results.store_pages(rows.where("false"), ["n"], str(tmp_path / "none"))
+    assert results.stored_page(spark, str(tmp_path / "none"), 3).count() == 0
