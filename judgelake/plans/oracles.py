@@ -25,6 +25,18 @@ def _bigrams(x: str) -> str:
     return f"list_filter(list_transform(range(1, length({plain})), lambda k: substring({plain}, k, 2)), lambda g: NOT regexp_matches(g, '[{T.STOP_CHARACTERS}]'))"
 
 
+_TAILS = """WITH keyed AS (
+    SELECT user_id AS item_id, epoch_us(ts) AS updated_at, event_type AS module, 'e' || event_id AS message, CASE WHEN event_type = 'signup' THEN value END AS started,
+           CASE WHEN event_id % 3 > 0 THEN 'seq:' || event_id
+                ELSE concat_ws('|', epoch_us(ts), event_type, 'e' || event_id, CASE WHEN event_id % 2 = 0 THEN 'j1' ELSE '' END, event_id % 4, 'said') END AS key,
+           CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 WHEN 'error' THEN 4 END AS rank
+    FROM events
+), extremes AS (
+    SELECT item_id, max(rank) AS stage, arg_max(started, {'a': updated_at, 'k': key}) FILTER (WHERE started IS NOT NULL) AS started_at FROM keyed GROUP BY item_id
+)
+SELECT k.item_id, key, updated_at, module, message, round(started_at, 6) AS started_at, stage
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY updated_at DESC, key DESC) AS rn FROM keyed) k JOIN extremes s ON k.item_id = s.item_id WHERE rn <= 50"""
+
 #: Named steps: the views they read and their SQL.
 STEPS: dict[str, str] = {
     "dim_ranked": "SELECT item_id, model, dim, score, row_number() OVER w AS rn, count(*) OVER (PARTITION BY item_id, model, dim) AS n FROM vote_dims WHERE score IS NOT NULL WINDOW w AS (PARTITION BY item_id, model, dim ORDER BY score)",
@@ -135,6 +147,10 @@ SELECTS = {
     "text_ingest": f"SELECT item_id AS line, CASE WHEN k > 0 THEN sha256({_strip('question')}) END AS query_sha, CASE WHEN k > 0 THEN sha256({_strip('answer')}) END AS answer_sha, CASE WHEN k > 1 AND {_strip('reference')} <> '' THEN sha256({_strip('reference')}) END AS reference_sha, CAST(NULL AS VARCHAR) AS competitor, CASE WHEN k = 1 THEN 'seen' END AS context, k = 0 AS failed FROM (SELECT *, item_id % 4 AS k FROM qa) a",
     "html_text": f"SELECT page_id, {_HTML} AS text FROM pages",
     "parse_judgement": f"SELECT o_orderkey AS id, CASE WHEN {_VALID} THEN 'repaired' ELSE 'failed' END AS status, CASE WHEN {_VALID} THEN CASE WHEN o_orderkey % 2 = 0 THEN 'right' ELSE 'wrong' END END AS correctness, CASE WHEN {_VALID} THEN round(CASE WHEN completeness IS NULL THEN (accuracy + safety) / 2.0 ELSE (accuracy + completeness + safety) / 3.0 END, 6) END AS total, CASE WHEN {_VALID} THEN accuracy END AS accuracy, CASE WHEN {_VALID} THEN completeness END AS completeness, CASE WHEN {_VALID} THEN safety END AS safety FROM (SELECT o_orderkey, CAST(o_orderkey % 5 + 1 AS DOUBLE) AS accuracy, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(o_orderkey % 4 + 1 AS DOUBLE) END AS completeness, round_even((o_orderkey % 5 + 1 + o_orderkey % 3 + 1) / CAST(2 AS DOUBLE), 0) AS safety FROM orders) a",
+    "progress_tails": _TAILS,
+    "progress_replayed": _TAILS,
+    "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS \"begin\", event_type AS module, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
+    "new_rows": "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type",
     "progress_tail": "SELECT item_id, sequence, event_id, module, round(started, 6) AS started_at FROM (SELECT *, last_value(started_at IGNORE NULLS) OVER (PARTITION BY item_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS started, row_number() OVER (PARTITION BY item_id ORDER BY sequence DESC) AS rn FROM fx_events) a WHERE rn <= 50",
     "progress_status": "SELECT item_id, count(*) AS events, CAST(CASE WHEN bool_or(module = 'purchase') THEN 4 ELSE coalesce(max(CASE module WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 END), 0) END AS INT) AS stage, round(CASE WHEN bool_or(module = 'purchase') THEN 100.0 ELSE greatest(0.0, least(100.0, max(value))) END, 6) AS percent, CASE WHEN bool_or(module = 'purchase') THEN 'done' WHEN arg_max(module, sequence) = 'error' THEN 'error' ELSE 'running' END AS status FROM fx_events GROUP BY item_id",
     "stream_fold": "SELECT doc_id AS call_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS INT) AS attempt, 'stop' AS finish_reason, CAST(length(coalesce(text, '')) AS BIGINT) AS tokens, sha256(coalesce(text, '')) AS content_sha256 FROM documents",

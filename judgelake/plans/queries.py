@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from judgelake.functions import judgement
 from judgelake.functions import text as T
 from judgelake.operators import calibration, cases, jobs, pairs, skills, slices, timeline, votes
 from judgelake.plans.views import DIMS, FOCAL, KEPT_EVENTS, Views, frames, micros, query
+from judgelake.shipping import shared_dir
 from judgelake.sources import files
 from judgelake.streaming import progress
 
@@ -97,23 +100,38 @@ def _label_match(v: Views) -> DataFrame:
 
 def _progress_stream(v: Views) -> DataFrame:
     """The stream over the events file, run to its end, as a table: the latest state of each item."""
-    import uuid
-
-    from judgelake.shipping import shared_dir
-
     source = v.table("events")
     stream = v.spark.readStream.schema(source.schema).parquet(f"{v.sf_dir}/events.parquet*")
     events = stream.select("event_id", F.col("user_id").alias("item_id"), "ts", F.col("event_type").alias("module"), F.when(F.col("event_type") == "signup", F.col("value")).alias("started_at"))
-    base = f"{shared_dir(v.spark)}/judgelake/progress-{uuid.uuid4().hex}"
+    return progress.latest_states(events, lambda rows: progress.tail_updates(rows, KEPT_EVENTS), progress.TAIL)
+
+
+def _client_events(rows: DataFrame) -> DataFrame:
+    """Events as a client gets them: two of three with a sequence, the others known by their fields."""
+    at, event = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)"), F.concat(F.lit("e"), "event_id")
+    sequence = F.when(F.col("event_id") % 3 > 0, F.col("event_id"))
+    key = progress.event_key(sequence, [at, F.col("event_type"), event, F.when(F.col("event_id") % 2 == 0, "j1"), F.col("event_id") % 4, F.lit("said")])
+    return rows.select(F.col("user_id").alias("item_id"), key.alias("key"), at.alias("updated_at"), F.col("event_type").alias("module"), event.alias("message"), F.when(F.col("event_type") == "signup", F.col("value")).alias("started_at"))
+
+
+def _progress_replayed(v: Views) -> DataFrame:
+    """The stream over events that came twice, in two orders and several files, run to its end."""
+    folder = f"{shared_dir(v.spark)}/judgelake/replayed-{uuid.uuid4().hex}"
+    source = v.table("events")
+    source.orderBy(F.xxhash64("event_id")).repartition(3).write.parquet(folder)
+    source.repartition(2, "event_type").write.mode("append").parquet(folder)
+    stream = v.spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    return progress.latest_states(_client_events(stream), lambda rows: progress.replay_safe(rows, KEPT_EVENTS), progress.SEEN)
+
+
+def _event_windows(v: Views) -> DataFrame:
+    found = progress.windowed_counts(v.table("events").select("ts", F.col("event_type").alias("module"), "value"))
+    return found.select(F.col("window.start").alias("begin"), "module", "n", "total")
 
-    def append(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    query = progress.tail_updates(events, KEPT_EVENTS).writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(append).start()
-    query.awaitTermination()
-    rows = v.spark.read.schema(f"{progress.TAIL}, batch long").parquet(f"{base}/out")
-    newest = rows.groupBy("item_id").agg(F.max("batch").alias("batch"))
-    return rows.join(newest, ["item_id", "batch"]).drop("batch")
+def _new_rows(v: Views) -> DataFrame:
+    twice = v.table("events").select("ts", "event_type", "event_id")
+    return progress.new_only(twice.unionAll(twice), ["event_id"]).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 QUERIES = {
@@ -163,6 +181,10 @@ QUERIES = {
         "scorer_demo": lambda v: scoring.score(v.qa.select("item_id", "question", "answer")),
         "progress_tail": lambda v: timeline.progress_tail(v.fx_events, KEPT_EVENTS),
         "progress_stream": _progress_stream,
+        "progress_replayed": _progress_replayed,
+        "progress_tails": lambda v: progress.replayed_tails(_client_events(v.table("events")), KEPT_EVENTS),
+        "event_windows": _event_windows,
+        "new_rows": _new_rows,
         "progress_status": lambda v: timeline.progress_status(v.fx_events),
         "stream_fold": _stream_fold,
         "frame_sessions": _sessions,

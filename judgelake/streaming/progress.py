@@ -1,13 +1,19 @@
-"""Progress events as a stream: bounded tails per item with carried start times, and incremental appends."""
+"""Progress events as a stream: bounded tails per item with carried start times, replays, and incremental appends."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import bisect
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
+
+from judgelake.operators.timeline import STAGES
+from judgelake.shipping import shared_dir
 
 TAIL = "item_id long, sequence int, event_id long, module string, started_at double"
 
@@ -41,5 +47,84 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1
 
 
 def new_only(events: DataFrame, keys: list[str], at: str = "ts", late: str = "1 day") -> DataFrame:
-    """Rows whose keys were not seen within the watermark: replays add nothing."""
+    """Rows whose keys were not seen within the watermark: replays add nothing. In a batch no key is seen twice."""
+    if not events.isStreaming:
+        return events.dropDuplicates(keys)
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
+
+
+#: What tells two events without a sequence apart.
+EVENT_FIELDS = ("updated_at", "module", "event", "judge", "round", "message")
+KEPT = "key:string,updated_at:long,module:string,message:string"
+SEEN = "item_id long, key string, updated_at long, module string, message string, started_at double, stage int"
+
+
+def event_key(sequence: Column, fields: list[Column]) -> Column:
+    """The sequence if there is one, else EVENT_FIELDS, where a missing one is empty."""
+    return F.when(sequence.isNotNull(), F.concat(F.lit("seq:"), sequence.cast("string"))).otherwise(F.concat_ws("|", *(F.coalesce(f.cast("string"), F.lit("")) for f in fields)))
+
+
+def replayed_tails(events: DataFrame, keep: int = 100) -> DataFrame:
+    """Batch twin of replay_safe(): item_id, key, updated_at, module, message, started_at, stage of the last `keep` different events
+    of an item by (updated_at, key), with the last start time and the highest stage of all its events. Repeats count once."""
+    once = events.groupBy("item_id", "key").agg(F.min_by(F.struct("updated_at", "module", "message", "started_at"), F.struct("updated_at", "module", "message")).alias("e")).select("item_id", "key", "e.*")
+    rank = F.array_position(F.array(*map(F.lit, STAGES)), F.col("module")).cast("int") - 1
+    sums = once.groupBy("item_id").agg(F.max_by("started_at", F.when(F.col("started_at").isNotNull(), F.struct("updated_at", "key"))).alias("started"), F.max(rank).alias("stage"))
+    newest = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("updated_at"), F.desc("key")))
+    kept = once.withColumn("rn", newest).where(F.col("rn") <= keep).drop("rn", "started_at")
+    return kept.join(sums, "item_id").select("item_id", "key", "updated_at", "module", "message", F.col("started").alias("started_at"), "stage")
+
+
+def replay_safe(events: DataFrame, keep: int = 100, ttl_ms: int | None = None) -> DataFrame:
+    """Each trigger's new state of the items it touched, as replayed_tails() would give it for all events so far. events: item_id, key
+    (event_key), updated_at, module, message, started_at; one key is one event.
+
+    State of an item: its last `keep` events in order and, beside them, the last start time and the highest stage. An event that is
+    kept already or stands before all of a full tail changes nothing, so that replays and late events, however often and in
+    whatever order, leave what the events once and in order would. With ttl_ms, items without events for so long lose their state;
+    such a stream must run on, since a trigger that ends with the input would wait for the time-outs.
+    """
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at, by, started, stage, held = state.get if state.exists else (None, None, None, None, [])
+        kept = sorted((int(r[1]), r[0], r[2], r[3]) for r in held)
+        names = {r[1] for r in kept}
+        for frame in frames:
+            for e in frame.itertuples(index=False):
+                place = (int(e.updated_at), e.key)
+                if e.module in STAGES:
+                    stage = max(-1 if stage is None else stage, STAGES.index(e.module))
+                if not pd.isna(e.started_at) and (at is None or place > (at, by)):
+                    (at, by), started = place, float(e.started_at)
+                if e.key in names or (len(kept) >= keep and place < kept[0][:2]):
+                    continue
+                bisect.insort(kept, (*place, e.module, e.message))
+                names.add(e.key)
+                if len(kept) > keep:
+                    names.discard(kept.pop(0)[1])
+        state.update((at, by, started, stage, [(k, t, module, message) for t, k, module, message in kept]))
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame([(key[0], k, t, module, message, started, stage) for t, k, module, message in kept], columns=["item_id", "key", "updated_at", "module", "message", "started_at", "stage"])
+
+    held = f"updated_at long, key string, started_at double, stage int, kept array<struct<{KEPT}>>"
+    rows = events.select("item_id", "key", "updated_at", F.coalesce("module", F.lit("")).alias("module"), F.coalesce("message", F.lit("")).alias("message"), "started_at")
+    return rows.groupBy("item_id").applyInPandasWithState(update, SEEN, held, "update", GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout)
+
+
+def latest_states(stream: DataFrame, change: Callable[[DataFrame], DataFrame], schema: str, key: str = "item_id") -> DataFrame:
+    """The stream run to its end as a table: of what `change` gives in its triggers, each key's rows of the last trigger. Tables and
+    checkpoints are in the shared folder."""
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/judgelake/stream-{uuid.uuid4().hex}"
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    change(stream).writeStream.outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(append).start().awaitTermination()
+    rows = spark.read.schema(f"{schema}, batch long").parquet(f"{base}/out")
+    newest = rows.groupBy(key).agg(F.max("batch").alias("batch"))
+    return rows.join(newest, [key, "batch"]).drop("batch")
