@@ -73,15 +73,58 @@ def _top(histogram: Column, field: str) -> Column:
     return F.struct(F.when(F.size(best) == 1, F.get(best, F.lit(0))["v"]).alias("winner"), top.alias("top"), total(there).alias("votes"))
 
 
-def verdicts(votes: DataFrame, dims: DataFrame, weights: DataFrame | None = None, threshold: float = 0.6, scale: int = 5) -> DataFrame:
-    """One row per (item_id, model): total, correctness, error_type, agreement, repeat_std, n_judges, low_agreement.
+def vote_cells(votes: DataFrame) -> DataFrame:
+    """Votes counted by cell, judge, label and error: counts and moments that add up, whenever the votes came."""
+    square = F.col("total") * F.col("total")
+    return votes.groupBy(*CELL, "judge", "correctness", "error_type").agg(F.count("*").alias("n"), F.count("total").alias("k"), F.sum("total").alias("s"), F.sum(square).alias("q"))
+
+
+def dim_cells(vote_dims: DataFrame) -> DataFrame:
+    """Scores counted by cell, dimension and value, with how many votes said that the dimension is not applicable."""
+    return vote_dims.groupBy(*CELL, "dim", "score").agg(F.count("*").alias("n"), F.count_if("is_na").alias("na"))
+
+
+def rubrics(cells: DataFrame, weights: DataFrame | None = None, share: float = 0.1) -> DataFrame:
+    """item_id, model, dims (array of dim, mean_score, is_na) and rubric_total, the weighted mean over scored applicable dimensions,
+    from dim_cells(): one shuffle by cell. Means are trimmed as by trimmed_means(). weights (dim, weight) is a handful of rows;
+    unknown dimensions weigh 1."""
+    total = lambda rows, of: F.aggregate(rows, F.lit(0).cast("long"), lambda a, x: a + of(x))
+
+    def mean_of(dim: Column) -> Column:
+        own = F.filter("h", lambda x: x["dim"].eqNullSafe(dim))
+        scored = F.array_sort(F.transform(F.filter(own, lambda x: x["score"].isNotNull()), lambda x: F.struct(x["score"].alias("x"), x["n"].alias("c"))))
+        n = total(scored, lambda x: x["c"])
+        k = F.when(n > 2, F.floor(n * F.lit(share))).otherwise(0)
+
+        def add(state: Column, x: Column) -> Column:
+            left = F.greatest(F.lit(0), F.least(state["upto"] + x["c"], state["n"] - state["k"]) - F.greatest(state["upto"], state["k"]))
+            return F.struct((state["upto"] + x["c"]).alias("upto"), state["n"].alias("n"), state["k"].alias("k"), (state["sum"] + x["x"] * left).alias("sum"), (state["left"] + left).alias("left"))
+
+        begin = F.struct(F.lit(0).cast("long").alias("upto"), n.alias("n"), k.cast("long").alias("k"), F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("left"))
+        mean = F.aggregate(scored, begin, add, lambda state: F.try_divide(state["sum"], state["left"]))
+        return F.struct(dim.alias("dim"), mean.alias("mean_score"), (total(own, lambda x: x["na"]) == total(own, lambda x: x["n"])).alias("is_na"))
+
+    rows = cells.groupBy(*CELL).agg(F.collect_list(F.struct("dim", "score", "n", "na")).alias("h"))  # a few rows a dimension
+    rows = rows.select(*CELL, F.transform(F.array_distinct(F.transform("h", lambda x: x["dim"])), mean_of).alias("dims"))
+    if weights is None:
+        weight = lambda d: F.lit(1.0)
+    else:
+        rows = rows.crossJoin(F.broadcast(weights.agg(F.map_from_entries(F.collect_list(F.struct("dim", "weight"))).alias("weights"))))  # one row
+        weight = lambda d: F.coalesce(F.try_element_at("weights", d["dim"]), F.lit(1.0))
+    counted = F.filter("dims", lambda d: ~d["is_na"] & d["mean_score"].isNotNull())
+    add = lambda of: F.aggregate(counted, F.lit(0.0), lambda a, d: a + of(d))
+    rubric = F.coalesce(F.try_divide(add(lambda d: d["mean_score"] * weight(d)), add(weight)), F.lit(0.0))
+    return rows.select(*CELL, "dims", rubric.alias("rubric_total"))
+
+
+def verdicts_of(cells: DataFrame, rubric: DataFrame, threshold: float = 0.6, scale: int = 5) -> DataFrame:
+    """One row per (item_id, model): total, correctness, error_type, agreement, repeat_std, n_judges, low_agreement, from
+    vote_cells() and rubrics().
 
     Ties make correctness 'unclear' and error_type null. repeat_std is the mean over judges with more than one run of
-    the population deviation of their totals, 0 without such judges. Votes are counted by judge, label and error (combined
-    before the shuffle); a cell then gathers these few counts, so its votes never meet in one row.
+    the population deviation of their totals, 0 without such judges. A cell gathers its few counts, so that its votes never
+    meet in one row, and meets its rubric where both are shuffled to by cell.
     """
-    square = F.col("total") * F.col("total")
-    cells = votes.groupBy(*CELL, "judge", "correctness", "error_type").agg(F.count("*").alias("n"), F.count("total").alias("k"), F.sum("total").alias("s"), F.sum(square).alias("q"))
     rows = cells.groupBy(*CELL).agg(F.collect_list(F.struct("judge", "correctness", "error_type", "n", "k", "s", "q")).alias("h"))
     judges = F.array_distinct(F.transform("h", lambda x: x["judge"]))
     add = lambda rows, field: F.aggregate(rows, F.lit(0.0), lambda a, x: a + F.coalesce(x[field], F.lit(0)).cast("double"))
@@ -94,13 +137,18 @@ def verdicts(votes: DataFrame, dims: DataFrame, weights: DataFrame | None = None
     spreads = F.filter(F.transform(judges, spread), lambda x: x.isNotNull())
     repeat_std = F.coalesce(F.try_divide(F.aggregate(spreads, F.lit(0.0), lambda a, x: a + x), F.size(spreads)), F.lit(0.0))
     rows = rows.select(*CELL, _top(F.col("h"), "correctness").alias("c"), _top(F.col("h"), "error_type")["winner"].alias("error_type"), F.size(judges).cast("long").alias("n_judges"), repeat_std.alias("repeat_std"))
-    rows = rows.join(weighted_totals(dims, weights), CELL, "left").withColumn("agreement", F.col("c.top") / F.col("c.votes"))
+    rows = rows.join(rubric.select(*CELL, "rubric_total"), CELL, "left").withColumn("agreement", F.col("c.top") / F.col("c.votes"))
     return rows.select(
         *CELL, F.coalesce("rubric_total", F.lit(0.0)).alias("total"), F.coalesce("c.winner", F.lit("unclear")).alias("correctness"), "error_type", "agreement", "repeat_std", "n_judges",
         low_agreement(F.col("agreement"), F.col("repeat_std"), threshold, scale).alias("low_agreement"),
     )
 
 
+def verdicts(votes: DataFrame, dims: DataFrame, weights: DataFrame | None = None, threshold: float = 0.6, scale: int = 5) -> DataFrame:
+    """verdicts_of() votes and the dimensions' means (verdict_dims())."""
+    return verdicts_of(vote_cells(votes), weighted_totals(dims, weights), threshold, scale)
+
+
 def merged_texts(votes: DataFrame, text: Column, first: int = 3) -> DataFrame:
     """item_id, model, merged: the first votes' texts by judge and run as `[judge] text`, joined with a bar."""
     ranked = votes.withColumn("text", text).where("text <> ''").withColumn("rn", F.row_number().over(Window.partitionBy(*CELL).orderBy("judge", "run_idx")))

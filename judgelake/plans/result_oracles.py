@@ -153,6 +153,8 @@ CASE WHEN o_orderkey % 3 > 0 THEN 'prompt_tokens=' || CAST(o_orderkey % 100 AS V
     "min_gap_dedupe": _FETCHES.format(gap="21600.0").replace("SELECT user_id, count(*) AS fetches FROM (", "SELECT user_id, round(t, 6) AS kept FROM (").replace(") a GROUP BY user_id", ") a"),
     "progress_stream": CORE["progress_tail"],
     "farthest_fill": _FILL,
+    "verdicts_added": CORE["verdicts"],
+    "snapshot_versions": "SELECT 'first' AS version, category, count(*) AS n FROM results WHERE error IS NULL GROUP BY category UNION ALL SELECT 'newest', category, count(*) FROM results GROUP BY category",
     "arithmetic": "SELECT o_orderkey, CASE WHEN o_orderkey % 9 > 2 THEN round((o_orderkey + 3) * -2.0 + 3 - (o_orderkey % 25) / 4.0, 6) END AS value FROM orders",
     "safe_arguments": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN '\"say \\\"no\\\"\"' WHEN 1 THEN '{\"a\": 1}' ELSE '{}' END AS arguments FROM events",
     "trace_outputs": "SELECT conv_id, sha256(coalesce(arg_max(text, turn) FILTER (WHERE turn < 2 AND text <> ''), '')) AS output_sha FROM conversations GROUP BY conv_id",

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from judgelake import scoring
 from judgelake.functions import judgement
-from judgelake.operators import reports, results, skills, timeline, votes
+from judgelake.operators import incremental, reports, results, skills, timeline, votes
 from judgelake.plans.views import DIMS, FOCAL, Views, frames, micros, query
 from judgelake.shipping import shared_dir
-from judgelake.sources import files
+from judgelake.sources import files, snapshots
 
 STORED = ["items", "pair_items", "verdicts", "dims", "pairs", "metas", "routed"]
 
@@ -125,6 +125,23 @@ def _stored(v: Views) -> dict[str, DataFrame]:
     return files.load_run(v.spark, folder, STORED)
 
 
+def _added_verdicts(v: Views) -> DataFrame:
+    """Verdicts of a store to which votes were added in two runs: two judges' votes, then the third one's."""
+    folder = f"{shared_dir(v.spark)}/judgelake/counts-{uuid.uuid4().hex}"
+    for part in ("judge <> 'j2'", "judge = 'j2'"):
+        incremental.add_votes(v.spark, folder, v.votes.where(part), v.vote_dims.where(part), v.weights(), buckets=16)
+    return snapshots.load(v.spark, folder)["verdicts"]
+
+
+def _snapshot_versions(v: Views) -> DataFrame:
+    """Results saved twice, of which the first version is read again and the second one is the newest."""
+    folder = f"{shared_dir(v.spark)}/judgelake/versions-{uuid.uuid4().hex}"
+    first = snapshots.save(v.spark, folder, {"results": v.results.where("error is null"), "snapshots": v.snapshots})
+    snapshots.save(v.spark, folder, {"results": v.results})
+    count = lambda version, rows: rows.groupBy("category").agg(F.count("*").alias("n")).select(F.lit(version).alias("version"), "category", "n")
+    return count("first", snapshots.load(v.spark, folder, first)["results"]).unionByName(count("newest", snapshots.load(v.spark, folder)["results"]))
+
+
 def _appended_store(v: Views) -> DataFrame:
     """Votes appended to a store in two jobs, the second with repeats of the first, then reported again from their latest rows."""
     from judgelake.operators import jobs
@@ -180,6 +197,8 @@ QUERIES = {
         "allowed_paths": _allowed,
         "manifest_compare": _manifest,
         "stored_votes": _appended_store,
+        "verdicts_added": _added_verdicts,
+        "snapshot_versions": _snapshot_versions,
         "report_a": lambda v: reports.report_a(_stored(v), FOCAL),
         "report_b": lambda v: reports.report_b(_stored(v)),
         "report_c": lambda v: reports.report_c(_stored(v), FOCAL),

@@ -13,7 +13,9 @@ from judgelake.shipping import shared_dir
 from judgelake.sources import files
 
 FOCAL = "m0"
-DIMS = ["accuracy", "completeness", "safety"]
+#: Configuration: what each dimension weighs.
+WEIGHTS = {"accuracy": 1.5, "completeness": 1.0, "safety": 0.5}
+DIMS = list(WEIGHTS)
 #: Fewer than any item's events at the sizes at hand, so that the bound acts.
 KEPT_EVENTS = 50
 
@@ -34,10 +36,10 @@ class Views:
         return votes.verdict_dims(self.vote_dims)
 
     def weights(self) -> DataFrame:
-        return self.vote_dims.select("dim", "weight").distinct()
+        return self.spark.createDataFrame(list(WEIGHTS.items()), "dim string, weight double")
 
     def verdicts(self) -> DataFrame:
-        return votes.verdicts(self.votes, self.dims(), self.weights())
+        return votes.verdicts_of(votes.vote_cells(self.votes), votes.rubrics(votes.dim_cells(self.vote_dims), self.weights()))
 
     def stored_verdicts(self) -> DataFrame:
         """Verdicts that several parts of a query read: judged once, written to the shared folder and read again."""
