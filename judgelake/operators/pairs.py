@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,27 +55,33 @@ def win_rates(results: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def bootstrap_intervals(votes: DataFrame, by: list[str] | None = None, resamples: int = 200, seed: int = 7) -> DataFrame:
+#: Weights are drawn eight to a digest of 128 bits, 16 bits each.
+_LANES = 8
+#: 65536 times the chance that a Poisson variable of mean 1 is at most 0, 1, 2, ...
+POISSON = tuple(int(65536 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(8))
+
+
+def bootstrap_intervals(votes: DataFrame, by: list[str] | None = None, resamples: int = 200, vote_id: str = "vote_id") -> DataFrame:
     """Per group of votes: n, low, high, the 2.5 and 97.5 percentiles of the bootstrapped mean preference for model_a (a win
     1, a tie 0.5). Null for fewer than two votes.
 
-    A resample of n votes of three kinds is a multinomial draw from their counts, so only counts are gathered.
+    Poisson resampling: in each resample a vote counts as often as a Poisson variable of mean 1 says, drawn from a hash of the
+    vote's id and the resample. So a resample is an ordinary sum, combined before the shuffle, and neither the order of the votes nor
+    their place changes it. Other winners are no votes. resamples is rounded up to a multiple of eight; resamples without votes do not count.
     """
     keys = by or ["model_a", "model_b"]
     w = winner_of(F.col("raw_winner"), F.col("pres_order"))
-    counts = votes.groupBy(*keys).agg(*(F.count_if(w == x).alias(x) for x in ("a", "b", "tie")))
-
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            low, high = [], []
-            for row in frame.itertuples(index=False):
-                a, b, t = row[len(keys) :]
-                n = int(a + b + t)
-                rng = np.random.default_rng([seed, zlib.crc32(repr(row[: len(keys)]).encode())])
-                means = rng.multinomial(n, np.array([a, b, t]) / n, resamples) @ np.array([1.0, 0.0, 0.5]) / n
-                low.append(float(np.percentile(means, 2.5)) if n > 1 else None)
-                high.append(float(np.percentile(means, 97.5)) if n > 1 else None)
-            yield frame[keys].assign(n=frame["a"] + frame["b"] + frame["tie"], low=low, high=high)
-
-    kinds = dict(votes.dtypes)
-    return counts.mapInPandas(draw, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, low double, high double")
+    halves = F.when(w == "a", 2).when(w == "tie", 1).otherwise(0)
+    digest = F.md5(F.concat_ws(":", F.col(vote_id).cast("string"), F.col("block").cast("string")))
+    blocks = -(-resamples // _LANES)
+    drawn = votes.where(w.isin("a", "b", "tie")).select(*keys, halves.alias("halves"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), vote_id).withColumn("digest", digest)
+
+    def weight(lane: int) -> Column:
+        u = F.conv(F.substring("digest", 4 * lane + 1, 4), 16, 10).cast("int")
+        return sum(((u >= least).cast("int") for least in POISSON[1:]), (u >= POISSON[0]).cast("int"))
+
+    sums = drawn.groupBy(*keys, "block").agg(F.count("*").alias("n"), *(f(weight(k) * x).alias(f"{name}{k}") for k in range(_LANES) for name, f, x in (("w", F.sum, F.lit(1)), ("s", F.sum, F.col("halves")))))
+    lanes = F.explode(F.array(*(F.struct(F.col(f"w{k}").alias("w"), F.col(f"s{k}").alias("s")) for k in range(_LANES)))).alias("lane")
+    means = sums.select(*keys, "n", lanes).withColumn("mean", F.when(F.col("lane.w") > 0, F.col("lane.s") / (2 * F.col("lane.w"))))
+    bound = lambda share: F.when(F.max("n") > 1, F.percentile("mean", share))
+    return means.groupBy(*keys).agg(F.max("n").alias("n"), bound(0.025).alias("low"), bound(0.975).alias("high"))

@@ -165,11 +165,13 @@ def assignments(items: DataFrame, judges: DataFrame, selected: list[str], person
 
 def judges_summary(votes: DataFrame, most: int = 50) -> DataFrame:
     """item_id, model, summary: what an arbitrator reads of the votes, by judge and run. A prompt holds `most` votes; an error beyond,
-    since no vote may be left out."""
-    counts = votes.groupBy("item_id", "model").agg(F.array_sort(F.collect_list(F.struct("judge", "run_idx", F.concat_ws("/", "judge", "correctness", F.bround("total", 2).cast("string")).alias("line")))).alias("v"))
-    line = F.array_join(F.transform("v", lambda x: x["line"]), "; ")
-    checked = F.when(F.size("v") > most, F.raise_error(F.lit("too many votes for one prompt"))).otherwise(line)
-    return counts.select("item_id", "model", checked.alias("summary"))
+    since no vote may be left out, and no more than one vote beyond is gathered."""
+    cell, line = ["item_id", "model"], F.concat_ws("/", "judge", "correctness", F.bround("total", 2).cast("string"))
+    first = votes.withColumn("rn", F.row_number().over(Window.partitionBy(*cell).orderBy("judge", "run_idx"))).where(F.col("rn") <= most + 1)
+    counts = first.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("rn", line.alias("line")))).alias("v"))
+    text = F.array_join(F.transform("v", lambda x: x["line"]), "; ")
+    checked = F.when(F.size("v") > most, F.raise_error(F.lit("too many votes for one prompt"))).otherwise(text)
+    return counts.select(*cell, checked.alias("summary"))
 
 
 def web_verdicts(results: DataFrame, model: str = "answer") -> DataFrame:

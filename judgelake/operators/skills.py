@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -97,12 +101,34 @@ def source_mix(items: DataFrame, routed: DataFrame) -> DataFrame:
 
 def match_label(said: DataFrame, labels: DataFrame, fallback: str = "无法归类") -> DataFrame:
     """id, label: a classifier's free text to a skill. Text with the fallback word has none; an exact name or display wins,
-    else the longest label contained. labels (skill, display) is a handful of rows by nature: one row a skill;
-    more than MOST_NAMES names and displays are an error."""
-    named = labels.select("skill", F.explode(F.array("skill", "display")).alias("word")).where("word <> ''").distinct()
-    if named.limit(MOST_NAMES + 1).count() > MOST_NAMES:
+    else the longest label contained, of those as long the last one in order. Null texts have none.
+
+    labels (skill, display) is a handful of rows by nature: one row a skill; more than MOST_NAMES names and displays are an
+    error. An automaton of all of them is broadcast, so that a text is read once however many labels there are.
+    """
+    named = labels.select("skill", F.explode(F.array("skill", "display")).alias("word")).where("word <> '' and skill is not null").groupBy("word").agg(F.max("skill").alias("skill"))
+    words = named.limit(MOST_NAMES + 1).collect()
+    if len(words) > MOST_NAMES:
         raise ValueError(f"more than {MOST_NAMES} skill names and displays")
-    plain = said.select("id", F.trim("said").alias("said")).where(~F.contains(F.col("said"), F.lit(fallback)))
-    hits = plain.join(F.broadcast(named), F.contains(F.col("said"), F.col("word")))
-    best = hits.groupBy("id").agg(F.max_by("skill", F.struct((F.col("said") == F.col("word")).alias("exact"), F.length("word").alias("n"), "skill")).alias("label"))
-    return said.select("id").join(best, "id", "left")
+    shared = said.sparkSession.sparkContext.broadcast({r["word"]: r["skill"] for r in words})
+
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        skills = shared.value
+        automaton = ahocorasick.Automaton()
+        for word in skills:
+            automaton.add_word(word, word)
+        automaton.make_automaton()
+
+        def label(text: str | None) -> str | None:
+            if not skills or text is None or fallback in text:
+                return None
+            text = text.strip(" ")
+            if text in skills:
+                return skills[text]
+            best = max(((len(word), skills[word]) for _, word in automaton.iter(text)), default=None)
+            return best and best[1]
+
+        for batch in batches:
+            yield batch.map(label)
+
+    return said.select("id", F.pandas_udf(found, "string")("said").alias("label"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from judgelake.fixtures import VIEWS, ctes
@@ -25,6 +26,23 @@ def _bigrams(x: str) -> str:
     return f"list_filter(list_transform(range(1, length({plain})), lambda k: substring({plain}, k, 2)), lambda g: NOT regexp_matches(g, '[{T.STOP_CHARACTERS}]'))"
 
 
+_LABELS = """WITH said AS (SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_name || ' by ' || p_brand END AS said FROM part),
+names_ AS (SELECT word, max(skill) AS skill FROM (
+    SELECT lower(p_brand) AS skill, lower(p_brand) AS word FROM part UNION ALL SELECT lower(p_brand), p_brand FROM part
+    UNION ALL SELECT upper(p_name), upper(p_name) FROM part UNION ALL SELECT upper(p_name), split_part(p_name, ' ', 2) FROM part) a WHERE word <> '' GROUP BY word)
+SELECT s.id, arg_max(skill, {'e': CAST(said = word AS INT), 'n': length(word), 's': skill}) AS label
+FROM said s LEFT JOIN names_ ON contains(said, word) AND NOT contains(said, 'red') GROUP BY s.id"""
+
+
+def _bootstrap(by: str, rows: str) -> str:
+    """Poisson weights from 16 bits of a digest of vote and block of eight resamples: as many as there are cumulative chances not above."""
+    least = ", ".join(str(int(65536 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)))) for k in range(8))
+    draw = "len(list_filter([" + least + "], lambda c: c <= CAST('0x' || substring(md5(vote_id || ':' || r // 8), 4 * (r % 8) + 1, 4) AS INT)))"
+    return f"""SELECT {by}, max(n) AS n, round(CASE WHEN max(n) > 1 THEN quantile_cont(mean, 0.025) END, 6) AS low, round(CASE WHEN max(n) > 1 THEN quantile_cont(mean, 0.975) END, 6) AS high
+FROM (SELECT {by}, r, count(*) AS n, sum(k * x) / nullif(sum(k), 0) AS mean FROM (
+    SELECT {by}, r, {draw} AS k, CASE w WHEN 'a' THEN 1.0 WHEN 'tie' THEN 0.5 ELSE 0.0 END AS x FROM {rows} v, (SELECT unnest(range(200)) AS r) u WHERE w IN ('a', 'b', 'tie')) a GROUP BY {by}, r) b GROUP BY {by}"""
+
+
 _TAILS = """WITH keyed AS (
     SELECT user_id AS item_id, epoch_us(ts) AS updated_at, event_type AS module, 'e' || event_id AS message, CASE WHEN event_type = 'signup' THEN value END AS started,
            CASE WHEN event_id % 3 > 0 THEN 'seq:' || event_id
@@ -127,7 +145,9 @@ SELECTS = {
     "noref_reliability": "SELECT count(*) AS n, round(avg(agreement), 6) AS mean_agreement, round(avg(CAST(CAST(low_agreement AS INT) AS DOUBLE)), 6) AS low_rate, count(*) FILTER (WHERE low_agreement) AS flagged FROM verdicts WHERE item_id IN (SELECT item_id FROM items WHERE NOT has_ref)",
     "error_normalize": f"SELECT {ERROR_LABEL} AS error_label, count(*) AS n FROM votes GROUP BY 1",
     "skill_route": "SELECT item_id, skill, display FROM routed",
-    "skill_label_match": "SELECT item_id AS id, CASE item_id % 5 WHEN 0 THEN 'search' WHEN 1 THEN 'music' WHEN 3 THEN 'news' END AS label FROM items",
+    "skill_label_match": _LABELS,
+    "bootstrap_ci": _bootstrap("model_a, model_b", "pv"),
+    "bootstrap_by_category": _bootstrap("category", "(SELECT pv.*, category FROM pv JOIN pair_items ON pv.item_id = pair_items.item_id)"),
     "skill_clusters": f"SELECT c.skill, c.error_label, c.count, c.representative, ids, coalesce(keywords, '') AS keywords FROM (SELECT skill, error_label, count(*) AS \"count\", substring(arg_min(question, item_id), 1, 120) AS representative FROM clustered GROUP BY skill, error_label) c JOIN ({_IDS.format(g='skill, error_label', t='clustered')}) i ON c.skill = i.skill AND c.error_label = i.error_label LEFT JOIN words w ON c.skill = w.skill AND c.error_label = w.error_label",
     "keywords": "SELECT * FROM (SELECT lang, keyword, texts, row_number() OVER (PARTITION BY lang ORDER BY texts DESC, keyword) AS rank FROM (SELECT lang, keyword, count(*) AS texts FROM (SELECT *, row_number() OVER (PARTITION BY lang, doc_id ORDER BY n DESC, keyword) AS rn FROM (SELECT lang, doc_id, keyword, count(*) AS n FROM doc_grams WHERE keyword IS NOT NULL GROUP BY ALL) b) c WHERE rn <= 4 GROUP BY lang, keyword) d) e WHERE rank <= 5",
     "dim_problems": "SELECT r.skill, d.dim, count(*) FILTER (WHERE mean_score <= 2) AS \"count\", round(count(*) FILTER (WHERE mean_score <= 2) / CAST(max(n_items) AS DOUBLE), 6) AS rate, coalesce((SELECT string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) FROM (SELECT x.item_id FROM dims x JOIN routed y ON x.item_id = y.item_id WHERE x.model = 'm0' AND y.skill = r.skill AND x.dim = d.dim AND mean_score <= 2 ORDER BY x.item_id LIMIT 10) z), '') AS ids FROM dims d JOIN routed r ON d.item_id = r.item_id JOIN (SELECT skill, count(*) AS n_items FROM routed GROUP BY skill) s ON r.skill = s.skill WHERE d.model = 'm0' GROUP BY r.skill, d.dim HAVING NOT bool_or(is_na)",

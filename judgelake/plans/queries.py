@@ -93,9 +93,10 @@ def _sessions(v: Views) -> DataFrame:
 
 
 def _label_match(v: Views) -> DataFrame:
-    k = F.col("item_id") % 5
-    said = F.when(k == 0, " search ").when(k == 1, "perhaps music or news?").when(k == 2, "无法归类").when(k == 3, "属于新闻类").otherwise("?")
-    return skills.match_label(v.items.select(F.col("item_id").alias("id"), said.alias("said")), v.skills)
+    """Part names, some with their brand, against names of brands and wares."""
+    said = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" "), "p_name")).otherwise(F.concat_ws(" by ", "p_name", "p_brand"))
+    labels = v.table("part").select(F.lower("p_brand").alias("skill"), F.col("p_brand").alias("display")).unionAll(v.table("part").select(F.upper("p_name"), F.split("p_name", " ")[1])).distinct()
+    return skills.match_label(v.table("part").select(F.col("p_partkey").alias("id"), said.alias("said")), labels, "red")
 
 
 def _progress_stream(v: Views) -> DataFrame:
@@ -145,6 +146,7 @@ QUERIES = {
         "winrate": lambda v: pairs.win_rates(v.pairs()),
         "winrate_by_category": lambda v: pairs.win_rates(v.pairs().join(v.pair_items, "item_id"), ["category"]),
         "bootstrap_ci": lambda v: pairs.bootstrap_intervals(v.pair_votes),
+        "bootstrap_by_category": lambda v: pairs.bootstrap_intervals(v.pair_votes.join(v.pair_items.select("item_id", "category"), "item_id"), ["category"]),
         "overview_by_model": lambda v: slices.overview(v.verdicts(), ["model"]),
         "overview_by_slice": lambda v: slices.overview_by_slices(v.verdicts(), v.items),
         "dim_means": lambda v: slices.dim_means(v.verdicts(), v.dims(), ["model"]),

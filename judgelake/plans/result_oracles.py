@@ -115,7 +115,7 @@ SELECTS = {
 JOIN (SELECT item_id, model, 'judged ' || arg_min(correctness, judge || lpad(CAST(run_idx AS VARCHAR), 9, '0')) AS rationale, bool_or(used_search) AS used_search, bool_or(total > 4) AS truncated FROM votes GROUP BY item_id, model) a ON v.item_id = a.item_id AND v.model = a.model
 LEFT JOIN (SELECT item_id, model, string_agg(dim || '：' || CASE WHEN mean_score <= 2 THEN 'low' ELSE 'fine' END, ' ｜ ' ORDER BY {_DIM_ORD}) AS why FROM dims WHERE NOT is_na GROUP BY item_id, model) b ON v.item_id = b.item_id AND v.model = b.model""",
     "wide_rubric": f"SELECT item_id, coalesce({_CELL('accuracy')}, '') AS score_accuracy, CASE WHEN item_id % 2 = 0 THEN 'accuracy even' ELSE '' END AS reason_accuracy, CASE WHEN item_id % 13 = 0 THEN 'N/A' ELSE coalesce({_CELL('safety')}, '') END AS score_safety, CASE WHEN item_id % 13 <> 0 AND item_id % 2 = 0 THEN 'safety even' ELSE '' END AS reason_safety FROM results",
-    "dim_names": "SELECT task_id, string_agg(DISTINCT dim, ',' ORDER BY dim) AS dims FROM (SELECT task_id, item_id, 'accuracy' AS dim, accuracy AS score FROM results UNION ALL SELECT task_id, item_id, 'safety', safety FROM results) a WHERE score > 1 AND item_id % 97 < 2 GROUP BY task_id",
+    "dim_names": "SELECT task_id, string_agg(DISTINCT dim, ',' ORDER BY dim) AS dims FROM (SELECT task_id, item_id, 'accuracy' AS dim, accuracy AS score FROM results UNION ALL SELECT task_id, item_id, 'safety', safety FROM results) a WHERE score IS NOT NULL GROUP BY task_id",
     "result_page": "SELECT item_id, category, correctness, accuracy, query FROM (SELECT *, row_number() OVER (ORDER BY item_id) AS rn, count(*) OVER () AS n FROM results WHERE error IS NULL AND category = 'search' AND correctness = 'wrong' AND accuracy <= 2 AND lower(concat_ws(' ', CAST(item_id AS VARCHAR), query, answer)) LIKE '%low%') a WHERE (rn - 1) // 10 = least(1, greatest(0, (n - 1) // 10))",
     "skill_tabs": f"SELECT key, CASE WHEN key = '__error__' THEN '{FAILED_SHEET}' ELSE coalesce(shown, key) END AS label, n, {_PLACE} AS position FROM ({_TABS.format(category='category', shown='category_display')}) a WHERE key IS NOT NULL",
     "result_sheets": f"SELECT key, CASE WHEN key = '__error__' THEN '{FAILED_SHEET}' ELSE '逐题-' || coalesce(shown, key) END AS sheet, {_PLACE} AS position, n FROM ({_TABS.format(category=_OR_DEFAULT, shown='coalesce(category_display, ' + _OR_DEFAULT + ')')}) a",
@@ -125,8 +125,8 @@ FROM (SELECT * FROM snapshots ORDER BY created_at DESC, task_id LIMIT 50) s LEFT
     "prompt_contexts": "SELECT item_id, sha256(CASE WHEN item_id % 3 = 0 AND trim(answer, ' \n\t\r') <> '' THEN trim(answer, ' \n\t\r') ELSE '当前时间：2024年02月29日 08:00:00（时区：UTC+00:00）' END) AS context_sha FROM qa",
     "percent_text": "SELECT item_id, CASE WHEN accuracy IS NULL THEN '—' ELSE format('{:.1f}%', accuracy / 8 * 100) END AS share FROM results",
     "judge_assignments": "SELECT item_id, 'j2' AS judge, 'balanced' AS persona FROM qa UNION ALL SELECT item_id, 'j1', 'product_expert' FROM qa WHERE item_id % 3 > 0 AND trim(answer) <> ''",
-    "chosen_judges": "SELECT 'j0' AS judge, 0 AS ord, 'balanced' AS persona",
-    "judges_summary": f"SELECT item_id, model, string_agg(judge || '/' || correctness || '/' || {_CELL('total')}, '; ' ORDER BY judge, run_idx) AS summary FROM votes WHERE run_idx < 3 GROUP BY item_id, model",
+    "chosen_judges": "SELECT judge, -count(*) AS ord, max(CASE WHEN used_search THEN 'strict' ELSE 'balanced' END) AS persona FROM votes GROUP BY judge ORDER BY ord LIMIT 1",
+    "judges_summary": f"SELECT item_id, model, string_agg(judge || '/' || correctness || '/' || {_CELL('total')}, '; ' ORDER BY judge, run_idx) AS summary FROM votes GROUP BY item_id, model",
     "web_verdict_overview": f"SELECT 'answer' AS model, correctness, count(*) AS n, round(avg(coalesce(total, 0)), 6) AS mean_total {_JUDGED} GROUP BY correctness",
     "web_overview": _WEB,
     "fallback_share": f"SELECT CAST(sum(n) AS BIGINT) AS total, CAST(sum(fallback_count) AS BIGINT) AS fallback, round(sum(fallback_count) / CAST(sum(n) AS DOUBLE), 6) AS rate FROM ({_WEB}) w",

@@ -42,6 +42,10 @@ def _judges(v: Views) -> DataFrame:
     return v.spark.createDataFrame(rows, "judge string, ord int, persona string")
 
 
+def _voting_judges(v: Views) -> DataFrame:
+    return v.votes.groupBy("judge").agg((-F.count("*")).alias("ord"), F.max(F.when(F.col("used_search"), "strict").otherwise("balanced")).alias("persona"))
+
+
 def _assignments(v: Views) -> DataFrame:
     items = v.qa.select("item_id", F.when(F.col("item_id") % 3 > 0, F.col("answer")).otherwise(" ").alias("competitor"))
     return results.assignments(items, _judges(v), ["j1", "j2"])
@@ -160,7 +164,7 @@ QUERIES = {
     for name, build in {
         "result_rows": _result_rows,
         "wide_rubric": lambda v: results.wide_rubric(_rubric_cells(v), ["accuracy", "safety"]),
-        "dim_names": lambda v: results.dim_names(_rubric_cells(v).where("score > 1 and item_id % 97 < 2"), ["task_id"]),
+        "dim_names": lambda v: results.dim_names(_rubric_cells(v).where("score is not null"), ["task_id"]),
         "result_page": _result_page,
         "skill_tabs": lambda v: results.skill_tabs(v.results),
         "result_sheets": lambda v: results.sheets(v.results),
@@ -168,8 +172,8 @@ QUERIES = {
         "prompt_contexts": lambda v: v.qa.select("item_id", F.sha2(results.prompt_context(F.when(F.col("item_id") % 3 == 0, F.concat(F.lit(" "), "answer")), F.lit("2024-02-29 08:00:00").cast("timestamp")), 256).alias("context_sha")),
         "percent_text": lambda v: v.results.select("item_id", results.percent(F.col("accuracy") / 8).alias("share")),
         "judge_assignments": _assignments,
-        "chosen_judges": lambda v: results.chosen_judges(_judges(v), ["nobody chosen"]),
-        "judges_summary": lambda v: results.judges_summary(v.votes.where("run_idx < 3")),
+        "chosen_judges": lambda v: results.chosen_judges(_voting_judges(v), ["nobody chosen"]),
+        "judges_summary": lambda v: results.judges_summary(v.votes),
         "web_verdict_overview": lambda v: results.web_verdicts(v.results).groupBy("model", "correctness").agg(F.count("*").alias("n"), F.avg("total").alias("mean_total")),
         "web_overview": lambda v: results.web_overview(v.results),
         "fallback_share": lambda v: results.fallback_share(results.web_overview(v.results)),

@@ -42,6 +42,28 @@ def test_swapping_sides_mirrors_the_win_rate(spark):
     assert interval["low"] < rate < interval["high"]
 
 
+def test_labels_in_texts_equal_all_comparisons(spark):
+    draw = random.Random(8)
+    words = [("".join(draw.choice("abc") for _ in range(draw.randrange(1, 4))), "".join(draw.choice("abc") for _ in range(draw.randrange(0, 3)))) for _ in range(12)]
+    texts = [None, "", " ", *("".join(draw.choice("abcd x") for _ in range(draw.randrange(9))) for _ in range(300))]
+    named = {}
+    for skill, display in words:
+        for word in filter(None, (skill, display)):
+            named[word] = max(skill, named.get(word, ""))
+
+    def label(text):
+        if text is None or "x" in text:
+            return None
+        text = text.strip(" ")
+        best = max(((text == w, len(w), s) for w, s in named.items() if w in text), default=None)
+        return best and best[2]
+
+    found = skills.match_label(spark.createDataFrame(list(enumerate(texts)), "id int, said string"), spark.createDataFrame(words, "skill string, display string"), "x")
+    assert {r["id"]: r["label"] for r in found.collect()} == {k: label(t) for k, t in enumerate(texts)}
+    none = spark.createDataFrame([], "skill string, display string")
+    assert skills.match_label(spark.createDataFrame([(1, "a")], "id int, said string"), none).first()["label"] is None
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, model string, judge string, run_idx int, total double, correctness string, error_type string")
     dims = spark.createDataFrame([], "item_id long, model string, dim string, score double, is_na boolean")

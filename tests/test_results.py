@@ -103,7 +103,7 @@ def test_judgements_with_odd_numbers():
 def test_bootstrap_covers_the_rate(spark):
     ship(spark)
     votes = spark.createDataFrame([(k, "a", "b", "ab", "a" if k % 10 < 7 else "b") for k in range(1000)] + [(1, "a", "c", "ab", "tie")], "item_id int, model_a string, model_b string, pres_order string, raw_winner string")
-    found = {r["model_b"]: r for r in pairs.bootstrap_intervals(votes).collect()}
+    found = {r["model_b"]: r for r in pairs.bootstrap_intervals(votes, vote_id="item_id").collect()}
     assert found["b"]["low"] < 0.7 < found["b"]["high"] and found["b"]["high"] - found["b"]["low"] == pytest.approx(2 * 1.96 * math.sqrt(0.21 / 1000), rel=0.3)
     assert found["c"]["low"] is None
 
