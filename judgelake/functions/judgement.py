@@ -102,6 +102,25 @@ def parse_one(body: str, declared: list[str] | None = None) -> dict:
     return {"status": status, **words, "total": total if total is not None else sum(scores) / len(scores) if scores else 0.0, "dims": dims}
 
 
+@F.udtf(returnType="dim string, score double, is_na boolean, reason string, status string", useArrow=True)
+class RubricRows:
+    """Table function: a judgement's dimensions as rows, with how its JSON was read. A judgement that cannot be read, or without any
+    dimension, gives none. declared: names joined by commas, or null."""
+
+    def eval(self, body: str, declared: str) -> Iterator[tuple]:
+        found = parse_one(body or "", declared.split(",") if declared else None)
+        for row in found["dims"]:
+            yield row["dim"], row["score"], row["is_na"], row["reason"], found["status"]
+
+
+def rubric_rows(raw: DataFrame, id_col: str, text_col: str, declared: list[str] | None = None) -> DataFrame:
+    """id, dim, score, is_na, reason, status: one row for each dimension of each judgement, straight from its text."""
+    spark = raw.sparkSession
+    spark.udtf.register("judgelake_rubric_rows", RubricRows)
+    rows = raw.select(F.col(id_col).alias("id"), T.json_body(F.col(text_col)).alias("body"), F.lit(",".join(declared) if declared else None).cast("string").alias("declared"))
+    return spark.sql("SELECT id, r.* FROM {rows} AS t, LATERAL judgelake_rubric_rows(t.body, t.declared) AS r", rows=rows)
+
+
 def parse_judgements(raw: DataFrame, id_col: str, text_col: str, declared: list[str] | None = None) -> DataFrame:
     """One row a judgement: id, status (ok, repaired, failed), correctness, error_type, total, rationale, dims."""
 

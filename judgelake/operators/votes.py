@@ -167,3 +167,23 @@ def arbitrated(verdicts: DataFrame, arbitrations: DataFrame) -> DataFrame:
         *CELL, F.when(used, F.col("__t")).otherwise(F.col("total")).alias("total"), F.when(used, F.col("__c")).otherwise(F.col("correctness")).alias("correctness"),
         used.alias("arbitrated"), F.when(used, F.col("confidence")).alias("confidence"),
     )
+
+
+def arbitrated_fully(verdicts: DataFrame, arbitrations: DataFrame) -> DataFrame:
+    """verdicts (with rubric, a map of dimension to score, and rationale) in which those of low agreement and at least two judges take
+    over their arbitration (item_id, model, correctness, rubric, total, confidence, rationale) whole: unknown labels
+    are unclear, scores are cut to whole numbers, a missing total is their mean, and totals have two digits (halves to even)."""
+    names = ("correctness", "rubric", "total", "confidence", "rationale")
+    other = arbitrations.select(*CELL, F.struct(*names).alias("a"))
+    rows = verdicts.join(other, CELL, "left")
+    used = F.col("low_agreement") & (F.col("n_judges") >= 2) & F.col("a").isNotNull()
+    label = F.when(F.col("a.correctness").isin("right", "wrong", "partial", "unclear"), F.col("a.correctness")).otherwise("unclear")
+    rubric = F.map_filter(F.transform_values("a.rubric", lambda _, x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double")), lambda _, x: x.isNotNull())
+    scores = F.map_values(rubric)
+    mean = F.when(F.size(scores) > 0, F.aggregate(scores, F.lit(0.0), lambda s, x: s + x) / F.size(scores)).otherwise(0.0)
+    said = F.concat(F.lit("[主席仲裁·置信度"), F.coalesce(F.col("a.confidence").cast("string"), F.lit("None")), F.lit("] "), F.coalesce("a.rationale", F.lit("")))
+    taken = {"correctness": label, "rubric": rubric, "total": F.bround(F.coalesce("a.total", mean), 2), "rationale": said}
+    return rows.select(
+        *CELL, *(F.when(used, new).otherwise(F.col(c)).alias(c) for c, new in taken.items()), used.alias("arbitrated"), F.when(used, F.col("a.confidence")).alias("confidence"),
+        *(c for c in verdicts.columns if c not in (*CELL, *names)),
+    )

@@ -166,6 +166,7 @@ SELECTS = {
     "prompts": f"SELECT item_id, CAST(length({_PROMPT}) AS BIGINT) AS n_chars, sha256({_PROMPT}) AS prompt_sha256 FROM qa",
     "text_ingest": f"SELECT item_id AS line, CASE WHEN k > 0 THEN sha256({_strip('question')}) END AS query_sha, CASE WHEN k > 0 THEN sha256({_strip('answer')}) END AS answer_sha, CASE WHEN k > 1 AND {_strip('reference')} <> '' THEN sha256({_strip('reference')}) END AS reference_sha, CAST(NULL AS VARCHAR) AS competitor, CASE WHEN k = 1 THEN 'seen' END AS context, k = 0 AS failed FROM (SELECT *, item_id % 4 AS k FROM qa) a",
     "html_text": f"SELECT page_id, {_HTML} AS text FROM pages",
+    "judgement_rows": f"SELECT o_orderkey AS id, dim, round(CAST(CASE dim WHEN 'accuracy' THEN o_orderkey % 5 + 1 WHEN 'completeness' THEN CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 4 + 1 END ELSE round_even((o_orderkey % 5 + 1 + o_orderkey % 3 + 1) / CAST(2 AS DOUBLE), 0) END AS DOUBLE), 6) AS score, dim = 'completeness' AND o_orderkey % 11 = 0 AS is_na, CASE WHEN dim = 'safety' THEN 'said \"so\" twice' END AS reason, 'repaired' AS status FROM orders, (SELECT unnest(['accuracy', 'completeness', 'safety']) AS dim) d WHERE {_VALID}",
     "parse_judgement": f"SELECT o_orderkey AS id, CASE WHEN {_VALID} THEN 'repaired' ELSE 'failed' END AS status, CASE WHEN {_VALID} THEN CASE WHEN o_orderkey % 2 = 0 THEN 'right' ELSE 'wrong' END END AS correctness, CASE WHEN {_VALID} THEN round(CASE WHEN completeness IS NULL THEN (accuracy + safety) / 2.0 ELSE (accuracy + completeness + safety) / 3.0 END, 6) END AS total, CASE WHEN {_VALID} THEN accuracy END AS accuracy, CASE WHEN {_VALID} THEN completeness END AS completeness, CASE WHEN {_VALID} THEN safety END AS safety FROM (SELECT o_orderkey, CAST(o_orderkey % 5 + 1 AS DOUBLE) AS accuracy, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(o_orderkey % 4 + 1 AS DOUBLE) END AS completeness, round_even((o_orderkey % 5 + 1 + o_orderkey % 3 + 1) / CAST(2 AS DOUBLE), 0) AS safety FROM orders) a",
     "progress_tails": _TAILS,
     "progress_replayed": _TAILS,

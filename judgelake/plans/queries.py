@@ -60,7 +60,7 @@ def _html_text(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", text.alias("text"))
 
 
-def _judgements(v: Views) -> DataFrame:
+def _raw_judgements(v: Views) -> DataFrame:
     k = F.col("o_orderkey")
     number = lambda x: x.cast("string")
     rubric = F.concat(
@@ -68,8 +68,11 @@ def _judgements(v: Views) -> DataFrame:
         F.lit(', "safety": {"x": '), number(k % 5 + 1), F.lit(', "y": '), number(k % 3 + 1), F.lit(', "reason": "said "so" twice"}}, "correctness": "'),
         F.when(k % 2 == 0, "right").otherwise("wrong"), F.lit('", "rationale": "fine",}'),
     )
-    raw = v.table("orders").select(k.alias("id"), F.when(k % 13 == 0, "no verdict").otherwise(F.concat(F.lit("<analysis>a</analysis>```json\n"), rubric, F.lit("\n```"))).alias("text"))
-    parsed = judgement.parse_judgements(raw, "id", "text", DIMS)
+    return v.table("orders").select(k.alias("id"), F.when(k % 13 == 0, "no verdict").otherwise(F.concat(F.lit("<analysis>a</analysis>```json\n"), rubric, F.lit("\n```"))).alias("text"))
+
+
+def _judgements(v: Views) -> DataFrame:
+    parsed = judgement.parse_judgements(_raw_judgements(v), "id", "text", DIMS)
     score = lambda n: F.get(F.filter("dims", lambda d: d["dim"] == n), F.lit(0))["score"]
     return parsed.select("id", "status", "correctness", F.round("total", 6).alias("total"), *(score(n).alias(n) for n in DIMS))
 
@@ -180,6 +183,7 @@ QUERIES = {
         "text_ingest": _text_ingest,
         "html_text": _html_text,
         "parse_judgement": _judgements,
+        "judgement_rows": lambda v: judgement.rubric_rows(_raw_judgements(v), "id", "text", DIMS),
         "scorer_demo": lambda v: scoring.score(v.qa.select("item_id", "question", "answer")),
         "progress_tail": lambda v: timeline.progress_tail(v.fx_events, KEPT_EVENTS),
         "progress_stream": _progress_stream,

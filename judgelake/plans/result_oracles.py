@@ -154,6 +154,19 @@ CASE WHEN o_orderkey % 3 > 0 THEN 'prompt_tokens=' || CAST(o_orderkey % 100 AS V
     "progress_stream": CORE["progress_tail"],
     "farthest_fill": _FILL,
     "verdicts_added": CORE["verdicts"],
+    "classified_once": """SELECT id, CASE WHEN category IS NOT NULL THEN category ELSE coalesce(label, 'default') END AS category,
+        CASE WHEN category IS NOT NULL THEN 'dataset' WHEN label IS NOT NULL THEN 'auto_classified' ELSE 'fallback_default' END AS category_source, 0 AS scored_again
+        FROM (SELECT p_partkey AS id, CASE WHEN p_type IN ('PROMO', 'SMALL') THEN p_type END AS category, CASE WHEN NOT contains(p_name, 'red') THEN split_part(p_name, ' ', 2) END AS label FROM part) a""",
+    "scoring_dims": """SELECT item_id, judge, scoring, s.dim_set, dim, dim_ord FROM (
+        SELECT item_id, judge, scoring, CASE WHEN scoring IN ('operation', 'process') THEN scoring WHEN skill = 'music' THEN 'music' ELSE 'base' END AS dim_set FROM (
+            SELECT item_id, judge, category AS skill, CASE WHEN a_wins + b_wins = 2 THEN 'operation' WHEN a_wins + b_wins = 1 AND total > 2 THEN 'process' WHEN judge = 'j1' AND low_agreement THEN 'compare' ELSE 'result' END AS scoring
+            FROM results, (SELECT unnest(['j0', 'j1']) AS judge) j) a) b
+        JOIN (SELECT unnest(['base', 'base', 'base', 'process', 'operation', 'music', 'music']) AS dim_set, unnest(['accuracy', 'completeness', 'safety', 'steps', 'done', 'taste', 'accuracy']) AS dim, unnest([0, 1, 2, 0, 0, 0, 1]) AS dim_ord) s ON s.dim_set = b.dim_set""",
+    "arbitrated_fully": """SELECT v.item_id, v.model, CASE WHEN used THEN CASE WHEN v.item_id % 2 = 0 THEN 'wrong' ELSE 'unclear' END ELSE correctness END AS correctness,
+        round(CASE WHEN NOT used THEN total WHEN v.item_id % 3 = 1 THEN round_even(v.item_id % 7 + CAST(0.375 AS DOUBLE), 2) ELSE round_even(r.mean, 2) END, 6) AS total, CASE WHEN used THEN r.rubric END AS rubric,
+        CASE WHEN used THEN '[主席仲裁·置信度0.5] ' || v.model ELSE 'by vote' END AS rationale, used AS arbitrated, CASE WHEN used THEN CAST(0.5 AS DOUBLE) END AS confidence
+        FROM (SELECT *, low_agreement AND n_judges >= 2 AND item_id % 3 > 0 AS used FROM verdicts) v
+        JOIN (SELECT item_id, model, coalesce(avg(floor(mean_score + 0.7)), 0.0) AS mean, coalesce(string_agg(dim || '=' || CAST(floor(mean_score + 0.7) AS DOUBLE), ',' ORDER BY dim) FILTER (WHERE mean_score IS NOT NULL), '') AS rubric FROM dims GROUP BY item_id, model) r ON v.item_id = r.item_id AND v.model = r.model""",
     "snapshot_versions": "SELECT 'first' AS version, category, count(*) AS n FROM results WHERE error IS NULL GROUP BY category UNION ALL SELECT 'newest', category, count(*) FROM results GROUP BY category",
     "arithmetic": "SELECT o_orderkey, CASE WHEN o_orderkey % 9 > 2 THEN round((o_orderkey + 3) * -2.0 + 3 - (o_orderkey % 25) / 4.0, 6) END AS value FROM orders",
     "safe_arguments": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN '\"say \\\"no\\\"\"' WHEN 1 THEN '{\"a\": 1}' ELSE '{}' END AS arguments FROM events",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from judgelake import scoring
 from judgelake.functions import judgement
-from judgelake.operators import incremental, reports, results, skills, timeline, votes
+from judgelake.operators import incremental, modes, reports, results, skills, timeline, votes
 from judgelake.plans.views import DIMS, FOCAL, Views, frames, micros, query
 from judgelake.shipping import shared_dir
 from judgelake.sources import files, snapshots
@@ -129,6 +129,47 @@ def _stored(v: Views) -> dict[str, DataFrame]:
     return files.load_run(v.spark, folder, STORED)
 
 
+def _classified(v: Views) -> DataFrame:
+    """Parts of some types as items without a category, classified by their names in two runs, the second of which has nothing left."""
+    folder = f"{shared_dir(v.spark)}/judgelake/labels-{uuid.uuid4().hex}"
+    items = v.table("part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_type").isin("PROMO", "SMALL"), F.col("p_type")).alias("category"), F.sha2("p_name", 256).alias("key"), F.col("p_name").alias("prompt"))
+    named = v.table("part").select(F.split("p_name", " ")[1].alias("skill"), F.split("p_name", " ")[1].alias("display")).distinct()
+
+    def score(prompts: DataFrame) -> DataFrame:
+        return skills.match_label(prompts.select(F.col("key").alias("id"), F.col("prompt").alias("said")), named, "red").withColumnRenamed("id", "key")
+
+    first = items.where("category is null and id % 2 = 0")
+    snapshots.scored_once(v.spark, folder, first, score)
+    labels, _ = snapshots.scored_once(v.spark, folder, items.where("category is null"), score)
+    _, again = snapshots.scored_once(v.spark, folder, items.where("category is null"), score)
+    return modes.classified_once(items, labels).select("id", "category", "category_source", F.lit(again).alias("scored_again"))
+
+
+def _scoring(v: Views) -> DataFrame:
+    """Results as items of four modes with three judges, and sets of dimensions of which one skill has its own."""
+    items = v.results.select("item_id", F.element_at(F.array(*map(F.lit, ("result", "process", "operation", "compare"))), (F.col("a_wins") + F.col("b_wins") + 1).cast("int")).alias("mode"), F.col("category").alias("skill"), F.when(F.col("total") > 2, F.col("query")).alias("trace"), F.when(F.col("low_agreement"), F.lit("other")).alias("competitor"))
+    judges = v.spark.createDataFrame([("j0", "balanced"), ("j1", "product_expert")], "judge string, persona string")
+    rows = [("base", d, n) for n, d in enumerate(DIMS)] + [("process", "steps", 0), ("operation", "done", 0), ("music", "taste", 0), ("music", "accuracy", 1)]
+    return modes.scoring_dims(items.crossJoin(F.broadcast(judges)), v.spark.createDataFrame(rows, "dim_set string, dim string, dim_ord int")).select("item_id", "judge", "scoring", "dim_set", "dim", "dim_ord")
+
+
+def _pasted_items(v: Views) -> DataFrame:
+    """Benchmark texts and documents' beginnings as pasted lines: query, answer, competitor, reference."""
+    text = lambda c, n: F.regexp_replace(F.substring(F.coalesce(c, F.lit("")), 1, n), r"[|\n\r]", " ")
+    docs = v.table("documents").select(F.col("doc_id").alias("line"), F.concat_ws("|||", text("text", 30), F.col("lang"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise(""), F.when(F.length("text") > 400, F.col("lang")).otherwise("")).alias("value"))
+    found = modes.as_items(files.pasted(docs, "single"))
+    return found.select("id", F.sha2("question", 256).alias("question_sha"), "has_ref", "reference", "category", "answer", "competitor")
+
+
+def _arbitrated_fully(v: Views) -> DataFrame:
+    rubric = votes.rubrics(votes.dim_cells(v.vote_dims), v.weights()).select("item_id", "model", F.map_from_entries(F.transform(F.filter("dims", lambda d: d["mean_score"].isNotNull()), lambda d: F.struct(d["dim"], d["mean_score"]))).alias("rubric"))
+    judged = v.stored_verdicts().join(rubric, ["item_id", "model"]).withColumn("rationale", F.lit("by vote"))
+    given = judged.where("item_id % 3 > 0").select("item_id", "model", F.when(F.col("item_id") % 2 == 0, "wrong").otherwise("odd").alias("correctness"), F.transform_values("rubric", lambda _, x: x + 0.7).alias("rubric"), F.when(F.col("item_id") % 3 == 1, F.col("item_id") % 7 + 0.375).alias("total"), F.lit(0.5).alias("confidence"), F.col("model").alias("rationale"))
+    found = votes.arbitrated_fully(judged, given)
+    pairs = F.array_sort(F.transform(F.map_entries("rubric"), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"], 2).cast("string"))))
+    return found.select("item_id", "model", "correctness", F.round("total", 6).alias("total"), F.when(F.col("arbitrated"), F.array_join(pairs, ",")).alias("rubric"), "rationale", "arbitrated", "confidence")
+
+
 def _added_verdicts(v: Views) -> DataFrame:
     """Verdicts of a store to which votes were added in two runs: two judges' votes, then the third one's."""
     folder = f"{shared_dir(v.spark)}/judgelake/counts-{uuid.uuid4().hex}"
@@ -202,6 +243,10 @@ QUERIES = {
         "manifest_compare": _manifest,
         "stored_votes": _appended_store,
         "verdicts_added": _added_verdicts,
+        "classified_once": _classified,
+        "scoring_dims": _scoring,
+        "pasted_items": _pasted_items,
+        "arbitrated_fully": _arbitrated_fully,
         "snapshot_versions": _snapshot_versions,
         "report_a": lambda v: reports.report_a(_stored(v), FOCAL),
         "report_b": lambda v: reports.report_b(_stored(v)),

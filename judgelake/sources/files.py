@@ -6,6 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from judgelake.functions import text as T
 
@@ -30,6 +31,31 @@ def read_items(spark: SparkSession, path: str, limit: int | None = None) -> Data
     return rows.withColumns({"has_ref": F.coalesce(F.length("reference") > 0, F.lit(False)), "category": listed, "difficulty": F.coalesce("difficulty", F.lit("medium"))})
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1), value of text files of any size: each split's lines are numbered where they are read, and the lines of the
+    splits before are added. Numbers rest on both scans being cut into the same splits, as scans of one path are."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    counts = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a file's splits
+    counts = counts.select(F.col("file").alias("of"), F.col("block").alias("begin"), "first", before.alias("before"))
+    joined = rows.join(counts, (F.col("file") == F.col("of")) & (F.col("block") == F.col("begin")))
+    return joined.select(F.col("of").alias("file"), (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
+
+
+def bad_items(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, value of the lines of JSON Lines that are no item: no JSON object, or a field of another type. Blank lines are none."""
+    rows = numbered_lines(spark, path).where(F.trim("value") != "")
+    return rows.where(F.from_json("value", f"{ITEM}, __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})["__bad"].isNotNull())
+
+
+def checked_items(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """read_items(), or a ValueError that names file and line of the first bad lines."""
+    bad = bad_items(spark, path).orderBy("file", "line").limit(20).collect()
+    if bad:
+        raise ValueError("\n".join(f"{r['file']}:{r['line']}: no item: {r['value'][:80]}" for r in bad))
+    return read_items(spark, path, limit)
+
+
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ANSWER).option("mode", "DROPMALFORMED").json(path)
 
@@ -121,18 +147,6 @@ def manifest(lines: DataFrame, default_start: float = 7.0) -> DataFrame:
     return rows.select("line", "id", "query", "context", "video_path", "start", "end", "statement", error.alias("error"))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of one text file, numbered from 1 across its partitions."""
-    rows = spark.read.text(path).select("value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id"))
-    sizes = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row a partition
-    before, starts = 0, []
-    for part in sorted(sizes):
-        starts.append((part, before))
-        before += sizes[part]
-    first = spark.createDataFrame(starts, "part int, before long")
-    return rows.join(F.broadcast(first), "part").select((F.col("before") + F.col("id") % (1 << 33) + 1).alias("line"), "value")
-
-
 def manifest_of(lines: DataFrame, mode: str) -> DataFrame:
     """Lines of JSON (value, line) for the modes single, compare, online and process: line, query, context, the mode's fields,
     reference, category, error. Blank lines are left out."""

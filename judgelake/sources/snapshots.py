@@ -5,8 +5,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -102,3 +104,25 @@ def delete_old(spark: SparkSession, folder: str, keep: int = 1) -> list[int]:
         if status.getPath().getName() not in held:
             files.delete(status.getPath(), True)
     return known[:-keep]
+
+
+def scored_once(spark: SparkSession, folder: str, prompts: DataFrame, score: Callable[[DataFrame], DataFrame], name: str = "scores") -> tuple[DataFrame, int]:
+    """All scores stored under the folder, one row a prompt, and how many were made now.
+
+    prompts: key, prompt; rows of one key are one prompt (take a hash of the prompt as key). score() gets the prompts without a
+    score and returns key and further columns; what it returns is written once and published as a whole, so that a run
+    that fails or is repeated scores no prompt twice, and prompts that it leaves out are tried again by the next run.
+    """
+    known = versions(spark, folder)
+    held = manifest(spark, folder, known[-1]) if known else {"version": 0, "tables": {}}
+    todo = prompts.where("key is not null").groupBy("key").agg(F.min("prompt").alias("prompt"))
+    if name in held["tables"]:
+        todo = todo.join(frame(spark, folder, held["tables"][name]), "key", "left_anti")
+    entry = written(folder, score(todo), name)
+    made = frame(spark, folder, entry).count()
+    if made:
+        entry["paths"] += held["tables"].get(name, {"paths": []})["paths"]
+        publish(spark, folder, held["tables"] | {name: entry}, held["version"])
+    else:
+        entry = held["tables"].get(name, entry)
+    return frame(spark, folder, entry), made
