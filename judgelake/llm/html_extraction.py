@@ -7,7 +7,7 @@ candidates for the host's template. A token is valid if it is ordered, that is a
 nested, that is always in one gap of each class that covers more pages. The template is the tree of valid elements, and
 the slots between tokens hold what pages say. Menus, adverts and footers may vary as much as articles do, so what counts is
 where the text is: the innermost element of the template that holds REGION of the host's text outside links is the article's
-region. Slots outside it are left out, and slots inside it whose text never varies are part of the template, unless the region
+region, and elements of its kind beside it go on with the article where their text varies and is mostly in paragraphs. Slots outside it are left out, and slots inside it whose text never varies are part of the template, unless the region
 is an article (or main) element, which says itself that it is no template. What pages of
 the region mark themselves as navigation, forms, scripts and the like (by tags and roles; by class names only for
 containers) is left out of it too.
@@ -33,12 +33,14 @@ from .common import written
 
 #: A class belongs to a template if it covers so many of the host's pages.
 SUPPORT = 0.5
-#: Hosts with fewer pages use the template of all pages.
-LEAST_PAGES = 3
+#: Hosts with fewer pages use the template of all pages: one page does not tell what varies.
+LEAST_PAGES = 2
 #: The article's region holds so much of the text outside links.
 REGION = 0.6
-#: A slot whose text never varies on so many pages is part of the template.
-LEAST_FIXED = 5
+#: A slot whose text never varies is part of the template if so many pages have it: the fewest on which text can vary.
+LEAST_FIXED = 2
+#: An element beside the region is part of the article if so much of its text outside links is in paragraphs and the like.
+PROSE_SHARE = 0.5
 #: Templates of so many characters are sent to every executor; beyond that they are joined by shuffle.
 BROADCAST_CHARS = 32_000_000
 
@@ -60,6 +62,7 @@ BLOCKS = {
     "address", "article", "blockquote", "body", "dd", "details", "div", "dl", "dt", "fieldset", "figure", "h1", "h2", "h3", "h4", "h5",
     "h6", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "dd", "dt", "td", "th"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 MAIN = ("article", "main")
 
@@ -118,18 +121,21 @@ def _left_out(kind: str, name: str, signature: str) -> bool:
 
 class Page:
     """A page's tokens with their roles (signature and the containers around it), the place behind each element, and how many
-    characters of text outside links are before each token."""
+    characters of text outside links, and of those in paragraphs and the like, are before each token."""
 
     def __init__(self, page: str) -> None:
         self.page, self.found = page, list(tokens(page))
         self.roles: list[str] = []
         self.ends = [len(self.found)] * len(self.found)
-        self.chars = [0]
+        self.chars, self.prose = [0], [0]
+        block = ""
         stack: list[tuple[str, int, int]] = []
         path, links, raw, at = [""], 0, False, 0
         for k, (kind, name, signature, start, end) in enumerate(self.found):
             said = 0 if raw or links or start <= at else len(page[at:start].strip())
             self.chars.append(self.chars[-1] + said)
+            self.prose.append(self.prose[-1] + said * (block in PROSE))
+            block = block if name not in BLOCKS else "" if kind == "close" else name
             at, raw = end, kind in ("open", "hidden") and name in RAW
             if kind == "close":
                 for back in range(len(stack) - 1, -1, -1):
@@ -178,22 +184,26 @@ def _plain(parts: list[str]) -> str:
 
 
 class Template(NamedTuple):
-    """A host's valid tokens, its slots that never vary, and the element that bounds the article ('' for the whole page)."""
+    """A host's valid tokens, its slots that never vary, the element that bounds the article ('' for the whole page), and the elements
+    beside it that go on with the article."""
 
     tokens: frozenset[str] = frozenset()
     fixed: frozenset[str] = frozenset()
     region: str = ""
+    beside: frozenset[str] = frozenset()
 
 
-def _bounds(page: Page, template: Template | None) -> tuple[int, int]:
-    """Between which tokens the article is: in the template's region, or without a template in what the page calls its article."""
+def _bounds(page: Page, template: Template | None) -> list[tuple[int, int]]:
+    """Between which tokens the article is: in the template's region and beside it, or without a template in what the page calls its
+    article."""
     if template is not None and not template.region:
-        return -1, len(page.found)
-    if template is not None:
-        at = page.roles.index(template.region) if template.region in page.roles else -1
-    else:
+        return [(-1, len(page.found))]
+    if template is not None and template.region in page.roles:
+        return [(k, page.ends[k]) for k, role in enumerate(page.roles) if role == template.region or role in template.beside and not _left_out(*page.found[k][:3])]
+    at = -1
+    if template is None:
         at = next((k for m in MAIN for k, (kind, name, *_) in enumerate(page.found) if kind == "open" and name == m), -1)
-    return at, page.ends[at] if at >= 0 else len(page.found)
+    return [(at, page.ends[at] if at >= 0 else len(page.found))]
 
 
 def extract(text: str, template: Template | None) -> str:
@@ -202,11 +212,11 @@ def extract(text: str, template: Template | None) -> str:
     template: then the page's own article or main element counts."""
     page = Page(text)
     marked = template is None or bool(template.region)
-    first, last = _bounds(page, template)
+    bounds = _bounds(page, template)
     dropped = [False] * (len(page.found) + 1)
-    if template is not None and template.fixed and (first < 0 or page.found[first][1] not in MAIN):
+    if template is not None and template.fixed and (bounds[0][0] < 0 or page.found[bounds[0][0]][1] not in MAIN):
         names, texts = page.slots(set(template.tokens))
-        inside = {n for n in names[first + 1 : last + 1] if texts[n]}
+        inside = {n for first, last in bounds for n in names[first + 1 : last + 1] if texts[n]}
         if not inside <= template.fixed:  # a page of nothing but fixed slots shows no article, so it stays whole
             dropped = [n in template.fixed for n in names]
     blocks: list[str] = []
@@ -219,26 +229,27 @@ def extract(text: str, template: Template | None) -> str:
         if said:
             blocks.append(said)
 
-    for k in range(first + 1, last + 1):
-        at = page.found[k - 1][4] if k else 0
-        ended = k == len(page.found)
-        start = len(text) if ended else page.found[k][3]
-        if k > skip and not dropped[k] and start > at and not (k and page.found[k - 1][0] in ("open", "hidden") and page.found[k - 1][1] in RAW):
-            said = text[at:start]
-            held.append(re.sub(r"<[a-zA-Z/!][^>]*\Z", "", said) if ended else said)  # a tag cut off at the end is no text
-        if ended or k == last:
-            break
-        kind, name, signature, _, _ = page.found[k]
-        if k <= skip or kind in ("comment", "other"):
-            continue
-        if kind != "close" and name not in VOID and (_left_out(kind, name, signature) if marked else name in RAW or name == "head"):
-            close_block()
-            skip = page.ends[k] if name in CONTAINERS or name in RAW else _matching(page.found, k, last)
-        elif name in BLOCKS:
-            close_block()
-        elif name == "br":
-            held.append(" ")
-    close_block()
+    for first, last in bounds:
+        for k in range(first + 1, last + 1):
+            at = page.found[k - 1][4] if k else 0
+            ended = k == len(page.found)
+            start = len(text) if ended else page.found[k][3]
+            if k > skip and not dropped[k] and start > at and not (k and page.found[k - 1][0] in ("open", "hidden") and page.found[k - 1][1] in RAW):
+                said = text[at:start]
+                held.append(re.sub(r"<[a-zA-Z/!][^>]*\Z", "", said) if ended else said)  # a tag cut off at the end is no text
+            if ended or k == last:
+                break
+            kind, name, signature, _, _ = page.found[k]
+            if k <= skip or kind in ("comment", "other"):
+                continue
+            if kind != "close" and name not in VOID and (_left_out(kind, name, signature) if marked else name in RAW or name == "head"):
+                close_block()
+                skip = page.ends[k] if name in CONTAINERS or name in RAW else _matching(page.found, k, last)
+            elif name in BLOCKS:
+                close_block()
+            elif name == "br":
+                held.append(" ")
+        close_block()
     return "\n".join(blocks)
 
 
@@ -276,7 +287,8 @@ def _sign(text: str) -> int:
 
 def _measures(page: Page, classes: list[list[str]]) -> Iterator[tuple[str, str, str, int]]:
     """(kind, a, b, value): between which tokens of its own class and of each one that covers more pages a token lies; the
-    characters outside links in the page and in each element of the classes; and each slot's text as a hash."""
+    characters outside links in the page and in each element of the classes, those of them in paragraphs, and a hash of what the
+    element holds; and each slot's text as a hash."""
     place: dict[str, int] = {"<page>": -1}
     for k, role in enumerate(page.roles):
         place.setdefault(role, k)
@@ -294,7 +306,10 @@ def _measures(page: Page, classes: list[list[str]]) -> Iterator[tuple[str, str,
         for token in names:
             k = place.get(token, -1)
             if k >= 0 and page.found[k][0] == "open" and page.found[k][1] in CONTAINERS:
-                yield "region", token, "", page.chars[min(page.ends[k] + 1, len(page.chars) - 1)] - page.chars[k + 1]
+                end = min(page.ends[k] + 1, len(page.chars) - 1)
+                yield "region", token, "", page.chars[end] - page.chars[k + 1]
+                yield "prose", token, "", page.prose[min(end, len(page.prose) - 1)] - page.prose[k + 1]
+                yield "said", token, "", _sign(page.page[page.found[k][4] : page.found[page.ends[k]][3] if page.ends[k] < len(page.found) else None])
     for slot, text in page.slots({t for names in classes for t in names})[1].items():
         if text:
             yield "slot", slot, "", _sign(text)
@@ -317,7 +332,7 @@ def templates(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEA
                 sign = _sign(text)
                 for kind, a, b, value in _measures(Page(text), own or common):
                     held = seen.setdefault((template, kind, a, b), [0, value, value, 0, sign, sign])
-                    held[:] = held[0] + 1, min(held[1], value), max(held[2], value), held[3] + (value if kind == "region" else 0), min(held[4], sign), max(held[5], sign)
+                    held[:] = held[0] + 1, min(held[1], value), max(held[2], value), held[3] + (value if kind in ("region", "prose") else 0), min(held[4], sign), max(held[5], sign)
             keys = list(zip(*seen, strict=True)) or [()] * 4
             values = list(zip(*seen.values(), strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.string()) for v in keys), *(pa.array(v, pa.int64()) for v in values)], ["template", "kind", "a", "b", "pages", "low", "high", "total", "one", "other"])
@@ -334,11 +349,18 @@ def templates(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEA
     whole = regions.where("token = '<page>'").select("template", F.col("total").alias("all_chars"))
     holding = regions.join(valid.select("template", "token", "k", "gap"), ["template", "token"]).join(whole, "template").where((F.col("total") > 0) & (F.col("total") >= F.col("all_chars") * REGION))
     region = holding.groupBy("template").agg(F.min_by("token", F.struct("total", -F.length("token"), "token")).alias("region"))
+    kind_of = lambda token: F.regexp_extract(token, r"^[^ ]* <[^ >]*", 0)  # noqa: E731  the containers around it and its name
+    prose = sums.where("kind = 'prose'").select("template", F.col("a").alias("token"), F.col("total").alias("prose"))
+    varying = sums.where("kind = 'said' and low < high").select("template", F.col("a").alias("token"))
+    beside = regions.where("total > 0").join(varying, ["template", "token"]).join(prose, ["template", "token"]).join(valid.select("template", "token"), ["template", "token"]).join(region, "template").where(
+        (F.col("token") != F.col("region")) & (kind_of("token") == kind_of("region")) & (F.col("prose") >= F.col("total") * PROSE_SHARE)
+    ).groupBy("template").agg(F.array_sort(F.collect_list("token")).alias("beside"))  # some of the template's tokens
     same = sums.where((F.col("kind") == "slot") & (F.col("low") == F.col("high")) & (F.col("pages") >= least_fixed) & (F.col("one") < F.col("other")))
     fixed = same.groupBy("template").agg(F.collect_list("a").alias("fixed"))
     candidates = found.select(F.col("host").alias("template"), F.flatten("classes").alias("cut"))
-    return out.join(fixed, "template", "left").join(region, "template", "left").join(candidates, "template").select(
+    return out.join(fixed, "template", "left").join(region, "template", "left").join(beside, "template", "left").join(candidates, "template").select(
         F.col("template").alias("host"), "tokens", "cut", F.coalesce("fixed", F.array().cast("array<string>")).alias("fixed"), F.coalesce("region", F.lit("")).alias("region"),
+        F.coalesce("beside", F.array().cast("array<string>")).alias("beside"),
     )
 
 
@@ -382,19 +404,19 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """
     found = written(templates(pages), "templates")
     rest = found.where("host = '*'").first()
-    common = Template(frozenset(rest["cut"]), frozenset(rest["fixed"]), rest["region"]) if rest and rest["region"] else None
+    common = Template(frozenset(rest["cut"]), frozenset(rest["fixed"]), rest["region"], frozenset(rest["beside"])) if rest and rest["region"] else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known: dict[str, Template | None] = {}
             texts = []
-            for text, host, cut, fixed, region in zip(*(batch.column(k).to_pylist() for k in range(2, 7)), strict=True):
+            for text, host, cut, fixed, region, beside in zip(*(batch.column(k).to_pylist() for k in range(2, 8)), strict=True):
                 if host is not None and host not in known:
-                    known[host] = Template(frozenset(cut), frozenset(fixed), region) if region else None
+                    known[host] = Template(frozenset(cut), frozenset(fixed), region, frozenset(beside)) if region else None
                 texts.append(extract(text or "", common if host is None else known[host]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    rows = _beside(pages, found).select("page_id", "url", "html", "own", "cut", "fixed", "region")
+    rows = _beside(pages, found).select("page_id", "url", "html", "own", "cut", "fixed", "region", "beside")
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 

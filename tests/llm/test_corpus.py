@@ -490,3 +490,18 @@ def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
         assert kept.columns == docs.columns and kept.count() > 0
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("count", [2, 4, 5, 9])
+def test_op10_article_in_two_elements_at_any_number_of_pages(spark, count):
+    draw = random.Random(count)
+    words = lambda n: " ".join(draw.choice("abcdefgh") * 4 for _ in range(n))
+    rows, expected = [], {}
+    for k in range(count):
+        text, end = [words(30), words(25)], [words(8)]
+        parts = f'<div class="t">{words(3)}</div><div class="a"><p>{text[0]}</p><p>{text[1]}</p></div><div class="b"><p>{end[0]}</p></div><div class="l"><p>Free to use</p></div><div class="x">{words(4)}</div>'
+        rows.append((k, "https://two.example/", f"<html><body>{parts}</body></html>"))
+        expected[k] = "\n".join([*text, *end])
+    ship(spark)
+    found = {r["page_id"]: r["text"] for r in html_extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == expected
