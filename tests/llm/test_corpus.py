@@ -154,6 +154,21 @@ def test_op2_round_trip(spark):
     assert len(by_sequence) <= 1.05 * least + 1
 
 
+def water_filled(sizes):
+    """Targets by weight 1, 2, 3, repeating over sources in order (null last), none above 3 times its size, one pass after another."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, full, left = {s: 1 + k % 3 for k, s in enumerate(order)}, {}, sum(sizes.values())
+    while True:
+        open_ = [s for s in order if s not in full]
+        share = {s: left * weight[s] / sum(weight[o] for o in open_) for s in open_}
+        over = [s for s in open_ if share[s] > 3 * sizes[s]]
+        if not over:
+            return full | share
+        for s in over:
+            full[s] = 3.0 * sizes[s]
+            left -= full[s]
+
+
 def test_op3_meets_targets(spark):
     found = mixing.mix_sources(small(spark)).collect()
     by = {}
@@ -161,7 +176,8 @@ def test_op3_meets_targets(spark):
         assert r["taken"] <= 3 * r["size"]
         held = by.setdefault(r["source"], [0, r["target"], r["source_size"]])
         held[0] += r["taken"]
-    assert sum(t for _, t, _ in by.values()) == pytest.approx(min(sum(s for *_, s in by.values()), sum(3 * s for *_, s in by.values())), rel=1e-9)
+    expected = water_filled({source: size for source, (_, _, size) in by.items()})
+    assert {source: target for source, (_, target, _) in by.items()} == {source: pytest.approx(t, rel=1e-9) for source, t in expected.items()}
     assert all(abs(taken - target) <= 0.02 * target + 60 for taken, target, _ in by.values())
     again = {r["doc_id"]: r["taken"] for r in mixing.mix_sources(small(spark).repartition(5)).collect()}
     assert again == {r["doc_id"]: r["taken"] for r in found}
@@ -174,19 +190,21 @@ def test_op4_awkward(spark):
     assert {r["doc_id"]: r["text_sha256"] for r in found}[1] == hashlib.sha256(b"").hexdigest()
 
 
-def accuracy(spark, found, label):
-    truth = {r["doc_id"]: r[label] for r in small(spark, "labels").collect()}
+def held_out(found, labels, label):
+    """Area under the curve, precision and recall of label 1 over the held-out rows."""
+    truth = {r["doc_id"]: r[label] for r in labels.collect()}
     rows = [(r["score"], r["predicted"], truth[r["doc_id"]]) for r in found if r["held_out"] and truth.get(r["doc_id"]) is not None]
-    return sum(p == t for _, p, t in rows) / len(rows)
+    good, bad = [s for s, _, t in rows if t == 1], [s for s, _, t in rows if t == 0]
+    hits = sum(p for _, p, t in rows if t == 1)
+    return sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad)), hits / max(1, sum(p for _, p, _ in rows)), hits / len(good)
 
 
 def test_op5_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     ship(spark)
     found = toxicity.toxicity(docs, labels).collect()
-    truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
-    rows = [(r["predicted"], truth[r["doc_id"]]) for r in found if r["held_out"] and truth.get(r["doc_id"]) is not None]
-    assert len(found) == docs.count() and sum(p == t for p, t in rows) / len(rows) >= 0.85
+    area, precision, recall = held_out(found, labels, "toxic")  # a constant gives 0.5, 0 and 0
+    assert len(found) == docs.count() and area >= 0.8 and precision >= 0.6 and recall >= 0.6, (area, precision, recall)
 
 
 def test_op5_gapped_insults_stay_close():
@@ -199,9 +217,8 @@ def test_op5_gapped_insults_stay_close():
 def test_op7_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     ship(spark)
-    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
-    rows = [(r["predicted"], truth[r["doc_id"]]) for r in quality.quality(docs, labels).collect() if r["held_out"] and truth.get(r["doc_id"]) is not None]
-    assert sum(p == t for p, t in rows) / len(rows) >= 0.8
+    area, precision, recall = held_out(quality.quality(docs, labels).collect(), labels, "quality")  # of a constant 0.5; 59 of 70 rows are good
+    assert area >= 0.95 and precision >= 0.95 and recall >= 0.9, (area, precision, recall)
 
 
 @pytest.mark.parametrize("score", [toxicity.toxicity, quality.quality])
