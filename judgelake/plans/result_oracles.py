@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from judgelake.operators.reports import OVERVIEW
 from judgelake.operators.results import FAILED_SHEET, INTERRUPTED
-from judgelake.plans.oracles import ERROR_LABEL, STEPS, oracle
+from judgelake.plans.oracles import ERROR_LABEL, STEPS, _strip, oracle
 from judgelake.plans.oracles import SELECTS as CORE
 
 _DIM_ORD = "CASE dim WHEN 'accuracy' THEN 1 WHEN 'completeness' THEN 2 ELSE 3 END"
@@ -154,6 +154,8 @@ CASE WHEN o_orderkey % 3 > 0 THEN 'prompt_tokens=' || CAST(o_orderkey % 100 AS V
     "progress_stream": CORE["progress_tail"],
     "farthest_fill": _FILL,
     "verdicts_added": CORE["verdicts"],
+    "pasted_items": f"""SELECT 'q' || doc_id AS id, sha256({_strip("regexp_replace(substring(coalesce(text, ''), 1, 30), '[|" + chr(92) + "n" + chr(92) + "r]', ' ', 'g')")}) AS question_sha, coalesce(length(text) > 400, false) AS has_ref,
+        CASE WHEN length(text) > 400 THEN lang END AS reference, 'default' AS category, lang AS answer, CASE WHEN doc_id % 2 = 0 THEN source END AS competitor FROM documents""",
     "classified_once": """SELECT id, CASE WHEN category IS NOT NULL THEN category ELSE coalesce(label, 'default') END AS category,
         CASE WHEN category IS NOT NULL THEN 'dataset' WHEN label IS NOT NULL THEN 'auto_classified' ELSE 'fallback_default' END AS category_source, 0 AS scored_again
         FROM (SELECT p_partkey AS id, CASE WHEN p_type IN ('PROMO', 'SMALL') THEN p_type END AS category, CASE WHEN NOT contains(p_name, 'red') THEN split_part(p_name, ' ', 2) END AS label FROM part) a""",
