@@ -276,6 +276,42 @@ def test_op8_equals_brute_force(spark):
     assert found == {i: "\n".join(x for k, x in enumerate(text.split("\n")) if k not in expected[i]) for i, text, _ in rows}
 
 
+def test_op8_deletes_only_lines_that_equal_their_source(spark):
+    draw = random.Random(3)
+    line = lambda: " ".join(f"w{draw.randrange(10**6)}" for _ in range(20))
+    shared, own = [line() for _ in range(9)], [[line() for _ in range(4)] for _ in range(2)]
+    docs = [[*own[0], *shared, line()], [own[1][0], *shared, *own[1][1:]]]
+    number = lambda x: (hash(x) % 2**40, hash(x) % 2**20, 20)
+    kind = "uid string, ks array<int>, hs array<long>, cs array<int>, ws array<long>"
+    base = spark.createDataFrame([(f"d{k}", list(range(0, 2 * len(d), 2)), *map(list, zip(*map(number, d)))) for k, d in enumerate(docs)], kind)
+    seeds = lambda *rows: spark.createDataFrame([("d1", "d0", *row) for row in rows], "uid string, source string, shift int, first int, last int")
+    runs = lambda *rows: [[tuple(run) for run in r["runs"]] for r in line_dedup.extended(seeds(*rows), base).collect()]
+    assert runs((-3, 4, 6)) == [[(2, 18)]]  # on to both ends of the shared lines, positions as among all lines
+    assert runs((-3, 4, 6), (-3, 7, 9), (0, 1, 12)) == [[(2, 18)]]
+    assert runs((-2, 4, 6), (3, 3, 5)) == []  # a match at a wrong distance deletes nothing
+
+
+JOINED = line_dedup.joined_positions
+
+
+def test_op8_fingerprints_choose_places_only(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    plain = sorted(map(tuple, line_dedup.line_dedup(docs).collect()), key=str)
+    assert sum(r[2] for r in plain) > 0
+    everywhere = lambda lines, *_: lines.select("uid", "ord", "pos", F.lit(1).cast("long").alias("shingle"))
+    monkeypatch.setattr(line_dedup, "fingerprints", everywhere)
+    assert sorted(map(tuple, line_dedup.line_dedup(docs).collect()), key=str) == plain
+    monkeypatch.setattr(line_dedup, "joined_positions", lambda found: JOINED(found).where("false"))
+    assert all(r["removed_lines"] == 0 for r in line_dedup.line_dedup(docs).collect())
+
+
+def test_op8_sources_of_very_many_matches(spark):
+    run = "\n".join(" ".join(f"w{k}x{j}" for j in range(20)) for k in range(4))
+    rows = [(k, f"own line {k}\n{run}", "a") for k in range(700)] + [(1000 + k, "\n".join(" ".join(f"v{k // 2}x{i}x{j}" for j in range(30)) for i in range(2)), "a") for k in range(40)]
+    found = {r["doc_id"]: r["removed_lines"] for r in line_dedup.line_dedup(docs_of(spark, rows)).collect()}
+    assert found == {k: 4 if 0 < k < 700 else 2 if k >= 1000 and k % 2 else 0 for k, *_ in rows}
+
+
 def test_op9_round_trip_and_lacing(spark):
     found = {r["doc_id"]: r for r in matroska.media_digests(matroska.to_media(small(spark))).collect()}
     for r in small(spark).select("doc_id", "text").collect():
