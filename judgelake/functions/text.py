@@ -122,18 +122,28 @@ def prompt(question: Column, context: Column, context_label: str = "Context:", q
     return F.when(given == "", asked).otherwise(strip(F.concat(F.lit(context_label + "\n"), given, F.lit("\n\n" + question_label + "\n"), asked)))
 
 
+def json_string(text: Column) -> Column:
+    """The text as a JSON string, in quotes."""
+    return F.regexp_extract(F.to_json(F.struct(text.alias("x"))), r'^\{"x":([\s\S]*)\}$', 1)
+
+
 def display_value(value: Column, kind: str) -> Column:
-    """A value in a log line: yes or no for booleans, - for null, JSON for nested ones; quoted where it holds white space, a
-    bar or an equals sign."""
+    """A value in a log line: yes or no for booleans, - for null, JSON for nested ones; else its text, line ends escaped, as a JSON
+    string where it holds white space, a bar or an equals sign."""
     if kind == "boolean":
-        text = F.when(value, F.lit("是")).otherwise(F.lit("否"))
+        shown = F.when(value, F.lit("是")).otherwise(F.lit("否"))
     elif kind.startswith(("array", "map", "struct")):
-        text = F.to_json(value)
+        shown = F.to_json(value)
     else:
-        text = value.cast("string")
-    text = F.replace(F.replace(text, F.lit("\r"), F.lit("\\r")), F.lit("\n"), F.lit("\\n"))
-    quoted = F.when(text.rlike(r"[\s|=]"), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(text)
-    return F.when(value.isNull(), F.lit("-")).otherwise(quoted)
+        text = F.replace(F.replace(value.cast("string"), F.lit("\r"), F.lit("\\r")), F.lit("\n"), F.lit("\\n"))
+        shown = F.when(text.rlike(r"(?U)[\s|=]"), json_string(text)).otherwise(text)
+    return F.when(value.isNull(), F.lit("-")).otherwise(shown)
+
+
+def details(fields: dict[str, tuple[Column, str]]) -> Column:
+    """A log line's details, `name=value | name=value`, from name -> (value, kind); null and empty values are left out."""
+    shown = lambda name, value, kind: F.when(value.isNotNull() & (value.cast("string") != "" if kind == "string" else F.lit(True)), F.concat(F.lit(name + "="), display_value(value, kind)))
+    return F.concat_ws(" | ", *(shown(name, *field) for name, field in fields.items()))
 
 
 def retriable(status: Column, message: Column) -> Column:

@@ -110,6 +110,24 @@ UNION ALL SELECT task_id, 1, item_id, max(sequence) FROM replay_events GROUP BY
 UNION ALL SELECT task_id, 3, NULL, 0 FROM (SELECT e.task_id, count(DISTINCT e.item_id) AS n, count(DISTINCT d.item_id) AS m FROM replay_events e LEFT JOIN replay_done d ON e.item_id = d.item_id GROUP BY e.task_id) y WHERE n = m""",
 })
 
+_ESCAPED = "replace(replace(text, chr(13), '\\r'), chr(10), '\\n')"
+_NAMED = lambda x, most: f"coalesce(nullif(substring(regexp_replace(trim(coalesce({x}, '')), '[^0-9a-zA-Z_-]', '_', 'g'), 1, {most}), ''), 'sheet')"
+_SCORED = lambda d: f"CASE WHEN {d} = 'safety' AND item_id % 13 = 0 THEN 'N/A|' ELSE coalesce(CAST(CASE {d} WHEN 'accuracy' THEN accuracy WHEN 'safety' THEN safety END AS VARCHAR), '') || '|' || CASE WHEN {d} = 'accuracy' THEN coalesce(query, '') ELSE '' END END"
+_EXPORT = f"""SELECT task_id, sheet, position, 'task_id|item_id|category|category_display|error|total|wins|' || array_to_string(list_transform(ds, lambda d: '维度_' || d || '|理由_' || d), '|') AS header,
+    concat_ws('|', task_id, item_id, coalesce(category, ''), coalesce(category_display, ''), coalesce(error, ''), coalesce(CAST(total AS VARCHAR), ''), '{{"a_wins":' || a_wins || ',"b_wins":' || b_wins || '}}', array_to_string(list_transform(ds, lambda d: {_SCORED('d')}), '|')) AS cells
+FROM (
+    SELECT *, row_number() OVER (PARTITION BY task_id, kind, skill ORDER BY item_id) AS position,
+        CASE kind WHEN 0 THEN '逐题结果' WHEN 2 THEN '评估失败' ELSE '逐题-' || first_value(shown) OVER (PARTITION BY task_id, kind, skill ORDER BY item_id) END AS sheet,
+        CASE WHEN kind = 1 AND own = 'music' THEN ['taste', 'accuracy'] WHEN kind = 1 THEN ['accuracy', 'safety'] ELSE
+            list_concat(['accuracy'], list_concat(CASE WHEN bool_or(own <> 'music') OVER g THEN ['safety'] ELSE [] END, CASE WHEN bool_or(own = 'music') OVER g THEN ['taste'] ELSE [] END)) END AS ds
+    FROM (
+        SELECT r.*, coalesce(category, 'default') AS own, coalesce(category_display, category, 'default') AS shown, 0 AS kind, '' AS skill FROM results r JOIN snapshots s ON s.task_id = r.task_id
+        UNION ALL
+        SELECT r.*, coalesce(category, 'default'), coalesce(category_display, category, 'default'), CASE WHEN r.error IS NULL THEN 1 ELSE 2 END, CASE WHEN r.error IS NULL THEN coalesce(category, 'default') ELSE '' END
+        FROM results r JOIN snapshots s ON s.task_id = r.task_id WHERE mode <> 'compare'
+    ) a WINDOW g AS (PARTITION BY task_id, kind, skill)
+) b"""
+
 SELECTS = {
     "result_rows": f"""SELECT v.item_id, v.model, correctness, {_HALF_EVEN} AS total, coalesce(error_type, '') AS error_type, concat_ws('  ||  ', rationale, why) AS rationale, used_search, truncated, low_agreement FROM verdicts v
 JOIN (SELECT item_id, model, 'judged ' || arg_min(correctness, judge || lpad(CAST(run_idx AS VARCHAR), 9, '0')) AS rationale, bool_or(used_search) AS used_search, bool_or(total > 4) AS truncated FROM votes GROUP BY item_id, model) a ON v.item_id = a.item_id AND v.model = a.model
@@ -178,6 +196,16 @@ CASE WHEN o_orderkey % 3 > 0 THEN 'prompt_tokens=' || CAST(o_orderkey % 100 AS V
 CASE WHEN NOT ok THEN 'not a JSON object' WHEN k % 7 = 0 THEN 'no question' WHEN k % 5 = 0 THEN 'context must be text' WHEN k % 4 = 0 THEN 'no answer_b' END AS error FROM (SELECT o_orderkey AS k, o_orderkey % 11 > 1 AS ok FROM orders) a""",
     "stored_votes": "SELECT model, correctness, count(*) AS n FROM votes GROUP BY model, correctness",
     "report_a": _REPORT_A, "report_b": _REPORT_B, "report_c": _REPORT_C,
+    "export_sheets": _EXPORT,
+    "trace_rows": """SELECT v.item_id, model, judge, run_idx, v.error_type, coalesce(r.correctness, v.correctness) AS correctness, round(coalesce(r.total, v.total), 6) AS total, category_source,
+        CASE WHEN r.correctness <> v.correctness THEN v.correctness END AS call_correctness, CASE WHEN r.total <> v.total THEN v.total END AS call_total FROM votes v LEFT JOIN results r ON r.item_id = v.item_id""",
+    "log_lines": f"""SELECT doc_id, coalesce(lang, '-') AS lang_shown, sha256(concat_ws(' | ', '语言=' || nullif(lang, ''), '长文=' || CASE WHEN n_chars > 1000 THEN '是' WHEN n_chars <= 1000 THEN '否' END, '来源=' || CAST(to_json([source, lang]) AS VARCHAR),
+        '字数=' || n_chars, CASE WHEN text <> '' THEN '文本=' || CASE WHEN regexp_matches({_ESCAPED}, '[\\s\\p{{Z}}|=]') THEN CAST(to_json({_ESCAPED}) AS VARCHAR) ELSE {_ESCAPED} END END)) AS line_sha FROM documents""",
+    "json_answers": f"""SELECT conv_id, turn, sha256({_strip('text')}) AS answer_sha, sha256(coalesce(text, '')) AS first_sha, role AS second, CAST(NULL AS VARCHAR) AS third FROM conversations""",
+    "even_positions": """SELECT user_id, n, CAST(CASE WHEN k <= 1 THEN 0 ELSE round_even(i * (n - 1) / CAST(k - 1 AS DOUBLE), 0) END AS INT) AS place FROM (
+        SELECT user_id, n, k, unnest(range(k)) AS i FROM (SELECT user_id, CAST(count(*) AS INT) AS n, CAST(least(count(*), 16) AS INT) AS k FROM events GROUP BY user_id) a) b""",
+    "retriable_calls": f"""SELECT doc_id, coalesce(n_chars % 600 IN (408, 409, 429, 500, 502, 503, 504), false) OR regexp_matches(lower(coalesce(text, '')), 'time.?out|connection|temporar|overloaded|rate.?limit') AS again,
+        {_NAMED('source', 12)} AS name, {_NAMED('substring(text, 1, 200)', 31)} AS sheet FROM documents""",
     "plain_verdict_dims": "SELECT item_id, model, dim, round(avg(score), 6) AS mean_score, bool_and(is_na) AS is_na FROM vote_dims GROUP BY item_id, model, dim",
 }
 ORACLES = {name: oracle(select) for name, select in SELECTS.items()}

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from judgelake import scoring
 from judgelake.functions import judgement
-from judgelake.operators import incremental, modes, reports, results, skills, timeline, votes
+from judgelake.functions import text as T
+from judgelake.operators import exports, incremental, modes, reports, results, skills, timeline, votes
 from judgelake.plans.views import DIMS, FOCAL, Views, frames, micros, query
 from judgelake.shipping import shared_dir
 from judgelake.sources import files, snapshots
@@ -200,6 +201,56 @@ def _appended_store(v: Views) -> DataFrame:
     return newest.groupBy("model", "correctness").agg(F.count("*").alias("n"))
 
 
+def _sheet_rows(v: Views) -> DataFrame:
+    """Results of all tasks as sheets; one skill has dimensions of its own, and safety does not apply to some items."""
+    given = F.array(*(F.struct(F.lit(d).alias("key"), F.col(d).alias("value")) for d in ("accuracy", "safety")))
+    rubric = F.map_from_entries(F.filter(given, lambda e: e["value"].isNotNull()))
+    reasons = F.create_map(F.lit("accuracy"), F.col("query"))
+    na = F.when(F.col("item_id") % 13 == 0, F.array(F.lit("safety")))
+    wins = F.struct("a_wins", "b_wins")
+    rows = v.results.join(v.snapshots.select("task_id", "mode"), "task_id").select("task_id", "item_id", "mode", "category", "category_display", "error", "total", wins.alias("wins"), rubric.alias("rubric"), reasons.alias("rubric_reasons"), na.alias("na_dimensions"))
+    sets = v.spark.createDataFrame([("base", "accuracy", 0), ("base", "safety", 1), ("music", "taste", 0), ("music", "accuracy", 1)], "dim_set string, dim string, dim_ord int")
+    found = exports.sheet_rows(rows, sets)
+    return found.select("task_id", "sheet", "position", F.array_join("header", "|").alias("header"), F.array_join("cells", "|").alias("cells"))
+
+
+def _trace_rows(v: Views) -> DataFrame:
+    """Judges' votes as calls, merged with the results of their items."""
+    calls = v.votes.select("item_id", "model", "judge", "run_idx", "correctness", "total", "error_type")
+    ended = v.results.select("item_id", "correctness", "total", "category_source")
+    return files.trace_results(calls, ended, ["item_id"])
+
+
+def _log_lines(v: Views) -> DataFrame:
+    fields = {"语言": (F.col("lang"), "string"), "长文": (F.col("n_chars") > 1000, "boolean"), "来源": (F.array("source", "lang"), "array<string>"), "字数": (F.col("n_chars"), "long"), "文本": (F.col("text"), "string")}
+    return v.table("documents").select("doc_id", F.sha2(T.details(fields), 256).alias("line_sha"), T.display_value(F.col("lang"), "string").alias("lang_shown"))
+
+
+def _json_answers(v: Views) -> DataFrame:
+    """Turns as the JSON that a runner may answer with, under one of its three fields, or as bare text."""
+    text = F.coalesce("text", F.lit(""))
+    shapes = [F.to_json(F.struct(text.alias(k), F.col("role").alias("by"))) for k in ("answer", "text", "output")]
+    said = F.element_at(F.array(*shapes, text), (F.col("turn") % 4 + 1).cast("int"))
+    nested = F.to_json(F.struct(F.struct(F.array(F.struct(text.alias("content")), F.struct(F.col("role").alias("content"))).alias("choices")).alias("data")))
+    return v.table("conversations").select(
+        "conv_id", "turn", F.sha2(judgement.answer_of(said), 256).alias("answer_sha"), F.sha2(judgement.at_path(nested, "$.data.choices[0].content"), 256).alias("first_sha"),
+        judgement.at_path(nested, "$.data.choices[1].content").alias("second"), judgement.at_path(nested, "$.data.choices[2].content").alias("third"),
+    )
+
+
+def _even_positions(v: Views) -> DataFrame:
+    """For each user, 16 of the places of its events, or all of them, evenly spaced."""
+    counted = v.table("events").groupBy("user_id").agg(F.count("*").cast("int").alias("n"))
+    picked = F.explode(timeline.even_positions(F.col("n"), F.least("n", F.lit(16))))
+    return counted.select("user_id", "n", picked.alias("place"))
+
+
+def _retriable(v: Views) -> DataFrame:
+    """Documents' texts as messages of failed calls, their lengths as HTTP status where there is one."""
+    again = T.retriable((F.col("n_chars") % 600).cast("int"), F.col("text"))
+    return v.table("documents").select("doc_id", again.alias("again"), T.safe_name(F.col("source"), 12).alias("name"), T.safe_name(F.substring("text", 1, 200)).alias("sheet"))
+
+
 QUERIES = {
     name: query(build)
     for name, build in {
@@ -251,6 +302,12 @@ QUERIES = {
         "report_a": lambda v: reports.report_a(_stored(v), FOCAL),
         "report_b": lambda v: reports.report_b(_stored(v)),
         "report_c": lambda v: reports.report_c(_stored(v), FOCAL),
+        "export_sheets": _sheet_rows,
+        "trace_rows": _trace_rows,
+        "log_lines": _log_lines,
+        "json_answers": _json_answers,
+        "even_positions": _even_positions,
+        "retriable_calls": _retriable,
         "plain_verdict_dims": lambda v: votes.verdict_dims(v.vote_dims, trim=False),
     }.items()
 }

@@ -192,9 +192,10 @@ def skills_from_yaml(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """CSV with a header, nested columns as JSON and nulls empty; as many files as partitions."""
-    nested = {c: F.to_json(c) for c, kind in rows.dtypes if kind.startswith(("array", "map", "struct"))}
-    (rows.withColumns(nested) if nested else rows).write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
+    """CSV with a header behind a byte-order mark, nested columns as JSON, nulls and empty texts empty, quotes doubled; as many files as
+    partitions, each with its header."""
+    cells = [(F.to_json(F.col(f"`{c}`")) if kind.startswith(("array", "map", "struct")) else F.col(f"`{c}`")).alias(c if k else f"\ufeff{c}") for k, (c, kind) in enumerate(rows.dtypes)]
+    rows.select(*cells).write.mode("overwrite").options(header=True, nullValue="", emptyValue="", escape='"').csv(path)
 
 
 def trace_results(calls: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
