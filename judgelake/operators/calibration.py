@@ -15,9 +15,21 @@ def metas(qa: DataFrame, verdicts: DataFrame, scale: int = 5) -> DataFrame:
     empty; items without a verdict are skipped. agree is null if the judges could not tell.
     """
     keys = ["item_id", "model"] if "model" in qa.columns else ["item_id"]
+    # One row an item is scored before the join with its verdicts, so that a text is compared once.
     known = qa.where("reference <> ''").select(*keys, F.coalesce("answer", F.lit("")).alias("answer"), "reference")
     scored = known.select(*keys, T.exact_match(F.col("answer"), F.col("reference")).alias("em"), T.character_f1(F.col("answer"), F.col("reference")).alias("f1"))
-    rows = scored.join(verdicts.select("item_id", "model", "correctness", "total"), keys)
+    return _judged(scored.join(verdicts.select("item_id", "model", "correctness", "total"), keys), scale)
+
+
+def metas_of_answers(verdicts: DataFrame, items: DataFrame, answers: DataFrame, scale: int = 5) -> DataFrame:
+    """metas() of each verdict on an item with a reference, where answers (item_id, model, answer; one row each) are a store of their
+    own: a verdict without an answer there is held against an empty one. Null references are none."""
+    known = verdicts.select("item_id", "model", "correctness", "total").join(items.where("reference <> ''").select("item_id", "reference"), "item_id")
+    rows = known.join(answers.select("item_id", "model", "answer"), ["item_id", "model"], "left").withColumn("answer", F.coalesce("answer", F.lit("")))
+    return _judged(rows.withColumns({"em": T.exact_match(F.col("answer"), F.col("reference")), "f1": T.character_f1(F.col("answer"), F.col("reference"))}), scale)
+
+
+def _judged(rows: DataFrame, scale: int) -> DataFrame:
     objective = T.objective_label(F.col("em"), F.col("f1"))
     return rows.select(
         "item_id", "model", "em", "f1", objective.alias("objective"), F.col("correctness").alias("judged"), F.col("total").alias("judge_total"),

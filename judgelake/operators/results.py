@@ -127,6 +127,11 @@ def session_name(created_at: Column, mode: Column, task_id: Column) -> Column:
     return F.concat_ws("_", F.date_format(F.timestamp_seconds(created_at), "yyyyMMdd_HHmmss"), safe(mode), safe(task_id))
 
 
+def request_id(created_at: Column, task_id: Column, position: Column) -> Column:
+    """Minute of the task's begin in the session's time zone, the first six characters of its id, and the item's position."""
+    return F.concat(F.date_format(F.timestamp_seconds(created_at), "yyMMddHHmm"), F.lit("_"), F.substring(task_id.cast("string"), 1, 6), F.lit("_q"), position.cast("string"))
+
+
 def epoch_text(seconds: Column) -> Column:
     """In the session's time zone; empty for null."""
     return F.coalesce(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss"), F.lit(""))
@@ -249,6 +254,30 @@ def call_record(prompt_tokens: Column, completion_tokens: Column, total_tokens:
     return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
 
 
+def usage(response: Column) -> Column:
+    """The tokens that a model's response, as JSON text, says it used: prompt, completion and, of these, reasoning tokens; null where it
+    does not say so, or is no JSON."""
+    at = lambda path: F.get_json_object(response, f"$.usage.{path}").try_cast("long")
+    return F.struct(at("prompt_tokens").alias("prompt_tokens"), at("completion_tokens").alias("completion_tokens"), at("completion_tokens_details.reasoning_tokens").alias("reasoning_tokens"))
+
+
+# Names of an error's details in logs.
+ERROR_FIELDS = ("错误类型", "错误", "HTTP状态", "服务商请求ID", "响应", "调用栈")
+
+
+def error_details(kind: Column, message: Column, status: Column, request_id: Column, body: Column, trace: Column) -> Column:
+    """A failed call's details as a map: type, message, status and the provider's request id, null where unknown; the response's body and
+    the stack trace only where there are some."""
+    values = [c.cast("string") for c in (kind, message, status, request_id, F.nullif(body, F.lit("")), F.nullif(F.trim(trace), F.lit("")))]
+    entries = F.array(*(F.struct(F.lit(name).alias("key"), value.alias("value")) for name, value in zip(ERROR_FIELDS, values, strict=True)))
+    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull() | e["key"].isin(*ERROR_FIELDS[:4])))
+
+
+def without_keys(fields: Column, skipped: list[str]) -> Column:
+    """A map without some of its keys; a null map is empty."""
+    return F.map_filter(F.coalesce(fields, F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin(*skipped))
+
+
 def first_seen(rows: DataFrame, group: list[str], value: str, order: str) -> DataFrame:
     """group, value, place: distinct values in the order in which they first occur."""
     first = rows.groupBy(*group, value).agg(F.min(order).alias("__at"))

@@ -204,6 +204,14 @@ CASE WHEN NOT ok THEN 'not a JSON object' WHEN k % 7 = 0 THEN 'no question' WHEN
     "json_answers": f"""SELECT conv_id, turn, sha256({_strip('text')}) AS answer_sha, sha256(coalesce(text, '')) AS first_sha, role AS second, CAST(NULL AS VARCHAR) AS third FROM conversations""",
     "even_positions": """SELECT user_id, n, CAST(CASE WHEN k <= 1 THEN 0 ELSE round_even(i * (n - 1) / CAST(k - 1 AS DOUBLE), 0) END AS INT) AS place FROM (
         SELECT user_id, n, k, unnest(range(k)) AS i FROM (SELECT user_id, CAST(count(*) AS INT) AS n, CAST(least(count(*), 16) AS INT) AS k FROM events GROUP BY user_id) a) b""",
+    "metas_of_answers": """SELECT item_id, model, em, round(CAST(f1 AS DOUBLE), 6) AS f1, objective, correctness AS judged, round(total, 6) AS judge_total, CASE WHEN correctness <> 'unclear' THEN correctness = objective END AS agree, round(total / 5 - f1, 6) AS delta FROM (
+        SELECT *, CASE WHEN em = 1.0 OR f1 >= 0.85 THEN 'right' WHEN f1 >= 0.4 THEN 'partial' ELSE 'wrong' END AS objective FROM (
+            SELECT *, CASE WHEN p = r THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS em, CASE WHEN p = '' OR r = '' THEN 0.0 ELSE 2.0 * coalesce(list_sum(list_transform(list_distinct(string_split(p, '')), lambda c: least(length(p) - length(replace(p, c, '')), length(r) - length(replace(r, c, ''))))), 0) / (length(p) + length(r)) END AS f1 FROM (
+                SELECT v.item_id, v.model, v.correctness, v.total, CASE v.model WHEN 'm0' THEN regexp_replace(lower(i.reference), '[^a-z0-9]', '', 'g') WHEN 'm1' THEN CASE WHEN v.item_id % 4 > 0 THEN regexp_replace(lower(i.question), '[^a-z0-9]', '', 'g') ELSE '' END ELSE '' END AS p, regexp_replace(lower(i.reference), '[^a-z0-9]', '', 'g') AS r
+                FROM verdicts v JOIN items i ON i.item_id = v.item_id WHERE i.reference <> '') a) b) c""",
+    "call_requests": """SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_orderkey END AS prompt_tokens, CASE WHEN o_orderstatus = 'O' AND o_orderkey % 3 > 0 THEN o_custkey END AS completion_tokens, CASE WHEN o_orderstatus = 'O' THEN length(o_orderpriority) END AS reasoning_tokens,
+        '错误=' || o_orderstatus || '|HTTP状态=' || CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 600 AS VARCHAR) ELSE '-' END || '|服务商请求ID=-' || CASE WHEN o_orderkey % 5 = 0 THEN '|响应=body' ELSE '' END AS details,
+        strftime(make_timestamp((1700000000 + o_orderkey * 61) * 1000000), '%y%m%d%H%M') || '_' || substring(sha256(CAST(o_orderkey AS VARCHAR)), 1, 6) || '_q' || o_custkey AS request_id FROM orders""",
     "retriable_calls": f"""SELECT doc_id, coalesce(n_chars % 600 IN (408, 409, 429, 500, 502, 503, 504), false) OR regexp_matches(lower(coalesce(text, '')), 'time.?out|connection|temporar|overloaded|rate.?limit') AS again,
         {_NAMED('source', 12)} AS name, {_NAMED('substring(text, 1, 200)', 31)} AS sheet FROM documents""",
     "plain_verdict_dims": "SELECT item_id, model, dim, round(avg(score), 6) AS mean_score, bool_and(is_na) AS is_na FROM vote_dims GROUP BY item_id, model, dim",

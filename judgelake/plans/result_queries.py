@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from judgelake import scoring
 from judgelake.functions import judgement
 from judgelake.functions import text as T
-from judgelake.operators import exports, incremental, modes, reports, results, skills, timeline, votes
+from judgelake.operators import calibration, exports, incremental, modes, reports, results, skills, timeline, votes
 from judgelake.plans.views import DIMS, FOCAL, Views, frames, micros, query
 from judgelake.shipping import shared_dir
 from judgelake.sources import files, snapshots
@@ -245,6 +245,23 @@ def _even_positions(v: Views) -> DataFrame:
     return counted.select("user_id", "n", picked.alias("place"))
 
 
+def _answer_metas(v: Views) -> DataFrame:
+    """Verdicts on parts with a brand as reference, and a store of answers of two of the three models: the brand, shouted, or the name."""
+    answers = v.items.select("item_id", F.lit("m0").alias("model"), F.concat(F.lit("  "), F.upper("reference"), F.lit("! ")).alias("answer")).unionByName(v.items.where("item_id % 4 > 0").select("item_id", F.lit("m1").alias("model"), F.col("question").alias("answer")))
+    return calibration.metas_of_answers(v.verdicts(), v.items, answers)
+
+
+def _requests(v: Views) -> DataFrame:
+    """Orders as calls, with the response of those that went well and the details of the others."""
+    k = F.col("o_orderkey")
+    used = F.struct(k.alias("prompt_tokens"), F.when(k % 3 > 0, F.col("o_custkey")).alias("completion_tokens"), F.struct(F.length("o_orderpriority").alias("reasoning_tokens")).alias("completion_tokens_details"))
+    said = F.when(F.col("o_orderstatus") == "O", F.to_json(F.struct(used.alias("usage")))).when(F.col("o_orderstatus") == "F", F.col("o_orderpriority"))
+    failed = results.without_keys(results.error_details(F.col("o_orderpriority"), F.col("o_orderstatus"), F.when(k % 2 == 0, k % 600), F.lit(None).cast("string"), F.when(k % 5 == 0, "body").otherwise(""), F.lit("  ")), ["错误类型"])
+    shown = F.array_join(F.transform(F.map_entries(failed), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("-")))), "|")
+    rows = v.table("orders").select("o_orderkey", results.usage(said).alias("u"), shown.alias("details"), results.request_id(1700000000 + k * 61, F.sha2(k.cast("string"), 256), F.col("o_custkey")).alias("request_id"))
+    return rows.select("o_orderkey", "u.*", "details", "request_id")
+
+
 def _retriable(v: Views) -> DataFrame:
     """Documents' texts as messages of failed calls, their lengths as HTTP status where there is one."""
     again = T.retriable((F.col("n_chars") % 600).cast("int"), F.col("text"))
@@ -308,6 +325,8 @@ QUERIES = {
         "json_answers": _json_answers,
         "even_positions": _even_positions,
         "retriable_calls": _retriable,
+        "metas_of_answers": _answer_metas,
+        "call_requests": _requests,
         "plain_verdict_dims": lambda v: votes.verdict_dims(v.vote_dims, trim=False),
     }.items()
 }

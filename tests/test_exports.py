@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from judgelake.functions import judgement
 from judgelake.functions import text as T
-from judgelake.operators import exports, timeline
+from judgelake.operators import calibration, exports, results, timeline
 from judgelake.sources import files
 
 SETS = [("base", "accuracy", 0), ("base", "safety", 1), ("music", "taste", 0), ("music", "accuracy", 1)]
@@ -107,3 +107,20 @@ def test_even_positions(spark, n, k):
 def test_answer_store_drops_bad_lines(spark, tmp_path):
     Path(tmp_path, "m.jsonl").write_text('{"item_id": 1, "answer": "a"}\nnot json\n\n{"item_id": 2, "answer": null}\n')
     assert files.read_answers(spark, str(tmp_path)).count() == 2
+
+
+def test_usage_and_errors_of_awkward_calls(spark):
+    said = ['{"usage": {"prompt_tokens": 3, "completion_tokens_details": {"reasoning_tokens": 2}}}', '{"usage": null}', '{"usage": {"prompt_tokens": "x"}}', "no json", None]
+    rows = spark.createDataFrame([(k, s) for k, s in enumerate(said)], "k long, s string").orderBy("k")
+    assert [tuple(r["u"]) for r in rows.select(results.usage(F.col("s")).alias("u")).collect()] == [(3, None, 2), (None,) * 3, (None,) * 3, (None,) * 3, (None,) * 3]
+    null = F.lit(None).cast("string")
+    found = spark.range(1).select(results.error_details(F.lit("E"), null, F.lit(429), null, F.lit(""), F.lit(" at x ")).alias("a"), results.without_keys(F.lit(None).cast("map<string,string>"), ["a"]).alias("b")).first()
+    assert found["a"] == {"错误类型": "E", "错误": None, "HTTP状态": "429", "服务商请求ID": None, "调用栈": "at x"} and found["b"] == {}
+
+
+def test_verdicts_without_an_answer_are_held_against_an_empty_one(spark):
+    verdicts = spark.createDataFrame([(1, "a", "right", 5.0), (1, "b", "wrong", 0.0), (2, "a", "right", 5.0), (3, "a", "unclear", None)], "item_id long, model string, correctness string, total double")
+    items = spark.createDataFrame([(1, "Paris"), (2, ""), (3, "x"), (4, "y")], "item_id long, reference string")
+    answers = spark.createDataFrame([(1, "a", " paris. "), (3, "a", None), (9, "a", "z")], "item_id long, model string, answer string")
+    found = {(r["item_id"], r["model"]): (r["em"], r["f1"], r["objective"], r["agree"], r["delta"]) for r in calibration.metas_of_answers(verdicts, items, answers).collect()}
+    assert found == {(1, "a"): (1.0, 1.0, "right", True, 0.0), (1, "b"): (0.0, 0.0, "wrong", True, 0.0), (3, "a"): (0.0, 0.0, "wrong", None, None)}
