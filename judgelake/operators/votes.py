@@ -6,6 +6,8 @@ sends a few rows per task to its group.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,11 +44,9 @@ def verdict_dims(vote_dims: DataFrame, trim: bool = True) -> DataFrame:
     """item_id, model, dim, mean_score, is_na: a dimension is not applicable only if every vote says so; mean_score is
     null if nobody scored it."""
     keys = [*CELL, "dim"]
-    na = vote_dims.groupBy(*keys).agg((F.count_if("is_na") == F.count("*")).alias("is_na"), F.avg("score").alias("plain"))
     if not trim:
-        return na.select(*keys, F.col("plain").alias("mean_score"), "is_na")
-    means = trimmed_means(vote_dims, keys)
-    return na.join(means, keys, "left").select(*keys, F.col("mean").alias("mean_score"), "is_na")
+        return vote_dims.groupBy(*keys).agg((F.count_if("is_na") == F.count("*")).alias("is_na"), F.avg("score").alias("mean_score")).select(*keys, "mean_score", "is_na")
+    return dims_of(dim_cells(vote_dims))
 
 
 def weighted_totals(dims: DataFrame, weights: DataFrame | None = None) -> DataFrame:
@@ -62,15 +62,17 @@ def low_agreement(agreement: Column, repeat_std: Column, threshold: float, scale
     return (agreement < threshold) | (F.round(repeat_std, 9) > round(0.15 * scale + 0.3, 9))
 
 
-def _top(histogram: Column, field: str) -> Column:
-    """From an array of structs with counts n: (winner, null on a tie; top count; votes) over the values of a field that are there."""
-    there = F.filter(histogram, lambda x: x[field].isNotNull() & (x[field] != ""))
-    total = lambda rows: F.aggregate(rows, F.lit(0).cast("long"), lambda s, x: s + x["n"])
-    values = F.array_distinct(F.transform(there, lambda x: x[field]))
-    counts = F.transform(values, lambda v: F.struct(total(F.filter(there, lambda x: x[field] == v)).alias("n"), v.alias("v")))
-    top = F.array_max(F.transform(counts, lambda c: c["n"]))
-    best = F.filter(counts, lambda c: c["n"] == top)
-    return F.struct(F.when(F.size(best) == 1, F.get(best, F.lit(0))["v"]).alias("winner"), top.alias("top"), total(there).alias("votes"))
+def _counted(rows: str, value: str) -> Column:
+    """Of an array of structs with counts n, each value of a field that is there as (n, v), in ascending order."""
+    values = F.array_distinct(F.transform(F.filter(rows, lambda x: x[value].isNotNull() & (x[value] != "")), lambda x: x[value]))
+    votes = lambda v: F.aggregate(rows, F.lit(0).cast("long"), lambda n, x: n + F.when(x[value] == v, x["n"]).otherwise(F.lit(0)))
+    return F.array_sort(F.transform(values, lambda v: F.struct(votes(v).alias("n"), v.alias("v"))))
+
+
+def _winner(counted: str) -> Column:
+    """The last of _counted(), null where the one before it has as many."""
+    last, before = F.try_element_at(counted, F.lit(-1)), F.try_element_at(counted, F.lit(-2))
+    return F.when(before.isNull() | (before["n"] < last["n"]), last["v"])
 
 
 def vote_cells(votes: DataFrame) -> DataFrame:
@@ -84,63 +86,62 @@ def dim_cells(vote_dims: DataFrame) -> DataFrame:
     return vote_dims.groupBy(*CELL, "dim", "score").agg(F.count("*").alias("n"), F.count_if("is_na").alias("na"))
 
 
+def dims_of(cells: DataFrame, share: float = 0.1) -> DataFrame:
+    """verdict_dims() from dim_cells(): means trimmed as by trimmed_means(). All rows of a cell meet in one partition, so that what
+    follows by cell needs no shuffle of its own."""
+    keys = [*CELL, "dim"]
+    rows = cells.repartition(*CELL).withColumn("c", F.when(F.col("score").isNotNull(), F.col("n")).otherwise(F.lit(0)))
+    rows = rows.withColumn("upto", F.sum("c").over(Window.partitionBy(*keys).orderBy("score"))).withColumn("of", F.sum("c").over(Window.partitionBy(*keys)))
+    k = F.when(F.col("of") > 2, F.floor(F.col("of") * F.lit(share))).otherwise(0)
+    left = F.greatest(F.lit(0), F.least(F.col("upto"), F.col("of") - k) - F.greatest(F.col("upto") - F.col("c"), k))
+    return rows.withColumn("left", left).groupBy(*keys).agg(
+        F.try_divide(F.sum(F.col("score") * F.col("left")), F.sum(F.when(F.col("score").isNotNull(), F.col("left")))).alias("mean_score"), (F.sum("na") == F.sum("n")).alias("is_na"),
+    )
+
+
 def rubrics(cells: DataFrame, weights: DataFrame | None = None, share: float = 0.1) -> DataFrame:
+    """rubrics_of() the dimensions that dim_cells() count."""
+    return rubrics_of(dims_of(cells, share), weights)
+
+
+def rubrics_of(dims: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """item_id, model, dims (array of dim, mean_score, is_na) and rubric_total, the weighted mean over scored applicable dimensions,
-    from dim_cells(): one shuffle by cell. Means are trimmed as by trimmed_means(). weights (dim, weight) is a handful of rows;
-    unknown dimensions weigh 1."""
-    total = lambda rows, of: F.aggregate(rows, F.lit(0).cast("long"), lambda a, x: a + of(x))
-
-    def mean_of(dim: Column) -> Column:
-        own = F.filter("h", lambda x: x["dim"].eqNullSafe(dim))
-        scored = F.array_sort(F.transform(F.filter(own, lambda x: x["score"].isNotNull()), lambda x: F.struct(x["score"].alias("x"), x["n"].alias("c"))))
-        n = total(scored, lambda x: x["c"])
-        k = F.when(n > 2, F.floor(n * F.lit(share))).otherwise(0)
-
-        def add(state: Column, x: Column) -> Column:
-            left = F.greatest(F.lit(0), F.least(state["upto"] + x["c"], state["n"] - state["k"]) - F.greatest(state["upto"], state["k"]))
-            return F.struct((state["upto"] + x["c"]).alias("upto"), state["n"].alias("n"), state["k"].alias("k"), (state["sum"] + x["x"] * left).alias("sum"), (state["left"] + left).alias("left"))
-
-        begin = F.struct(F.lit(0).cast("long").alias("upto"), n.alias("n"), k.cast("long").alias("k"), F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("left"))
-        mean = F.aggregate(scored, begin, add, lambda state: F.try_divide(state["sum"], state["left"]))
-        return F.struct(dim.alias("dim"), mean.alias("mean_score"), (total(own, lambda x: x["na"]) == total(own, lambda x: x["n"])).alias("is_na"))
-
-    rows = cells.groupBy(*CELL).agg(F.collect_list(F.struct("dim", "score", "n", "na")).alias("h"))  # a few rows a dimension
-    rows = rows.select(*CELL, F.transform(F.array_distinct(F.transform("h", lambda x: x["dim"])), mean_of).alias("dims"))
-    if weights is None:
-        weight = lambda d: F.lit(1.0)
-    else:
-        rows = rows.crossJoin(F.broadcast(weights.agg(F.map_from_entries(F.collect_list(F.struct("dim", "weight"))).alias("weights"))))  # one row
-        weight = lambda d: F.coalesce(F.try_element_at("weights", d["dim"]), F.lit(1.0))
-    counted = F.filter("dims", lambda d: ~d["is_na"] & d["mean_score"].isNotNull())
-    add = lambda of: F.aggregate(counted, F.lit(0.0), lambda a, d: a + of(d))
-    rubric = F.coalesce(F.try_divide(add(lambda d: d["mean_score"] * weight(d)), add(weight)), F.lit(0.0))
-    return rows.select(*CELL, "dims", rubric.alias("rubric_total"))
-
-
-def verdicts_of(cells: DataFrame, rubric: DataFrame, threshold: float = 0.6, scale: int = 5) -> DataFrame:
+    from verdict_dims(). weights (dim, weight) is a handful of rows; unknown dimensions weigh 1."""
+    rows = dims.join(F.broadcast(weights), "dim", "left") if weights is not None else dims.withColumn("weight", F.lit(1.0))
+    w = F.when(~F.col("is_na") & F.col("mean_score").isNotNull(), F.coalesce("weight", F.lit(1.0)))
+    rubric = F.coalesce(F.try_divide(F.sum(F.col("mean_score") * w), F.sum(w)), F.lit(0.0))
+    return rows.groupBy(*CELL).agg(F.collect_list(F.struct("dim", "mean_score", "is_na")).alias("dims"), rubric.alias("rubric_total"))
+
+
+def verdicts_of(cells: DataFrame, rubric: DataFrame, threshold: float = 0.6, scale: int = 5, carry: Sequence[str] = ()) -> DataFrame:
     """One row per (item_id, model): total, correctness, error_type, agreement, repeat_std, n_judges, low_agreement, from
-    vote_cells() and rubrics().
+    vote_cells() and rubrics(). carry names columns of the rubric that go with it.
 
     Ties make correctness 'unclear' and error_type null. repeat_std is the mean over judges with more than one run of
     the population deviation of their totals, 0 without such judges. A cell gathers its few counts, so that its votes never
     meet in one row, and meets its rubric where both are shuffled to by cell.
     """
     rows = cells.groupBy(*CELL).agg(F.collect_list(F.struct("judge", "correctness", "error_type", "n", "k", "s", "q")).alias("h"))
-    judges = F.array_distinct(F.transform("h", lambda x: x["judge"]))
-    add = lambda rows, field: F.aggregate(rows, F.lit(0.0), lambda a, x: a + F.coalesce(x[field], F.lit(0)).cast("double"))
-
-    def spread(judge: Column) -> Column:
-        mine = F.filter("h", lambda x: x["judge"].eqNullSafe(judge))
-        k = add(mine, "k")
-        return F.when((add(mine, "n") > 1) & (k > 0), F.sqrt(F.greatest(F.lit(0.0), add(mine, "q") / k - (add(mine, "s") / k) * (add(mine, "s") / k))))
-
-    spreads = F.filter(F.transform(judges, spread), lambda x: x.isNotNull())
-    repeat_std = F.coalesce(F.try_divide(F.aggregate(spreads, F.lit(0.0), lambda a, x: a + x), F.size(spreads)), F.lit(0.0))
-    rows = rows.select(*CELL, _top(F.col("h"), "correctness").alias("c"), _top(F.col("h"), "error_type")["winner"].alias("error_type"), F.size(judges).cast("long").alias("n_judges"), repeat_std.alias("repeat_std"))
-    rows = rows.join(rubric.select(*CELL, "rubric_total"), CELL, "left").withColumn("agreement", F.col("c.top") / F.col("c.votes"))
+
+    def moments(judge: Column) -> Column:
+        """A judge's n, k, s and q over its counts."""
+        begin = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+        add = lambda m, x: F.struct((m["n"] + x["n"]).alias("n"), (m["k"] + x["k"]).alias("k"), (m["s"] + F.coalesce(x["s"], F.lit(0.0))).alias("s"), (m["q"] + F.coalesce(x["q"], F.lit(0.0))).alias("q"))
+        return F.aggregate("h", begin, lambda m, x: F.when(x["judge"].eqNullSafe(judge), add(m, x)).otherwise(m))
+
+    # Each step reads the one before more than once, so that Spark keeps them apart and none is evaluated again.
+    rows = rows.select(*CELL, _counted("h", "correctness").alias("c"), _counted("h", "error_type").alias("e"), F.transform(F.array_distinct(F.transform("h", lambda x: x["judge"])), moments).alias("j"))
+    spread = lambda m: F.sqrt(F.greatest(F.lit(0.0), m["q"] / m["k"] - (m["s"] / m["k"]) * (m["s"] / m["k"])))
+    several = F.transform(F.filter("j", lambda m: (m["n"] > 1) & (m["k"] > 0)), spread)
+    rows = rows.select(
+        *CELL, _winner("c").alias("correctness"), _winner("e").alias("error_type"), F.size("j").cast("long").alias("n_judges"), several.alias("spreads"),
+        (F.try_element_at("c", F.lit(-1))["n"] / F.aggregate("c", F.lit(0).cast("long"), lambda n, x: n + x["n"])).alias("agreement"),
+    )
+    repeat_std = F.coalesce(F.try_divide(F.aggregate("spreads", F.lit(0.0), lambda a, x: a + x), F.size("spreads")), F.lit(0.0))
+    rows = rows.withColumn("repeat_std", repeat_std).join(rubric.select(*CELL, "rubric_total", *carry), CELL, "left")
     return rows.select(
-        *CELL, F.coalesce("rubric_total", F.lit(0.0)).alias("total"), F.coalesce("c.winner", F.lit("unclear")).alias("correctness"), "error_type", "agreement", "repeat_std", "n_judges",
-        low_agreement(F.col("agreement"), F.col("repeat_std"), threshold, scale).alias("low_agreement"),
+        *CELL, F.coalesce("rubric_total", F.lit(0.0)).alias("total"), F.coalesce("correctness", F.lit("unclear")).alias("correctness"), "error_type", "agreement", "repeat_std", "n_judges",
+        low_agreement(F.col("agreement"), F.col("repeat_std"), threshold, scale).alias("low_agreement"), *carry,
     )
 
 

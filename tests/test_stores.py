@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from judgelake.operators import incremental, votes
+from judgelake.plans import result_queries, views
+from judgelake.shipping import ship
 from judgelake.sources import snapshots
 
-from .conftest import plain
+from .conftest import SMALL, plain
 
 
 def numbers(df):
@@ -78,3 +80,13 @@ def test_rubrics_equal_dims_and_totals(spark):
     assert plain(flat.select(*old.columns).collect(), old.columns) == plain(old.collect(), old.columns)
     totals = votes.weighted_totals(old, weights)
     assert plain(new.select(*totals.columns).collect(), totals.columns) == plain(totals.collect(), totals.columns)
+
+
+@pytest.mark.parametrize("name", ["result_rows", "arbitrated_fully", "report_a", "report_b", "report_c"])
+def test_a_query_reads_the_scores_once(spark, name, monkeypatch):
+    ship(spark)
+    read = []
+    plain_frame = views.frame
+    monkeypatch.setattr(views, "frame", lambda *given: read.append(given[-1]) or plain_frame(*given))
+    result_queries.QUERIES[name](spark, SMALL)
+    assert read.count("vote_dims") == 1
