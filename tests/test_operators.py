@@ -243,3 +243,33 @@ def test_verdicts_equal_plain_python_and_evaluate_no_step_again(spark):
     # Higher-order functions are interpreted: none over scores, and those over a cell's counts not inlined where they are read again.
     plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString().count("lambdafunction")
     assert plan(rubric) == 0 and plan(found) <= 24
+
+
+def test_rows_of_judgements_come_by_batch(spark):
+    draw = random.Random(5)
+
+    def by_character(text):
+        out, inside, k = [], False, 0
+        while k < len(text):
+            if inside and text[k] == "\\":
+                out.append(text[k : k + 2])
+                k += 2
+                continue
+            after = text[k + 1 :].lstrip()
+            if text[k] == '"' and inside and after and after[0] not in ":,}]":
+                out.append('\\"')
+            else:
+                inside ^= text[k] == '"'
+                out.append(text[k])
+            k += 1
+        return judgement._COMMA.sub(r"\1", "".join(out))
+
+    for _ in range(3000):
+        text = "".join(draw.choice('"\\,:{}] ab') for _ in range(draw.randrange(14)))
+        assert judgement.repaired(text) == by_character(text)
+    texts = [(1, 'so {"rubric": {"a": 4.7, "b": null, "c": {"x": 1, "y": 2, "reason": "r"}},} end'), (2, "no"), (3, None), (4, '{"rubric": {}}')]
+    rows = judgement.rubric_rows(spark.createDataFrame(texts, "n int, said string"), "n", "said")
+    assert sorted(map(tuple, rows.collect())) == [(1, "a", 4.0, False, None, "repaired"), (1, "b", None, True, None, "repaired"), (1, "c", 2.0, False, "r", "repaired")]
+    assert judgement.rubric_rows(spark.createDataFrame([(2, "no")], "n int, said string"), "n", "said").count() == 0
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "EvalPythonUDTF" not in plan  # a table function makes a frame for each row
