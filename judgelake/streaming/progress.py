@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import bisect
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -55,7 +55,8 @@ def new_only(events: DataFrame, keys: list[str], at: str = "ts", late: str = "1
 
 #: What tells two events without a sequence apart.
 EVENT_FIELDS = ("updated_at", "module", "event", "judge", "round", "message")
-KEPT = "key:string,updated_at:long,module:string,message:string"
+#: Items that share a state: a call of Python costs more than an item's events.
+GROUPS = 512
 SEEN = "item_id long, key string, updated_at long, module string, message string, started_at double, stage int"
 
 
@@ -81,38 +82,60 @@ def replay_safe(events: DataFrame, keep: int = 100, ttl_ms: int | None = None) -
 
     State of an item: its last `keep` events in order and, beside them, the last start time and the highest stage. An event that is
     kept already or stands before all of a full tail changes nothing, so that replays and late events, however often and in
-    whatever order, leave what the events once and in order would. With ttl_ms, items without events for so long lose their state;
-    such a stream must run on, since a trigger that ends with the input would wait for the time-outs.
+    whatever order, leave what the events once and in order would. Items share GROUPS states by hash, each two tables in Arrow's
+    format, and a batch of events is merged into them at once. With ttl_ms, each item has its own, and items without events for
+    so long lose it; such a stream must run on, since a trigger that ends with the input would wait for the time-outs.
     """
+    item = ["nobody", "item_id"]
+
+    def merged(kept: pd.DataFrame, sums: pd.DataFrame, new: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        begun = new[new["started_at"].notna()].sort_values(["updated_at", "key"], kind="stable").drop_duplicates(item, keep="last")
+        begun = begun.rename(columns={"updated_at": "at", "key": "by"})[[*item, "at", "by", "started_at"]]
+        begun = pd.concat([f for f in (sums[sums["by"].notna()][begun.columns], begun) if len(f)] or [begun]).sort_values(["at", "by"], kind="stable").drop_duplicates(item, keep="last")
+        stages = pd.concat([sums[[*item, "stage"]], new[[*item, "stage"]]]).groupby(item, as_index=False)["stage"].max()
+        sums = stages.merge(begun, "left", item)
+        sums["at"] = sums["at"].fillna(0).astype("int64")
+        kept = pd.concat([kept, new[[*item, "updated_at", "key", "module", "message"]]]).drop_duplicates([*item, "key"])
+        return kept.sort_values([*item, "updated_at", "key"]).groupby(item, sort=False).tail(keep), sums
+
+    def packed(frame: pd.DataFrame) -> bytes:
+        table, sink = pa.Table.from_pandas(frame, preserve_index=False), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        return sink.getvalue().to_pybytes()
+
+    def unpacked(data: bytes) -> pd.DataFrame:
+        return pa.ipc.open_stream(data).read_all().to_pandas()
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        at, by, started, stage, held = state.get if state.exists else (None, None, None, None, [])
-        kept = sorted((int(r[1]), r[0], r[2], r[3]) for r in held)
-        names = {r[1] for r in kept}
-        for frame in frames:
-            for e in frame.itertuples(index=False):
-                place = (int(e.updated_at), e.key)
-                if e.module in STAGES:
-                    stage = max(-1 if stage is None else stage, STAGES.index(e.module))
-                if not pd.isna(e.started_at) and (at is None or place > (at, by)):
-                    (at, by), started = place, float(e.started_at)
-                if e.key in names or (len(kept) >= keep and place < kept[0][:2]):
-                    continue
-                bisect.insort(kept, (*place, e.module, e.message))
-                names.add(e.key)
-                if len(kept) > keep:
-                    names.discard(kept.pop(0)[1])
-        state.update((at, by, started, stage, [(k, t, module, message) for t, k, module, message in kept]))
+        kept = sums = None
+        if state.exists:
+            kept, sums = map(unpacked, state.get)
+        touched = []
+        for new in frames:
+            if kept is None:
+                kept, sums = new.iloc[:0][[*item, "updated_at", "key", "module", "message"]], new.iloc[:0].rename(columns={"updated_at": "at", "key": "by"})[[*item, "stage", "at", "by", "started_at"]]
+            kept, sums = merged(kept, sums, new)
+            touched.append(new[item].drop_duplicates())
+        state.update((packed(kept), packed(sums)))
         if ttl_ms:
             state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame([(key[0], k, t, module, message, started, stage) for t, k, module, message in kept], columns=["item_id", "key", "updated_at", "module", "message", "started_at", "stage"])
-
-    held = f"updated_at long, key string, started_at double, stage int, kept array<struct<{KEPT}>>"
-    rows = events.select("item_id", "key", "updated_at", F.coalesce("module", F.lit("")).alias("module"), F.coalesce("message", F.lit("")).alias("message"), "started_at")
-    return rows.groupBy("item_id").applyInPandasWithState(update, SEEN, held, "update", GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout)
+        out = kept.merge(pd.concat(touched).drop_duplicates(), "inner", item).merge(sums[[*item, "started_at", "stage"]], "left", item)
+        yield out.assign(
+            item_id=out["item_id"].astype("Int64").mask(out["nobody"]), stage=out["stage"].astype("Int32").mask(out["stage"] < 0),
+        )[["item_id", "key", "updated_at", "module", "message", "started_at", "stage"]]
+
+    rank = F.array_position(F.array(*map(F.lit, STAGES)), F.coalesce("module", F.lit(""))).cast("int") - 1
+    rows = events.select(
+        F.pmod(F.xxhash64("item_id"), F.lit(GROUPS)).alias("group") if ttl_ms is None else F.col("item_id").alias("group"),
+        F.col("item_id").isNull().alias("nobody"), F.coalesce("item_id", F.lit(0)).cast("long").alias("item_id"), "key", "updated_at", F.coalesce("module", F.lit("")).alias("module"),
+        F.coalesce("message", F.lit("")).alias("message"), "started_at", rank.alias("stage"),
+    )
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    return rows.groupBy("group").applyInPandasWithState(update, SEEN, "kept binary, sums binary", "update", timeout)
 
 
 def latest_states(stream: DataFrame, change: Callable[[DataFrame], DataFrame], schema: str, key: str = "item_id") -> DataFrame:

@@ -31,3 +31,16 @@ def test_event_keys(spark):
     rows = spark.createDataFrame([(7, "a", None), (None, "a", None), (None, "a", "x"), (None, None, "a")], "s int, a string, b string")
     found = [r[0] for r in rows.select(progress.event_key(F.col("s"), [F.col("a"), F.col("b")])).collect()]
     assert found == ["seq:7", "a|", "a|x", "|a"]
+
+
+def test_items_share_states(spark, tmp_path):
+    ship(spark)
+    events = [(item, f"k{n}", n, "view", "m", None) for item in [None, *range(1500)] for n in range(2)]
+    spark.createDataFrame(events, EVENTS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = progress.replay_safe(spark.readStream.schema(EVENTS).parquet(str(tmp_path / "in")), 1)
+    run = stream.writeStream.outputMode("update").format("memory").queryName("shared_states").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sum(p["stateOperators"][0]["numRowsUpdated"] for p in run.recentProgress if p["stateOperators"]) <= progress.GROUPS
+    found = spark.table("shared_states").collect()
+    assert {(r["item_id"], r["key"]) for r in found} == {(e[0], "k1") for e in events} and len(found) == 1501
+    assert {(r["stage"], r["started_at"]) for r in found} == {(0, None)}
