@@ -62,19 +62,6 @@ def low_agreement(agreement: Column, repeat_std: Column, threshold: float, scale
     return (agreement < threshold) | (F.round(repeat_std, 9) > round(0.15 * scale + 0.3, 9))
 
 
-def _counted(rows: str, value: str) -> Column:
-    """Of an array of structs with counts n, each value of a field that is there as (n, v), in ascending order."""
-    values = F.array_distinct(F.transform(F.filter(rows, lambda x: x[value].isNotNull() & (x[value] != "")), lambda x: x[value]))
-    votes = lambda v: F.aggregate(rows, F.lit(0).cast("long"), lambda n, x: n + F.when(x[value] == v, x["n"]).otherwise(F.lit(0)))
-    return F.array_sort(F.transform(values, lambda v: F.struct(votes(v).alias("n"), v.alias("v"))))
-
-
-def _winner(counted: str) -> Column:
-    """The last of _counted(), null where the one before it has as many."""
-    last, before = F.try_element_at(counted, F.lit(-1)), F.try_element_at(counted, F.lit(-2))
-    return F.when(before.isNull() | (before["n"] < last["n"]), last["v"])
-
-
 def vote_cells(votes: DataFrame) -> DataFrame:
     """Votes counted by cell, judge, label and error: counts and moments that add up, whenever the votes came."""
     square = F.col("total") * F.col("total")
@@ -91,7 +78,10 @@ def dims_of(cells: DataFrame, share: float = 0.1) -> DataFrame:
     follows by cell needs no shuffle of its own."""
     keys = [*CELL, "dim"]
     rows = cells.repartition(*CELL).withColumn("c", F.when(F.col("score").isNotNull(), F.col("n")).otherwise(F.lit(0)))
-    rows = rows.withColumn("upto", F.sum("c").over(Window.partitionBy(*keys).orderBy("score"))).withColumn("of", F.sum("c").over(Window.partitionBy(*keys)))
+    # One order serves both sums, so that Spark evaluates them in one window.
+    in_order = Window.partitionBy(*keys).orderBy("score")
+    upto, whole = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow), in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.select("*", F.sum("c").over(upto).alias("upto"), F.sum("c").over(whole).alias("of"))
     k = F.when(F.col("of") > 2, F.floor(F.col("of") * F.lit(share))).otherwise(0)
     left = F.greatest(F.lit(0), F.least(F.col("upto"), F.col("of") - k) - F.greatest(F.col("upto") - F.col("c"), k))
     return rows.withColumn("left", left).groupBy(*keys).agg(
@@ -113,32 +103,51 @@ def rubrics_of(dims: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     return rows.groupBy(*CELL).agg(F.collect_list(F.struct("dim", "mean_score", "is_na")).alias("dims"), rubric.alias("rubric_total"))
 
 
+_KINDS = {"judge": "judge", "label": "correctness", "error": "error_type"}
+
+
+def tallies(cells: DataFrame, kinds: Sequence[str] = tuple(_KINDS)) -> DataFrame:
+    """vote_cells() added up by cell and judge, label and error (kind, v): n, k, s, q. All rows of a cell meet in one partition, so
+    that what follows by cell needs no shuffle of its own."""
+    kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(_KINDS[kind]).alias("v")) for kind in kinds))
+    return cells.repartition(*CELL).select(*CELL, "n", "k", "s", "q", F.inline(kinds)).groupBy(*CELL, "kind", "v").agg(*(F.sum(c).alias(c) for c in ("n", "k", "s", "q")))
+
+
+def _top(kind: str) -> list[Column]:
+    """Of tallies(), the values of a kind with the highest count, last and first in order, and all its votes; null and empty values do
+    not vote."""
+    votes = lambda x: F.when((F.col("kind") == kind) & (F.col("v") != ""), x)
+    return [F.max(votes(F.struct("n", "v"))).alias(f"{kind}_last"), F.min(votes(F.struct((-F.col("n")).alias("n"), "v"))).alias(f"{kind}_first"), F.sum(votes(F.col("n"))).alias(f"{kind}_votes")]
+
+
+def _unique(kind: str) -> Column:
+    """Of _top(), the value that no other one equals in votes, or null."""
+    return F.when(F.col(f"{kind}_last.v") == F.col(f"{kind}_first.v"), F.col(f"{kind}_last.v"))
+
+
+def labels_of(cells: DataFrame) -> DataFrame:
+    """item_id, model, correctness, error_type of verdicts_of(): for what asks for no scores."""
+    found = tallies(cells, ["label", "error"]).groupBy(*CELL).agg(*_top("label"), *_top("error"))
+    return found.select(*CELL, F.coalesce(_unique("label"), F.lit("unclear")).alias("correctness"), _unique("error").alias("error_type"))
+
+
 def verdicts_of(cells: DataFrame, rubric: DataFrame, threshold: float = 0.6, scale: int = 5, carry: Sequence[str] = ()) -> DataFrame:
     """One row per (item_id, model): total, correctness, error_type, agreement, repeat_std, n_judges, low_agreement, from
     vote_cells() and rubrics(). carry names columns of the rubric that go with it.
 
     Ties make correctness 'unclear' and error_type null. repeat_std is the mean over judges with more than one run of
-    the population deviation of their totals, 0 without such judges. A cell gathers its few counts, so that its votes never
-    meet in one row, and meets its rubric where both are shuffled to by cell.
+    the population deviation of their totals, 0 without such judges. Counts are shuffled by cell once; there they are added up by
+    judge, by label and by error, and these few sums by cell, so that a cell's votes never meet in one row.
     """
-    rows = cells.groupBy(*CELL).agg(F.collect_list(F.struct("judge", "correctness", "error_type", "n", "k", "s", "q")).alias("h"))
-
-    def moments(judge: Column) -> Column:
-        """A judge's n, k, s and q over its counts."""
-        begin = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
-        add = lambda m, x: F.struct((m["n"] + x["n"]).alias("n"), (m["k"] + x["k"]).alias("k"), (m["s"] + F.coalesce(x["s"], F.lit(0.0))).alias("s"), (m["q"] + F.coalesce(x["q"], F.lit(0.0))).alias("q"))
-        return F.aggregate("h", begin, lambda m, x: F.when(x["judge"].eqNullSafe(judge), add(m, x)).otherwise(m))
-
-    # Each step reads the one before more than once, so that Spark keeps them apart and none is evaluated again.
-    rows = rows.select(*CELL, _counted("h", "correctness").alias("c"), _counted("h", "error_type").alias("e"), F.transform(F.array_distinct(F.transform("h", lambda x: x["judge"])), moments).alias("j"))
-    spread = lambda m: F.sqrt(F.greatest(F.lit(0.0), m["q"] / m["k"] - (m["s"] / m["k"]) * (m["s"] / m["k"])))
-    several = F.transform(F.filter("j", lambda m: (m["n"] > 1) & (m["k"] > 0)), spread)
+    rows = tallies(cells).groupBy(*CELL).agg(
+        *_top("label"), *_top("error"), F.count_if(F.col("kind") == "judge").alias("n_judges"),
+        F.avg(F.when((F.col("kind") == "judge") & (F.col("n") > 1) & (F.col("k") > 0), F.sqrt(F.greatest(F.lit(0.0), F.try_divide("q", "k") - F.pow(F.try_divide("s", "k"), 2))))).alias("spread"),
+    )
     rows = rows.select(
-        *CELL, _winner("c").alias("correctness"), _winner("e").alias("error_type"), F.size("j").cast("long").alias("n_judges"), several.alias("spreads"),
-        (F.try_element_at("c", F.lit(-1))["n"] / F.aggregate("c", F.lit(0).cast("long"), lambda n, x: n + x["n"])).alias("agreement"),
+        *CELL, _unique("label").alias("correctness"), _unique("error").alias("error_type"), "n_judges", (F.col("label_last.n") / F.col("label_votes")).alias("agreement"),
+        F.coalesce("spread", F.lit(0.0)).alias("repeat_std"),
     )
-    repeat_std = F.coalesce(F.try_divide(F.aggregate("spreads", F.lit(0.0), lambda a, x: a + x), F.size("spreads")), F.lit(0.0))
-    rows = rows.withColumn("repeat_std", repeat_std).join(rubric.select(*CELL, "rubric_total", *carry), CELL, "left")
+    rows = rows.join(rubric.select(*CELL, "rubric_total", *carry), CELL, "left")
     return rows.select(
         *CELL, F.coalesce("rubric_total", F.lit(0.0)).alias("total"), F.coalesce("correctness", F.lit("unclear")).alias("correctness"), "error_type", "agreement", "repeat_std", "n_judges",
         low_agreement(F.col("agreement"), F.col("repeat_std"), threshold, scale).alias("low_agreement"), *carry,
