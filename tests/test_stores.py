@@ -191,12 +191,18 @@ def test_votes_are_judged_without_sorting_them(spark, name):
     assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan and "Window" not in plan
 
 
-@pytest.mark.parametrize("name", ["case_cards", "report_b", "calibration", "skill_clusters", "cluster_order"])
+@pytest.mark.parametrize("name", ["case_cards", "report_b", "skill_clusters", "cluster_order"])
 def test_queries_count_votes_in_columns(reads, monkeypatch, name):
     monkeypatch.setattr(votes, "vote_cells", lambda _: pytest.fail("votes are counted by rows"))
     reads(name)
 
 
+@pytest.mark.parametrize("name", ["calibration", "calibration_by_category"])
+def test_few_votes_are_read_once(reads, monkeypatch, name):
+    monkeypatch.setattr(votes, "_few", lambda *_: pytest.fail("votes are read for their values"))
+    reads(name)
+
+
 def test_opening_votes_give_the_same_rows(spark):
     rows = [(1, "m", "j1", 0, "second", False, False), (1, "m", "j0", 0, "first", False, True), (1, "m", "j0", 1, "later", True, False), (2, "m", "j2", 0, None, False, False)]
     said = spark.createDataFrame(rows, "item_id long, model string, judge string, run_idx int, rationale string, used_search boolean, truncated boolean")
