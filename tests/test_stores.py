@@ -172,6 +172,32 @@ def test_counts_in_columns_equal_counts_in_rows(spark, monkeypatch, most):
     assert plain(flat.collect(), flat.columns) == plain(means.select(*flat.columns).collect(), flat.columns)
 
 
+def test_values_that_the_first_rows_lack_are_counted_too(spark, monkeypatch):
+    some, dims = odd_votes(spark)
+    weights = spark.createDataFrame([("x", 2.0), ("y", 0.5)], "dim string, weight double")
+    rows = votes.verdicts_of(votes.vote_cells(some), votes.rubrics(votes.dim_cells(dims), weights))
+    wanted = plain(rows.collect(), rows.columns)
+    monkeypatch.setattr(votes, "FIRST_ROWS", 1)
+    monkeypatch.setattr(votes, "vote_cells", lambda _: pytest.fail("votes are counted by rows"))
+    found = votes.judged(some, dims, weights)
+    assert plain(found.select(*rows.columns).collect(), rows.columns) == wanted
+    assert votes._few(some, ["judge", "correctness"]) == {"judge": [None, "j0", "j2"], "correctness": [None, "", "right", "wrong"]}
+    assert votes._few_scores(dims) == {"w": [], **{d: [1.0, 2.0, 5.0] for d in "xyz"}}
+    many = some.unionAll(some.withColumn("judge", F.concat(F.lit("j"), "item_id")))
+    assert votes._few(many, ["judge"]) is None
+    for odd in ((1, "m0", None, 1.0, False), (1, "m0", "x", float("nan"), False)):
+        assert votes._few_scores(dims.unionAll(spark.createDataFrame([odd], dims.schema))) is None
+
+
+@pytest.mark.parametrize("name", ["report_b"])
+def test_values_are_looked_for_without_the_join_with_items(reads, monkeypatch, name):
+    looked = []
+    for search in ("_few", "_few_scores"):
+        monkeypatch.setattr(votes, search, lambda rows, *given, found=getattr(votes, search): looked.append(plan_of(rows)) or found(rows, *given))
+    reads(name)
+    assert len(looked) == 2 and not any("LeftSemi" in plan for plan in looked)
+
+
 def test_votes_without_any_value(spark):
     some, dims = made_votes(spark, 13, range(5))
     silent = some.withColumns({c: F.lit(None).cast("string") for c in ("judge", "correctness", "error_type")})
